@@ -52,11 +52,14 @@ def _query_value(query: Column, name: str) -> Column:
     return F.when(raw != "", F.try_url_decode(raw))
 
 
-def embed_url(url: Column, embed_parent: str) -> Column:
+def url_parts(url: Column) -> list[Column]:
+    """Host, path and query of a URL, to be computed once and used by many tests."""
+    names = ("host", "path", "query")
+    return [F.regexp_extract(url, URL_PATTERN, n).alias(name) for n, name in enumerate(names, start=1)]
+
+
+def embed_url(url: Column, host: Column, path: Column, query: Column, embed_parent: str) -> Column:
     """Player address of a video page, or null where the host has none."""
-    host = F.regexp_extract(url, URL_PATTERN, 1)
-    path = F.regexp_extract(url, URL_PATTERN, 2)
-    query = F.regexp_extract(url, URL_PATTERN, 3)
     slug = F.ltrim(path, F.lit("/"))
 
     live = F.when(path.contains("/live/"), F.substring_index(path, "live/", -1))

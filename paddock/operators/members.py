@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.ranking import PART_ROWS, in_every_season, nest
+from paddock.operators.ranking import PART_ROWS, Children, in_every_season, nest
 from paddock.sources.tables import League
 
 
@@ -45,25 +45,13 @@ def user_role_names(league: League) -> DataFrame:
 def users_with_roles(league: League, part_rows: int = PART_ROWS) -> DataFrame:
     """Users with driver and roles; users without either are kept."""
     drivers = league.drivers.select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name"))
-    roles = nest(
-        _named_roles(league),
-        ["user_id"],
-        [F.col("role_id").asc()],
-        ["role_id", "role_name"],
-        "roles",
-        at_most=league.users_roles,
-        part_rows=part_rows,
+    users = league.users.select(F.col("id").alias("user_id"), "username", "driver_id")
+    roles = Children(
+        _named_roles(league), [F.col("role_id").asc()], ["role_id", "role_name"], at_most=league.users_roles
     )
+    lists = nest(["user_id"], part_rows, parents=users, roles=roles)
     return (
-        league.users.select(F.col("id").alias("user_id"), "username", "driver_id")
-        .join(drivers, "driver_id", "left")
-        .join(roles, "user_id", "left")
-        .select(
-            "user_id",
-            "username",
-            "driver_id",
-            "driver_name",
-            F.coalesce("part", F.lit(0)).alias("part"),
-            F.coalesce("roles", F.array()).alias("roles"),
-        )
+        users.join(drivers, "driver_id", "left")
+        .join(lists, "user_id")
+        .select("user_id", "username", "driver_id", "driver_name", "part", "roles")
     )

@@ -7,6 +7,8 @@ small; a race may also hold a third of all rows, and then the sort itself has to
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,23 +76,42 @@ def rank_by_range(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return joined.select(*[F.col(f"n.{c}").alias(c) for c in rows.columns], number.cast("int").alias(out))
 
 
+@dataclass(frozen=True)
+class Children:
+    """Rows to nest under a parent: their order, the fields kept, and a table they come from."""
+
+    rows: DataFrame
+    order: Sequence[Column]
+    fields: Sequence[str | Column]
+    at_most: DataFrame
+
+
 def nest(
-    rows: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
-    fields: Sequence[str],
-    out: str,
-    *,
-    at_most: DataFrame,
     part_rows: int = PART_ROWS,
+    parents: DataFrame | None = None,
+    **children: Children,
 ) -> DataFrame:
-    """Children as an ordered array per group.
+    """Children as ordered arrays per group, several kinds in one pass.
 
     A group of more than ``part_rows`` children continues in parts 1, 2, ... so that no array
-    and no task grows with the group; ordinary groups have part 0 only.
+    and no task grows with the group; ordinary groups have part 0 only. ``parents`` adds groups
+    without children.
     """
-    ranked = rank_within(rows, keys, order, "_place", at_most=at_most)
-    return gather(ranked.withColumn("part", part_of("_place", part_rows)), [*keys, "part"], "_place", fields, out)
+    pieces = []
+    for out, child in children.items():
+        ranked = rank_within(child.rows, keys, child.order, "_place", at_most=child.at_most)
+        item = F.struct(F.col("_place").alias("_at"), F.struct(*child.fields).alias("_child"))
+        pieces.append(ranked.select(*keys, part_of("_place", part_rows).alias("part"), item.alias(out)))
+    if parents is not None:
+        pieces.append(parents.select(*keys, F.lit(0).alias("part")))
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
+    # collect_list leaves out the nulls of the other kinds
+    return together.groupBy(*keys, "part").agg(*[_in_order(F.col(out)).alias(out) for out in children])
+
+
+def _in_order(item: Column) -> Column:
+    return F.transform(F.sort_array(F.collect_list(item)), lambda c: c["_child"])
 
 
 def part_of(place: str, part_rows: int = PART_ROWS) -> Column:
@@ -99,9 +120,8 @@ def part_of(place: str, part_rows: int = PART_ROWS) -> Column:
 
 def gather(rows: DataFrame, keys: Sequence[str], place: str, fields: Sequence[str], out: str) -> DataFrame:
     """Collect groups already known to be of bounded size, ordered by ``place``."""
-    child = F.struct(F.col(place).alias("_at"), F.struct(*fields).alias("_child"))
-    ordered = F.transform(F.sort_array(F.collect_list(child)), lambda c: c["_child"])
-    return rows.groupBy(*keys).agg(ordered.alias(out))
+    item = F.struct(F.col(place).alias("_at"), F.struct(*fields).alias("_child"))
+    return rows.groupBy(*keys).agg(_in_order(item).alias(out))
 
 
 def in_every_season(rows: DataFrame, seasons: DataFrame, key: str, blocks: int = 64) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.ranking import PART_ROWS, in_every_season, nest, rank_within
+from paddock.operators.ranking import PART_ROWS, Children, in_every_season, nest, rank_within
 from paddock.sources.tables import League
 
 
@@ -55,13 +55,14 @@ def season_lineup(league: League, part_rows: int = PART_ROWS) -> DataFrame:
     seats = league.seasons_drivers.filter(F.col("team_id").isNotNull()).join(drivers, "driver_id")
     filled = league.seasons_drivers.filter(F.col("team_id").isNotNull()).select("season_id").distinct()
     members = nest(
-        seats.select("season_id", "team_id", "driver_id", "driver_name"),
         ["season_id", "team_id"],
-        [F.col("driver_id").asc()],
-        ["driver_id", "driver_name"],
-        "drivers",
-        at_most=league.seasons_drivers,
-        part_rows=part_rows,
+        part_rows,
+        drivers=Children(
+            seats.select("season_id", "team_id", "driver_id", "driver_name"),
+            [F.col("driver_id").asc()],
+            ["driver_id", "driver_name"],
+            at_most=league.seasons_drivers,
+        ),
     )
     teams = league.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"), "color", "icon")
     return (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +12,10 @@ from paddock.functions.text import (
     mention,
     report_link,
     split_videos,
+    url_parts,
 )
 from paddock.functions.timing import message_time, report_deadline
-from paddock.operators.ranking import PART_ROWS, nest, rank_within
+from paddock.operators.ranking import PART_ROWS, Children, nest, rank_within
 from paddock.sources.tables import League
 
 # Message templates and the stewards' sender name.
@@ -63,15 +62,12 @@ def report_targets(league: League) -> DataFrame:
     )
 
 
-def _target_lists(league: League, part_rows: int) -> DataFrame:
-    return nest(
+def _targets_of(league: League) -> Children:
+    return Children(
         report_targets(league),
-        ["report_id"],
         [F.col("driver_id").asc_nulls_last()],
         ["target_id", "target_name"],
-        "targets",
         at_most=league.report_targets,
-        part_rows=part_rows,
     )
 
 
@@ -80,39 +76,35 @@ def incident_reports(league: League, embed_parent: str, part_rows: int = PART_RO
 
     A list of more than ``part_rows`` children continues in further rows of the same report.
     """
-    responses = nest(
-        league.report_responses.join(
-            _drivers(league, "from_driver", "driver_name"), "from_driver", "left"
-        ).withColumn("videos", videos(F.col("video_path"), embed_parent)),
-        ["report_id"],
-        [F.col("created_at").asc_nulls_last(), F.col("from_driver").asc(), F.col("content").asc()],
-        ["from_driver", "driver_name", "content", "videos", "created_at"],
-        "responses",
-        at_most=league.report_responses,
-        part_rows=part_rows,
+    responses = league.report_responses.join(
+        _drivers(league, "from_driver", "driver_name"), "from_driver", "left"
     )
-    penalties = nest(
-        league.penalties.join(_drivers(league, "driver_id", "driver_name"), "driver_id"),
+    response_videos = videos(F.col("video_path"), embed_parent).alias("videos")
+    lists = nest(
         ["report_id"],
-        [F.col("driver_id").asc()],
-        ["driver_id", "driver_name", "time", "penalty_points", "is_dsq"],
-        "penalties",
-        at_most=league.penalties,
-        part_rows=part_rows,
+        part_rows,
+        parents=league.reports.select(F.col("id").alias("report_id")),
+        targets=_targets_of(league),
+        responses=Children(
+            responses,
+            [F.col("created_at").asc_nulls_last(), F.col("from_driver").asc(), F.col("content").asc()],
+            ["from_driver", "driver_name", "content", response_videos, "created_at"],
+            at_most=league.report_responses,
+        ),
+        penalties=Children(
+            league.penalties.join(_drivers(league, "driver_id", "driver_name"), "driver_id"),
+            [F.col("driver_id").asc()],
+            ["driver_id", "driver_name", "time", "penalty_points", "is_dsq"],
+            at_most=league.penalties,
+        ),
     )
     reports = (
-        league.reports.drop("created_at")
+        league.reports.drop("created_at", "race_id")
         .withColumnRenamed("id", "report_id")
-        .join(report_rank(league).select("report_id", "rank", "created_at"), "report_id")
+        .join(report_rank(league), "report_id")
         .join(_drivers(league, "from_driver", "from_name"), "from_driver")
     )
-    parents = reports.select("report_id", F.lit(0).alias("part"))
-    parts = reduce(
-        lambda left, right: left.join(right, ["report_id", "part"], "full_outer"),
-        [_target_lists(league, part_rows), responses, penalties],
-        parents,
-    )
-    return reports.join(parts, "report_id").select(
+    return reports.join(lists, "report_id").select(
         "report_id",
         "race_id",
         "rank",
@@ -123,35 +115,48 @@ def incident_reports(league: League, embed_parent: str, part_rows: int = PART_RO
         videos(F.col("video_path"), embed_parent).alias("videos"),
         "created_at",
         "verdict",
-        *[F.coalesce(name, F.array()).alias(name) for name in ("targets", "responses", "penalties")],
+        "targets",
+        "responses",
+        "penalties",
     )
 
 
 def videos(video_path: Column, embed_parent: str) -> Column:
     """Videos of a report as links with an embed flag."""
-
-    def link(url: Column) -> Column:
-        player = embed_url(url, embed_parent)
-        return F.struct(F.coalesce(player, url).alias("url"), player.isNotNull().alias("embed"))
-
-    return F.transform(split_videos(video_path), link)
+    addresses = F.transform(
+        split_videos(video_path), lambda url: F.struct(url.alias("url"), *url_parts(url))
+    )
+    players = F.transform(
+        addresses,
+        lambda a: F.struct(
+            a["url"].alias("url"),
+            embed_url(a["url"], a["host"], a["path"], a["query"], embed_parent).alias("player"),
+        ),
+    )
+    return F.transform(
+        players,
+        lambda p: F.struct(
+            F.coalesce(p["player"], p["url"]).alias("url"), p["player"].isNotNull().alias("embed")
+        ),
+    )
 
 
 def video_links(league: League, embed_parent: str, media_root: str = "/media") -> DataFrame:
     """One row per video of a report: uploaded files by name, others by player address."""
     paths = league.reports.select(
-        F.col("id").alias("report_id"), F.posexplode(split_videos(F.col("video_path"))).alias("video_no", "path")
+        F.col("id").alias("report_id"), F.posexplode(split_videos(F.col("video_path"))).alias("video_no", "url")
     )
-    player = embed_url(F.col("path"), embed_parent)
-    uploaded = F.col("path").contains(media_root)
-    return paths.select(
+    parts = [F.col(name) for name in ("url", "host", "path", "query")]
+    players = paths.select("*", *url_parts(F.col("url"))).withColumn("player", embed_url(*parts, embed_parent))
+    uploaded = F.col("url").contains(media_root)
+    return players.select(
         "report_id",
-        F.col("video_no"),
+        "video_no",
         uploaded.alias("is_local"),
-        F.when(uploaded, F.replace("path", F.lit(f"{media_root}/"), F.lit("")))
-        .otherwise(F.coalesce(player, F.col("path")))
+        F.when(uploaded, F.replace("url", F.lit(f"{media_root}/"), F.lit("")))
+        .otherwise(F.coalesce("player", "url"))
         .alias("url"),
-        (~uploaded & player.isNotNull()).alias("embed"),
+        (~uploaded & F.col("player").isNotNull()).alias("embed"),
     )
 
 
@@ -159,23 +164,17 @@ def open_reports(league: League, part_rows: int = PART_ROWS) -> DataFrame:
     """Undecided reports with their targets; numbers count the decided ones too."""
     tracks = league.tracks.select(F.col("id").alias("track_id"), "race_name")
     races = league.races.select(F.col("id").alias("race_id"), "track_id").join(tracks, "track_id")
-    undecided = league.reports.filter(F.col("verdict").isNull())
+    undecided = league.reports.filter(F.col("verdict").isNull()).select(
+        F.col("id").alias("report_id"), "from_driver"
+    )
+    lists = nest(["report_id"], part_rows, parents=undecided, targets=_targets_of(league))
     return (
-        undecided.select(F.col("id").alias("report_id"), "from_driver")
+        undecided
         .join(report_rank(league), "report_id")
         .join(races, "race_id")
         .join(_drivers(league, "from_driver", "from_name"), "from_driver")
-        .join(_target_lists(league, part_rows), "report_id", "left")
-        .select(
-            "report_id",
-            "race_id",
-            "race_name",
-            "rank",
-            "from_driver",
-            "from_name",
-            F.coalesce("part", F.lit(0)).alias("part"),
-            F.coalesce("targets", F.array()).alias("targets"),
-        )
+        .join(lists, "report_id")
+        .select("report_id", "race_id", "race_name", "rank", "from_driver", "from_name", "part", "targets")
     )
 
 
@@ -218,13 +217,14 @@ def _mentions(league: League) -> DataFrame:
 def mention_text(league: League, part_rows: int = PART_ROWS) -> DataFrame:
     """Targets of a report as message lines; long lists continue in further parts."""
     lines = nest(
-        _mentions(league),
         ["report_id"],
-        [F.col("driver_id").asc_nulls_last()],
-        ["line"],
-        "lines",
-        at_most=league.report_targets,
-        part_rows=part_rows,
+        part_rows,
+        lines=Children(
+            _mentions(league),
+            [F.col("driver_id").asc_nulls_last()],
+            ["line"],
+            at_most=league.report_targets,
+        ),
     )
     text = F.array_join(F.transform("lines", lambda c: c["line"]), "\n")
     return lines.select("report_id", "part", text.alias("mentions"))

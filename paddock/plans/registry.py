@@ -231,9 +231,9 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "format_time": lambda lg: lg.races_drivers.select(
         "race_id", "driver_id", timing.format_time(F.col("time")).alias("time_text")
     ),
-    "parse_time": lambda lg: lg.races_drivers.select(
-        "race_id", "driver_id", timing.parse_time(timing.format_time(F.col("time"))).alias("time")
-    ),
+    "parse_time": lambda lg: lg.races_drivers.withColumn(
+        "time_text", timing.format_time(F.col("time"))
+    ).select("race_id", "driver_id", timing.parse_time(F.col("time_text")).alias("time")),
     "has_been_raced": lambda lg: lg.races.select(
         F.col("id").alias("race_id"),
         timing.has_been_raced(F.col("date"), results.moment(AS_OF, lg.races, "date")).alias("has_been_raced"),

@@ -106,12 +106,17 @@ def _roster(entries: DataFrame, races: DataFrame) -> DataFrame:
     )
 
 
-def _video_path(report_id: Column) -> Column:
+def _address(pattern: str, number: Column) -> Column:
+    before, after = pattern.split("%d")
+    return F.concat(F.lit(before), number.cast("string"), F.lit(after))
+
+
+def _video_path(number: Column) -> Column:
     address = F.lit(None).cast("string")
-    for number, pattern in enumerate(VIDEO_ADDRESSES):
-        address = F.when(report_id % 7 == number, F.format_string(pattern, report_id)).otherwise(address)
-    second = F.format_string("++https://example.com/%d", report_id)
-    return F.concat(address, F.when(report_id % 3 == 0, second).otherwise(F.lit("")))
+    for kind, pattern in enumerate(VIDEO_ADDRESSES):
+        address = F.when(number % 7 == kind, _address(pattern, number)).otherwise(address)
+    second = _address("++https://example.com/%d", number)
+    return F.concat(address, F.when(number % 3 == 0, second).otherwise(F.lit("")))
 
 
 def _hours(hours: Column) -> Column:
