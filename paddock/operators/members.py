@@ -37,6 +37,10 @@ def current_stewards(league: League) -> DataFrame:
     )
 
 
+def role_list(league: League) -> DataFrame:
+    return league.roles.select("id", "name")
+
+
 def user_role_names(league: League) -> DataFrame:
     """Role names of each user."""
     return _named_roles(league).select("user_id", "role_name")

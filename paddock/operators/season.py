@@ -99,8 +99,12 @@ def signed_drivers(league: League) -> DataFrame:
         .join(teams, "team_id")
     )
     drivers = league.drivers.select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name"))
-    return drivers.join(signed, "driver_id", "left").select(
-        "driver_id", "driver_name", "season_id", "team_id", "team_name", "color"
+    # inner and anti rather than outer: a driver with very many seats can then be split
+    unsigned = drivers.join(signed, "driver_id", "left_anti")
+    return (
+        drivers.join(signed, "driver_id")
+        .unionByName(unsigned, allowMissingColumns=True)
+        .select("driver_id", "driver_name", "season_id", "team_id", "team_name", "color")
     )
 
 

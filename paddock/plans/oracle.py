@@ -430,6 +430,7 @@ _SELECTS: dict[str, str] = {
       FROM users u LEFT JOIN drivers d ON d.id = u.driver_id LEFT JOIN (
         SELECT user_id, CAST(to_json(list({'role_id': role_id, 'role_name': name} ORDER BY role_id)) AS VARCHAR) AS roles
         FROM users_roles JOIN roles ON id = role_id GROUP BY 1) r ON r.user_id = u.id""",
+    "role_list": "SELECT id, name FROM roles",
     "user_role_names": "SELECT user_id, name AS role_name FROM users_roles JOIN roles ON id = role_id",
     "load_league": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
@@ -477,7 +478,7 @@ _SELECTS: dict[str, str] = {
                    CASE WHEN last_team >= 0 THEN last_team END AS new_team
             FROM races_drivers JOIN races ON id = race_id GROUP BY ALL)
       WHERE NOT (unseated AND new_team IS NULL)""",
-    "apply_verdicts_reports": """
+    "apply_verdicts": """
       SELECT id, coalesce(verdict, 'ruling 1 of ' || id) AS verdict FROM reports""",
     "apply_verdicts_penalties": """
       SELECT * FROM penalties UNION ALL

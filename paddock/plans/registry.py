@@ -190,6 +190,7 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "steward_candidates": members.steward_candidates,
     "current_stewards": members.current_stewards,
     "users_with_roles": lambda lg: as_json(members.users_with_roles(lg), "roles"),
+    "role_list": members.role_list,
     "user_role_names": members.user_role_names,
     # scans, sinks and ingest
     "load_league": tables.table_sizes,
@@ -207,7 +208,7 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "roster_to_entries": season.roster_to_entries,
     "add_reserves": lambda lg: ingest.add_reserves(lg.seasons_drivers, feeds.reserve_requests(lg), lg.seasons)[0],
     "upsert_lineup": lambda lg: ingest.upsert_lineup(lg.seasons_drivers, feeds.lineup_changes(lg), lg.seasons)[0],
-    "apply_verdicts_reports": lambda lg: _verdicts(lg)[0].select("id", "verdict"),
+    "apply_verdicts": lambda lg: _verdicts(lg)[0].select("id", "verdict"),
     "apply_verdicts_penalties": lambda lg: _verdicts(lg)[1],
     "apply_verdicts_entries": lambda lg: _verdicts(lg)[2].select("race_id", "driver_id", "is_dsq"),
     "apply_verdicts_rejected": lambda lg: _verdicts(lg)[3],

@@ -13,7 +13,7 @@ from paddock.sources.tables import League
 # A response is in time at most two days after its report: the race deadline is less than two
 # days after the start, and reports come after the start.
 LATEST_RESPONSE = "INTERVAL 2 DAYS"
-# Copies of a report's row, so that the responses to one report spread over many tasks.
+# Tasks that share one key: responses to one report, or copies of one report.
 SPREAD = 16
 
 
@@ -30,9 +30,14 @@ def event_time(rows: DataFrame, column: str = "created_at", delay: str = "2 days
 
 
 def stream_report_gate(reports: DataFrame, league: League, delay: str = "2 days") -> DataFrame:
-    """Label a stream of reports; a report sent twice within the watermark is taken once."""
-    once = event_time(reports, delay=delay).dropDuplicatesWithinWatermark(["id"])
-    naive = once.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    """Label a stream of reports; a report sent twice within the watermark is taken once.
+
+    Copies are dropped per input split first, so that many copies of one report never meet.
+    """
+    share = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
+    sent = event_time(reports, delay=delay).withColumn("_share", share)
+    once = sent.dropDuplicatesWithinWatermark(["id", "_share"]).dropDuplicatesWithinWatermark(["id"])
+    naive = once.drop("_share").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
     return report_gate(naive, league.races, league.races_drivers)
 
 
