@@ -13,6 +13,7 @@ GAME_NAME = "Hra"
 STEWARD_SUFFIX = "fia"
 
 # RFC 3986, appendix B: scheme, authority, path, query and fragment of a URL.
+HOST_PATTERN = r"^(?:[^:/?#]+:)?//([^/?#]*)"
 URL_PATTERN = r"^(?:[^:/?#]+:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?"
 
 
@@ -52,18 +53,21 @@ def _query_value(query: Column, name: str) -> Column:
     return F.when(raw != "", F.try_url_decode(raw))
 
 
-def url_parts(url: Column) -> list[Column]:
-    """Host, path and query of a URL, to be computed once and used by many tests."""
-    names = ("host", "path", "query")
-    return [F.regexp_extract(url, URL_PATTERN, n).alias(name) for n, name in enumerate(names, start=1)]
+def url_host(url: Column) -> Column:
+    """Host of a URL, empty where it has none."""
+    return F.regexp_extract(url, HOST_PATTERN, 1)
 
 
-def embed_url(url: Column, host: Column, path: Column, query: Column, embed_parent: str) -> Column:
-    """Player address of a video page, or null where the host has none."""
-    slug = F.ltrim(path, F.lit("/"))
+def embed_url(url: Column, host: Column, embed_parent: str) -> Column:
+    """Player address of a video page, or null where the host has none.
+
+    ``host`` is taken as a column of its own because every branch tests it.
+    """
+    path = F.regexp_extract(url, URL_PATTERN, 2)
+    query = F.regexp_extract(url, URL_PATTERN, 3)
 
     live = F.when(path.contains("/live/"), F.substring_index(path, "live/", -1))
-    video = F.coalesce(F.when(live != "", live), _query_value(query, "v"))
+    video = F.coalesce(F.nullif(live, F.lit("")), _query_value(query, "v"))
     start = F.coalesce(_query_value(query, "t"), _query_value(query, "start"))
     youtube = F.concat(
         F.lit("https://www.youtube.com/embed/"),
@@ -72,7 +76,8 @@ def embed_url(url: Column, host: Column, path: Column, query: Column, embed_pare
     )
 
     def player(prefix: str, suffix: str = "") -> Column:
-        return F.when(slug != "", F.concat(F.lit(prefix), slug, F.lit(suffix)))
+        slug = F.nullif(F.ltrim(path, F.lit("/")), F.lit(""))
+        return F.concat(F.lit(prefix), slug, F.lit(suffix))
 
     return (
         F.when(host.contains("youtube.com"), youtube)

@@ -16,6 +16,7 @@ from paddock.operators.results import (
     scored_entries,
     scoring_places,
 )
+from paddock.session import store
 from paddock.sources.tables import League
 
 SEAT = ["season_id", "driver_id"]
@@ -133,7 +134,8 @@ def _ranked_seats(league: League, scored: DataFrame) -> DataFrame:
 
 def driver_standings_long(league: League, as_of: object, pg_compat: bool = False) -> DataFrame:
     """Driver championship, one row per driver and race; read in order of position, race_no."""
-    scored = scored_entries(league, pg_compat)
+    # read twice, for the totals and for the cells
+    scored = store(scored_entries(league, pg_compat), "scored")
     header = standings_race_header(league)
     counts = header.groupBy("season_id").agg(F.count(F.lit(1)).alias("race_count"))
     seats = _ranked_seats(league, scored).join(counts, "season_id")

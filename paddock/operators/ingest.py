@@ -95,21 +95,28 @@ def ingest_results(entries: DataFrame, records: DataFrame, strict: bool = False)
     """Write results into entries: the leader's time, the others' gaps, and the fastest lap.
 
     Races without records keep their entries. The old fastest lap of a posted race is cleared.
-    Records without a readable time or an entry are rejected.
+    Records without a readable time or an entry are rejected, as is a driver posted twice.
     """
     gap = F.col("time")
+    copies = records.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("_copies"))
     leaders = records.groupBy("race_id").agg(
         F.max(F.when(F.col("is_leader"), parse_time(gap))).alias("leader_time"),
         F.max("fastest_lap_driver").alias("fastest_lap_driver"),
     )
     entered = entries.select(*ENTRY).withColumn("_entered", F.lit(True))
-    read = records.drop("fastest_lap_driver").join(leaders, "race_id").join(entered, ENTRY, "left")
+    read = (
+        records.drop("fastest_lap_driver")
+        .join(leaders, "race_id")
+        .join(copies, ENTRY)
+        .join(entered, ENTRY, "left")
+    )
     checked = read.withColumns(
         {
             "new_time": F.when(F.col("is_leader"), F.col("leader_time")).otherwise(
                 parse_gap(F.col("leader_time"), gap)
             ),
             "reason": F.when(F.col("_entered").isNull(), "not entered")
+            .when(F.col("_copies") > 1, "posted twice")
             .when(F.col("leader_time").isNull(), "no leader time")
             .when(~F.col("is_leader") & ~is_valid_gap(gap, strict), "unreadable gap"),
         }

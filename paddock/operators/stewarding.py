@@ -12,7 +12,7 @@ from paddock.functions.text import (
     mention,
     report_link,
     split_videos,
-    url_parts,
+    url_host,
 )
 from paddock.functions.timing import message_time, report_deadline
 from paddock.operators.ranking import PART_ROWS, Children, nest, rank_within
@@ -124,13 +124,12 @@ def incident_reports(league: League, embed_parent: str, part_rows: int = PART_RO
 def videos(video_path: Column, embed_parent: str) -> Column:
     """Videos of a report as links with an embed flag."""
     addresses = F.transform(
-        split_videos(video_path), lambda url: F.struct(url.alias("url"), *url_parts(url))
+        split_videos(video_path), lambda url: F.struct(url.alias("url"), url_host(url).alias("host"))
     )
     players = F.transform(
         addresses,
         lambda a: F.struct(
-            a["url"].alias("url"),
-            embed_url(a["url"], a["host"], a["path"], a["query"], embed_parent).alias("player"),
+            a["url"].alias("url"), embed_url(a["url"], a["host"], embed_parent).alias("player")
         ),
     )
     return F.transform(
@@ -146,8 +145,9 @@ def video_links(league: League, embed_parent: str, media_root: str = "/media") -
     paths = league.reports.select(
         F.col("id").alias("report_id"), F.posexplode(split_videos(F.col("video_path"))).alias("video_no", "url")
     )
-    parts = [F.col(name) for name in ("url", "host", "path", "query")]
-    players = paths.select("*", *url_parts(F.col("url"))).withColumn("player", embed_url(*parts, embed_parent))
+    players = paths.withColumn("host", url_host(F.col("url"))).withColumn(
+        "player", embed_url(F.col("url"), F.col("host"), embed_parent)
+    )
     uploaded = F.col("url").contains(media_root)
     return players.select(
         "report_id",

@@ -34,7 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = _local_folders.setdefault(app, tempfile.mkdtemp(prefix="run-"))
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="run-")
+        root = _local_folders[app]
     return f"{root}/paddock/{app}"
 
 

@@ -54,7 +54,7 @@ def test_schedule(spark, league):
 
 def test_results(spark, league):
     payloads = spark.createDataFrame(
-        [("feature", ("d1", "83:05.500"), [("d2", "+1,25", 0), ("d4", "DNF", 2), ("d3", "oops", 0), ("d5", "+3", 0)], "d4")],
+        [("feature", ("d1", "83:05.500"), [("d2", "+1,25", 0), ("d4", "DNF", 2), ("d3", "oops", 0), ("d5", "+3", 0), ("d6", "+7", 0), ("d6", "+8", 0)], "d4")],
         "race_id string, leader struct<id string, time string>,"
         " otherDrivers array<struct<id string, time string, plusLaps int>>, fastestLap string",
     )
@@ -67,7 +67,13 @@ def test_results(spark, league):
     assert found["feature", "d4"].plus_laps == 2
     assert found["feature", "d3"].time == 4990.0
     assert found["sprint", "d5"].has_fastest_lap
-    assert rows(rejected) == [("feature", "d3", "oops", "unreadable gap"), ("feature", "d5", "+3", "not entered")]
+    assert found["feature", "d6"].time == 5010.0
+    assert rows(rejected) == [
+        ("feature", "d3", "oops", "unreadable gap"),
+        ("feature", "d5", "+3", "not entered"),
+        ("feature", "d6", "+7", "posted twice"),
+        ("feature", "d6", "+8", "posted twice"),
+    ]
 
 
 def test_replace_entries(spark, league):
