@@ -64,10 +64,12 @@ def avg_finish_position(league: League) -> DataFrame:
 
 
 def _race_cells(league: League, scored: DataFrame, seats: DataFrame, races: DataFrame) -> DataFrame:
-    """Seats times their season's races, with the entry where there is one."""
+    """Seats times their season's races, with the entry and its raw time where there is one."""
     teams = league.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
     entries = (
-        scored.select(*ENTRY, "team_id", "raw_time", "has_fastest_lap", "rank", "points", "is_dsq")
+        scored.select(
+            *ENTRY, "team_id", F.col("raw_time").alias("time"), "has_fastest_lap", "rank", "points", "is_dsq"
+        )
         .join(teams, "team_id", "left")
         .drop("team_id")
     )
@@ -89,7 +91,7 @@ def driver_race_points(league: League) -> DataFrame:
         "flag",
         "date",
         "team_name",
-        F.col("raw_time").alias("time"),
+        "time",
         "has_fastest_lap",
         "rank",
         "points",
@@ -158,7 +160,7 @@ def driver_standings_long(league: League, as_of: object, pg_compat: bool = False
         "is_sprint",
         raced.alias("has_been_raced"),
         "team_name",
-        F.col("raw_time").alias("time"),
+        "time",
         "has_fastest_lap",
         "rank",
         "points",
@@ -199,15 +201,36 @@ def driver_standings(league: League, as_of: object, part_rows: int = PART_ROWS)
 
     A season of more than ``part_rows`` races continues in further parts.
     """
-    cells = _with_cells(driver_standings_long(league, as_of)).withColumns(
-        {"part": part_of("race_no", part_rows), "rank": F.col("cell"), "points": F.col("cell_points")}
+    scored = store(scored_entries(league), "scored")
+    seats = _ranked_seats(league, scored)
+    raced = has_been_raced(F.col("date"), moment(as_of, league.races, "date"))
+    # the driver's own columns join after nesting, so they are not repeated for every race
+    reserves = league.seasons_drivers.select(*SEAT, "is_reserve")
+    cells = _with_cells(_race_cells(league, scored, reserves, standings_race_header(league))).select(
+        *SEAT,
+        "race_no",
+        part_of("race_no", part_rows).alias("part"),
+        "race_id",
+        "team_name",
+        "has_fastest_lap",
+        F.col("cell").alias("rank"),
+        F.col("cell_points").alias("points"),
+        raced.alias("has_been_raced"),
     )
-    keys = [
-        "season_id", "position", "driver_id", "driver_name", "is_reserve",
-        "points_total", "color", "wins_count", "part",
-    ]
     fields = ["race_id", "team_name", "has_fastest_lap", "rank", "points", "has_been_raced"]
-    return gather(cells, keys, "race_no", fields, "races")
+    nested = gather(cells, [*SEAT, "part"], "race_no", fields, "races")
+    return seats.join(nested, SEAT).select(
+        "season_id",
+        "position",
+        "driver_id",
+        "driver_name",
+        "is_reserve",
+        "points_total",
+        "color",
+        "wins_count",
+        "part",
+        "races",
+    )
 
 
 def constructor_standings(league: League, pg_compat: bool = False) -> DataFrame:
@@ -219,12 +242,13 @@ def constructor_standings(league: League, pg_compat: bool = False) -> DataFrame:
     teams = league.teams.select(F.col("id").alias("team_id"))
     races = league.races.select(F.col("id").alias("race_id"), "season_id", "is_sprint")
     entries = adjusted_entries(league).join(teams, "team_id").join(races, "race_id")
-    # cars of a team with the same result count together from here on
+    # cars of a team with the same result count together; read twice, for places and points
     grouped = entries.groupBy("season_id", "race_id", "is_sprint", "is_dsq", "time", "team_id").agg(
         F.count(F.lit(1)).alias("cars"), F.count_if("has_fastest_lap").alias("fastest")
     )
+    grouped = store(grouped, "team-results")
     scoring = grouped.filter(is_classified(F.col("time"), F.col("is_dsq")))
-    places = scoring_places(entries).filter(is_classified(F.col("time"), F.col("is_dsq")))
+    places = scoring_places(grouped, "cars").filter(is_classified(F.col("time"), F.col("is_dsq")))
     places = places.withColumnsRenamed({"race_id": "_race", "is_dsq": "_dsq", "time": "_time"})
     scored = scoring.join(
         places,

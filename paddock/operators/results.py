@@ -221,13 +221,15 @@ def entry_points(league: League) -> DataFrame:
     return scored_entries(league).select(*ENTRY, "rank", "is_sprint", "has_fastest_lap", "is_dsq", "points")
 
 
-def scoring_places(entries: DataFrame, places: int = 10) -> DataFrame:
+def scoring_places(entries: DataFrame, cars: str | None = None, places: int = 10) -> DataFrame:
     """Shared positions (1, 1, 3, ...) of the best times of each race, down to ``places``.
 
+    ``cars`` names a column with the number of entries a row stands for.
     Equal times are one row before ranking, and only the first ``places`` of them can hold a
     position that scores; tasks cut their own rows to that many before the shuffle.
     """
-    times = entries.groupBy("race_id", "is_dsq", "time").agg(F.count(F.lit(1)).alias("cars"))
+    number = F.sum(cars) if cars else F.count(F.lit(1))
+    times = entries.groupBy("race_id", "is_dsq", "time").agg(number.alias("cars"))
     window = Window.partitionBy("race_id").orderBy(*finish_order())
     best = times.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= places)
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
