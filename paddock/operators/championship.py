@@ -11,7 +11,6 @@ from paddock.operators.ranking import PART_ROWS, gather, in_every_season, part_o
 from paddock.operators.results import (
     ENTRY,
     adjusted_entries,
-    finish_order,
     moment,
     scored_entries,
     scoring_places,

@@ -78,9 +78,8 @@ def team_pairs(league: League) -> DataFrame:
     pairs = league.seasons_drivers.filter(F.col("team_id").isNotNull()).groupBy("season_id", "team_id").agg(
         F.min("driver_id").alias("a"), F.max("driver_id").alias("b")
     )
-    return pairs.select(
-        "season_id", F.array(F.struct(F.col("team_id").alias("teamID"), F.array("a", "b").alias("drivers"))).alias("teams")
-    )
+    team = F.struct(F.col("team_id").alias("teamID"), F.array("a", "b").alias("drivers"))
+    return pairs.select("season_id", F.array(team).alias("teams"))
 
 
 def reserve_requests(league: League) -> DataFrame:
@@ -114,7 +113,8 @@ def verdicts(league: League) -> DataFrame:
         (s % 5).cast("int").alias("penaltyPoints"),
         (s % 2 == 0).alias("isDSQ"),
     )
-    given = F.when(F.col("driver_id").isNotNull(), F.array(penalty)).otherwise(F.array().cast("array<struct<driverID:bigint,time:int,penaltyPoints:int,isDSQ:boolean>>"))
+    # a report on the game only gets no penalty
+    given = F.filter(F.array(penalty), lambda p: p["driverID"].isNotNull())
     return lowest.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).select(
         "report_id",
         F.format_string("ruling %d of %d", "seq", "report_id").alias("content"),

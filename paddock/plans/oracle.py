@@ -1,4 +1,4 @@
-'''SQL for DuckDB that computes the registered queries on its own from the given tables.'''
+"""SQL for DuckDB that computes the registered queries on its own from the given tables."""
 
 from __future__ import annotations
 
