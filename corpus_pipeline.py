@@ -5,24 +5,51 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import shared, substring_dedup
+from paddock.llm import decontamination, packing, queries, shared, simhash, substring_dedup, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar, learned from the labels of ``docs``, finds toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.learn(docs, labels))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    return simhash.without_near_duplicates(docs)
+
+
+def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated strings; the documents stay."""
     kept = substring_dedup.without_repeats(docs, with_text=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as pieces of token sequences."""
+    return packing.packed(docs, public_tokenizers.path(queries.TOKENIZER))
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("suffix-array dedup", suffix_array_dedup),
+    ("toxicity", remove_toxic),
+    ("SimHash near-dedup", remove_near_duplicates),
+    ("suffix-array dedup", remove_repeated_strings),
+    ("benchmark decontamination", remove_contaminated),
+    ("packing", pack),
 ]
 
+#: No SQL: the stages' operators are tested against brute force.
 ORACLE_SQL: str | None = None
 
 
