@@ -89,8 +89,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE, similar
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that no item is found in, unchanged, whatever other columns they have."""
-    bad = contained(docs, benchmark, width, similarity).select(F.col("text_id").alias("contaminated_text")).distinct()
-    return docs.join(bad, _text_id() == F.col("contaminated_text"), "left_anti")
+    bad = contained(docs, benchmark, width, similarity).select("text_id").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # so that names don't clash
+    return docs.select(row, _text_id().alias("text_id")).join(bad, "text_id", "left_anti").select("row.*")
 
 
 def oracle_sql(width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> str:

@@ -59,7 +59,7 @@ def _templates(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
 def units(text: Column) -> Column:
     """Normalised lines, paragraphs of several lines and whole text, in words with single spaces, each once; a null text has none."""
     normal = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.transform(F.split(normal, "\n"), F.trim)
+    lines = F.transform(F.split(normal, "\n"), lambda x: F.trim(x))
     paragraphs = F.split(F.array_join(lines, "\n"), "\n\n+")
     flat = lambda t: F.trim(F.regexp_replace(t, "\n+", " "))
     several = F.transform(F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n"))), flat)
@@ -107,7 +107,7 @@ def oracle_sql(templates: dict[str, list[str]] | None = None, similarity: float
 WITH templates(template, licence, bigrams) AS (VALUES {values}),
 normal AS (
   SELECT row_number() OVER () AS row, doc_id,
-    list_transform(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)), x -> trim(x)) AS lines
+    [trim(x) FOR x IN string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10))] AS lines
   FROM documents
 ), pieces AS (
   SELECT row, doc_id, unnest(lines) AS unit FROM normal
@@ -115,11 +115,11 @@ normal AS (
   SELECT row, doc_id, trim(regexp_replace(p, '\\n+', ' ', 'g'))
   FROM (SELECT row, doc_id, unnest(regexp_split_to_array(array_to_string(lines, chr(10)), '\\n\\n+')) AS p FROM normal)
   UNION ALL
-  SELECT row, doc_id, array_to_string(list_filter(lines, x -> x <> ''), ' ') FROM normal
+  SELECT row, doc_id, array_to_string([x FOR x IN lines IF x <> ''], ' ') FROM normal
 ), units AS (
   SELECT row, doc_id, unit, string_split(unit, ' ') AS w FROM (SELECT DISTINCT row, doc_id, unit FROM pieces)
 ), sets AS (
-  SELECT row, doc_id, unit, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS own
+  SELECT row, doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS own
   FROM units WHERE len(w) > 1
 ), found AS (
   SELECT row, doc_id, licence, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice FROM sets, templates

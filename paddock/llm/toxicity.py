@@ -3,8 +3,8 @@
 Words become symbols (insult, threat, target, negation, reporting verb, quotation mark, clause end, other). Transducers
 rewrite the symbols: negation and reported speech weaken an insult or threat behind them, a target makes it a directed
 one, a clause end resets them all. Their composition is one transducer, built once; run over a clause it leaves the
-patterns that matched there, and the clause counts as its heaviest pattern. A text's score is the logistic function of
-the weighted numbers of its clauses, so a word scores by the clause it stands in.
+patterns that matched there, all of which count as its heaviest one. A text's score is the logistic function of the
+weighted numbers of matches, so a word scores by the clause it stands in, and of clauses, as a long text has some by chance.
 
 The general words are fixed values below. Insults of any language, as words or word beginnings, and the patterns'
 weights are learned from labelled rows.
@@ -33,10 +33,10 @@ SAMPLE_ROWS = 8000
 #: Words and word beginnings that may be learned.
 LEXICON_ROWS = 2000
 #: Evidence that a learned entry needs: its log odds, and the likelihood ratio (chi-squared, one degree of freedom).
-LEAST_LOG_ODDS = 3.0
+LEAST_LOG_ODDS = 2.0
 LEAST_RATIO = 30.0
-#: Letters of word beginnings.
-STEMS = (4, 5, 6, 7)
+#: Letters of word beginnings; a word begins so if it goes on behind them.
+STEMS = (4, 5, 6, 7, 8)
 
 # General words of the grammar, by symbol.
 INSULTS = "idiot idiots moron morons imbecile loser losers scum trash vermin worthless pathetic disgusting stupid clown dumb"
@@ -138,7 +138,7 @@ class Symbols(dict):
 
     def __missing__(self, word: str) -> int:
         symbol = _FIXED.get(word, OTHER)
-        if symbol == OTHER and (word in self.learned or any(word[:k] + "*" in self.learned for k in STEMS if len(word) >= k)):
+        if symbol == OTHER and (word in self.learned or any(word[:k] + "*" in self.learned for k in STEMS if len(word) > k)):
             symbol = INSULT
         if len(self) >= 1_000_000:
             self.clear()
@@ -148,10 +148,10 @@ class Symbols(dict):
 
 @dataclass
 class Model:
-    """Learned entries (a word, or a beginning and ``*``), pattern weights in the order of PATTERNS, and a constant."""
+    """Learned entries (a word, or a beginning and ``*``), weights of PATTERNS and of the number of clauses, and a constant."""
 
     learned: frozenset[str] = frozenset()
-    weights: list[float] = field(default_factory=lambda: [*PATTERNS.values()])
+    weights: list[float] = field(default_factory=lambda: [*PATTERNS.values(), 0.0])
     constant: float = -1.0
 
     def __post_init__(self) -> None:
@@ -170,18 +170,19 @@ class Model:
         self.reset()
 
     def clauses(self, text: str) -> list[int]:
-        """How many clauses have each pattern as their heaviest."""
-        counts = [0] * len(PATTERNS)
+        """Matches in clauses whose heaviest pattern is each one of PATTERNS, and how many clauses there are."""
         codes = bytes(map(self.symbols.__getitem__, tokens(text)))
+        counts = [0] * len(PATTERNS) + [codes.count(_CODES[END])]
         if not codes.translate(None, bytes(set(range(256)) - set(_MATTERS))):
             return counts
         for clause in codes.split(bytes([_CODES[END]])):
-            best, state = -1, 0
+            matches, state = [], 0
             for code in clause:
                 state, pattern = self.table[state][code]
-                best = max(best, pattern)
-            if best >= 0:
-                counts[best] += 1
+                if pattern >= 0:
+                    matches.append(pattern)
+            if matches:
+                counts[max(matches)] += len(matches)
         return counts
 
     def score(self, text: str) -> float:
@@ -226,9 +227,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     entries = _entries(rows).where((odds >= LEAST_LOG_ODDS) & (ratio >= LEAST_RATIO))
     best = entries.orderBy(ratio.desc(), "entry").limit(LEXICON_ROWS).collect()
-    learned = {r.entry for r in best}
-    shorter = lambda e: any(e.rstrip("*")[:k] + "*" in learned for k in STEMS if k < len(e.rstrip("*")))
-    model = Model(frozenset(e for e in learned if not shorter(e)))
+    learned: set[str] = set()
+    for entry in (r.entry for r in best):  # of a word and its beginnings the most telling
+        own = entry.rstrip("*")
+        if not any(own.startswith(e.rstrip("*")) or e.startswith(own) for e in learned):
+            learned.add(entry)
+    model = Model(frozenset(learned))
     counted = rows.select("toxic", _clause_column(F.col("text"), model).alias("n")).collect()  # sample_rows short lists
     model.weights, model.constant = _logistic(np.array([r.n for r in counted]), np.array([r.toxic for r in counted]))
     return model
@@ -271,7 +275,7 @@ def _entries(rows: DataFrame) -> DataFrame:
 
 
 def _forms(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in STEMS if len(word) >= k)]
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
 def _clause_column(text: Column, model: Model) -> Column:
@@ -285,7 +289,7 @@ def _clause_column(text: Column, model: Model) -> Column:
 def _logistic(counts: np.ndarray, toxic: np.ndarray, strength: float = 1.0) -> tuple[list[float], float]:
     """Logistic regression on log(1 + count), drawn to the prior weights: patterns that weren't seen keep theirs."""
     x = np.column_stack((np.log1p(counts), np.ones(len(counts))))
-    prior = np.array([*PATTERNS.values(), -1.0])
+    prior = np.array([*PATTERNS.values(), 0.0, -1.0])
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
