@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.functions.scoring import fastest_lap_points, is_classified, position_points
-from paddock.functions.timing import has_been_raced
-from paddock.operators.ranking import PART_ROWS, gather, in_every_season, part_of, rank_within
-from paddock.operators.results import (
-    ENTRY,
-    adjusted_entries,
-    moment,
-    scored_entries,
-    scoring_places,
+from paddock.functions.scoring import (
+    FASTEST_LAP_LAST_RANK,
+    FEATURE_POINTS,
+    SPRINT_POINTS,
+    fastest_lap_points,
+    is_classified,
+    position_points,
 )
-from paddock.session import store
+from paddock.functions.timing import has_been_raced
+from paddock.operators.ranking import in_every_season, in_order, rank_bounded
+from paddock.operators.results import adjusted_entries, moment, scored_entries, scoring_places
 from paddock.sources.tables import League
 
 SEAT = ["season_id", "driver_id"]
@@ -25,15 +27,22 @@ def standings_race_header(league: League) -> DataFrame:
     """Race columns of the season table, numbered by date with the sprint first."""
     tracks = league.tracks.select(F.col("id").alias("track_id"), "flag")
     races = league.races.select(F.col("id").alias("race_id"), "season_id", "track_id", "date", "is_sprint")
-    return rank_within(
+    return rank_bounded(
         races.join(tracks, "track_id"),
         ["season_id"],
         [F.col("date").asc_nulls_last(), F.col("is_sprint").desc_nulls_first(), F.col("race_id").asc()],
         "race_no",
-        at_most=league.races,
     )
 
 
+def _season_races(league: League) -> DataFrame:
+    """season_id and its races, one array of the header's columns in race order."""
+    header = standings_race_header(league)
+    columns = ["race_id", "track_id", "flag", "date", "is_sprint"]
+    item = F.struct("race_no", F.struct("race_no", *columns).alias("_child"))
+    return header.groupBy("season_id").agg(in_order(item).alias("races"))
+
+
 def team_colors(league: League) -> DataFrame:
     """Colour of each rostered driver's season team."""
     teams = league.teams.select(F.col("id").alias("team_id"), "color")
@@ -45,43 +54,69 @@ def _rostered(league: League) -> DataFrame:
     return league.seasons_drivers.join(drivers, "driver_id")
 
 
-def _season_totals(scored: DataFrame) -> DataFrame:
+def avg_finish_position(league: League) -> DataFrame:
+    """Average position of each rostered driver over the races entered."""
+    totals = _season_totals(scored_entries(league)).select(*SEAT, "avg_position")
+    return league.seasons_drivers.select(*SEAT, "is_reserve").join(totals, SEAT, "left").select(
+        *SEAT, "avg_position", "is_reserve"
+    )
+
+
+# Columns of an entry in the standings, with the types of an empty one.
+CELL = {
+    "race_id": None,
+    "team_name": "string",
+    "time": "double",
+    "has_fastest_lap": "boolean",
+    "rank": "int",
+    "points": "bigint",
+    "is_dsq": "boolean",
+}
+
+
+def _season_totals(scored: DataFrame, *more: Column) -> DataFrame:
     """Points, wins and average position of everybody who entered a season."""
     return scored.groupBy(*SEAT).agg(
         F.sum("points").alias("points_total"),
         F.sum(F.col("won").cast("bigint")).alias("wins_count"),
         F.avg("rank").alias("avg_position"),
+        *more,
     )
 
 
-def avg_finish_position(league: League) -> DataFrame:
-    """Average position of each rostered driver over the races entered."""
-    totals = _season_totals(scored_entries(league)).select(*SEAT, "avg_position")
-    return league.seasons_drivers.select(*SEAT, "is_reserve").join(totals, SEAT, "left").select(
-        *SEAT, "avg_position", "is_reserve"
-    )
+def _driver_seasons(league: League, scored: DataFrame) -> DataFrame:
+    """Everybody's totals of a season and the races entered, from one pass over the entries.
 
-
-def _race_cells(league: League, scored: DataFrame, seats: DataFrame, races: DataFrame) -> DataFrame:
-    """Seats times their season's races, with the entry and its raw time where there is one."""
+    A driver's races of a season are one array, which the season's races bound.
+    """
     teams = league.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"))
-    entries = (
-        scored.select(
-            *ENTRY, "team_id", F.col("raw_time").alias("time"), "has_fastest_lap", "rank", "points", "is_dsq"
-        )
-        .join(teams, "team_id", "left")
-        .drop("team_id")
-    )
-    return seats.join(races, "season_id").join(entries, ENTRY, "left").withColumn(
-        "points", F.coalesce("points", F.lit(0))
+    named = scored.join(teams, "team_id", "left").withColumn("time", F.col("raw_time"))
+    return _season_totals(named, F.collect_list(F.struct(*CELL)).alias("entered"))
+
+
+def _all_cells(entered: Column, races: Column) -> Column:
+    """A cell for each race of the season that was entered, and an empty one with 0 points for each other."""
+    known = F.transform(races, lambda r: r["race_id"])
+    own = F.coalesce(entered, F.array())
+    in_season = F.filter(own, lambda c: F.array_contains(known, c["race_id"]))
+    absent = F.array_except(known, F.transform(own, lambda c: c["race_id"]))
+    values = {n: F.lit(0).cast(k) if n == "points" else F.lit(None).cast(k or "string") for n, k in CELL.items()}
+    empty = F.transform(
+        absent, lambda r: F.struct(*[(r if n == "race_id" else v).alias(n) for n, v in values.items()])
     )
+    return F.concat(in_season, empty)
+
+
+def _race_of(races: Column, race_id: Column) -> Column:
+    """The header of a race, by its place in the season."""
+    return F.element_at(races, F.array_position(F.transform(races, lambda r: r["race_id"]), race_id).cast("int"))
 
 
 def driver_race_points(league: League) -> DataFrame:
     """One row per rostered driver and race of the season; a race not entered has no rank."""
     seats = _rostered(league).select(*SEAT, "driver_name", "is_reserve")
-    races = standings_race_header(league)
-    return _race_cells(league, scored_entries(league), seats, races).select(
+    seasons = _driver_seasons(league, scored_entries(league)).select(*SEAT, "entered")
+    return _cell_rows(seats.join(seasons, SEAT, "left"), _season_races(league)).select(
         *SEAT,
         "race_id",
         "driver_name",
@@ -98,26 +133,38 @@ def driver_race_points(league: League) -> DataFrame:
     )
 
 
-def _ranked_seats(league: League, scored: DataFrame) -> DataFrame:
-    """Rostered drivers with season totals and championship position.
+def _cell_rows(seats: DataFrame, season_races: DataFrame) -> DataFrame:
+    """``seats`` with their ``entered`` races, a row for each race of the season.
 
-    Totals come from entries before the race columns are added, so no driver's races have to
-    meet in one task.
+    Rows are made where the seat is, so the table of seats times races is never shuffled.
     """
+    rows = seats.join(season_races, "season_id")
+    rows = rows.withColumn("race_count", F.size("races").cast("bigint"))
+    rows = rows.withColumn("cell", F.explode(_all_cells(F.col("entered"), F.col("races")))).drop("entered")
+    rows = rows.withColumn("race", _race_of(F.col("races"), F.col("cell.race_id"))).drop("races")
+    own = [c for c in rows.columns if c not in ("cell", "race")]
+    header = [F.col(f"race.{c}") for c in ("race_no", "track_id", "flag", "date", "is_sprint")]
+    return rows.select(*own, "cell.*", *header)
+
+
+def _ranked_seats(league: League, scored: DataFrame) -> DataFrame:
+    """Rostered drivers with season totals, races entered and championship position."""
     teams = league.teams.select(F.col("id").alias("team_id"), "color")
     seats = (
         _rostered(league)
         .join(teams, "team_id", "left")
-        .join(_season_totals(scored), SEAT, "left")
+        .join(_driver_seasons(league, scored), SEAT, "left")
         .withColumns(
             {
                 "points_total": F.coalesce("points_total", F.lit(0)),
                 "wins_count": F.coalesce("wins_count", F.lit(0)),
             }
         )
-        .select(*SEAT, "driver_name", "is_reserve", "color", "points_total", "wins_count", "avg_position")
+        .select(
+            *SEAT, "driver_name", "is_reserve", "color", "points_total", "wins_count", "avg_position", "entered"
+        )
     )
-    return rank_within(
+    return rank_bounded(
         seats,
         ["season_id"],
         [
@@ -129,19 +176,20 @@ def _ranked_seats(league: League, scored: DataFrame) -> DataFrame:
             F.col("driver_id").asc(),
         ],
         "position",
-        at_most=league.seasons_drivers,
     )
 
 
-def driver_standings_long(league: League, as_of: object, pg_compat: bool = False) -> DataFrame:
+def driver_standings_long(
+    league: League,
+    as_of: object,
+    pg_compat: bool = False,
+    feature: Sequence[int] = FEATURE_POINTS,
+    sprint: Sequence[int] = SPRINT_POINTS,
+) -> DataFrame:
     """Driver championship, one row per driver and race; read in order of position, race_no."""
-    # read twice, for the totals and for the cells
-    scored = store(scored_entries(league, pg_compat), "scored")
-    header = standings_race_header(league)
-    counts = header.groupBy("season_id").agg(F.count(F.lit(1)).alias("race_count"))
-    seats = _ranked_seats(league, scored).join(counts, "season_id")
+    seats = _ranked_seats(league, scored_entries(league, pg_compat, feature, sprint))
     raced = has_been_raced(F.col("date"), moment(as_of, league.races, "date"))
-    return _race_cells(league, scored, seats, header).select(
+    return _cell_rows(seats, _season_races(league)).select(
         *SEAT,
         "race_id",
         "position",
@@ -178,47 +226,46 @@ def cell_rank(is_dsq: Column, is_reserve: Column, team_name: Column, time: Colum
     )
 
 
-def _with_cells(long: DataFrame) -> DataFrame:
-    absent_reserve = F.coalesce(F.col("is_reserve"), F.lit(False)) & F.col("team_name").isNull()
-    return long.withColumns(
-        {
-            "cell": cell_rank(
-                F.col("is_dsq"), F.col("is_reserve"), F.col("team_name"), F.col("time"), F.col("rank")
-            ),
-            "cell_points": F.when(~absent_reserve, F.col("points")),
-        }
-    )
+def _cell_text(is_reserve: Column, cell: Column) -> tuple[Column, Column]:
+    """Rank and points that a cell shows; an absent reserve has neither."""
+    absent_reserve = F.coalesce(is_reserve, F.lit(False)) & cell["team_name"].isNull()
+    rank = cell_rank(cell["is_dsq"], is_reserve, cell["team_name"], cell["time"], cell["rank"])
+    return rank, F.when(~absent_reserve, cell["points"])
 
 
 def rank_display(league: League) -> DataFrame:
     """What each cell of the driver table shows; an absent reserve has neither rank nor points."""
-    return _with_cells(driver_race_points(league)).select(*SEAT, "race_id", "cell", "cell_points")
-
-
-def driver_standings(league: League, as_of: object, part_rows: int = PART_ROWS) -> DataFrame:
-    """Driver championship with the races of a driver as one array, in race order.
+    rows = driver_race_points(league)
+    rank, points = _cell_text(F.col("is_reserve"), F.struct("is_dsq", "team_name", "time", "rank", "points"))
+    return rows.select(*SEAT, "race_id", rank.alias("cell"), points.alias("cell_points"))
+
+
+def driver_standings(
+    league: League,
+    as_of: object,
+    feature: Sequence[int] = FEATURE_POINTS,
+    sprint: Sequence[int] = SPRINT_POINTS,
+) -> DataFrame:
+    """Driver championship with the races of a driver as one array, in race order."""
+    seats = _ranked_seats(league, scored_entries(league, feature=feature, sprint=sprint))
+    rows = seats.join(_season_races(league), "season_id")
+    now = moment(as_of, league.races, "date")
+
+    def shown(cell: Column) -> Column:
+        race = _race_of(F.col("races"), cell["race_id"])
+        rank, points = _cell_text(F.col("is_reserve"), cell)
+        return F.struct(
+            race["race_no"].alias("race_no"),
+            cell["race_id"].alias("race_id"),
+            cell["team_name"].alias("team_name"),
+            cell["has_fastest_lap"].alias("has_fastest_lap"),
+            rank.alias("rank"),
+            points.alias("points"),
+            has_been_raced(race["date"], now).alias("has_been_raced"),
+        )
 
-    A season of more than ``part_rows`` races continues in further parts.
-    """
-    scored = store(scored_entries(league), "scored")
-    seats = _ranked_seats(league, scored)
-    raced = has_been_raced(F.col("date"), moment(as_of, league.races, "date"))
-    # the driver's own columns join after nesting, so they are not repeated for every race
-    reserves = league.seasons_drivers.select(*SEAT, "is_reserve")
-    cells = _with_cells(_race_cells(league, scored, reserves, standings_race_header(league))).select(
-        *SEAT,
-        "race_no",
-        part_of("race_no", part_rows).alias("part"),
-        "race_id",
-        "team_name",
-        "has_fastest_lap",
-        F.col("cell").alias("rank"),
-        F.col("cell_points").alias("points"),
-        raced.alias("has_been_raced"),
-    )
-    fields = ["race_id", "team_name", "has_fastest_lap", "rank", "points", "has_been_raced"]
-    nested = gather(cells, [*SEAT, "part"], "race_no", fields, "races")
-    return seats.join(nested, SEAT).select(
+    cells = F.sort_array(F.transform(_all_cells(F.col("entered"), F.col("races")), shown))
+    return rows.select(
         "season_id",
         "position",
         "driver_id",
@@ -227,12 +274,16 @@ def driver_standings(league: League, as_of: object, part_rows: int = PART_ROWS)
         "points_total",
         "color",
         "wins_count",
-        "part",
-        "races",
+        F.transform(cells, lambda c: c.dropFields("race_no")).alias("races"),
     )
 
 
-def constructor_standings(league: League, pg_compat: bool = False) -> DataFrame:
+def constructor_standings(
+    league: League,
+    pg_compat: bool = False,
+    feature: Sequence[int] = FEATURE_POINTS,
+    sprint: Sequence[int] = SPRINT_POINTS,
+) -> DataFrame:
     """Constructor championship: every team in every season.
 
     Equal times share a position here. Teams without entries have 0 points and come last;
@@ -241,44 +292,42 @@ def constructor_standings(league: League, pg_compat: bool = False) -> DataFrame:
     teams = league.teams.select(F.col("id").alias("team_id"))
     races = league.races.select(F.col("id").alias("race_id"), "season_id", "is_sprint")
     entries = adjusted_entries(league).join(teams, "team_id").join(races, "race_id")
-    # cars of a team with the same result count together; read twice, for places and points
+    # cars of a team with the same result count together, and stay with the time they share: a list that the teams bound
     grouped = entries.groupBy("season_id", "race_id", "is_sprint", "is_dsq", "time", "team_id").agg(
         F.count(F.lit(1)).alias("cars"), F.count_if("has_fastest_lap").alias("fastest")
     )
-    grouped = store(grouped, "team-results")
-    scoring = grouped.filter(is_classified(F.col("time"), F.col("is_dsq")))
-    places = scoring_places(grouped, "cars").filter(is_classified(F.col("time"), F.col("is_dsq")))
-    places = places.withColumnsRenamed({"race_id": "_race", "is_dsq": "_dsq", "time": "_time"})
-    scored = scoring.join(
-        places,
-        (F.col("race_id") == F.col("_race"))
-        & (F.col("time") == F.col("_time"))
-        & F.col("is_dsq").eqNullSafe(F.col("_dsq")),
-    )
-    earned = F.col("cars") * position_points(F.col("rank"), F.col("is_sprint")) + F.col(
+    shared = [
+        F.first("season_id").alias("season_id"),
+        F.first("is_sprint").alias("is_sprint"),
+        F.collect_list(F.struct("team_id", F.col("cars").alias("own_cars"), "fastest")).alias("teams"),
+    ]
+    places = max(len(feature), len(sprint), FASTEST_LAP_LAST_RANK)
+    scored = scoring_places(grouped, places, "cars", *shared).filter(is_classified(F.col("time"), F.col("is_dsq")))
+    earned = F.col("own_cars") * position_points(F.col("rank"), F.col("is_sprint"), feature, sprint) + F.col(
         "fastest"
     ) * fastest_lap_points(F.col("rank"), F.col("is_sprint"))
-    totals = scored.groupBy("season_id", "team_id").agg(F.sum(earned).alias("earned"))
-    listed = in_every_season(
-        league.teams.select(F.col("id").alias("team_id"), "name", "color", "icon"), league.seasons, "team_id"
+    totals = (
+        scored.select("season_id", "is_sprint", "rank", F.inline("teams"))
+        .groupBy("season_id", "team_id")
+        .agg(F.sum(earned).alias("earned"))
     )
+    listed = in_every_season(league.teams.select(F.col("id").alias("team_id"), "name", "color", "icon"), league.seasons)
     table = listed.join(totals, ["season_id", "team_id"], "left")
     points = F.coalesce("earned", F.lit(0))
     if pg_compat:
         # a team that took part has 0, one that did not has null
-        present = grouped.select("season_id", "team_id").distinct().withColumn("took_part", F.lit(True))
+        present = entries.select("season_id", "team_id").distinct().withColumn("took_part", F.lit(True))
         table = table.join(present, ["season_id", "team_id"], "left").withColumn(
             "earned", F.when(F.col("took_part"), points)
         )
         first = F.col("earned").desc_nulls_first()
     else:
         first = F.col("points").desc()
-    return rank_within(
+    return rank_bounded(
         table.withColumn("points", points.cast("bigint")),
         ["season_id"],
         [first, F.col("name").asc_nulls_last(), F.col("team_id").asc()],
         "rank",
-        at_most=league.teams,
     ).select("season_id", "team_id", "color", "points", "name", "rank", "icon")
 
 
@@ -296,32 +345,45 @@ def penalty_points_by_race(league: League) -> DataFrame:
     )
 
 
-def penalty_points_table(league: League) -> DataFrame:
-    """Rostered drivers times races with penalty points per race and season."""
-    points = penalty_points_by_race(league)
-    races = standings_race_header(league).select("season_id", "race_id", "race_no")
-    totals = (
-        points.join(races.select("race_id", "season_id"), "race_id")
+def _penalty_seats(league: League) -> DataFrame:
+    """Rostered drivers with penalty points of the season in all and by race, and the season's races."""
+    races = league.races.select(F.col("id").alias("race_id"), "season_id")
+    seasons = (
+        penalty_points_by_race(league)
+        .join(races, "race_id")
         .groupBy(*SEAT)
-        .agg(F.sum("points").alias("points_total"))
+        .agg(
+            F.sum("points").alias("points_total"),
+            F.map_from_entries(F.collect_list(F.struct("race_id", "points"))).alias("by_race"),
+        )
     )
     teams = league.teams.select(F.col("id").alias("team_id"), F.col("icon").alias("team_icon"))
-    seats = (
+    return (
         _rostered(league)
         .join(teams, "team_id", "left")
-        .join(totals, SEAT, "left")
-        .select(*SEAT, "driver_name", "team_icon", F.coalesce("points_total", F.lit(0)).alias("points_total"))
+        .join(seasons, SEAT, "left")
+        .withColumn("points_total", F.coalesce("points_total", F.lit(0)))
+        .join(_season_races(league), "season_id")
     )
-    return seats.join(races, "season_id").join(points, ENTRY, "left").select(
-        *SEAT, "race_id", "race_no", "driver_name", "team_icon", "points", "points_total"
+
+
+def penalty_points_table(league: League) -> DataFrame:
+    """Rostered drivers times races with penalty points per race and season."""
+    seats = _penalty_seats(league).withColumn("race", F.explode("races"))
+    return seats.select(
+        *SEAT,
+        "race.race_id",
+        "race.race_no",
+        "driver_name",
+        "team_icon",
+        F.col("by_race")[F.col("race.race_id")].alias("points"),
+        "points_total",
     )
 
 
-def penalty_points_nested(league: League, part_rows: int = PART_ROWS) -> DataFrame:
+def penalty_points_nested(league: League) -> DataFrame:
     """The penalty table with a driver's points per race as one array, 0 where there are none."""
-    cells = penalty_points_table(league).withColumns(
-        {"part": part_of("race_no", part_rows), "points": F.coalesce("points", F.lit(0))}
+    points = F.transform("races", lambda r: F.coalesce(F.col("by_race")[r["race_id"]], F.lit(0)))
+    return _penalty_seats(league).select(
+        *SEAT, "driver_name", "points_total", "team_icon", points.alias("races")
     )
-    keys = ["season_id", "driver_id", "driver_name", "points_total", "team_icon", "part"]
-    nested = gather(cells, keys, "race_no", ["points"], "races")
-    return nested.withColumn("races", F.transform("races", lambda r: r["points"]))

@@ -1,14 +1,16 @@
 """Incoming records turned into new table contents.
 
-Each operator returns new rows or a new snapshot, plus the rejected records; the caller writes
-them to a new path. Records of one feed are keyed, so a replay gives the same result.
+Each operator returns new rows or a new snapshot, and the rejected records with a reason; the caller writes
+them to a new path. Every record is accepted or rejected. Equal records are one row with their number of ``copies`` among
+the rejects, so a record sent again changes nothing and is accounted for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.text import GAME_ID, join_videos
@@ -22,11 +24,27 @@ def _season_ids(seasons: DataFrame) -> DataFrame:
     return seasons.select(F.col("id").alias("season_id"), F.col("name").alias("season_name"))
 
 
-def _latest(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """The record with the highest ``seq`` per key, reduced in every task before the shuffle."""
+def _chosen(rows: DataFrame, keys: Sequence[str], last: bool = False) -> DataFrame:
+    """Distinct records with ``copies``, and whether each is ``chosen``: the least (or last) of its key.
+
+    The other columns, in their order, decide, so the choice leaves no ties. Tasks reduce a key's records before any
+    are shuffled.
+    """
     others = [c for c in rows.columns if c not in keys]
-    newest = F.max_by(F.struct(*others), F.col(seq)).alias("_newest")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
+    distinct = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    pick = F.max if last else F.min
+    best = rows.groupBy(*keys).agg(pick(F.struct(*others)).alias("_best"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = distinct.alias("d").join(best.alias("b"), same)
+    return joined.select("d.*", F.struct(*[F.col(f"d.{c}") for c in others]).eqNullSafe(F.col("_best")).alias("chosen"))
+
+
+def _split(checked: DataFrame, columns: Sequence[str], reason: Column) -> tuple[DataFrame, DataFrame]:
+    """Accepted records, and rejects with ``reason`` and ``copies``; of an accepted record only further copies are rejects."""
+    judged = checked.withColumn("reason", reason)
+    copies = F.when(F.col("reason").isNull(), F.col("copies") - 1).otherwise(F.col("copies"))
+    rejected = judged.select(*columns, F.coalesce("reason", F.lit("sent again")).alias("reason"), copies.alias("copies"))
+    return judged.filter(F.col("reason").isNull()), rejected.filter("copies > 0")
 
 
 def schedule_records(payloads: DataFrame) -> DataFrame:
@@ -39,13 +57,16 @@ def schedule_records(payloads: DataFrame) -> DataFrame:
     )
 
 
-def ingest_schedule(records: DataFrame, seasons: DataFrame, races: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ingest_schedule(
+    records: DataFrame, seasons: DataFrame, races: DataFrame, tracks: DataFrame
+) -> tuple[DataFrame, DataFrame]:
     """Schedule records to races: local start to UTC, and a sprint race at the same instant.
 
     A race whose (season, date, kind) already exists, or is posted twice, is rejected, as is an
-    unknown season or unreadable start.
+    unknown season or track or an unreadable start. New races have an id made of what makes them unique.
     """
     kinds = F.when(F.col("has_sprint"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    known_tracks = tracks.select(F.col("id").cast("string").alias("track_id"), F.col("id").alias("_track"))
     posted = records.join(_season_ids(seasons), "season_name", "left").select(
         "season_name",
         "season_id",
@@ -57,13 +78,20 @@ def ingest_schedule(records: DataFrame, seasons: DataFrame, races: DataFrame) ->
     slot = ["season_id", "date", "is_sprint"]
     existing = races.select(*slot).distinct().withColumn("_exists", F.lit(True))
     copies = posted.groupBy(*slot).agg(F.count(F.lit(1)).alias("_copies"))
-    checked = posted.join(existing, slot, "left").join(copies, slot, "left").withColumn(
+    joined = posted.join(existing, slot, "left").join(copies, slot, "left").join(known_tracks, "track_id", "left")
+    checked = joined.withColumn(
         "reason",
         F.when(F.col("season_id").isNull(), "unknown season")
         .when(F.col("date").isNull(), "unreadable start")
+        .when(F.col("_track").isNull(), "unknown track")
         .when(F.col("_exists") | (F.col("_copies") > 1), "two races at one time"),
     )
-    new = checked.filter(F.col("reason").isNull()).select(*slot, "track_id")
+    key = F.concat_ws("-", F.col("season_id").cast("string"), F.date_format("date", "yyyyMMddHHmm"))
+    new = checked.filter(F.col("reason").isNull()).select(
+        F.concat(key, F.when(F.col("is_sprint"), "-sprint").otherwise("")).alias("id"),
+        *slot,
+        F.col("_track").alias("track_id"),
+    )
     rejected = checked.filter(F.col("reason").isNotNull()).select(
         "season_name", "track_id", "timestamp", "is_sprint", "reason"
     )
@@ -94,47 +122,53 @@ def result_records(payloads: DataFrame) -> DataFrame:
 def ingest_results(entries: DataFrame, records: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Write results into entries: the leader's time, the others' gaps, and the fastest lap.
 
-    Races without records keep their entries. The old fastest lap of a posted race is cleared.
-    Records without a readable time or an entry are rejected, as is a driver posted twice.
+    Races without records keep their entries. The old fastest lap of a posted race is cleared. A race is refused whole
+    if it doesn't have one leader who is entered, with a readable time, or if who drove the fastest lap isn't entered.
+    Of the others' records those without a readable gap or an entry are rejected, as is a driver posted twice.
     """
     gap = F.col("time")
     copies = records.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("_copies"))
-    leaders = records.groupBy("race_id").agg(
-        F.max(F.when(F.col("is_leader"), parse_time(gap))).alias("leader_time"),
-        F.max("fastest_lap_driver").alias("fastest_lap_driver"),
+    entered = entries.select(*ENTRY).distinct().withColumn("_entered", F.lit(True))
+    known = records.join(copies, ENTRY).join(entered, ENTRY, "left")
+    leads = F.col("is_leader")
+    races = known.groupBy("race_id").agg(
+        F.count_if(leads).alias("leaders"),
+        F.max(F.when(leads & F.col("_entered") & (F.col("_copies") == 1), parse_time(gap))).alias("leader_time"),
+        F.min("fastest_lap_driver").alias("fastest_lap_driver"),
     )
-    entered = entries.select(*ENTRY).withColumn("_entered", F.lit(True))
-    read = (
-        records.drop("fastest_lap_driver")
-        .join(leaders, "race_id")
-        .join(copies, ENTRY)
-        .join(entered, ENTRY, "left")
+    fastest = entered.select("race_id", F.col("driver_id").alias("fastest_lap_driver"), F.lit(True).alias("fastest_entered"))
+    races = races.join(fastest, ["race_id", "fastest_lap_driver"], "left").select(
+        "race_id",
+        "fastest_lap_driver",
+        "leader_time",
+        F.when(F.col("leaders") != 1, "not one leader")
+        .when(F.col("leader_time").isNull(), "no leader time")
+        .when(F.col("fastest_lap_driver").isNotNull() & F.col("fastest_entered").isNull(), "fastest lap not entered")
+        .alias("refused"),
     )
-    checked = read.withColumns(
+    checked = known.drop("fastest_lap_driver").join(races, "race_id").withColumns(
         {
-            "new_time": F.when(F.col("is_leader"), F.col("leader_time")).otherwise(
-                parse_gap(F.col("leader_time"), gap)
-            ),
+            "new_time": F.when(leads, F.col("leader_time")).otherwise(parse_gap(F.col("leader_time"), gap)),
             "reason": F.when(F.col("_entered").isNull(), "not entered")
             .when(F.col("_copies") > 1, "posted twice")
-            .when(F.col("leader_time").isNull(), "no leader time")
-            .when(~F.col("is_leader") & ~is_valid_gap(gap, strict), "unreadable gap"),
+            .when(F.col("refused").isNotNull(), F.col("refused"))
+            .when(~leads & ~F.coalesce(is_valid_gap(gap, strict), F.lit(False)), "unreadable gap"),
         }
     )
     good = checked.filter(F.col("reason").isNull()).select(
         *ENTRY, "new_time", F.col("plus_laps").alias("new_laps"), F.lit(True).alias("posted")
     )
     posted = F.coalesce("posted", F.lit(False))
-    in_posted_race = F.col("leader_time").isNotNull()
+    taken = races.filter(F.col("refused").isNull()).select("race_id", "fastest_lap_driver", F.lit(True).alias("taken"))
     snapshot = (
         entries.join(good, ENTRY, "left")
-        .join(leaders, "race_id", "left")
+        .join(taken, "race_id", "left")
         .select(
             *ENTRY,
             "team_id",
             F.when(posted, F.col("new_time")).otherwise(F.col("time")).alias("time"),
             F.when(posted, F.coalesce("new_laps", "plus_laps")).otherwise(F.col("plus_laps")).alias("plus_laps"),
-            F.when(in_posted_race, F.coalesce(F.col("driver_id") == F.col("fastest_lap_driver"), F.lit(False)))
+            F.when(F.col("taken"), F.coalesce(F.col("driver_id") == F.col("fastest_lap_driver"), F.lit(False)))
             .otherwise(F.col("has_fastest_lap"))
             .alias("has_fastest_lap"),
             "is_dsq",
@@ -179,13 +213,21 @@ def replace_race_entries(entries: DataFrame, lists: DataFrame) -> tuple[DataFram
 
 
 def add_reserves(roster: DataFrame, requests: DataFrame, seasons: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add drivers as reserves of a season; drivers already in it, or posted twice, are rejected."""
-    asked = requests.join(_season_ids(seasons), "season_name").groupBy(*SEAT).agg(
-        F.count(F.lit(1)).alias("copies")
-    )
-    seated = roster.select(*SEAT).withColumn("_seated", F.lit(True))
-    checked = asked.join(seated, SEAT, "left").withColumn(
-        "reason", F.when(F.col("_seated"), "already in season").when(F.col("copies") > 1, "posted twice")
+    """Add drivers as reserves of a season.
+
+    Drivers already in it, or posted twice, are rejected, and requests for an unknown season.
+    """
+    asked = requests.groupBy("season_name", "driver_id").agg(F.count(F.lit(1)).alias("copies"))
+    seated = roster.select(*SEAT).distinct().withColumn("_seated", F.lit(True))
+    checked = (
+        asked.join(_season_ids(seasons), "season_name", "left")
+        .join(seated, SEAT, "left")
+        .withColumn(
+            "reason",
+            F.when(F.col("season_id").isNull(), "unknown season")
+            .when(F.col("_seated"), "already in season")
+            .when(F.col("copies") > 1, "posted twice"),
+        )
     )
     new = checked.filter(F.col("reason").isNull()).select(
         "driver_id",
@@ -193,7 +235,7 @@ def add_reserves(roster: DataFrame, requests: DataFrame, seasons: DataFrame) ->
         F.lit(None).cast(roster.schema["team_id"].dataType).alias("team_id"),
         F.lit(True).alias("is_reserve"),
     )
-    rejected = checked.filter(F.col("reason").isNotNull()).select(*SEAT, "reason")
+    rejected = checked.filter(F.col("reason").isNotNull()).select("season_name", "driver_id", "reason", "copies")
     return new, rejected
 
 
@@ -201,11 +243,17 @@ def upsert_lineup(roster: DataFrame, changes: DataFrame, seasons: DataFrame) ->
     """Apply line-up changes: (season_name, driver_id, team_id, seq).
 
     A null team makes a seated driver a reserve; a team seats the driver, adding it if new. The
-    last change of a driver wins. Making an unknown driver a reserve is rejected.
+    last change of a driver wins, of several with one ``seq`` that with the greatest team; those before it are no rejects.
+    Making an unknown driver a reserve is rejected, and any change in an unknown season.
     """
-    wanted = _latest(
-        changes.join(_season_ids(seasons), "season_name").select(*SEAT, "team_id", "seq"), SEAT, "seq"
-    ).select(*SEAT, F.col("team_id").alias("new_team"), F.lit(True).alias("changed"))
+    known = changes.join(_season_ids(seasons), "season_name", "left")
+    strangers = known.filter(F.col("season_id").isNull()).select("season_name", "driver_id", F.lit("unknown season").alias("reason"))
+    wanted = (
+        known.filter(F.col("season_id").isNotNull())
+        .groupBy(*SEAT)
+        .agg(F.max(F.struct("seq", "team_id", "season_name")).alias("_last"))
+        .select(*SEAT, F.col("_last.team_id").alias("new_team"), "_last.season_name", F.lit(True).alias("changed"))
+    )
     merged = roster.withColumn("seated", F.lit(True)).join(wanted, SEAT, "full_outer")
     changed = F.coalesce("changed", F.lit(False))
     unknown = F.col("seated").isNull() & F.col("new_team").isNull()
@@ -215,22 +263,36 @@ def upsert_lineup(roster: DataFrame, changes: DataFrame, seasons: DataFrame) ->
         F.when(changed, F.col("new_team")).otherwise(F.col("team_id")).alias("team_id"),
         F.when(changed, F.col("new_team").isNull()).otherwise(F.col("is_reserve")).alias("is_reserve"),
     )
-    return snapshot, merged.filter(unknown).select(*SEAT, F.lit("not in season").alias("reason"))
+    absent = merged.filter(unknown).select("season_name", "driver_id", F.lit("not in season").alias("reason"))
+    return snapshot, absent.unionByName(strangers)
+
+
+class Verdicts(NamedTuple):
+    """Snapshots after verdicts, the verdicts rejected, and penalties that weren't added."""
 
+    reports: DataFrame
+    penalties: DataFrame
+    entries: DataFrame
+    rejected: DataFrame
+    rejected_penalties: DataFrame
 
-def apply_verdicts(
-    reports: DataFrame, penalties: DataFrame, entries: DataFrame, verdicts: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Decide reports: (report_id, content, penalties array, seq).
 
-    The first verdict of an open report counts; its penalties are added and a disqualification
-    marks the entry. Other verdicts are rejected. Returns reports, penalties, entries, rejects.
+def apply_verdicts(reports: DataFrame, penalties: DataFrame, entries: DataFrame, verdicts: DataFrame) -> Verdicts:
+    """Decide reports: (report_id, seq, content, penalties array).
+
+    The first verdict of an open report counts, of several with one ``seq`` the least; its penalties are added and a
+    disqualification marks the entry. Other verdicts are rejected, copies of the first too. A driver gets one penalty for
+    a report, the least of those given.
     """
-    first = verdicts.groupBy("report_id").agg(F.min("seq").alias("seq"))
-    undecided = reports.filter(F.col("verdict").isNull()).select(F.col("id").alias("report_id"), "race_id")
-    accepted = verdicts.join(first, ["report_id", "seq"], "left_semi").join(undecided, "report_id")
-    rejected = verdicts.join(accepted.select("report_id", "seq"), ["report_id", "seq"], "left_anti").select(
-        "report_id", "seq", "content"
+    open_reports = reports.select(F.col("id").alias("report_id"), "race_id", F.col("verdict").isNull().alias("is_open"))
+    columns = ["report_id", "seq", "content", "penalties"]
+    checked = _chosen(verdicts.select(*columns), ["report_id"]).join(open_reports, "report_id", "left")
+    accepted, rejected = _split(
+        checked,
+        ["report_id", "seq", "content"],
+        F.when(F.col("is_open").isNull(), "unknown report")
+        .when(~F.col("is_open"), "already decided")
+        .when(~F.col("chosen"), "not the first"),
     )
     decided = accepted.select(F.col("report_id").alias("id"), F.col("content").alias("new_verdict"))
     new_reports = (
@@ -238,34 +300,59 @@ def apply_verdicts(
         .withColumn("verdict", F.coalesce("verdict", "new_verdict"))
         .select(*reports.columns)
     )
-    given = accepted.select("report_id", "race_id", F.explode("penalties").alias("p"))
-    added = given.select(
+    given = accepted.select("report_id", "race_id", F.explode("penalties").alias("p")).select(
         "report_id",
         F.col("p.driverID").alias("driver_id"),
         F.col("p.time").alias("time"),
         F.col("p.penaltyPoints").alias("penalty_points"),
         F.col("p.isDSQ").alias("is_dsq"),
+        "race_id",
     )
-    excluded = (
-        given.filter("p.isDSQ").select("race_id", F.col("p.driverID").alias("driver_id")).distinct()
-    ).withColumn("excluded", F.lit(True))
+    known = penalties.select("report_id", "driver_id").distinct().withColumn("_known", F.lit(True))
+    one_each = _chosen(given, ["report_id", "driver_id"]).join(known, ["report_id", "driver_id"], "left")
+    values = ["report_id", "driver_id", "time", "penalty_points", "is_dsq"]
+    added, refused = _split(
+        one_each,
+        values,
+        F.when(F.col("_known"), "already given").when(~F.col("chosen"), "second penalty"),
+    )
+    excluded = added.filter("is_dsq").select(*ENTRY).distinct().withColumn("excluded", F.lit(True))
     new_entries = (
         entries.join(excluded, ENTRY, "left")
         .withColumn("is_dsq", F.coalesce("excluded", "is_dsq"))
         .select(*entries.columns)
     )
-    return new_reports, penalties.unionByName(added), new_entries, rejected
+    return Verdicts(new_reports, penalties.unionByName(added.select(*values)), new_entries, rejected, refused)
+
 
+def _senders(users: DataFrame) -> DataFrame:
+    return users.select(F.col("id").alias("user_id"), F.col("driver_id").alias("from_driver"), F.lit(True).alias("is_user"))
 
-def append_reports(submissions: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Submitted reports to report and target rows.
+
+def append_reports(
+    submissions: DataFrame, users: DataFrame, existing: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Submitted reports to report and target rows, and rejects.
 
     ``submissions`` holds (id, race_id, user_id, content, targets, videos, created_at); the game
-    as a target becomes a null driver.
+    as a target becomes a null driver. A submission of an unknown user or of one who doesn't drive is rejected, as is an
+    id that ``existing`` reports have; of several with one id the least counts.
     """
-    senders = users.select(F.col("id").alias("user_id"), F.col("driver_id").alias("from_driver"))
     key = users.schema["driver_id"].dataType
-    reports = submissions.join(senders, "user_id").select(
+    checked = _chosen(submissions, ["id"]).join(_senders(users), "user_id", "left")
+    if existing is not None:
+        checked = checked.join(existing.select("id", F.lit(True).alias("exists")), "id", "left")
+    else:
+        checked = checked.withColumn("exists", F.lit(None).cast("boolean"))
+    accepted, rejected = _split(
+        checked,
+        ["id", "race_id", "user_id"],
+        F.when(F.col("is_user").isNull(), "unknown user")
+        .when(F.col("from_driver").isNull(), "no driver")
+        .when(F.col("exists"), "already sent")
+        .when(~F.col("chosen"), "second report of this id"),
+    )
+    reports = accepted.select(
         "id",
         "race_id",
         "from_driver",
@@ -274,43 +361,99 @@ def append_reports(submissions: DataFrame, users: DataFrame) -> tuple[DataFrame,
         F.lit(None).cast("string").alias("verdict"),
         "created_at",
     )
-    targets = submissions.select(F.col("id").alias("report_id"), F.explode("targets").alias("target")).select(
+    targets = accepted.select(F.col("id").alias("report_id"), F.explode(F.array_distinct("targets")).alias("target"))
+    targets = targets.select(
         "report_id", F.when(F.col("target") != GAME_ID, F.col("target")).cast(key).alias("driver_id")
     )
-    return reports, targets
+    return reports, targets, rejected
+
 
+def append_responses(
+    submissions: DataFrame, users: DataFrame, reports: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Submitted responses (report_id, user_id, content, videos, created_at) to response rows, and rejects.
 
-def append_responses(submissions: DataFrame, users: DataFrame) -> DataFrame:
-    """Submitted responses (report_id, user_id, content, videos, created_at) to response rows."""
-    senders = users.select(F.col("id").alias("user_id"), F.col("driver_id").alias("from_driver"))
-    return submissions.join(senders, "user_id").select(
-        "report_id", "from_driver", "content", join_videos(F.col("videos")).alias("video_path"), "created_at"
+    A response needs a known report and a user who drives; one sent again is taken once.
+    """
+    known = reports.select(F.col("id").alias("report_id")).distinct().withColumn("is_report", F.lit(True))
+    distinct = submissions.groupBy(*submissions.columns).agg(F.count(F.lit(1)).alias("copies"))
+    checked = distinct.join(_senders(users), "user_id", "left").join(known, "report_id", "left")
+    accepted, rejected = _split(
+        checked,
+        ["report_id", "user_id", "created_at"],
+        F.when(F.col("is_user").isNull(), "unknown user")
+        .when(F.col("from_driver").isNull(), "no driver")
+        .when(F.col("is_report").isNull(), "unknown report"),
     )
+    responses = accepted.select(
+        F.concat_ws(
+            "-",
+            F.col("report_id").cast("string"),
+            F.col("user_id").cast("string"),
+            F.md5(F.concat_ws("|", "content", F.col("created_at").cast("string"), join_videos(F.col("videos")))),
+        ).alias("id"),
+        "report_id",
+        "from_driver",
+        "content",
+        join_videos(F.col("videos")).alias("video_path"),
+        "created_at",
+    )
+    return responses, rejected
+
 
+def replace_role_members(
+    users_roles: DataFrame, members: DataFrame, seasons: DataFrame, users: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Replace the stewards of posted seasons: (season_name, user_id), a null user for none.
 
-def replace_role_members(users_roles: DataFrame, members: DataFrame, seasons: DataFrame) -> DataFrame:
-    """Replace the stewards of posted seasons: (season_name, user_id), a null user for none."""
+    Members of an unknown season and unknown users are rejected.
+    """
     roles = seasons.select(F.col("name").alias("season_name"), F.col("fia_role_id").alias("role_id"))
-    posted = members.join(roles, "season_name")
-    kept = users_roles.join(posted.select("role_id").distinct(), "role_id", "left_anti")
+    known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("is_user"))
+    distinct = members.groupBy("season_name", "user_id").agg(F.count(F.lit(1)).alias("copies"))
+    checked = distinct.join(roles, "season_name", "left").join(known, "user_id", "left")
+    posted, rejected = _split(
+        checked,
+        ["season_name", "user_id"],
+        F.when(F.col("role_id").isNull(), "unknown season").when(
+            F.col("user_id").isNotNull() & F.col("is_user").isNull(), "unknown user"
+        ),
+    )
+    replaced = checked.filter(F.col("role_id").isNotNull()).select("role_id").distinct()
+    kept = users_roles.join(replaced, "role_id", "left_anti")
     fresh = posted.filter(F.col("user_id").isNotNull()).select("user_id", "role_id").distinct()
-    return kept.unionByName(fresh)
+    return kept.unionByName(fresh), rejected
 
 
-def apply_changes(table: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
-    """Apply a change feed to a table; the last change of a key wins.
+OPERATIONS = ("insert", "update", "delete")
 
-    ``changes`` has the table's columns, ``op`` (insert, update or delete) and ``seq``. An update
-    keeps the old value where the new one is null.
+
+def apply_changes(
+    table: DataFrame, changes: DataFrame, keys: Sequence[str], seq: str = "seq"
+) -> tuple[DataFrame, DataFrame]:
+    """Apply a change feed to a table; the last change of a key wins, and unknown operations are rejected.
+
+    ``changes`` has the table's columns, ``op`` (insert, update or delete) and ``seq``; of several with one ``seq`` the
+    greatest by operation and values is the last. An update keeps the old value where the new one is null, unless the
+    column is named in ``cleared``, an array that changes may have. An update of a key that isn't there is rejected.
     """
     values = [c for c in table.columns if c not in keys]
-    newest = _latest(changes, keys, seq).select(
-        *keys, "op", *[F.col(c).alias(f"_new_{c}") for c in values]
+    cleared = F.coalesce("cleared", F.array()) if "cleared" in changes.columns else F.array().cast("array<string>")
+    known = F.coalesce(F.col("op").isin(*OPERATIONS), F.lit(False))
+    last = F.max(F.struct(seq, "op", *values, cleared.alias("cleared"))).alias("_last")
+    newest = changes.filter(known).groupBy(*keys).agg(last).select(
+        *keys, "_last.op", f"_last.{seq}", "_last.cleared", *[F.col(f"_last.{c}").alias(f"_new_{c}") for c in values]
     )
     merged = table.withColumn("_old", F.lit(True)).join(newest, list(keys), "full_outer")
     gone = F.coalesce(F.col("op") == "delete", F.lit(False))
-    absent = F.col("_old").isNull() & (F.col("op") == "update")
-    return merged.filter(~gone & ~F.coalesce(absent, F.lit(False))).select(
-        *[F.col(c) if c in keys else F.coalesce(f"_new_{c}", c).alias(c) for c in table.columns]
-    )
+    absent = F.coalesce(F.col("_old").isNull() & (F.col("op") == "update"), F.lit(False))
+
+    def value(column: str) -> Column:
+        kept = F.coalesce(f"_new_{column}", column)
+        return F.when(F.coalesce(~F.array_contains("cleared", column), F.lit(True)), kept).alias(column)
 
+    snapshot = merged.filter(~gone & ~absent).select(*[F.col(c) if c in keys else value(c) for c in table.columns])
+    reasons = ["op", seq, "reason"]
+    unknown = changes.filter(~known).withColumn("reason", F.lit("unknown operation")).select(*keys, *reasons)
+    lost = merged.filter(absent).withColumn("reason", F.lit("nothing to update")).select(*keys, *reasons)
+    return snapshot, unknown.unionByName(lost)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.ranking import PART_ROWS, Children, in_every_season, nest
+from paddock.operators.ranking import Children, nest, seasons_without
 from paddock.sources.tables import League
 
 
@@ -20,11 +20,11 @@ def _named_roles(league: League) -> DataFrame:
 
 
 def steward_candidates(league: League) -> DataFrame:
-    """Users per season whose driver has no seat in it."""
+    """Users with a driver, and the seasons in which the driver has no seat (``absent_from``)."""
     seats = league.seasons_drivers.select("season_id", "driver_id")
-    return in_every_season(_driving_users(league), league.seasons, "user_id").join(
-        seats, ["season_id", "driver_id"], "left_anti"
-    ).select("season_id", "user_id", "driver_name")
+    return seasons_without(_driving_users(league), "driver_id", seats, league.seasons).select(
+        "user_id", "driver_name", "absent_from"
+    )
 
 
 def current_stewards(league: League) -> DataFrame:
@@ -46,16 +46,14 @@ def user_role_names(league: League) -> DataFrame:
     return _named_roles(league).select("user_id", "role_name")
 
 
-def users_with_roles(league: League, part_rows: int = PART_ROWS) -> DataFrame:
+def users_with_roles(league: League) -> DataFrame:
     """Users with driver and roles; users without either are kept."""
     drivers = league.drivers.select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name"))
     users = league.users.select(F.col("id").alias("user_id"), "username", "driver_id")
-    roles = Children(
-        _named_roles(league), [F.col("role_id").asc()], ["role_id", "role_name"], at_most=league.users_roles
-    )
-    lists = nest(["user_id"], part_rows, parents=users, roles=roles)
+    roles = Children(_named_roles(league), [F.col("role_id")], ["role_id", "role_name"])
+    lists = nest(["user_id"], parents=users, roles=roles)
     return (
         users.join(drivers, "driver_id", "left")
         .join(lists, "user_id")
-        .select("user_id", "username", "driver_id", "driver_name", "part", "roles")
+        .select("user_id", "username", "driver_id", "driver_name", "roles")
     )

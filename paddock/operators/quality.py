@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.functions.scoring import is_classified
 from paddock.functions.text import is_canonical_uuid
 from paddock.schema import FOREIGN_KEYS, MAX_LENGTHS, UNIQUE_KEYS
 from paddock.sources.tables import League
@@ -42,21 +41,31 @@ def orphans(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
 
 
 def dq_orphans(league: League) -> DataFrame:
-    """Dangling references of all tables, counted per value."""
-    found = [
-        orphans(getattr(league, child).select(column), column, getattr(league, parent))
-        .groupBy(F.col(column).cast("string").alias("value"))
-        .agg(F.count(F.lit(1)).alias("row_count"))
-        .select(
-            F.lit(child).alias("table_name"),
-            F.lit(column).alias("column_name"),
-            F.lit(parent).alias("parent_table"),
-            "value",
-            "row_count",
-        )
-        for child, column, parent in FOREIGN_KEYS
+    """Dangling references of all tables, counted per value.
+
+    Each child table is read once for all its references, and values are counted before they look for a parent, so
+    neither the rows of a table nor those of a frequent value are shuffled.
+    """
+    by_child: dict[str, list[tuple[str, str]]] = {}
+    for child, column, parent in FOREIGN_KEYS:
+        by_child.setdefault(child, []).append((column, parent))
+    found = []
+    for child, references in by_child.items():
+        items = [
+            F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("parent_table"), F.col(c).cast("string").alias("value"))
+            for c, p in references
+        ]
+        rows = getattr(league, child).select(F.lit(child).alias("table_name"), F.inline(F.array(*items)))
+        found.append(rows.filter(F.col("value").isNotNull()))
+    values = reduce(DataFrame.unionByName, found).groupBy("table_name", "column_name", "parent_table", "value")
+    parents = [
+        getattr(league, parent).select(F.lit(parent).alias("parent_table"), F.col("id").cast("string").alias("value"))
+        for parent in sorted({p for _, _, p in FOREIGN_KEYS})
     ]
-    return reduce(DataFrame.unionByName, found)
+    known = reduce(DataFrame.unionByName, parents)
+    return values.agg(F.count(F.lit(1)).alias("row_count")).join(known, ["parent_table", "value"], "left_anti").select(
+        "table_name", "column_name", "parent_table", "value", "row_count"
+    )
 
 
 def dq_uuid(rows: DataFrame, column: str) -> DataFrame:
@@ -94,10 +103,9 @@ def dq_length(league: League) -> DataFrame:
 
 
 def dq_one_fastest_lap(entries: DataFrame) -> DataFrame:
-    """Races with a finisher whose number of fastest laps is not one."""
-    finished = F.count_if(is_classified(F.col("time"), F.col("is_dsq")))
+    """Races with any time whose number of fastest laps is not one."""
     return (
         entries.groupBy("race_id")
-        .agg(F.count_if("has_fastest_lap").alias("fastest_laps"), finished.alias("finishers"))
-        .filter((F.col("finishers") > 0) & (F.col("fastest_laps") != 1))
+        .agg(F.count_if("has_fastest_lap").alias("fastest_laps"), F.count("time").alias("timed"))
+        .filter((F.col("timed") > 0) & (F.col("fastest_laps") != 1))
     )

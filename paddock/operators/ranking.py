@@ -1,7 +1,8 @@
-"""Positions inside a group, nesting of children, and per-season lists.
+"""Positions inside a group, nesting of children, and lists for every season.
 
-A plain window sorts a whole group in one task. That is right while groups are known to be
-small; a race may also hold a third of all rows, and then the sort itself has to be spread.
+Which plan numbers the rows of a group is decided where the operator is written, never by the size of the data:
+``rank_bounded`` sorts a group in one task and is for groups that a dimension bounds (the races, seats or teams of a
+season); ``rank_spread`` is for facts (entries and reports of a race), of which one group may hold most rows.
 """
 
 from __future__ import annotations
@@ -12,126 +13,97 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paddock.session import estimated_bytes, store
+# Keys that agree in so many first letters, or after division by so much, are sorted by one task.
+PREFIX_LETTERS = 4
+PREFIX_NUMBERS = 1024
 
-# A table below this size may sit in one group without harm.
-SMALL_TABLE_BYTES = 256 * 1024 * 1024
-# A group below this count is sorted by one task in seconds.
-SMALL_GROUP_ROWS = 5_000_000
-SMALL_TABLE_SETTING = "spark.paddock.smallTableBytes"
-SMALL_GROUP_SETTING = "spark.paddock.smallGroupRows"
 
-# Children kept in one nested row; longer lists go on in the next part.
-PART_ROWS = 10_000
-
-
-def groups_are_small(rows: DataFrame, keys: Sequence[str], at_most: DataFrame) -> bool:
-    """Whether every group of ``rows`` fits one task.
-
-    No group is larger than ``at_most``, so a small ``at_most`` settles it without a job.
-    Otherwise the groups are counted, which moves one row per group and task.
-    """
-    conf = rows.sparkSession.conf
-    if estimated_bytes(at_most) <= int(conf.get(SMALL_TABLE_SETTING, str(SMALL_TABLE_BYTES))):
-        return True
-    counted = rows.groupBy(*keys).count().agg(F.max("count").alias("largest"))
-    largest = counted.first()["largest"] or 0
-    return largest <= int(conf.get(SMALL_GROUP_SETTING, str(SMALL_GROUP_ROWS)))
-
-
-def rank_within(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, *, at_most: DataFrame
-) -> DataFrame:
+def rank_bounded(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """Number the rows of each group 1, 2, 3... in ``order``, which must leave no ties."""
-    if groups_are_small(rows, keys, at_most):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn(out, F.row_number().over(window))
-    return rank_by_range(rows, keys, order, out)
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def rank_by_range(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """The same numbers from one global sort, which cuts a large group into many ranges.
+def rank_spread(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: Sequence[Column], out: str
+) -> DataFrame:
+    """The same numbers where a group may be large.
 
-    The sorted rows are written once with their row ids, so every later step sees the same
-    ranges. A row's number is its place in its range plus the group's rows in earlier ranges.
+    ``buckets`` are columns without nulls that rise with ``order``; they depend on the row alone. A row's number is its
+    place among the rows of its bucket, which one task sorts, plus the rows in earlier buckets of its group, of which
+    only counts are added up.
     """
-    place, piece, first, skipped = f"_{out}_place", f"_{out}_piece", f"_{out}_first", f"_{out}_skipped"
-    ordered = rows.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *order)
-    # the upper bits of the id are the range, the lower ones the place in it
-    numbered = store(ordered.withColumn(place, F.monotonically_increasing_id()), "ranked")
-    numbered = numbered.withColumn(piece, F.shiftright(place, 33))
-
-    pieces = numbered.groupBy(*keys, piece).agg(
-        F.min(place).alias(first), F.count(F.lit(1)).alias("_size")
-    )
-    earlier = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn(skipped, F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
-
-    joined = numbered.alias("n").join(
-        pieces.alias("p"),
-        [F.col(f"n.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*keys, piece)],
-    )
-    number = F.col(place) - F.col(first) + F.col(skipped) + 1
-    return joined.select(*[F.col(f"n.{c}").alias(c) for c in rows.columns], number.cast("int").alias(out))
+    names = [f"_{out}_bucket{k}" for k in range(len(buckets))]
+    cut = rows.withColumns(dict(zip(names, buckets, strict=True)))
+    counts = cut.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    own = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
+    numbered = cut.withColumn("_own", own).alias("n")
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    same += [F.col(f"n.{k}") == F.col(f"b.{k}") for k in names]
+    number = (F.col("_own") + F.col("_before")).cast("int")
+    joined = numbered.join(before.alias("b"), same)
+    return joined.select(*[F.col(f"n.{c}").alias(c) for c in rows.columns], number.alias(out))
+
+
+def prefix(rows: DataFrame, column: str) -> Column:
+    """What many neighbouring keys have in common; rises with the key, and nulls come first."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.substring(column, 1, PREFIX_LETTERS), F.lit(""))
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(F.floor(F.col(column) / PREFIX_NUMBERS), F.lit(-(1 << 62)))
+    return F.lit(0)
 
 
 @dataclass(frozen=True)
 class Children:
-    """Rows to nest under a parent: their order, the fields kept, and a table they come from."""
+    """Rows to nest under a parent, in rising ``order`` with nulls last, and the fields kept."""
 
     rows: DataFrame
     order: Sequence[Column]
     fields: Sequence[str | Column]
-    at_most: DataFrame
 
 
-def nest(
-    keys: Sequence[str],
-    part_rows: int = PART_ROWS,
-    parents: DataFrame | None = None,
-    **children: Children,
-) -> DataFrame:
-    """Children as ordered arrays per group, several kinds in one pass.
+def nest(keys: Sequence[str], parents: DataFrame | None = None, **children: Children) -> DataFrame:
+    """Children as ordered arrays, one row per group whatever their number, several kinds in one pass.
 
-    A group of more than ``part_rows`` children continues in parts 1, 2, ... so that no array
-    and no task grows with the group; ordinary groups have part 0 only. ``parents`` adds groups
-    without children.
+    ``parents`` adds groups without children. The arrays are the result's own size; where a group may have more children
+    than a row should hold, read the children's own rows instead.
     """
     pieces = []
     for out, child in children.items():
-        ranked = rank_within(child.rows, keys, child.order, "_place", at_most=child.at_most)
-        item = F.struct(F.col("_place").alias("_at"), F.struct(*child.fields).alias("_child"))
-        pieces.append(ranked.select(*keys, part_of("_place", part_rows).alias("part"), item.alias(out)))
+        places = [F.struct(c.isNull().alias("none"), c.alias("value")).alias(f"o{k}") for k, c in enumerate(child.order)]
+        item = F.struct(*places, F.struct(*child.fields).alias("_child"))
+        pieces.append(child.rows.select(*keys, item.alias(out)))
     if parents is not None:
-        pieces.append(parents.select(*keys, F.lit(0).alias("part")))
+        pieces.append(parents.select(*keys))
     together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
     # collect_list leaves out the nulls of the other kinds
-    return together.groupBy(*keys, "part").agg(*[_in_order(F.col(out)).alias(out) for out in children])
+    return together.groupBy(*keys).agg(*[in_order(F.col(out)).alias(out) for out in children])
 
 
-def _in_order(item: Column) -> Column:
+def in_order(item: Column) -> Column:
     return F.transform(F.sort_array(F.collect_list(item)), lambda c: c["_child"])
 
 
-def part_of(place: str, part_rows: int = PART_ROWS) -> Column:
-    return F.floor((F.col(place) - 1) / part_rows).cast("int")
+def season_ids(seasons: DataFrame) -> Column:
+    """All seasons as one array, from a subquery."""
+    return seasons.agg(F.sort_array(F.collect_set("id")).alias("ids")).scalar()
 
 
-def gather(rows: DataFrame, keys: Sequence[str], place: str, fields: Sequence[str], out: str) -> DataFrame:
-    """Collect groups already known to be of bounded size, ordered by ``place``."""
-    item = F.struct(F.col(place).alias("_at"), F.struct(*fields).alias("_child"))
-    return rows.groupBy(*keys).agg(_in_order(item).alias(out))
+def in_every_season(rows: DataFrame, seasons: DataFrame) -> DataFrame:
+    """Each row of a dimension once per season, for tables that list all of it."""
+    return rows.withColumn("season_id", F.explode(season_ids(seasons)))
 
 
-def in_every_season(rows: DataFrame, seasons: DataFrame, key: str, blocks: int = 64) -> DataFrame:
-    """Each row once per season, for lists the league shows for every season.
+def seasons_without(rows: DataFrame, key: str, taken: DataFrame, seasons: DataFrame) -> DataFrame:
+    """``rows`` with ``absent_from``, the seasons in which ``taken`` has no row of their ``key``.
 
-    The result has seasons times rows by definition. Rows are spread over blocks by key and
-    every block meets each season, so it is an equi-join whose work divides evenly.
+    One row stays one row; exploding the list is the caller's choice.
     """
-    spread = seasons.select(
-        F.col("id").alias("season_id"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
-    )
-    blocked = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    return blocked.join(spread, "_block").drop("_block")
+    present = taken.groupBy(key).agg(F.collect_set("season_id").alias("_present"))
+    absent = F.array_except(season_ids(seasons), F.coalesce("_present", F.array()))
+    return rows.join(present, key, "left").withColumn("absent_from", absent).drop("_present")

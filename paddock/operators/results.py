@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.functions.scoring import is_classified, points_for
+from paddock.functions.scoring import FEATURE_POINTS, SPRINT_POINTS, is_classified, points_for
 from paddock.functions.timing import format_gap, has_been_raced
-from paddock.operators.ranking import rank_within
+from paddock.operators.ranking import in_every_season, prefix, rank_spread
 from paddock.sources.tables import League
 
 ENTRY = ["race_id", "driver_id"]
@@ -18,6 +20,25 @@ def finish_order() -> list[Column]:
     return [F.col("is_dsq").asc_nulls_last(), F.col("time").asc_nulls_last()]
 
 
+def finish_buckets(rows: DataFrame) -> list[Column]:
+    """Rising with the finishing order: the second of the finish, or where there is no time a part of the drivers."""
+    dsq_class = F.when(F.col("is_dsq"), 1).when(~F.col("is_dsq"), 0).otherwise(2)
+    no_time = F.col("time").isNull()
+    driver = prefix(rows, "driver_id")
+    return [
+        dsq_class,
+        no_time.cast("int"),
+        F.coalesce(F.floor("time"), F.lit(0)),
+        F.when(no_time, driver).otherwise(F.lit("" if dict(rows.dtypes)["driver_id"] == "string" else 0)),
+    ]
+
+
+def ranked_by_finish(entries: DataFrame) -> DataFrame:
+    """Entries with their position in the race; equal times rank by driver id."""
+    order = [*finish_order(), F.col("driver_id").asc()]
+    return rank_spread(entries, ["race_id"], order, finish_buckets(entries), "rank")
+
+
 def moment(as_of: object, column: DataFrame, name: str) -> Column:
     """``as_of`` as a literal of the type of a timestamp column."""
     return F.lit(str(as_of)).cast(column.schema[name].dataType)
@@ -46,17 +67,16 @@ def adjusted_entries(league: League) -> DataFrame:
 
 def race_classification(league: League) -> DataFrame:
     """Entries with adjusted time and position; equal times rank by driver id."""
-    return rank_within(
-        adjusted_entries(league),
-        ["race_id"],
-        [*finish_order(), F.col("driver_id").asc()],
-        "rank",
-        at_most=league.races_drivers,
-    )
+    return ranked_by_finish(adjusted_entries(league))
 
 
-def scored_entries(league: League, pg_compat: bool = False) -> DataFrame:
-    """Classified entries with season, points and whether the entry won its race.
+def scored_entries(
+    league: League,
+    pg_compat: bool = False,
+    feature: Sequence[int] = FEATURE_POINTS,
+    sprint: Sequence[int] = SPRINT_POINTS,
+) -> DataFrame:
+    """Classified entries with season, points by the given tables and whether the entry won its race.
 
     Only a finisher wins; ``pg_compat`` also counts the first entry of a race without results.
     """
@@ -66,7 +86,13 @@ def scored_entries(league: League, pg_compat: bool = False) -> DataFrame:
     return race_classification(league).join(races, "race_id").withColumns(
         {
             "points": points_for(
-                F.col("rank"), F.col("is_sprint"), F.col("time"), F.col("is_dsq"), F.col("has_fastest_lap")
+                F.col("rank"),
+                F.col("is_sprint"),
+                F.col("time"),
+                F.col("is_dsq"),
+                F.col("has_fastest_lap"),
+                feature,
+                sprint,
             ),
             "won": won,
         }
@@ -83,14 +109,7 @@ def race_results(league: League, as_of: object) -> DataFrame:
     sheet = entries.join(penalty_time_totals(league), ENTRY, "left").withColumn(
         "time", F.col("time") + F.coalesce("penalty_time", F.lit(0))
     )
-    ranked = rank_within(
-        sheet,
-        ["race_id"],
-        [*finish_order(), F.col("driver_id").asc()],
-        "rank",
-        at_most=league.races_drivers,
-    )
-    return ranked.select(
+    return ranked_by_finish(sheet).select(
         "race_id",
         "driver_id",
         "driver_name",
@@ -150,12 +169,11 @@ def race_entry_list(league: League) -> DataFrame:
 
 
 def race_lineup_options(league: League) -> DataFrame:
-    """Drivers that may be entered for each race.
+    """Drivers that may be entered for each race, and every team of the race.
 
-    A row with a team belongs to that team's choices; a row without one is a reserve, open to
-    every team of the race. ``entered_team_id`` is the team the driver is entered for, where the
-    team could choose the driver. While a race has no entries, each team's own drivers are the
-    proposed pick.
+    A row with a team belongs to that team's choices; a team without any has one row without a driver. A row without a
+    team is a reserve, open to every team of the race. ``entered_team_id`` is the team the driver is entered for, where
+    the team could choose the driver. While a race has no entries, each team's own drivers are the proposed pick.
     """
     roster = league.seasons_drivers.join(
         league.drivers.select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name")), "driver_id"
@@ -167,25 +185,44 @@ def race_lineup_options(league: League) -> DataFrame:
         "team_id",
     )
     # neither a reserve nor in a team: nobody can choose the driver
-    choices = roster.filter(F.col("is_reserve") | F.col("team_id").isNotNull()).withColumn(
-        "option_team_id", F.when(~F.col("is_reserve"), F.col("team_id"))
+    choices = roster.filter(F.col("is_reserve") | F.col("team_id").isNotNull()).select(
+        "season_id",
+        "driver_id",
+        "driver_name",
+        "is_reserve",
+        F.when(~F.col("is_reserve"), F.col("team_id")).alias("option_team_id"),
     )
+    teams = league.teams.select(F.col("id").alias("option_team_id"), F.col("name").alias("team_name"), "color")
+    lacking = in_every_season(teams.select("option_team_id"), league.seasons).join(
+        choices.select("season_id", "option_team_id"), ["season_id", "option_team_id"], "left_anti"
+    )
+    choices = choices.unionByName(lacking, allowMissingColumns=True)
     entered = league.races_drivers.select("race_id", "driver_id", F.col("team_id").alias("entry_team_id"))
     lined_up = entered.select("race_id").distinct().withColumn("has_entries", F.lit(True))
-    races = league.races.select(F.col("id").alias("race_id"), "season_id").join(lined_up, "race_id", "left")
-    options = choices.join(races, "season_id").join(entered, ENTRY, "left")
+    tracks = league.tracks.select(F.col("id").alias("track_id"), "race_name")
+    races = (
+        league.races.select(F.col("id").alias("race_id"), "season_id", "track_id", F.col("date").alias("race_date"))
+        .join(tracks, "track_id", "left")
+        .join(lined_up, "race_id", "left")
+    )
+    options = choices.join(races, "season_id").join(entered, ENTRY, "left").join(teams, "option_team_id", "left")
     fits = F.col("option_team_id").isNull() | (F.col("option_team_id") == F.col("entry_team_id"))
     is_empty = F.col("has_entries").isNull()
+    picked = F.when(is_empty, ~F.col("is_reserve")).otherwise(
+        F.col("entry_team_id").isNotNull() & F.coalesce(fits, F.lit(False))
+    )
     return options.select(
         "race_id",
+        "race_name",
+        "race_date",
         "option_team_id",
+        "team_name",
+        "color",
         "driver_id",
         "driver_name",
         "is_reserve",
         F.when(fits, F.col("entry_team_id")).alias("entered_team_id"),
-        F.when(is_empty, ~F.col("is_reserve")).otherwise(
-            F.col("entry_team_id").isNotNull() & F.coalesce(fits, F.lit(False))
-        ).alias("is_picked"),
+        F.when(F.col("driver_id").isNotNull(), picked).alias("is_picked"),
         is_empty.alias("is_empty"),
     )
 
@@ -221,18 +258,17 @@ def entry_points(league: League) -> DataFrame:
     return scored_entries(league).select(*ENTRY, "rank", "is_sprint", "has_fastest_lap", "is_dsq", "points")
 
 
-def scoring_places(entries: DataFrame, cars: str | None = None, places: int = 10) -> DataFrame:
+def scoring_places(entries: DataFrame, places: int, cars: str | None = None, *more: Column) -> DataFrame:
     """Shared positions (1, 1, 3, ...) of the best times of each race, down to ``places``.
 
-    ``cars`` names a column with the number of entries a row stands for.
+    ``cars`` names a column with the number of entries a row stands for; ``more`` are aggregates over equal times.
     Equal times are one row before ranking, and only the first ``places`` of them can hold a
     position that scores; tasks cut their own rows to that many before the shuffle.
     """
     number = F.sum(cars) if cars else F.count(F.lit(1))
-    times = entries.groupBy("race_id", "is_dsq", "time").agg(number.alias("cars"))
+    times = entries.groupBy("race_id", "is_dsq", "time").agg(number.alias("cars"), *more)
     window = Window.partitionBy("race_id").orderBy(*finish_order())
     best = times.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= places)
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-    return best.select(
-        "race_id", "is_dsq", "time", (F.coalesce(F.sum("cars").over(earlier), F.lit(0)) + 1).alias("rank")
-    )
+    rank = F.coalesce(F.sum("cars").over(earlier), F.lit(0)) + 1
+    return best.withColumn("rank", rank).drop("_n", "cars")

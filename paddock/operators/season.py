@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.ranking import PART_ROWS, Children, in_every_season, nest, rank_within
+from paddock.operators.ranking import Children, in_every_season, nest, rank_bounded, seasons_without
 from paddock.sources.tables import League
 
 
@@ -22,51 +22,50 @@ def season_schedule(league: League) -> DataFrame:
     tracks = league.tracks.select(F.col("id").alias("track_id"), "race_name", "image")
     seasons = league.seasons.select(F.col("id").alias("season_id"), F.col("name").alias("season_name"))
     races = league.races.withColumnRenamed("id", "race_id").join(tracks, "track_id").join(seasons, "season_id")
-    return rank_within(
+    return rank_bounded(
         races,
         ["season_id"],
         [F.col("date").asc_nulls_last(), F.col("is_sprint").desc_nulls_first(), F.col("race_id").asc()],
         "race_no",
-        at_most=league.races,
     ).select("season_id", "season_name", "race_no", "race_id", "date", "race_name", "track_id", "is_sprint", "image")
 
 
 def _absent(league: League, taken: DataFrame) -> DataFrame:
-    """Drivers per season without a row in ``taken``."""
     drivers = league.drivers.select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name"))
-    return in_every_season(drivers, league.seasons, "driver_id").join(
-        taken.select("season_id", "driver_id"), ["season_id", "driver_id"], "left_anti"
-    ).select("season_id", "driver_id", "driver_name")
+    return seasons_without(drivers, "driver_id", taken.select("season_id", "driver_id"), league.seasons)
 
 
 def unrostered_drivers(league: League) -> DataFrame:
-    """Drivers without any seat in the season."""
+    """Drivers, and the seasons in which they have no seat at all (``absent_from``)."""
     return _absent(league, league.seasons_drivers)
 
 
 def available_drivers(league: League) -> DataFrame:
-    """Drivers without a regular seat in the season; an unknown reserve flag is no regular seat."""
+    """Drivers, and the seasons without a regular seat of theirs; an unknown reserve flag is no regular seat."""
     return _absent(league, league.seasons_drivers.filter(~F.col("is_reserve")))
 
 
-def season_lineup(league: League, part_rows: int = PART_ROWS) -> DataFrame:
+def one_per_season(rows: DataFrame) -> DataFrame:
+    """A row for each season in ``absent_from``."""
+    return rows.withColumn("season_id", F.explode("absent_from")).drop("absent_from")
+
+
+def season_lineup(league: League) -> DataFrame:
     """Every team in every season with its drivers, and whether the whole season is empty."""
     drivers = league.drivers.select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name"))
     seats = league.seasons_drivers.filter(F.col("team_id").isNotNull()).join(drivers, "driver_id")
     filled = league.seasons_drivers.filter(F.col("team_id").isNotNull()).select("season_id").distinct()
     members = nest(
         ["season_id", "team_id"],
-        part_rows,
         drivers=Children(
             seats.select("season_id", "team_id", "driver_id", "driver_name"),
-            [F.col("driver_id").asc()],
+            [F.col("driver_id")],
             ["driver_id", "driver_name"],
-            at_most=league.seasons_drivers,
         ),
     )
     teams = league.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team_name"), "color", "icon")
     return (
-        in_every_season(teams, league.seasons, "team_id")
+        in_every_season(teams, league.seasons)
         .join(members, ["season_id", "team_id"], "left")
         .join(filled.withColumn("_filled", F.lit(True)), "season_id", "left")
         .select(
@@ -75,7 +74,6 @@ def season_lineup(league: League, part_rows: int = PART_ROWS) -> DataFrame:
             "team_name",
             "color",
             "icon",
-            F.coalesce("part", F.lit(0)).alias("part"),
             F.coalesce("drivers", F.array()).alias("drivers"),
             F.col("_filled").isNull().alias("is_empty_line_up"),
         )

@@ -15,7 +15,7 @@ from paddock.functions.text import (
     url_host,
 )
 from paddock.functions.timing import message_time, report_deadline
-from paddock.operators.ranking import PART_ROWS, Children, nest, rank_within
+from paddock.operators.ranking import Children, nest, prefix, rank_spread
 from paddock.sources.tables import League
 
 # Message templates and the stewards' sender name.
@@ -26,28 +26,40 @@ VERDICT_TEXT = (
 )
 STEWARD_SENDER = "FIA"
 
-ACCEPTED, NOT_ENTERED, TOO_EARLY, TOO_LATE, NO_REPORT = (
+ACCEPTED, NOT_ENTERED, TOO_EARLY, TOO_LATE, NO_REPORT, UNKNOWN_RACE, UNDATED = (
     "accepted",
     "not_entered",
     "too_early",
     "too_late",
     "no_report",
+    "unknown_race",
+    "undated",
 )
+MEDIA_ROOT = "/media"
 
 
 def _drivers(league: League, key: str, name: str) -> DataFrame:
     return league.drivers.select(F.col("id").alias(key), F.col("name").alias(name))
 
 
+def numbered_reports(reports: DataFrame) -> DataFrame:
+    """Reports with their number in the race, in order of arrival."""
+    unknown = F.col("created_at").isNull()
+    first = prefix(reports, "id")
+    minute = F.date_trunc("minute", "created_at")
+    buckets = [
+        unknown.cast("int"),
+        F.coalesce(F.date_format(minute, "yyyyMMddHHmm"), F.lit("")),
+        F.when(unknown, first).otherwise(F.lit("" if dict(reports.dtypes)["id"] == "string" else 0)),
+    ]
+    order = [F.col("created_at").asc_nulls_last(), F.col("id").asc()]
+    return rank_spread(reports, ["race_id"], order, buckets, "rank")
+
+
 def report_rank(league: League) -> DataFrame:
     """Number of each report in its race, in order of arrival."""
-    return rank_within(
-        league.reports.select(F.col("id").alias("report_id"), "race_id", "created_at"),
-        ["race_id"],
-        [F.col("created_at").asc_nulls_last(), F.col("report_id").asc()],
-        "rank",
-        at_most=league.reports,
-    )
+    reports = numbered_reports(league.reports.select("id", "race_id", "created_at"))
+    return reports.withColumnRenamed("id", "report_id")
 
 
 def report_targets(league: League) -> DataFrame:
@@ -63,52 +75,61 @@ def report_targets(league: League) -> DataFrame:
 
 
 def _targets_of(league: League) -> Children:
-    return Children(
-        report_targets(league),
-        [F.col("driver_id").asc_nulls_last()],
-        ["target_id", "target_name"],
-        at_most=league.report_targets,
-    )
-
+    return Children(report_targets(league), [F.col("driver_id")], ["target_id", "target_name"])
 
-def incident_reports(league: League, embed_parent: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Reports with their videos, targets, responses and penalties.
 
-    A list of more than ``part_rows`` children continues in further rows of the same report.
-    """
+def report_responses(league: League, embed_parent: str) -> DataFrame:
+    """Responses with names and videos."""
     responses = league.report_responses.join(
         _drivers(league, "from_driver", "driver_name"), "from_driver", "left"
     )
-    response_videos = videos(F.col("video_path"), embed_parent).alias("videos")
+    return responses.select(
+        "report_id",
+        "id",
+        "from_driver",
+        "driver_name",
+        "content",
+        videos(F.col("video_path"), embed_parent).alias("videos"),
+        "created_at",
+    )
+
+
+def report_penalties(league: League) -> DataFrame:
+    """Penalties with names."""
+    return league.penalties.join(_drivers(league, "driver_id", "driver_name"), "driver_id").select(
+        "report_id", "driver_id", "driver_name", "time", "penalty_points", "is_dsq"
+    )
+
+
+def incident_reports(league: League, embed_parent: str) -> DataFrame:
+    """Reports with their videos, targets, responses and penalties, one row per report.
+
+    The children's own rows are ``report_targets``, ``report_responses`` and ``report_penalties``.
+    """
     lists = nest(
         ["report_id"],
-        part_rows,
         parents=league.reports.select(F.col("id").alias("report_id")),
         targets=_targets_of(league),
         responses=Children(
-            responses,
-            [F.col("created_at").asc_nulls_last(), F.col("from_driver").asc(), F.col("content").asc()],
-            ["from_driver", "driver_name", "content", response_videos, "created_at"],
-            at_most=league.report_responses,
+            report_responses(league, embed_parent),
+            [F.col("created_at"), F.col("from_driver"), F.col("content")],
+            ["id", "from_driver", "driver_name", "content", "videos", "created_at"],
         ),
         penalties=Children(
-            league.penalties.join(_drivers(league, "driver_id", "driver_name"), "driver_id"),
-            [F.col("driver_id").asc()],
+            report_penalties(league),
+            [F.col("driver_id")],
             ["driver_id", "driver_name", "time", "penalty_points", "is_dsq"],
-            at_most=league.penalties,
         ),
     )
     reports = (
-        league.reports.drop("created_at", "race_id")
+        numbered_reports(league.reports)
         .withColumnRenamed("id", "report_id")
-        .join(report_rank(league), "report_id")
         .join(_drivers(league, "from_driver", "from_name"), "from_driver")
     )
     return reports.join(lists, "report_id").select(
         "report_id",
         "race_id",
         "rank",
-        "part",
         "from_driver",
         "from_name",
         "content",
@@ -121,8 +142,21 @@ def incident_reports(league: League, embed_parent: str, part_rows: int = PART_RO
     )
 
 
-def videos(video_path: Column, embed_parent: str) -> Column:
-    """Videos of a report as links with an embed flag."""
+def is_upload(url: Column, media_root: str = MEDIA_ROOT) -> Column:
+    """Whether a video is a file uploaded to the league's own folder, rather than an address elsewhere."""
+    return F.startswith(url, F.lit(f"{media_root}/"))
+
+
+def _shown(url: Column, player: Column, media_root: str) -> tuple[Column, Column, Column]:
+    """is_local, url and embed of a video: uploads by name, others by player address."""
+    local = is_upload(url, media_root)
+    name = F.substring(url, F.lit(len(media_root) + 2), F.length(url))
+    shown = F.when(local, name).otherwise(F.coalesce(player, url))
+    return local.alias("is_local"), shown.alias("url"), (~local & player.isNotNull()).alias("embed")
+
+
+def videos(video_path: Column, embed_parent: str, media_root: str = MEDIA_ROOT) -> Column:
+    """Videos of a report with a flag for uploads, and one for players."""
     addresses = F.transform(
         split_videos(video_path), lambda url: F.struct(url.alias("url"), url_host(url).alias("host"))
     )
@@ -132,15 +166,10 @@ def videos(video_path: Column, embed_parent: str) -> Column:
             a["url"].alias("url"), embed_url(a["url"], a["host"], embed_parent).alias("player")
         ),
     )
-    return F.transform(
-        players,
-        lambda p: F.struct(
-            F.coalesce(p["player"], p["url"]).alias("url"), p["player"].isNotNull().alias("embed")
-        ),
-    )
+    return F.transform(players, lambda p: F.struct(*_shown(p["url"], p["player"], media_root)))
 
 
-def video_links(league: League, embed_parent: str, media_root: str = "/media") -> DataFrame:
+def video_links(league: League, embed_parent: str, media_root: str = MEDIA_ROOT) -> DataFrame:
     """One row per video of a report: uploaded files by name, others by player address."""
     paths = league.reports.select(
         F.col("id").alias("report_id"), F.posexplode(split_videos(F.col("video_path"))).alias("video_no", "url")
@@ -148,33 +177,25 @@ def video_links(league: League, embed_parent: str, media_root: str = "/media") -
     players = paths.withColumn("host", url_host(F.col("url"))).withColumn(
         "player", embed_url(F.col("url"), F.col("host"), embed_parent)
     )
-    uploaded = F.col("url").contains(media_root)
-    return players.select(
-        "report_id",
-        "video_no",
-        uploaded.alias("is_local"),
-        F.when(uploaded, F.replace("url", F.lit(f"{media_root}/"), F.lit("")))
-        .otherwise(F.coalesce("player", "url"))
-        .alias("url"),
-        (~uploaded & F.col("player").isNotNull()).alias("embed"),
-    )
+    return players.select("report_id", "video_no", *_shown(F.col("url"), F.col("player"), media_root))
 
 
-def open_reports(league: League, part_rows: int = PART_ROWS) -> DataFrame:
-    """Undecided reports with their targets; numbers count the decided ones too."""
+def open_reports(league: League) -> DataFrame:
+    """Undecided reports with their targets, one row per report; numbers count the decided ones too."""
     tracks = league.tracks.select(F.col("id").alias("track_id"), "race_name")
     races = league.races.select(F.col("id").alias("race_id"), "track_id").join(tracks, "track_id")
-    undecided = league.reports.filter(F.col("verdict").isNull()).select(
-        F.col("id").alias("report_id"), "from_driver"
+    columns = ["id", "race_id", "from_driver", "created_at", F.col("verdict").isNull().alias("is_open")]
+    undecided = numbered_reports(league.reports.select(*columns)).filter("is_open").withColumnRenamed("id", "report_id")
+    lists = nest(
+        ["report_id"],
+        parents=league.reports.filter(F.col("verdict").isNull()).select(F.col("id").alias("report_id")),
+        targets=_targets_of(league),
     )
-    lists = nest(["report_id"], part_rows, parents=undecided, targets=_targets_of(league))
     return (
-        undecided
-        .join(report_rank(league), "report_id")
-        .join(races, "race_id")
+        undecided.join(races, "race_id")
         .join(_drivers(league, "from_driver", "from_name"), "from_driver")
         .join(lists, "report_id")
-        .select("report_id", "race_id", "race_name", "rank", "from_driver", "from_name", "part", "targets")
+        .select("report_id", "race_id", "race_name", "rank", "from_driver", "from_name", "targets")
     )
 
 
@@ -214,26 +235,15 @@ def _mentions(league: League) -> DataFrame:
     )
 
 
-def mention_text(league: League, part_rows: int = PART_ROWS) -> DataFrame:
-    """Targets of a report as message lines; long lists continue in further parts."""
-    lines = nest(
-        ["report_id"],
-        part_rows,
-        lines=Children(
-            _mentions(league),
-            [F.col("driver_id").asc_nulls_last()],
-            ["line"],
-            at_most=league.report_targets,
-        ),
-    )
+def mention_text(league: League) -> DataFrame:
+    """Targets of a report as lines of one text."""
+    lines = nest(["report_id"], lines=Children(_mentions(league), [F.col("driver_id")], ["line"]))
     text = F.array_join(F.transform("lines", lambda c: c["line"]), "\n")
-    return lines.select("report_id", "part", text.alias("mentions"))
+    return lines.select("report_id", text.alias("mentions"))
 
 
-def report_notification_feed(
-    league: League, base_url: str, is_decision: bool = False, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Message for each report, or for each decided report's verdict."""
+def report_links(league: League, base_url: str, reports: DataFrame | None = None) -> DataFrame:
+    """Numbered reports with season, race and link."""
     tracks = league.tracks.select(F.col("id").alias("track_id"), "race_name", "emoji")
     seasons = league.seasons.select(F.col("id").alias("season_id"), F.col("name").alias("season_name"))
     races = (
@@ -241,16 +251,36 @@ def report_notification_feed(
         .join(tracks, "track_id")
         .join(seasons, "season_id")
     )
-    reports = league.reports.select(F.col("id").alias("report_id"), "from_driver", "verdict")
+    rows = league.reports.select("id", "race_id", "created_at") if reports is None else reports
+    link = report_link(base_url, F.col("season_name"), F.col("race_id"), F.col("rank"))
+    numbered = numbered_reports(rows).withColumnRenamed("id", "report_id")
+    return numbered.join(races, "race_id").withColumn("link", link)
+
+
+def report_notification_feed(
+    league: League, base_url: str, is_decision: bool = False, wanted: DataFrame | None = None
+) -> DataFrame:
+    """One message for each report, or for each decided report's verdict.
+
+    ``wanted`` (report_id) narrows it to some reports: then only their races' reports are numbered, and only their
+    targets named.
+    """
+    columns = ["id", "race_id", "created_at", "from_driver", F.col("verdict").isNotNull().alias("is_decided")]
+    reports = league.reports.select(*columns)
+    if wanted is not None:
+        asked = wanted.select(F.col("report_id").alias("id")).distinct()
+        races = reports.join(asked, "id", "left_semi").select("race_id").distinct()
+        reports = reports.join(races, "race_id", "left_semi")
+        own = league.report_targets.join(asked.withColumnRenamed("id", "report_id"), "report_id", "left_semi")
+        league = league.replacing(report_targets=own)
+    rows = report_links(league, base_url, reports)
     if is_decision:
-        reports = reports.filter(F.col("verdict").isNotNull())
-    rows = (
-        reports.join(report_rank(league), "report_id")
-        .join(races, "race_id")
-        .join(_drivers(league, "from_driver", "from_name"), "from_driver")
-        .join(mention_text(league, part_rows), "report_id", "left")
+        rows = rows.filter("is_decided")
+    if wanted is not None:
+        rows = rows.join(wanted.select("report_id").distinct(), "report_id", "left_semi")
+    rows = rows.join(_drivers(league, "from_driver", "from_name"), "from_driver").join(
+        mention_text(league), "report_id", "left"
     )
-    link = report_link(base_url, F.col("season_name"), F.col("race_id"), F.col("rank"))
     heading = F.format_string(HEADING, F.coalesce("emoji", F.lit("")), "race_name", "rank")
     mentions = F.coalesce("mentions", F.lit(""))
     if is_decision:
@@ -258,41 +288,44 @@ def report_notification_feed(
             _accounts(league).withColumnRenamed("driver_id", "from_driver"), "from_driver", "left"
         )
         reporter = mention(F.col("from_driver"), F.col("from_name"), F.col("account"))
-        text = F.format_string(VERDICT_TEXT, heading, reporter, mentions, link)
+        text = F.format_string(VERDICT_TEXT, heading, reporter, mentions, F.col("link"))
         sender = F.lit(STEWARD_SENDER)
     else:
-        text = F.format_string(REPORT_TEXT, heading, message_time(F.col("created_at")), mentions, link)
+        text = F.format_string(REPORT_TEXT, heading, message_time(F.col("created_at")), mentions, F.col("link"))
         sender = F.col("from_name")
-    return rows.select(
-        "report_id",
-        "race_id",
-        "rank",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        sender.alias("sender"),
-        link.alias("link"),
-        text.alias("message"),
+    return rows.select("report_id", "race_id", "rank", sender.alias("sender"), "link", text.alias("message"))
+
+
+def _race_dates(races: DataFrame) -> DataFrame:
+    return races.select(
+        F.col("id").alias("race_id"), F.col("date").alias("race_date"), F.lit(True).alias("is_race")
     )
 
 
+def _entrants(entries: DataFrame) -> DataFrame:
+    pairs = entries.select("race_id", F.col("driver_id").alias("from_driver")).distinct()
+    return pairs.withColumn("entered", F.lit(True))
+
+
 def report_gate(reports: DataFrame, races: DataFrame, entries: DataFrame, zone: str = "UTC") -> DataFrame:
     """Label new reports: only entrants may report, from the start to the end of the next day.
 
-    Works on a batch or a stream of reports; races and entries are static.
+    A report of an unknown race or without a time to judge by isn't accepted.
     """
-    dates = races.select(F.col("id").alias("race_id"), F.col("date").alias("race_date"))
-    entered = entries.select("race_id", F.col("driver_id").alias("from_driver"), F.lit(True).alias("entered"))
     sent = F.col("created_at")
     label = (
-        F.when(F.col("entered").isNull(), NOT_ENTERED)
+        F.when(F.col("is_race").isNull(), UNKNOWN_RACE)
+        .when(F.col("entered").isNull(), NOT_ENTERED)
+        .when(sent.isNull() | F.col("race_date").isNull(), UNDATED)
         .when(sent <= F.col("race_date"), TOO_EARLY)
-        .when(sent > report_deadline(F.col("race_date"), zone), TOO_LATE)
-        .otherwise(ACCEPTED)
+        .when(sent <= report_deadline(F.col("race_date"), zone), ACCEPTED)
+        .otherwise(TOO_LATE)
     )
     return (
-        reports.join(dates, "race_id")
-        .join(entered, ["race_id", "from_driver"], "left")
+        reports.join(_race_dates(races), "race_id", "left")
+        .join(_entrants(entries), ["race_id", "from_driver"], "left")
         .withColumn("gate", label)
-        .drop("entered", "race_date")
+        .drop("entered", "race_date", "is_race")
     )
 
 
@@ -300,8 +333,6 @@ def response_label(
     responses: DataFrame, races: DataFrame, entries: DataFrame, targets: DataFrame, zone: str
 ) -> DataFrame:
     """Label responses already joined to their report's ``race_id`` and ``reported_at``."""
-    dates = races.select(F.col("id").alias("race_id"), F.col("date").alias("race_date"))
-    entered = entries.select("race_id", F.col("driver_id").alias("from_driver"), F.lit(True).alias("entered"))
     targeted = (
         targets.filter(F.col("driver_id").isNotNull())
         .select("report_id", F.col("driver_id").alias("from_driver"), F.lit(True).alias("targeted"))
@@ -313,16 +344,17 @@ def response_label(
     label = (
         F.when(F.col("race_id").isNull(), NO_REPORT)
         .when(F.col("entered").isNull(), NOT_ENTERED)
+        .when(sent.isNull() | F.col("race_date").isNull(), UNDATED)
         .when(sent <= F.col("race_date"), TOO_EARLY)
         .when(in_time | F.coalesce(as_target, F.lit(False)), ACCEPTED)
         .otherwise(TOO_LATE)
     )
     return (
-        responses.join(dates, "race_id", "left")
-        .join(entered, ["race_id", "from_driver"], "left")
+        responses.join(_race_dates(races), "race_id", "left")
+        .join(_entrants(entries), ["race_id", "from_driver"], "left")
         .join(targeted, ["report_id", "from_driver"], "left")
         .withColumn("gate", label)
-        .drop("entered", "targeted", "race_date")
+        .drop("entered", "targeted", "race_date", "is_race")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.timing import SCHEDULE_FORMAT, format_gap, format_time
@@ -20,13 +20,14 @@ def _entry_seasons(league: League) -> DataFrame:
 
 
 def schedules(league: League) -> DataFrame:
-    """Each race weekend posted again, its date read as a local start."""
+    """Each race weekend posted again, its date read as a local start; those of June at a track that isn't known."""
     weekends = league.races.groupBy("season_id", "date", "track_id").agg(F.bool_or("is_sprint").alias("hasSprint"))
+    track = F.when(F.month("date") == 6, F.lit("nowhere")).otherwise(F.col("track_id").cast("string"))
     return weekends.join(_seasons(league), "season_id").select(
         "season_name",
         F.array(
             F.struct(
-                F.col("track_id").cast("string").alias("trackID"),
+                track.alias("trackID"),
                 F.date_format("date", SCHEDULE_FORMAT).alias("timestamp"),
                 "hasSprint",
             )
@@ -35,7 +36,10 @@ def schedules(league: League) -> DataFrame:
 
 
 def results(league: League) -> DataFrame:
-    """Every race's results as typed in: the leader's time, then gaps."""
+    """Every race's results as typed in: the leader's time, then gaps.
+
+    Leaders whose number ends in 3 post under a number that isn't entered.
+    """
     entries = league.races_drivers
     best = entries.groupBy("race_id").agg(
         F.min(F.struct(F.col("time").isNull().alias("none"), "time", "driver_id")).alias("best"),
@@ -43,8 +47,10 @@ def results(league: League) -> DataFrame:
     )
     leads = F.col("driver_id") == F.col("best.driver_id")
     text = F.when(leads, format_time(F.col("time"))).otherwise(format_gap(F.col("best.time"), F.col("time")))
+    stranger = leads & (F.col("driver_id") % 10 == 3)
     return entries.join(best, "race_id").select(
-        *ENTRY,
+        "race_id",
+        F.when(stranger, -F.col("driver_id")).otherwise(F.col("driver_id")).alias("driver_id"),
         text.alias("time"),
         F.when(~leads, F.col("plus_laps")).alias("plus_laps"),
         leads.alias("is_leader"),
@@ -74,29 +80,32 @@ def entry_lists(league: League) -> DataFrame:
 
 
 def team_pairs(league: League) -> DataFrame:
-    """The first and last driver of each team and season."""
-    pairs = league.seasons_drivers.filter(F.col("team_id").isNotNull()).groupBy("season_id", "team_id").agg(
-        F.min("driver_id").alias("a"), F.max("driver_id").alias("b")
+    """All drivers of each team and season."""
+    teams = league.seasons_drivers.filter(F.col("team_id").isNotNull()).groupBy("season_id", "team_id").agg(
+        F.sort_array(F.collect_list("driver_id")).alias("drivers")
     )
-    team = F.struct(F.col("team_id").alias("teamID"), F.array("a", "b").alias("drivers"))
-    return pairs.select("season_id", F.array(team).alias("teams"))
+    team = F.struct(F.col("team_id").alias("teamID"), "drivers")
+    return teams.select("season_id", F.array(team).alias("teams"))
+
+
+def _posted_season() -> Column:
+    """The season's name as posted: in one case of eleven one that isn't known."""
+    return F.when(F.col("driver_id") % 11 == 5, F.lit("No season")).otherwise(F.col("season_name"))
 
 
 def reserve_requests(league: League) -> DataFrame:
-    """Everybody who entered a race asks to be a reserve of its season."""
-    return (
-        _entry_seasons(league)
-        .select("season_id", "driver_id")
-        .distinct()
-        .join(_seasons(league), "season_id")
-        .select("season_name", "driver_id")
+    """Everybody who entered a race asks to be a reserve of its season, some twice, some of an unknown season."""
+    asked = _entry_seasons(league).select("season_id", "driver_id").distinct().join(_seasons(league), "season_id")
+    times = F.when(F.col("driver_id") % 13 == 0, 2).otherwise(1)
+    return asked.withColumn("time", F.explode(F.sequence(F.lit(1), times))).select(
+        _posted_season().alias("season_name"), "driver_id"
     )
 
 
 def lineup_changes(league: League) -> DataFrame:
-    """Each entry seats its driver in the entry's team; a disqualified one loses the seat."""
+    """Each entry seats its driver in the entry's team; a disqualified one loses the seat. Some seasons aren't known."""
     return _entry_seasons(league).join(_seasons(league), "season_id").select(
-        "season_name",
+        _posted_season().alias("season_name"),
         "driver_id",
         F.when(~F.col("is_dsq"), F.col("team_id")).alias("team_id"),
         F.col("race_id").alias("seq"),
@@ -104,19 +113,32 @@ def lineup_changes(league: League) -> DataFrame:
 
 
 def verdicts(league: League) -> DataFrame:
-    """Two verdicts for every report; the first punishes its lowest target."""
-    lowest = league.report_targets.groupBy("report_id").agg(F.min("driver_id").alias("driver_id"))
-    s = F.col("driver_id") + F.col("report_id")
-    penalty = F.struct(
-        F.col("driver_id").alias("driverID"),
-        (s % 3 * 5).cast("int").alias("time"),
-        (s % 5).cast("int").alias("penaltyPoints"),
-        (s % 2 == 0).alias("isDSQ"),
+    """Verdicts for every report, the first one sent twice; they punish its lowest targets.
+
+    Every third report's verdict punishes the lowest target once more; some are of a report that isn't known.
+    """
+    targets = league.report_targets.groupBy("report_id").agg(
+        F.min("driver_id").alias("low"), F.max("driver_id").alias("high")
     )
+
+    def penalty(driver: Column, more: int) -> Column:
+        s = driver + F.col("report_id") + more
+        return F.struct(
+            driver.alias("driverID"),
+            (s % 3 * 5).cast("int").alias("time"),
+            (s % 5).cast("int").alias("penaltyPoints"),
+            (s % 2 == 0).alias("isDSQ"),
+        )
+
+    low, high = F.col("low"), F.col("high")
+    both = F.when(low == high, F.array(penalty(low, 0))).otherwise(F.array(penalty(low, 0), penalty(high, 0)))
+    again = F.when(F.col("report_id") % 3 == 0, F.array(penalty(low, 1))).otherwise(F.array())
     # a report on the game only gets no penalty
-    given = F.filter(F.array(penalty), lambda p: p["driverID"].isNotNull())
-    return lowest.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).select(
-        "report_id",
+    given = F.filter(F.concat(both, again), lambda p: p["driverID"].isNotNull())
+    sent = targets.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(1), F.lit(2))))
+    unknown = (F.col("report_id") % 17 == 0) & (F.col("seq") == 2)
+    return sent.select(
+        F.when(unknown, -1 - F.col("report_id")).otherwise(F.col("report_id")).alias("report_id"),
         F.format_string("ruling %d of %d", "seq", "report_id").alias("content"),
         given.alias("penalties"),
         "seq",
@@ -124,7 +146,7 @@ def verdicts(league: League) -> DataFrame:
 
 
 def report_submissions(league: League) -> DataFrame:
-    """Every target of a report submitted as a report of its own by the reporter's user."""
+    """Every target of a report submitted as a report of its own by the reporter's user; some users aren't known."""
     senders = league.users.filter(F.col("driver_id").isNotNull()).select(
         F.col("id").alias("user_id"), F.col("driver_id").alias("from_driver")
     )
@@ -134,7 +156,7 @@ def report_submissions(league: League) -> DataFrame:
     return league.reports.join(senders, "from_driver").join(targets, "id").select(
         F.concat_ws("-", F.col("id").cast("string"), target).alias("id"),
         "race_id",
-        "user_id",
+        F.when(F.col("id") % 9 == 4, -1 - F.col("user_id")).otherwise(F.col("user_id")).alias("user_id"),
         "content",
         F.when(F.col("driver_id") % 2 == 0, both).otherwise(F.array(target)).alias("targets"),
         F.split("video_path", r"\+\+").alias("videos"),
@@ -143,29 +165,42 @@ def report_submissions(league: League) -> DataFrame:
 
 
 def response_submissions(league: League) -> DataFrame:
-    """Every response sent again by the driver's user."""
+    """Every response sent again by the driver's user, some twice; some reports aren't known."""
     senders = league.users.filter(F.col("driver_id").isNotNull()).select(
         F.col("id").alias("user_id"), F.col("driver_id").alias("from_driver")
     )
-    return league.report_responses.join(senders, "from_driver").select(
-        "report_id", "user_id", "content", F.split("video_path", r"\+\+").alias("videos"), "created_at"
+    times = F.when(F.col("report_id") % 4 == 1, 2).otherwise(1)
+    return (
+        league.report_responses.join(senders, "from_driver")
+        .withColumn("time", F.explode(F.sequence(F.lit(1), times)))
+        .select(
+            F.when(F.col("report_id") % 8 == 3, -F.col("report_id")).otherwise(F.col("report_id")).alias("report_id"),
+            "user_id",
+            "content",
+            F.split("video_path", r"\+\+").alias("videos"),
+            "created_at",
+        )
     )
 
 
 def steward_lists(league: League) -> DataFrame:
-    """Users whose drivers are reserves become the season's stewards."""
+    """Users whose drivers are reserves become the season's stewards; some seasons and users aren't known."""
     users = league.users.select(F.col("id").alias("user_id"), "driver_id")
     reserves = league.seasons_drivers.filter("is_reserve").join(users, "driver_id")
-    return reserves.join(_seasons(league), "season_id").select("season_name", "user_id")
+    stranger = F.col("driver_id") % 4 == 1
+    return reserves.join(_seasons(league), "season_id").select(
+        _posted_season().alias("season_name"), F.when(stranger, -F.col("user_id")).otherwise(F.col("user_id")).alias("user_id")
+    )
 
 
 def driver_changes(orders: DataFrame) -> DataFrame:
-    """Orders as driver changes: by status a rename, a removal or a new driver."""
+    """Orders as driver changes: by status a rename, a removal or a new driver; urgent ones have no known operation."""
     status = F.col("o_orderstatus")
+    known = F.when(status == "F", "update").when(status == "O", "delete").otherwise("insert")
     return orders.select(
         F.col("o_custkey").alias("id"),
         F.when(status != "O", F.format_string("Driver of order %d", "o_orderkey")).alias("name"),
-        F.when(status == "F", "update").when(status == "O", "delete").otherwise("insert").alias("op"),
+        F.when(F.col("o_orderpriority") != "1-URGENT", known).alias("op"),
         F.col("o_orderkey").alias("seq"),
     )
 
@@ -201,3 +236,28 @@ def name_requests(league: League) -> DataFrame:
     return league.races.select(F.col("id").alias("race_id"), "season_id").join(_seasons(league), "season_id").select(
         "race_id", F.replace("season_name", F.lit(" "), F.lit("%20")).alias("encoded_name")
     )
+
+
+def clock_texts(league: League) -> DataFrame:
+    """Times in the ways people type them, made of whole minutes, seconds and milliseconds."""
+    k = F.col("driver_id") * 7919 + F.col("race_id")
+    minutes, seconds, millis = (k % 90).cast("int"), (F.floor(k / 90) % 60).cast("int"), (F.floor(k / 5400) % 1000).cast("int")
+    text = (
+        F.when(k % 7 == 0, F.format_string("%d:%02d", minutes, seconds))
+        .when(k % 7 == 1, F.format_string("%02d:%d.%d", minutes, seconds, millis))
+        .when(k % 7 == 2, F.format_string("%d.%03d", seconds, millis))
+        .when(k % 7 == 3, F.lit("DNF"))
+        .otherwise(F.format_string("%d:%02d.%03d", minutes, seconds, millis))
+    )
+    return league.races_drivers.select(*ENTRY, text.alias("time_text"))
+
+
+def time_pairs(league: League) -> DataFrame:
+    """Neighbouring times of a race in quarter seconds, in either order, some missing."""
+    k = F.col("driver_id") * 31 + F.col("race_id")
+    first, second = (k % 9000) / 4 + 3600, (k % 7000) / 4 + 3700
+    return league.races_drivers.select(
+        *ENTRY,
+        F.when(k % 19 != 0, first.cast("double")).alias("leader_time"),
+        F.when(k % 5 != 0, F.greatest(first, second).cast("double")).alias("time"),
+    )

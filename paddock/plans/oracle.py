@@ -55,7 +55,8 @@ reports AS (
             WHEN 4 THEN 'https://medal.tv/games/x/clips/m' || o_orderkey
             WHEN 5 THEN 'https://outplayed.tv/o' || o_orderkey
             ELSE 'https://clips.twitch.tv/t' || o_orderkey END)
-         || CASE WHEN o_orderkey % 3 = 0 THEN '++https://example.com/' || o_orderkey ELSE '' END AS video_path,
+         || CASE WHEN o_orderkey % 3 = 0 THEN '++https://example.com/' || o_orderkey ELSE '' END
+         || CASE o_orderkey % 5 WHEN 0 THEN '++/media/reports/' || o_orderkey || '.mp4' WHEN 1 THEN '++https://clips.example/media/' || o_orderkey ELSE '' END AS video_path,
          CASE WHEN o_orderstatus <> 'O' THEN 'verdict ' || o_orderkey END AS verdict,
          race_date + to_hours(CAST((o_orderkey // 20) % 60 - 6 AS INTEGER)) AS created_at
   FROM ord JOIN suppliers_of ON k = o_orderkey
@@ -71,7 +72,7 @@ penalties AS (
   FROM report_targets t JOIN reports r ON r.id = report_id WHERE verdict IS NOT NULL AND t.driver_id IS NOT NULL
 ),
 report_responses AS (
-  SELECT report_id, t.driver_id AS from_driver, 'response ' || t.driver_id || ' to ' || report_id AS content,
+  SELECT report_id || '-' || t.driver_id AS id, report_id, t.driver_id AS from_driver, 'response ' || t.driver_id || ' to ' || report_id AS content,
          (CASE t.driver_id % 7
             WHEN 0 THEN 'https://www.youtube.com/watch?v=v' || t.driver_id || '&t=30'
             WHEN 1 THEN 'https://www.youtube.com/live/v' || t.driver_id
@@ -80,7 +81,8 @@ report_responses AS (
             WHEN 4 THEN 'https://medal.tv/games/x/clips/m' || t.driver_id
             WHEN 5 THEN 'https://outplayed.tv/o' || t.driver_id
             ELSE 'https://clips.twitch.tv/t' || t.driver_id END)
-         || CASE WHEN t.driver_id % 3 = 0 THEN '++https://example.com/' || t.driver_id ELSE '' END AS video_path,
+         || CASE WHEN t.driver_id % 3 = 0 THEN '++https://example.com/' || t.driver_id ELSE '' END
+         || CASE t.driver_id % 5 WHEN 0 THEN '++/media/reports/' || t.driver_id || '.mp4' WHEN 1 THEN '++https://clips.example/media/' || t.driver_id ELSE '' END AS video_path,
          created_at + to_hours(CAST((t.driver_id * 7 + report_id) % 48 AS INTEGER)) AS created_at
   FROM report_targets t JOIN reports r ON r.id = report_id WHERE t.driver_id IS NOT NULL
 ),
@@ -214,7 +216,8 @@ gaps AS (
 changed_drivers AS (
   SELECT coalesce(d.id, n.id) AS id, coalesce(n.name, d.name) AS name
   FROM drivers d FULL JOIN (
-    SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS op, 'Driver of order ' || max(o_orderkey) AS name FROM orders GROUP BY 1
+    SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS op, 'Driver of order ' || max(o_orderkey) AS name
+    FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1
   ) n ON n.id = d.id
   WHERE n.id IS NULL OR (n.op <> 'O' AND NOT (d.id IS NULL AND n.op = 'F'))
 ),
@@ -226,14 +229,37 @@ ids AS (
   SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN upper(h) WHEN '5-LOW' THEN md5(CAST(o_orderkey AS VARCHAR)) ELSE h END AS id_text
   FROM (SELECT *, regexp_replace(md5(CAST(o_orderkey AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS h FROM orders)
 ),
+senders AS (SELECT id AS user_id, driver_id FROM users WHERE driver_id IS NOT NULL),
 videos AS (
   SELECT id AS report_id, unnest(string_split(video_path, '++')) AS path, generate_subscripts(string_split(video_path, '++'), 1) - 1 AS video_no
   FROM reports
 ),
-own_verdicts AS (
-  SELECT report_id, min(driver_id) AS driver_id, min(driver_id) + report_id AS s FROM report_targets GROUP BY 1
-),
-senders AS (SELECT id AS user_id, driver_id FROM users WHERE driver_id IS NOT NULL)
+punished AS (
+  SELECT report_id, race_id, driver_id, s, row_number() OVER (PARTITION BY report_id, driver_id ORDER BY s % 3 * 5, s % 5, s % 2 = 0) AS n
+  FROM (
+    SELECT report_id, min(driver_id) AS driver_id, min(driver_id) + report_id AS s FROM report_targets GROUP BY 1
+    UNION ALL SELECT report_id, max(driver_id), max(driver_id) + report_id FROM report_targets GROUP BY 1 HAVING min(driver_id) <> max(driver_id)
+    UNION ALL SELECT report_id, min(driver_id), min(driver_id) + report_id + 1 FROM report_targets WHERE report_id % 3 = 0 GROUP BY 1
+  ) JOIN reports ON id = report_id WHERE verdict IS NULL AND driver_id IS NOT NULL
+),
+posted AS (
+  SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY time NULLS LAST, driver_id) = 1 AS first,
+         leader_time IS NOT NULL AND first_value(driver_id) OVER (PARTITION BY race_id ORDER BY time NULLS LAST, driver_id) % 10 <> 3 AS ok
+  FROM gaps
+),
+weekends AS (
+  SELECT season_id, date, track_id, k.is_sprint, CAST(timezone('UTC', timezone('Europe/Budapest', date)) AS TIMESTAMP) AS utc
+  FROM (SELECT season_id, date, track_id, bool_or(is_sprint) AS has_sprint FROM races GROUP BY ALL) w
+  JOIN (VALUES (false), (true)) k(is_sprint) ON has_sprint OR NOT k.is_sprint
+),
+entered AS (
+  SELECT driver_id, season_id, any_value(team_id = season_id - 1995) AS unseated, count(*) AS races,
+         arg_max(CASE WHEN is_dsq THEN -1 ELSE team_id END, race_id) AS last_team
+  FROM races_drivers JOIN races ON id = race_id GROUP BY ALL
+),
+new_stewards AS (
+  SELECT sd.season_id, sd.driver_id, user_id FROM seasons_drivers sd JOIN senders s ON s.driver_id = sd.driver_id WHERE is_reserve
+)
 """
 
 
@@ -251,11 +277,18 @@ def _embed(path: str) -> str:
       END"""
 
 
+def _video(v: str) -> tuple[str, str, str]:
+    """is_local, url and embed of a video address."""
+    player = _embed(v)
+    local = f"starts_with({v}, '/media/')"
+    return local, f"CASE WHEN {local} THEN substr({v}, 8) ELSE coalesce({player}, {v}) END", f"NOT {local} AND {player} IS NOT NULL"
+
+
 def _video_json(column: str) -> str:
-    player = _embed("v")
+    local, url, embed = _video("v")
     return (
         f"CAST(to_json(list_transform(string_split({column}, '++'),"
-        f" lambda v: {{'url': coalesce({player}, v), 'embed': {player} IS NOT NULL}})) AS VARCHAR)"
+        f" lambda v: {{'is_local': {local}, 'url': {url}, 'embed': {embed}}})) AS VARCHAR)"
     )
 
 
@@ -320,7 +353,6 @@ _SELECTS: dict[str, str] = {
              rank, points, is_dsq FROM cells""",
     "driver_standings": """
       SELECT season_id, position, driver_id, driver_name, is_reserve, points_total, color, wins_count,
-             CAST(0 AS INTEGER) AS part,
              CAST(to_json(list({'race_id': race_id, 'team_name': team_name, 'has_fastest_lap': has_fastest_lap, 'rank': cell,
                                 'points': cell_points, 'has_been_raced': has_been_raced} ORDER BY race_no)) AS VARCHAR) AS races
       FROM cells GROUP BY ALL""",
@@ -343,7 +375,7 @@ _SELECTS: dict[str, str] = {
       LEFT JOIN pen p ON p.race_id = h.race_id AND p.driver_id = sd.driver_id LEFT JOIN teams t ON t.id = sd.team_id""",
     "penalty_points_nested": """
       SELECT sd.season_id, sd.driver_id, d.name AS driver_name, CAST(coalesce(sum(p.points), 0) AS BIGINT) AS points_total,
-             t.icon AS team_icon, CAST(0 AS INTEGER) AS part,
+             t.icon AS team_icon,
              CAST(to_json(list(coalesce(p.points, 0) ORDER BY race_no)) AS VARCHAR) AS races
       FROM seasons_drivers sd JOIN drivers d ON d.id = sd.driver_id JOIN header h ON h.season_id = sd.season_id
       LEFT JOIN pen p ON p.race_id = h.race_id AND p.driver_id = sd.driver_id LEFT JOIN teams t ON t.id = sd.team_id
@@ -353,13 +385,19 @@ _SELECTS: dict[str, str] = {
       FROM races_drivers rd JOIN drivers d ON d.id = rd.driver_id JOIN teams t ON t.id = rd.team_id
       JOIN races r ON r.id = rd.race_id JOIN tracks tr ON tr.id = r.track_id""",
     "race_lineup_options": """
-      SELECT r.id AS race_id, sd.team_id AS option_team_id, sd.driver_id, d.name AS driver_name, sd.is_reserve,
-             CASE WHEN sd.is_reserve OR rd.team_id = sd.team_id THEN rd.team_id END AS entered_team_id,
-             CASE WHEN n.n IS NULL THEN NOT sd.is_reserve
-                  ELSE rd.team_id IS NOT NULL AND (sd.is_reserve OR rd.team_id = sd.team_id) END AS is_picked,
+      SELECT r.id AS race_id, tr.race_name, r.date AS race_date, o.team_id AS option_team_id, t.name AS team_name, t.color,
+             o.driver_id, d.name AS driver_name, o.is_reserve,
+             CASE WHEN o.is_reserve OR rd.team_id = o.team_id THEN rd.team_id END AS entered_team_id,
+             CASE WHEN o.driver_id IS NULL THEN NULL WHEN n.n IS NULL THEN NOT o.is_reserve
+                  ELSE rd.team_id IS NOT NULL AND (o.is_reserve OR rd.team_id = o.team_id) END AS is_picked,
              n.n IS NULL AS is_empty
-      FROM races r JOIN seasons_drivers sd ON sd.season_id = r.season_id JOIN drivers d ON d.id = sd.driver_id
-      LEFT JOIN races_drivers rd ON rd.race_id = r.id AND rd.driver_id = sd.driver_id
+      FROM races r JOIN (
+        SELECT season_id, team_id, driver_id, is_reserve FROM seasons_drivers
+        UNION ALL SELECT s.id, t.id, NULL, NULL FROM seasons s CROSS JOIN teams t
+        WHERE NOT EXISTS (SELECT 1 FROM seasons_drivers sd WHERE sd.season_id = s.id AND sd.team_id = t.id)
+      ) o ON o.season_id = r.season_id LEFT JOIN drivers d ON d.id = o.driver_id LEFT JOIN teams t ON t.id = o.team_id
+      LEFT JOIN tracks tr ON tr.id = r.track_id
+      LEFT JOIN races_drivers rd ON rd.race_id = r.id AND rd.driver_id = o.driver_id
       LEFT JOIN (SELECT race_id, count(*) AS n FROM races_drivers GROUP BY 1) n ON n.race_id = r.id""",
     "race_gap_sheet": """
       SELECT g.race_id, g.driver_id, d.name AS driver_name, t.name AS team_name, t.color, gap,
@@ -368,13 +406,13 @@ _SELECTS: dict[str, str] = {
       FROM gaps g JOIN drivers d ON d.id = g.driver_id JOIN teams t ON t.id = g.team_id
       LEFT JOIN races_drivers f ON f.race_id = g.race_id AND f.has_fastest_lap LEFT JOIN drivers fd ON fd.id = f.driver_id""",
     "incident_reports": f"""
-      SELECT r.id AS report_id, r.race_id, n.rank, CAST(0 AS INTEGER) AS part, r.from_driver, d.name AS from_name, r.content,
+      SELECT r.id AS report_id, r.race_id, n.rank, r.from_driver, d.name AS from_name, r.content,
              {_video_json("r.video_path")} AS videos, r.created_at, r.verdict,
              coalesce(t.targets, '[]') AS targets, coalesce(s.responses, '[]') AS responses, coalesce(p.penalties, '[]') AS penalties
       FROM reports r JOIN numbered n ON n.report_id = r.id JOIN drivers d ON d.id = r.from_driver
       LEFT JOIN {_TARGETS_JSON} t ON t.report_id = r.id
       LEFT JOIN (
-        SELECT report_id, CAST(to_json(list({{'from_driver': from_driver, 'driver_name': name, 'content': content,
+        SELECT report_id, CAST(to_json(list({{'id': id, 'from_driver': from_driver, 'driver_name': name, 'content': content,
                  'videos': CAST(videos AS JSON), 'created_at': strftime(created_at, '%Y-%m-%d %H:%M:%S')}}
                  ORDER BY created_at, from_driver, content)) AS VARCHAR) AS responses
         FROM (SELECT rr.*, {_video_json("rr.video_path")} AS videos, d.name FROM report_responses rr JOIN drivers d ON d.id = rr.from_driver)
@@ -386,7 +424,7 @@ _SELECTS: dict[str, str] = {
     "report_rank": "SELECT report_id, race_id, created_at, rank FROM numbered",
     "open_reports": f"""
       SELECT r.id AS report_id, r.race_id, tr.race_name, n.rank, r.from_driver, d.name AS from_name,
-             CAST(0 AS INTEGER) AS part, coalesce(t.targets, '[]') AS targets
+             coalesce(t.targets, '[]') AS targets
       FROM reports r JOIN numbered n ON n.report_id = r.id JOIN races ra ON ra.id = r.race_id JOIN tracks tr ON tr.id = ra.track_id
       JOIN drivers d ON d.id = r.from_driver LEFT JOIN {_TARGETS_JSON} t ON t.report_id = r.id
       WHERE r.verdict IS NULL""",
@@ -395,10 +433,10 @@ _SELECTS: dict[str, str] = {
       FROM reports r JOIN drivers d ON d.id = r.from_driver
       UNION ALL SELECT report_id, 'target', driver_id, target_name FROM named_targets""",
     "report_notification_feed": f"""
-      SELECT r.id AS report_id, r.race_id, n.rank, CAST(0 AS INTEGER) AS part, d.name AS sender,
+      SELECT r.id AS report_id, r.race_id, n.rank, d.name AS sender,
              {_LINK} AS link, {_REPORT_MESSAGE} AS message {_FEED}""",
     "verdict_notification_feed": f"""
-      SELECT r.id AS report_id, r.race_id, n.rank, CAST(0 AS INTEGER) AS part, 'FIA' AS sender,
+      SELECT r.id AS report_id, r.race_id, n.rank, 'FIA' AS sender,
              {_LINK} AS link, {_VERDICT_MESSAGE} AS message {_FEED} WHERE r.verdict IS NOT NULL""",
     "season_schedule": """
       SELECT h.season_id, s.name AS season_name, race_no, race_id, date, race_name, track_id, is_sprint, image
@@ -409,7 +447,7 @@ _SELECTS: dict[str, str] = {
     "available_drivers": "SELECT s.id AS season_id, p.id AS driver_id, p.name AS driver_name "
     + _absent("drivers", "id", "AND NOT sd.is_reserve"),
     "season_lineup": """
-      SELECT s.id AS season_id, t.id AS team_id, t.name AS team_name, t.color, t.icon, CAST(0 AS INTEGER) AS part,
+      SELECT s.id AS season_id, t.id AS team_id, t.name AS team_name, t.color, t.icon,
              CASE WHEN count(sd.driver_id) = 0 THEN '[]' ELSE
                CAST(to_json(list({'driver_id': sd.driver_id, 'driver_name': d.name} ORDER BY sd.driver_id)) AS VARCHAR) END AS drivers,
              sum(count(sd.driver_id)) OVER (PARTITION BY s.id) = 0 AS is_empty_line_up
@@ -426,7 +464,7 @@ _SELECTS: dict[str, str] = {
       SELECT s.id AS season_id, u.user_id, d.name AS driver_name
       FROM senders u JOIN drivers d ON d.id = u.driver_id JOIN users_roles ur ON ur.user_id = u.user_id JOIN seasons s ON s.fia_role_id = ur.role_id""",
     "users_with_roles": """
-      SELECT u.id AS user_id, username, u.driver_id, d.name AS driver_name, CAST(0 AS INTEGER) AS part, coalesce(r.roles, '[]') AS roles
+      SELECT u.id AS user_id, username, u.driver_id, d.name AS driver_name, coalesce(r.roles, '[]') AS roles
       FROM users u LEFT JOIN drivers d ON d.id = u.driver_id LEFT JOIN (
         SELECT user_id, CAST(to_json(list({'role_id': role_id, 'role_name': name} ORDER BY role_id)) AS VARCHAR) AS roles
         FROM users_roles JOIN roles ON id = role_id GROUP BY 1) r ON r.user_id = u.id""",
@@ -442,93 +480,151 @@ _SELECTS: dict[str, str] = {
     "season_by_name": "SELECT id AS race_id, 'Season ' || season_id AS season_name, season_id FROM races",
     "nested_json_sink": """
       SELECT season_id, position, driver_id, points_total, race_id, cell AS rank, cell_points AS points FROM cells""",
+    "lookup": """
+      SELECT CAST(driver_id AS VARCHAR) AS driver_id, CAST(season_id AS VARCHAR) AS season_id, CAST(team_id AS VARCHAR) AS team_id, is_reserve
+      FROM seasons_drivers WHERE season_id = 1998""",
+    "report_targets": "SELECT report_id, driver_id, target_id, target_name FROM named_targets",
+    "report_penalties": """
+      SELECT report_id, driver_id, d.name AS driver_name, time, penalty_points, is_dsq FROM penalties JOIN drivers d ON d.id = driver_id""",
     "ingest_schedule": """
-      SELECT season_id, CAST(timezone('UTC', timezone('Europe/Budapest', date)) AS TIMESTAMP) AS date,
-             is_sprint, CAST(track_id AS VARCHAR) AS track_id
-      FROM (SELECT season_id, date, track_id, bool_or(is_sprint) AS has_sprint FROM races GROUP BY ALL) w
-      JOIN (VALUES (false), (true)) k(is_sprint) ON has_sprint OR NOT k.is_sprint""",
+      SELECT season_id || '-' || strftime(utc, '%Y%m%d%H%M') || CASE WHEN is_sprint THEN '-sprint' ELSE '' END AS id,
+             season_id, utc AS date, is_sprint, track_id
+      FROM weekends WHERE month(date) <> 6""",
+    "ingest_schedule_rejected": """
+      SELECT 'Season ' || season_id AS season_name, 'nowhere' AS track_id, strftime(date, '%Y-%m-%dT%H:%M') AS timestamp,
+             is_sprint, 'unknown track' AS reason
+      FROM weekends WHERE month(date) = 6""",
     "ingest_results": """
       SELECT race_id, driver_id, team_id,
-             CASE WHEN time > leader_time OR first THEN time END AS time,
-             CASE WHEN leader_time IS NOT NULL AND NOT first AND (time IS NULL OR time > leader_time) THEN plus_laps END AS plus_laps,
-             leader_time IS NOT NULL AND has_fastest_lap AS has_fastest_lap, is_dsq
-      FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY time NULLS LAST, driver_id) = 1 AS first FROM gaps)""",
+             CASE WHEN ok AND (time > leader_time OR first) THEN time END AS time,
+             CASE WHEN ok AND NOT first AND (time IS NULL OR time > leader_time) THEN plus_laps END AS plus_laps,
+             ok AND has_fastest_lap AS has_fastest_lap, is_dsq
+      FROM posted""",
     "ingest_results_rejected": """
-      SELECT race_id, driver_id, CASE WHEN leader_time IS NOT NULL THEN time_text END AS time,
-             CASE WHEN leader_time IS NULL THEN 'no leader time' ELSE 'unreadable gap' END AS reason
-      FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY time NULLS LAST, driver_id) = 1 AS first FROM gaps)
-      WHERE leader_time IS NULL OR (time = leader_time AND NOT first)""",
+      SELECT race_id, CASE WHEN first AND driver_id % 10 = 3 THEN -driver_id ELSE driver_id END AS driver_id, gap AS time,
+             CASE WHEN first AND driver_id % 10 = 3 THEN 'not entered' WHEN NOT ok THEN 'no leader time' ELSE 'unreadable gap' END AS reason
+      FROM posted WHERE NOT ok OR (time = leader_time AND NOT first)""",
     "replace_race_entries": """
       SELECT race_id, driver_id, team_id, CASE WHEN bad THEN time END AS time, CASE WHEN bad THEN plus_laps END AS plus_laps,
              bad AND has_fastest_lap AS has_fastest_lap, bad AND is_dsq AS is_dsq
       FROM (SELECT *, bool_or(is_dsq AND has_fastest_lap) OVER (PARTITION BY race_id) AS bad FROM races_drivers)""",
-    "flatten_team_pairs": """
-      SELECT min(driver_id) AS driver_id, season_id, team_id FROM seasons_drivers WHERE team_id IS NOT NULL GROUP BY 2, 3
-      UNION ALL SELECT max(driver_id), season_id, team_id FROM seasons_drivers WHERE team_id IS NOT NULL GROUP BY 2, 3""",
+    "replace_race_entries_rejected": """
+      SELECT race_id, driver_id, 2 AS times_listed FROM races_drivers WHERE is_dsq AND has_fastest_lap""",
+    "flatten_team_pairs": "SELECT driver_id, season_id, team_id FROM seasons_drivers WHERE team_id IS NOT NULL",
     "roster_to_entries": """
       SELECT r.id AS race_id, driver_id, team_id FROM seasons_drivers sd JOIN races r ON r.season_id = sd.season_id
       WHERE team_id IS NOT NULL""",
     "add_reserves": """
-      SELECT DISTINCT driver_id, season_id, CAST(NULL AS INTEGER) AS team_id, true AS is_reserve
-      FROM races_drivers JOIN races ON id = race_id WHERE team_id = season_id - 1995""",
+      SELECT driver_id, season_id, CAST(NULL AS INTEGER) AS team_id, true AS is_reserve
+      FROM entered WHERE unseated AND driver_id % 11 <> 5 AND driver_id % 13 <> 0""",
+    "add_reserves_rejected": """
+      SELECT 'No season' AS season_name, driver_id, 'unknown season' AS reason, count(*) * CASE WHEN driver_id % 13 = 0 THEN 2 ELSE 1 END AS copies
+      FROM entered WHERE driver_id % 11 = 5 GROUP BY driver_id
+      UNION ALL SELECT 'Season ' || season_id, driver_id, CASE WHEN unseated THEN 'posted twice' ELSE 'already in season' END,
+             CASE WHEN driver_id % 13 = 0 THEN 2 ELSE 1 END
+      FROM entered WHERE driver_id % 11 <> 5 AND (driver_id % 13 = 0 OR NOT unseated)""",
     "upsert_lineup": """
-      SELECT driver_id, season_id, new_team AS team_id, new_team IS NULL AS is_reserve
-      FROM (SELECT driver_id, season_id, any_value(team_id = season_id - 1995) AS unseated,
-                   arg_max(CASE WHEN is_dsq THEN -1 ELSE team_id END, race_id) AS last_team,
-                   CASE WHEN last_team >= 0 THEN last_team END AS new_team
-            FROM races_drivers JOIN races ON id = race_id GROUP BY ALL)
-      WHERE NOT (unseated AND new_team IS NULL)""",
+      SELECT driver_id, season_id, CASE WHEN last_team >= 0 THEN last_team END AS team_id, last_team < 0 AS is_reserve
+      FROM entered WHERE driver_id % 11 <> 5 AND NOT (unseated AND last_team < 0)
+      UNION ALL SELECT driver_id, season_id, team_id, is_reserve FROM seasons_drivers WHERE driver_id % 11 = 5""",
+    "upsert_lineup_rejected": """
+      SELECT 'No season' AS season_name, driver_id, 'unknown season' AS reason FROM races_drivers WHERE driver_id % 11 = 5
+      UNION ALL SELECT 'Season ' || season_id, driver_id, 'not in season' FROM entered WHERE driver_id % 11 <> 5 AND unseated AND last_team < 0""",
     "apply_verdicts": """
       SELECT id, coalesce(verdict, 'ruling 1 of ' || id) AS verdict FROM reports""",
     "apply_verdicts_penalties": """
       SELECT * FROM penalties UNION ALL
-      SELECT report_id, v.driver_id, CAST(s % 3 * 5 AS INTEGER), CAST(s % 5 AS INTEGER), s % 2 = 0
-      FROM own_verdicts v JOIN reports r ON r.id = report_id WHERE verdict IS NULL AND v.driver_id IS NOT NULL""",
+      SELECT report_id, driver_id, CAST(s % 3 * 5 AS INTEGER), CAST(s % 5 AS INTEGER), s % 2 = 0 FROM punished WHERE n = 1""",
     "apply_verdicts_entries": """
       SELECT race_id, driver_id, is_dsq OR (race_id, driver_id) IN (
-               SELECT (r.race_id, v.driver_id) FROM own_verdicts v JOIN reports r ON r.id = report_id WHERE verdict IS NULL AND s % 2 = 0
+               SELECT (race_id, driver_id) FROM punished WHERE n = 1 AND s % 2 = 0
              ) AS is_dsq
       FROM races_drivers""",
     "apply_verdicts_rejected": """
-      SELECT id AS report_id, CAST(k AS INTEGER) AS seq, 'ruling ' || k || ' of ' || id AS content
-      FROM reports CROSS JOIN (VALUES (1), (2)) x(k) WHERE verdict IS NOT NULL OR k = 2""",
+      SELECT CASE WHEN k = 2 AND id % 17 = 0 THEN -1 - id ELSE id END AS report_id, CAST(k AS INTEGER) AS seq, 'ruling ' || k || ' of ' || id AS content,
+             CASE WHEN k = 2 AND id % 17 = 0 THEN 'unknown report' WHEN verdict IS NOT NULL THEN 'already decided'
+                  WHEN k = 1 THEN 'sent again' ELSE 'not the first' END AS reason,
+             CASE WHEN k = 1 AND verdict IS NOT NULL THEN 2 ELSE 1 END AS copies
+      FROM reports CROSS JOIN (VALUES (1), (2)) x(k)""",
+    "apply_verdicts_rejected_penalties": """
+      SELECT report_id, driver_id, CAST(s % 3 * 5 AS INTEGER) AS time, CAST(s % 5 AS INTEGER) AS penalty_points, s % 2 = 0 AS is_dsq,
+             'second penalty' AS reason, 1 AS copies
+      FROM punished WHERE n > 1""",
     "append_reports": """
       SELECT r.id || '-' || target_id AS id, race_id, from_driver, content, video_path, CAST(NULL AS VARCHAR) AS verdict, created_at
-      FROM reports r JOIN senders s ON s.driver_id = r.from_driver JOIN named_targets t ON t.report_id = r.id""",
+      FROM reports r JOIN senders s ON s.driver_id = r.from_driver JOIN named_targets t ON t.report_id = r.id WHERE r.id % 9 <> 4""",
     "append_report_targets": """
       SELECT r.id || '-' || target_id AS report_id, t.driver_id
-      FROM reports r JOIN senders s ON s.driver_id = r.from_driver JOIN named_targets t ON t.report_id = r.id
+      FROM reports r JOIN senders s ON s.driver_id = r.from_driver JOIN named_targets t ON t.report_id = r.id WHERE r.id % 9 <> 4
       UNION ALL
       SELECT r.id || '-' || target_id, NULL
       FROM reports r JOIN senders s ON s.driver_id = r.from_driver JOIN named_targets t ON t.report_id = r.id
-      WHERE t.driver_id % 2 = 0""",
+      WHERE t.driver_id % 2 = 0 AND r.id % 9 <> 4""",
+    "append_reports_rejected": """
+      SELECT r.id || '-' || target_id AS id, race_id, -1 - user_id AS user_id, 'unknown user' AS reason, 1 AS copies
+      FROM reports r JOIN senders s ON s.driver_id = r.from_driver JOIN named_targets t ON t.report_id = r.id WHERE r.id % 9 = 4""",
     "append_responses": """
-      SELECT report_id, from_driver, content, video_path, created_at FROM report_responses JOIN senders ON driver_id = from_driver""",
+      SELECT report_id || '-' || user_id || '-' || md5(content || '|' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '|' || video_path) AS id,
+             report_id, from_driver, content, video_path, created_at
+      FROM report_responses JOIN senders ON driver_id = from_driver WHERE report_id % 8 <> 3""",
+    "append_responses_rejected": """
+      SELECT CASE WHEN report_id % 8 = 3 THEN -report_id ELSE report_id END AS report_id, user_id, created_at,
+             CASE WHEN report_id % 8 = 3 THEN 'unknown report' ELSE 'sent again' END AS reason, 1 AS copies
+      FROM report_responses JOIN senders ON driver_id = from_driver WHERE report_id % 8 = 3 OR report_id % 4 = 1""",
     "replace_role_members": """
-      SELECT user_id, role_id FROM users_roles WHERE role_id NOT IN (
-        SELECT season_id FROM seasons_drivers JOIN senders USING (driver_id) WHERE is_reserve)
-      UNION ALL SELECT user_id, season_id FROM seasons_drivers JOIN senders USING (driver_id) WHERE is_reserve""",
+      SELECT user_id, role_id FROM users_roles WHERE role_id NOT IN (SELECT season_id FROM new_stewards WHERE driver_id % 11 <> 5)
+      UNION ALL SELECT user_id, season_id FROM new_stewards WHERE driver_id % 11 <> 5 AND driver_id % 4 <> 1""",
+    "replace_role_members_rejected": """
+      SELECT 'No season' AS season_name, CASE WHEN driver_id % 4 = 1 THEN -user_id ELSE user_id END AS user_id,
+             'unknown season' AS reason, count(*) AS copies
+      FROM new_stewards WHERE driver_id % 11 = 5 GROUP BY driver_id, user_id
+      UNION ALL SELECT 'Season ' || season_id, -user_id, 'unknown user', 1 FROM new_stewards WHERE driver_id % 11 <> 5 AND driver_id % 4 = 1""",
+    "apply_changes_rejected": """
+      SELECT o_custkey AS id, CAST(NULL AS VARCHAR) AS op, o_orderkey AS seq, 'unknown operation' AS reason FROM orders WHERE o_orderpriority = '1-URGENT'
+      UNION ALL SELECT id, 'update', seq, 'nothing to update' FROM (
+        SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS op, max(o_orderkey) AS seq
+        FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1)
+      WHERE op = 'F' AND id NOT IN (SELECT id FROM drivers)""",
     "apply_changes": "SELECT id, name FROM changed_drivers",
     "points_for": "SELECT race_id, driver_id, rank, is_sprint, has_fastest_lap, is_dsq, points FROM scored",
     "parse_gap": """
-      SELECT race_id, driver_id, gap, CASE WHEN ok THEN leader_time + coalesce(TRY_CAST(mm AS INTEGER), 0) * 60 + CAST(ss AS INTEGER)
-               + coalesce(TRY_CAST('0.' || substr(fr, 2) AS DOUBLE), 0) END AS time,
-             coalesce(ok OR gap LIKE 'DNF%' AND length(gap) = 3, false) AS is_valid,
-             coalesce((ok AND length(whole) = length(gap)) OR gap = 'DNF', false) AS is_valid_strictly
+      SELECT race_id, driver_id, gap,
+             CASE WHEN readable THEN leader_time + coalesce(TRY_CAST(minutes AS INTEGER), 0) * 60 + CAST(seconds AS INTEGER) + CAST('0.' || fraction || '0' AS DOUBLE) END AS time,
+             coalesce(readable OR gap = 'DNF', false) AS is_valid, coalesce(readable AND length(tail) <= 3 OR gap = 'DNF', false) AS is_valid_strictly
+      FROM (
+        SELECT *, substr(tail, 1, 3) AS fraction, starts_with(gap, '+') AND TRY_CAST(seconds AS INTEGER) BETWEEN 0 AND 59 AND length(seconds) <= 2
+               AND (minutes = '' OR TRY_CAST(minutes AS INTEGER) BETWEEN 0 AND 59 AND length(minutes) <= 2) AS readable
+        FROM (
+          SELECT *, CASE WHEN contains(clock, ':') THEN split_part(clock, ':', 1) ELSE '' END AS minutes, split_part(clock, ':', -1) AS seconds
+          FROM (
+            SELECT *, split_part(substr(dotted, 2), '.', 1) AS clock, split_part(dotted, '.', 2) AS tail
+            FROM (
+              SELECT *, replace(gap, ',', '.') AS dotted
+              FROM (SELECT race_id, driver_id, leader_time,
+                           CASE WHEN has_fastest_lap THEN gap || '99' WHEN plus_laps = 1 THEN replace(gap, '.', ',')
+                                WHEN plus_laps = 2 THEN '+' || substr(gap, 5, 6) ELSE gap END AS gap
+                    FROM gaps)))))""",
+    "format_gap": """
+      SELECT race_id, driver_id,
+             CASE WHEN leader IS NULL THEN NULL WHEN late IS NULL THEN 'DNF'
+                  WHEN late = leader THEN CAST(floor(late / 60) AS INTEGER) || ':' || lpad(CAST(CAST(floor(late % 60) AS INTEGER) AS VARCHAR), 2, '0')
+                    || CASE WHEN late % 1 > 0 THEN '.' || lpad(CAST(CAST((late % 1) * 1000 AS INTEGER) AS VARCHAR), 3, '0') ELSE '' END
+                  ELSE '+' || lpad(CAST(CAST(floor((late - leader) / 60) AS INTEGER) AS VARCHAR), 2, '0') || ':'
+                    || lpad(CAST(CAST(floor((late - leader) % 60) AS INTEGER) AS VARCHAR), 2, '0') || '.'
+                    || lpad(CAST(CAST(((late - leader) % 1) * 1000 AS INTEGER) AS VARCHAR), 3, '0') END AS gap
       FROM (
-        SELECT race_id, driver_id, leader_time, gap, regexp_matches(gap, p) AS ok, regexp_extract(gap, p, 0) AS whole,
-               regexp_extract(gap, p, 2) AS mm, regexp_extract(gap, p, 3) AS ss, regexp_extract(gap, p, 4) AS fr
-        FROM (SELECT race_id, driver_id, leader_time, '^\\+(([0-5]?[0-9]):)?([0-5]?[0-9])([.,][0-9]{1,3})?' AS p,
-                     CASE WHEN has_fastest_lap THEN gap || '99' WHEN plus_laps = 1 THEN replace(gap, '.', ',')
-                          WHEN plus_laps = 2 THEN '+' || substr(gap, 5, 6) ELSE gap END AS gap
-              FROM gaps))""",
-    "format_gap": "SELECT race_id, driver_id, gap FROM gaps",
+        SELECT race_id, driver_id, CASE WHEN k % 19 <> 0 THEN k % 9000 / 4 + 3600 END AS leader,
+               CASE WHEN k % 5 <> 0 THEN greatest(k % 9000 / 4 + 3600, k % 7000 / 4 + 3700) END AS late
+        FROM (SELECT race_id, driver_id, driver_id * 31 + race_id AS k FROM races_drivers))""",
     "format_time": "SELECT race_id, driver_id, time_text FROM gaps",
-    "parse_time": "SELECT race_id, driver_id, time FROM races_drivers",
+    "parse_time": """
+      SELECT race_id, driver_id, CASE WHEN k % 7 IN (2, 3) THEN NULL
+               ELSE k % 90 * 60 + k // 90 % 60 + CASE WHEN k % 7 = 0 THEN 0 ELSE CAST(k // 5400 % 1000 AS DOUBLE) / 1000 END END AS time
+      FROM (SELECT race_id, driver_id, driver_id * 7919 + race_id AS k FROM races_drivers)""",
     "has_been_raced": "SELECT id AS race_id, date < TIMESTAMP '2000-06-14 21:00:00' AS has_been_raced FROM races",
     "expiry_instant": "SELECT id, TIMESTAMP '2000-06-15 00:00:00' + to_seconds(id) AS expires_at FROM discord_accounts",
     "local_instant": """
-      SELECT DISTINCT 'Season ' || season_id AS season_name, CAST(track_id AS VARCHAR) AS track_id,
+      SELECT DISTINCT 'Season ' || season_id AS season_name, CASE WHEN month(date) = 6 THEN 'nowhere' ELSE CAST(track_id AS VARCHAR) END AS track_id,
              CAST(timezone('UTC', timezone('Europe/Budapest', date)) AS TIMESTAMP) AS starts_at
       FROM races""",
     "report_deadline": """
@@ -536,11 +632,10 @@ _SELECTS: dict[str, str] = {
              CAST(timezone('UTC', timezone('Europe/Budapest', date_trunc('day', timezone('Europe/Budapest', timezone('UTC', date)))
                + INTERVAL 2 DAY - INTERVAL 1 SECOND)) AS TIMESTAMP) AS local_deadline
       FROM races""",
-    "video_links": f"""
-      SELECT report_id, CAST(video_no AS INTEGER) AS video_no, false AS is_local, coalesce({_embed("path")}, path) AS url,
-             {_embed("path")} IS NOT NULL AS embed
-      FROM videos""",
-    "mention_text": "SELECT report_id, CAST(0 AS INTEGER) AS part, mentions FROM mentions",
+    "video_links": """
+      SELECT report_id, CAST(video_no AS INTEGER) AS video_no, %s AS is_local, %s AS url, %s AS embed FROM videos"""
+    % _video("path"),
+    "mention_text": "SELECT report_id, mentions FROM mentions",
     "report_link": f"SELECT r.id AS report_id, {_LINK} AS link {_FEED}",
     "message_time": "SELECT id AS report_id, strftime(created_at, '%d.%m.%y %H:%M:%S') AS sent FROM reports",
     "name_decode": "SELECT id AS race_id, url_decode('Season%20' || season_id) AS season_name FROM races",
@@ -570,17 +665,16 @@ _SELECTS: dict[str, str] = {
              CAST(length(text) AS INTEGER) AS length, CAST(50 AS INTEGER) AS max_length
       FROM documents WHERE length(text) > 50""",
     "dq_one_fastest_lap": """
-      SELECT race_id, count(*) FILTER (WHERE has_fastest_lap AND NOT is_dsq) AS fastest_laps,
-             count(*) FILTER (WHERE time IS NOT NULL AND NOT is_dsq) AS finishers
-      FROM races_drivers GROUP BY 1 HAVING fastest_laps <> 1 AND finishers > 0""",
+      SELECT race_id, count(*) FILTER (WHERE has_fastest_lap AND NOT is_dsq) AS fastest_laps, count(time) AS timed
+      FROM races_drivers GROUP BY 1 HAVING fastest_laps <> 1 AND timed > 0""",
     "report_gate": "SELECT id AS report_id, race_id, from_driver, created_at, gate FROM gated",
     "response_gate": "SELECT report_id, from_driver, content, created_at, gate FROM gated_responses",
     "stream_report_gate": "SELECT id AS report_id, race_id, from_driver, created_at, gate FROM gated",
     "stream_response_gate": "SELECT report_id, from_driver, content, created_at, gate FROM gated_responses",
     "stream_notifications": f"""
-      SELECT r.id AS report_id, false AS is_decision, CAST(0 AS INTEGER) AS part, d.name AS sender, {_REPORT_MESSAGE} AS message {_FEED}
+      SELECT r.id AS report_id, false AS is_decision, d.name AS sender, {_REPORT_MESSAGE} AS message {_FEED}
       UNION ALL
-      SELECT r.id, true, 0, 'FIA', {_VERDICT_MESSAGE} {_FEED} WHERE r.verdict IS NOT NULL""",
+      SELECT r.id, true, 'FIA', {_VERDICT_MESSAGE} {_FEED} WHERE r.verdict IS NOT NULL""",
 }
 
 

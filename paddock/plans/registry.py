@@ -61,38 +61,33 @@ def _response_columns(rows: DataFrame) -> DataFrame:
 def _stream_report_gate(league: League) -> DataFrame:
     spark = league.races.sparkSession
     inbox, out, state = (new_folder(spark, f"report-{kind}") for kind in ("inbox", "out", "state"))
-    # every report arrives twice
-    league.reports.unionByName(league.reports).write.parquet(inbox)
-    labelled = _report_columns(
-        gates.stream_report_gate(gates.read_files(spark, inbox, league.reports.schema), league)
-    )
-    gates.run_to_files(labelled, out, state).awaitTermination()
-    return spark.read.schema(labelled.schema).parquet(out)
+    # the last reports come first, and every report comes again
+    league.reports.repartitionByRange(3, F.col("created_at").desc()).write.parquet(inbox)
+    league.reports.write.mode("append").parquet(inbox)
+    stream = gates.read_files(spark, inbox, league.reports.schema, max_files=2)
+    gates.stream_report_gate(stream, league, out, state).awaitTermination()
+    return _report_columns(spark.read.parquet(out))
 
 
 def _stream_response_gate(league: League) -> DataFrame:
     spark = league.races.sparkSession
-    sent, taken, out, state = (
-        new_folder(spark, f"response-{kind}") for kind in ("sent", "taken", "out", "state")
-    )
+    sent, out, state = (new_folder(spark, f"response-{kind}") for kind in ("sent", "out", "state"))
     responses = league.report_responses
     accepted = gates.accepted(_gated_reports(league)).select(*league.reports.columns)
-    # a last mark far ahead on both sides moves the watermark past every real row
-    ahead = F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("created_at")
-    marks = league.seasons.agg(F.lit(-1).cast("bigint").alias("mark"))
-    responses.unionByName(
-        marks.select(F.col("mark").alias("report_id"), ahead), allowMissingColumns=True
-    ).write.parquet(sent)
-    accepted.unionByName(marks.select(F.col("mark").alias("id"), ahead), allowMissingColumns=True).write.parquet(taken)
-    labelled = _response_columns(
-        gates.stream_response_gate(
-            gates.read_files(spark, sent, responses.schema),
-            gates.read_files(spark, taken, accepted.schema),
-            league,
-        )
-    )
-    gates.run_to_files(labelled, out, state).awaitTermination()
-    return spark.read.schema(labelled.schema).parquet(out).filter(F.col("report_id") >= 0)
+    asked: list[int] = []
+
+    def accepted_so_far() -> DataFrame:
+        """At first only some reports are accepted, so their responses have to wait."""
+        asked.append(len(asked))
+        return accepted if len(asked) > 1 else accepted.filter("id % 2 = 0")
+
+    responses.repartitionByRange(2, F.col("created_at").desc()).write.parquet(sent)
+    stream = gates.read_files(spark, sent, responses.schema, max_files=1)
+    query = gates.stream_response_gate(stream, accepted_so_far, league, out, state)
+    query.awaitTermination()
+    labelled = spark.read.parquet(f"{out}/labelled").drop("batch")
+    waiting = gates.unanswered(spark, out, responses.schema, gates.last_batch(query))
+    return _response_columns(labelled.unionByName(waiting))
 
 
 def _stream_notifications(league: League) -> DataFrame:
@@ -103,34 +98,80 @@ def _stream_notifications(league: League) -> DataFrame:
         F.col("id").alias("report_id"), F.lit(True).alias("is_decision")
     )
     news = arrived.unionByName(decided)
-    news.write.parquet(inbox)
-    stream = gates.read_files(spark, inbox, news.schema)
-    notifications.stream_notifications(stream, league, BASE_URL, out, state).awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{out}").select(
-        "report_id", "is_decision", "part", "sender", "message"
+    news.repartition(2).write.parquet(inbox)
+    stream = gates.read_files(spark, inbox, news.schema, max_files=1)
+    asked: list[int] = []
+
+    def tables_so_far() -> League:
+        """At first only some reports are there, so news of the others has to wait."""
+        asked.append(len(asked))
+        return league if len(asked) > 1 else league.replacing(reports=league.reports.filter("race_id % 2 = 0"))
+
+    notifications.stream_notifications(stream, tables_so_far, BASE_URL, out, state).awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/sent").select(
+        "report_id", "is_decision", "sender", "message"
     )
 
 
+def _loaded(league: League) -> League:
+    """The league written as a live one keeps it, and read back."""
+    spark = league.races.sparkSession
+    path = new_folder(spark, "league")
+    tables.write_league(tables.conformed(league), path)
+    return tables.load_league(spark, path)
+
+
 def _schedule(league: League) -> tuple[DataFrame, DataFrame]:
     records = ingest.schedule_records(feeds.schedules(league))
-    return ingest.ingest_schedule(records, league.seasons, league.races)
+    return ingest.ingest_schedule(records, league.seasons, league.races, league.tracks)
 
 
-def _verdicts(league: League) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _verdicts(league: League) -> ingest.Verdicts:
     return ingest.apply_verdicts(
         league.reports, league.penalties, league.races_drivers, feeds.verdicts(league)
     )
 
 
+def _reserves(league: League) -> tuple[DataFrame, DataFrame]:
+    return ingest.add_reserves(league.seasons_drivers, feeds.reserve_requests(league), league.seasons)
+
+
+def _lineup(league: League) -> tuple[DataFrame, DataFrame]:
+    return ingest.upsert_lineup(league.seasons_drivers, feeds.lineup_changes(league), league.seasons)
+
+
+def _entry_lists(league: League) -> tuple[DataFrame, DataFrame]:
+    lists = ingest.flatten_teams(feeds.entry_lists(league), "race_id")
+    return ingest.replace_race_entries(league.races_drivers, lists)
+
+
+def _new_reports(league: League) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return ingest.append_reports(feeds.report_submissions(league), league.users)
+
+
+def _new_responses(league: League) -> tuple[DataFrame, DataFrame]:
+    return ingest.append_responses(feeds.response_submissions(league), league.users, league.reports)
+
+
+def _role_members(league: League) -> tuple[DataFrame, DataFrame]:
+    return ingest.replace_role_members(
+        league.users_roles, feeds.steward_lists(league), league.seasons, league.users
+    )
+
+
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/orders.parquet")
 
 
-def _changed_drivers(spark: SparkSession, folder: str) -> DataFrame:
+def _driver_changes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     drivers = testdata.league(spark, folder).drivers
     return ingest.apply_changes(drivers, feeds.driver_changes(_orders(spark, folder)), ["id"])
 
 
+def _changed_drivers(spark: SparkSession, folder: str) -> DataFrame:
+    return _driver_changes(spark, folder)[0]
+
+
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
     """References to drivers the change feed removed."""
     league = testdata.league(spark, folder)
@@ -182,42 +223,49 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "season_schedule": season.season_schedule,
     "season_list": season.season_list,
     "track_list": season.track_list,
-    "unrostered_drivers": season.unrostered_drivers,
-    "available_drivers": season.available_drivers,
+    "report_targets": stewarding.report_targets,
+    "report_penalties": stewarding.report_penalties,
+    "unrostered_drivers": lambda lg: season.one_per_season(season.unrostered_drivers(lg)),
+    "available_drivers": lambda lg: season.one_per_season(season.available_drivers(lg)),
     "season_lineup": lambda lg: as_json(season.season_lineup(lg), "drivers"),
     "season_reserves": season.season_reserves,
     "signed_drivers": season.signed_drivers,
-    "steward_candidates": members.steward_candidates,
+    "steward_candidates": lambda lg: season.one_per_season(members.steward_candidates(lg)),
     "current_stewards": members.current_stewards,
     "users_with_roles": lambda lg: as_json(members.users_with_roles(lg), "roles"),
     "role_list": members.role_list,
     "user_role_names": members.user_role_names,
     # scans, sinks and ingest
-    "load_league": tables.table_sizes,
+    "load_league": lambda lg: tables.table_sizes(_loaded(lg)),
+    "lookup": lambda lg: tables.lookup(_loaded(lg).seasons_drivers, season_id="1998"),
     "season_by_name": lambda lg: tables.season_by_name(feeds.name_requests(lg), lg.seasons).select(
         "race_id", "season_name", "season_id"
     ),
     "nested_json_sink": _json_sink,
     "ingest_schedule": lambda lg: _schedule(lg)[0],
+    "ingest_schedule_rejected": lambda lg: _schedule(lg)[1],
     "ingest_results": lambda lg: ingest.ingest_results(feeds.lined_up(lg), feeds.results(lg))[0],
     "ingest_results_rejected": lambda lg: ingest.ingest_results(feeds.lined_up(lg), feeds.results(lg))[1],
-    "replace_race_entries": lambda lg: ingest.replace_race_entries(
-        lg.races_drivers, ingest.flatten_teams(feeds.entry_lists(lg), "race_id")
-    )[0],
+    "replace_race_entries": lambda lg: _entry_lists(lg)[0],
+    "replace_race_entries_rejected": lambda lg: _entry_lists(lg)[1],
     "flatten_team_pairs": lambda lg: ingest.flatten_team_pairs(feeds.team_pairs(lg)),
     "roster_to_entries": season.roster_to_entries,
-    "add_reserves": lambda lg: ingest.add_reserves(lg.seasons_drivers, feeds.reserve_requests(lg), lg.seasons)[0],
-    "upsert_lineup": lambda lg: ingest.upsert_lineup(lg.seasons_drivers, feeds.lineup_changes(lg), lg.seasons)[0],
-    "apply_verdicts": lambda lg: _verdicts(lg)[0].select("id", "verdict"),
-    "apply_verdicts_penalties": lambda lg: _verdicts(lg)[1],
-    "apply_verdicts_entries": lambda lg: _verdicts(lg)[2].select("race_id", "driver_id", "is_dsq"),
-    "apply_verdicts_rejected": lambda lg: _verdicts(lg)[3],
-    "append_reports": lambda lg: ingest.append_reports(feeds.report_submissions(lg), lg.users)[0],
-    "append_report_targets": lambda lg: ingest.append_reports(feeds.report_submissions(lg), lg.users)[1],
-    "append_responses": lambda lg: ingest.append_responses(feeds.response_submissions(lg), lg.users),
-    "replace_role_members": lambda lg: ingest.replace_role_members(
-        lg.users_roles, feeds.steward_lists(lg), lg.seasons
-    ),
+    "add_reserves": lambda lg: _reserves(lg)[0],
+    "add_reserves_rejected": lambda lg: _reserves(lg)[1],
+    "upsert_lineup": lambda lg: _lineup(lg)[0],
+    "upsert_lineup_rejected": lambda lg: _lineup(lg)[1],
+    "apply_verdicts": lambda lg: _verdicts(lg).reports.select("id", "verdict"),
+    "apply_verdicts_penalties": lambda lg: _verdicts(lg).penalties,
+    "apply_verdicts_entries": lambda lg: _verdicts(lg).entries.select("race_id", "driver_id", "is_dsq"),
+    "apply_verdicts_rejected": lambda lg: _verdicts(lg).rejected,
+    "apply_verdicts_rejected_penalties": lambda lg: _verdicts(lg).rejected_penalties,
+    "append_reports": lambda lg: _new_reports(lg)[0],
+    "append_report_targets": lambda lg: _new_reports(lg)[1],
+    "append_reports_rejected": lambda lg: _new_reports(lg)[2],
+    "append_responses": lambda lg: _new_responses(lg)[0],
+    "append_responses_rejected": lambda lg: _new_responses(lg)[1],
+    "replace_role_members": lambda lg: _role_members(lg)[0],
+    "replace_role_members_rejected": lambda lg: _role_members(lg)[1],
     # column functions over whole tables
     "points_for": results.entry_points,
     "parse_gap": lambda lg: feeds.gap_texts(lg).select(
@@ -228,13 +276,15 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
         timing.is_valid_gap(F.col("gap")).alias("is_valid"),
         timing.is_valid_gap(F.col("gap"), strict=True).alias("is_valid_strictly"),
     ),
-    "format_gap": lambda lg: results.race_gap_sheet(lg).select("race_id", "driver_id", "gap"),
+    "format_gap": lambda lg: feeds.time_pairs(lg).select(
+        "race_id", "driver_id", timing.format_gap(F.col("leader_time"), F.col("time")).alias("gap")
+    ),
     "format_time": lambda lg: lg.races_drivers.select(
         "race_id", "driver_id", timing.format_time(F.col("time")).alias("time_text")
     ),
-    "parse_time": lambda lg: lg.races_drivers.withColumn(
-        "time_text", timing.format_time(F.col("time"))
-    ).select("race_id", "driver_id", timing.parse_time(F.col("time_text")).alias("time")),
+    "parse_time": lambda lg: feeds.clock_texts(lg).select(
+        "race_id", "driver_id", timing.parse_time(F.col("time_text")).alias("time")
+    ),
     "has_been_raced": lambda lg: lg.races.select(
         F.col("id").alias("race_id"),
         timing.has_been_raced(F.col("date"), results.moment(AS_OF, lg.races, "date")).alias("has_been_raced"),
@@ -252,7 +302,7 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
     ),
     "video_links": lambda lg: stewarding.video_links(lg, EMBED_PARENT),
     "mention_text": stewarding.mention_text,
-    "report_link": lambda lg: stewarding.report_notification_feed(lg, BASE_URL).select("report_id", "link"),
+    "report_link": lambda lg: stewarding.report_links(lg, BASE_URL).select("report_id", "link"),
     "message_time": lambda lg: lg.reports.select(
         F.col("id").alias("report_id"), timing.message_time(F.col("created_at")).alias("sent")
     ),
@@ -281,6 +331,7 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
 # Queries over the given tables themselves.
 TABLE_QUERIES: dict[str, Query] = {
     "apply_changes": _changed_drivers,
+    "apply_changes_rejected": lambda spark, folder: _driver_changes(spark, folder)[1],
     "dq_orphans": _orphans,
     "dq_length": _long_names,
     "is_canonical_uuid": lambda spark, folder: feeds.identifiers(_orders(spark, folder)).withColumn(

@@ -20,7 +20,7 @@ TABLES: dict[str, str] = {
     ),
     "report_targets": "report_id string, driver_id string",
     "report_responses": (
-        "report_id string, from_driver string, content string, video_path string, created_at timestamp_ntz"
+        "id string, report_id string, from_driver string, content string, video_path string, created_at timestamp_ntz"
     ),
     "penalties": (
         "report_id string, driver_id string, time int, penalty_points int, is_dsq boolean"
@@ -46,7 +46,8 @@ UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
     "races_drivers": [("race_id", "driver_id")],
     "reports": [("id",)],
     "penalties": [("driver_id", "report_id")],
-    "users": [("id",), ("username",)],
+    "report_responses": [("id",)],
+    "users": [("id",), ("username",), ("driver_id",)],
     "roles": [("id",), ("name",)],
     "users_roles": [("user_id", "role_id")],
     "discord_accounts": [("id",), ("discord_id",)],
@@ -70,6 +71,9 @@ FOREIGN_KEYS: list[tuple[str, str, str]] = [
     ("penalties", "report_id", "reports"),
     ("penalties", "driver_id", "drivers"),
     ("users", "driver_id", "drivers"),
+    ("users", "discord_account_id", "discord_accounts"),
+    ("discord_accounts", "user_id", "users"),
+    ("seasons", "fia_role_id", "roles"),
     ("users_roles", "user_id", "users"),
     ("users_roles", "role_id", "roles"),
 ]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +14,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_local_folders: dict[str, str] = {}
-
 
 def build(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName("paddock")
@@ -28,16 +25,9 @@ def build(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder under the directory the cluster names for checkpoints."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        if app not in _local_folders:
-            _local_folders[app] = tempfile.mkdtemp(prefix="run-")
-        root = _local_folders[app]
-    return f"{root}/paddock/{app}"
+    """This application's folder under the directory the cluster names for checkpoints, or else in the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/paddock/{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -53,8 +43,3 @@ def store(rows: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
-
-
-def estimated_bytes(rows: DataFrame) -> int:
-    """The optimizer's size of ``rows``: file sizes for a scan, an upper guess above it."""
-    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -33,6 +33,16 @@ class League:
         return League(builders | {name: (lambda _, rows=rows: rows) for name, rows in tables.items()})
 
 
+def conformed(league: League) -> League:
+    """The same league with the columns and types of a live one: keys are strings there."""
+
+    def table(name: str) -> DataFrame:
+        rows = getattr(league, name)
+        return rows.select(*[F.col(c).cast(k).alias(c) for c, k in (x.split() for x in TABLES[name].split(","))])
+
+    return League({name: (lambda _, name=name: table(name)) for name in TABLES})
+
+
 def league_of(**tables: DataFrame) -> League:
     return League({name: (lambda _, rows=rows: rows) for name, rows in tables.items()})
 
@@ -95,17 +105,22 @@ def season_by_name(names: DataFrame, seasons: DataFrame, encoded: Column | str =
 
 
 def of_season(league: League, season_name: str) -> League:
-    """The same league seen through one season; the filter reaches races, rosters and entries."""
+    """The same league seen through one season; the filter reaches races, rosters, entries and all that hangs on reports."""
     seasons = league.seasons.filter(F.col("name") == season_name)
     chosen = seasons.select(F.col("id").alias("season_id"))
     races = league.races.join(chosen, "season_id", "left_semi")
     race_ids = races.select(F.col("id").alias("race_id"))
+    reports = league.reports.join(race_ids, "race_id", "left_semi")
+    report_ids = reports.select(F.col("id").alias("report_id"))
     return league.replacing(
         seasons=seasons,
         races=races,
         seasons_drivers=league.seasons_drivers.join(chosen, "season_id", "left_semi"),
         races_drivers=league.races_drivers.join(race_ids, "race_id", "left_semi"),
-        reports=league.reports.join(race_ids, "race_id", "left_semi"),
+        reports=reports,
+        report_targets=league.report_targets.join(report_ids, "report_id", "left_semi"),
+        report_responses=league.report_responses.join(report_ids, "report_id", "left_semi"),
+        penalties=league.penalties.join(report_ids, "report_id", "left_semi"),
     )
 
 

@@ -116,7 +116,13 @@ def _video_path(number: Column) -> Column:
     for kind, pattern in enumerate(VIDEO_ADDRESSES):
         address = F.when(number % 7 == kind, _address(pattern, number)).otherwise(address)
     second = _address("++https://example.com/%d", number)
-    return F.concat(address, F.when(number % 3 == 0, second).otherwise(F.lit("")))
+    upload = _address("++/media/reports/%d.mp4", number)
+    elsewhere = _address("++https://clips.example/media/%d", number)
+    return F.concat(
+        address,
+        F.when(number % 3 == 0, second).otherwise(F.lit("")),
+        F.when(number % 5 == 0, upload).when(number % 5 == 1, elsewhere).otherwise(F.lit("")),
+    )
 
 
 def _hours(hours: Column) -> Column:
@@ -180,6 +186,7 @@ def _responses(reports: DataFrame, targets: DataFrame) -> DataFrame:
     sent = reports.select(F.col("id").alias("report_id"), F.col("created_at").alias("sent_at"))
     hours = (F.col("driver_id") * 7 + F.col("report_id")) % 48
     return targets.filter(F.col("driver_id").isNotNull()).join(sent, "report_id").select(
+        F.concat_ws("-", "report_id", "driver_id").alias("id"),
         "report_id",
         F.col("driver_id").alias("from_driver"),
         F.format_string("response %d to %d", "driver_id", "report_id").alias("content"),

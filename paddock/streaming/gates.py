@@ -1,93 +1,113 @@
-"""The report and response gates as streams."""
+"""The report and response gates as streams.
+
+Each micro-batch is labelled by the batch gates and written to a folder of its own, so a repeated batch replaces itself.
+What came before is read back from those folders: no state ages out, and the order of arrival changes no label. Joins of
+a micro-batch are ordinary ones, which adaptive execution splits where one report or race has most rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from paddock.operators.stewarding import ACCEPTED, report_gate, response_label
+from paddock.operators.stewarding import ACCEPTED, NO_REPORT, report_gate, response_gate
 from paddock.sources.tables import League
 
-# A response is in time at most two days after its report: the race deadline is less than two
-# days after the start, and reports come after the start.
-LATEST_RESPONSE = "INTERVAL 2 DAYS"
-# Tasks that share one key: responses to one report, or copies of one report.
-SPREAD = 16
-
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
-    """A stream of Parquet files; watermarks need a ``timestamp`` column."""
+    """A stream of Parquet files."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
 
 
-def event_time(rows: DataFrame, column: str = "created_at", delay: str = "2 days") -> DataFrame:
-    return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+def written_before(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The rows of earlier micro-batches under ``path``; none where nothing was written yet."""
+    try:
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    except AnalysisException:  # the folder isn't there before the first batch
+        return spark.createDataFrame([], schema)
+    return rows.filter(F.col("batch") < batch_id).drop("batch")
 
 
-def stream_report_gate(reports: DataFrame, league: League, delay: str = "2 days") -> DataFrame:
-    """Label a stream of reports; a report sent twice within the watermark is taken once.
+def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Process everything available now, batch by batch."""
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
-    Copies are dropped per input split first, so that many copies of one report never meet.
-    """
-    share = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
-    sent = event_time(reports, delay=delay).withColumn("_share", share)
-    once = sent.dropDuplicatesWithinWatermark(["id", "_share"]).dropDuplicatesWithinWatermark(["id"])
-    naive = once.drop("_share").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
-    return report_gate(naive, league.races, league.races_drivers)
 
+def once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the least of those that differ."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_first")).select(*keys, "_first.*")
 
-def stream_response_gate(
-    responses: DataFrame, accepted_reports: DataFrame, league: League, delay: str = "2 days"
-) -> DataFrame:
-    """Label a stream of responses against the stream of accepted reports.
 
-    A response without an accepted report in the two days before it is labelled once the
-    watermark has passed.
+def stream_report_gate(
+    reports: DataFrame, league: League, path: str, checkpoint: str, zone: str = "UTC"
+) -> StreamingQuery:
+    """Label a stream of reports into ``path``; a report sent again, at whatever time, is labelled once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = T.StructType([*batch.schema.fields, T.StructField("gate", T.StringType())])
+        seen = written_before(spark, path, schema, batch_id).select("id")
+        new = once(batch, ["id"]).select(*batch.columns).join(seen, "id", "left_anti")
+        labelled = report_gate(new, league.races, league.races_drivers, zone).select(*schema.names)
+        labelled.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return run(reports, write, checkpoint)
+
+
+def stream_response_gate(
+    responses: DataFrame,
+    accepted_reports: Callable[[], DataFrame],
+    league: League,
+    path: str,
+    checkpoint: str,
+    zone: str = "UTC",
+) -> StreamingQuery:
+    """Label a stream of responses into ``path/labelled`` against the accepted reports, read anew for each batch.
+
+    A response whose report hasn't been accepted yet waits under ``path/waiting`` and is looked up again with every
+    later batch. ``unanswered`` labels those that still wait.
     """
-    reports = event_time(
-        accepted_reports.select(
-            F.col("id").alias("_report"),
-            "race_id",
-            F.col("created_at").alias("reported_at"),
-            F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_report_share"),
-        ),
-        "reported_at",
-        delay,
-    )
-    share = F.pmod(F.xxhash64("from_driver", "content"), F.lit(SPREAD)).cast("int")
-    sent = event_time(responses, delay=delay).withColumn("_share", share)
-    joined = sent.join(
-        reports,
-        F.expr(
-            f"report_id = _report AND _share = _report_share"
-            f" AND created_at >= reported_at AND created_at <= reported_at + {LATEST_RESPONSE}"
-        ),
-        "left",
-    ).select(
-        *responses.columns[: responses.columns.index("created_at")],
-        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
-        "race_id",
-        F.col("reported_at").cast("timestamp_ntz").alias("reported_at"),
-    )
-    return response_label(joined, league.races, league.races_drivers, league.report_targets, "UTC")
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        left = waiting(batch.sparkSession, path, batch.schema, batch_id)
+        rows = batch.unionByName(left)
+        labelled = response_gate(
+            rows, accepted_reports(), league.races, league.races_drivers, league.report_targets, zone
+        ).select(*batch.columns, "gate")
+        known = F.col("gate") != NO_REPORT
+        labelled.filter(~known).drop("gate").write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
+        labelled.filter(known).write.mode("overwrite").parquet(f"{path}/labelled/batch={batch_id}")
+
+    return run(responses, write, checkpoint)
+
+
+def waiting(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """What the batch before left waiting; every batch takes all of it over."""
+    if not batch_id:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/waiting/batch={batch_id - 1}")
 
-def accepted(labelled: DataFrame) -> DataFrame:
-    return labelled.filter(F.col("gate") == ACCEPTED).drop("gate")
 
+def unanswered(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """Responses that wait after batch ``batch_id``, labelled as without a report."""
+    return waiting(spark, path, schema, batch_id + 1).withColumn("gate", F.lit(NO_REPORT))
 
-def run_to_files(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process everything available now into Parquet files."""
-    return (
-        rows.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+
+def last_batch(query: StreamingQuery) -> int:
+    """Number of the last micro-batch that a finished query wrote, -1 if it found nothing."""
+    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    return max(done, default=-1)
+
+
+def accepted(labelled: DataFrame) -> DataFrame:
+    return labelled.filter(F.col("gate") == ACCEPTED).drop("gate")

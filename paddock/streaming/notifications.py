@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paddock.operators.stewarding import report_notification_feed
 from paddock.sources.tables import League
+from paddock.streaming import gates
 
 
 def stream_notifications(
-    news: DataFrame, league: League, base_url: str, path: str, checkpoint: str
+    news: DataFrame, tables: Callable[[], League], base_url: str, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Write the message of each (report_id, is_decision) that arrives.
+    """Write the message of each (report_id, is_decision) that arrives to ``path/sent``.
 
-    The report's number depends on the race's other reports, so each micro-batch reads the
-    league's table. Every batch writes its own folder, so a repeated batch replaces itself.
+    The report's number depends on the race's other reports, so each micro-batch reads the league's ``tables`` anew, cut to the races of the batch. News of a report, or of a verdict, that the tables don't hold yet waits
+    under ``path/waiting`` and is tried again with every later batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.select("report_id", "is_decision").distinct()
+        league, columns = tables(), ["report_id", "is_decision"]
+        waiting = gates.waiting(batch.sparkSession, path, batch.select(*columns).schema, batch_id)
+        asked = batch.select(*columns).unionByName(waiting).distinct()
+        known = league.reports.select(F.col("id").alias("report_id"), F.col("verdict").isNotNull().alias("decided"))
+        ready = asked.join(known, "report_id").filter(~F.col("is_decision") | F.col("decided")).select(*columns)
+        asked.join(ready, columns, "left_anti").write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
         for is_decision in (False, True):
-            wanted = ids.filter(F.col("is_decision") == is_decision).select("report_id")
-            feed = report_notification_feed(league, base_url, is_decision).join(wanted, "report_id", "left_semi")
+            wanted = ready.filter(F.col("is_decision") == is_decision).select("report_id")
+            feed = report_notification_feed(league, base_url, is_decision, wanted)
             feed.withColumn("is_decision", F.lit(is_decision)).write.mode("overwrite").parquet(
-                f"{path}/batch={batch_id}/kind={int(is_decision)}"
+                f"{path}/sent/batch={batch_id}/kind={int(is_decision)}"
             )
 
-    return (
-        news.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return gates.run(news, write, checkpoint)

@@ -27,13 +27,3 @@ def spark(tmp_path_factory):
     yield spark
     spark.stop()
 
-
-@pytest.fixture
-def large(spark):
-    """Treat every table and group as too large for one task."""
-    names = ("spark.paddock.smallTableBytes", "spark.paddock.smallGroupRows")
-    for name in names:
-        spark.conf.set(name, "0")
-    yield
-    for name in names:
-        spark.conf.unset(name)

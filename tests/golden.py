@@ -63,11 +63,11 @@ ROWS: dict[str, list[tuple]] = {
         ("p6", "d1"),
     ],
     "report_responses": [
-        ("p1", "d2", "no", None, datetime(2024, 5, 4, 22, 0)),
-        ("p2", "d1", "yes", None, datetime(2024, 5, 5, 23, 59, 59)),
-        ("p2", "d2", "me too", "https://example.com/x", datetime(2024, 5, 6, 1, 0)),
-        ("p3", "d3", "not me", None, datetime(2024, 5, 5, 18, 59)),
-        ("p4", "d1", "what", None, datetime(2024, 5, 4, 22, 0)),
+        ("r1", "p1", "d2", "no", None, datetime(2024, 5, 4, 22, 0)),
+        ("r2", "p2", "d1", "yes", None, datetime(2024, 5, 5, 23, 59, 59)),
+        ("r3", "p2", "d2", "me too", "https://example.com/x", datetime(2024, 5, 6, 1, 0)),
+        ("r4", "p3", "d3", "not me", None, datetime(2024, 5, 5, 18, 59)),
+        ("r5", "p4", "d1", "what", None, datetime(2024, 5, 4, 22, 0)),
     ],
     "penalties": [
         ("p1", "d2", 5, 2, False),

@@ -6,8 +6,9 @@ import json
 
 import golden
 import pytest
+from pyspark.sql import functions as F
 
-from paddock.operators import championship, members, results, season, stewarding
+from paddock.operators import championship, members, quality, results, season, stewarding
 from paddock.operators.ranking import in_every_season
 from paddock.sources import tables
 
@@ -83,10 +84,14 @@ def test_nested_standings_and_cells(league):
     assert [c["rank"] for c in rows["d1"].races] == ["2", "1", "DNF"]
 
 
-def test_nested_standings_continue_in_parts(league):
-    rows = championship.driver_standings(league, golden.AS_OF, part_rows=2).collect()
-    lengths = {(r.driver_id, r.part): len(r.races) for r in rows}
-    assert lengths == {(f"d{n}", part): 2 - part for n in range(1, 6) for part in (0, 1)}
+def test_points_tables_are_parameters(league):
+    tables = {"feature": (100, 50), "sprint": (7,) * 12}
+    long = championship.driver_standings_long(league, golden.AS_OF, **tables)
+    points = as_dict(long, ["race_id", "driver_id"], ["points"])
+    assert points["feature", "d1"] == 100 and points["feature", "d2"] == 51
+    assert {points["sprint", d] for d in ("d1", "d3", "d5")} == {7}
+    teams = as_dict(championship.constructor_standings(league, **tables), ["team_id"], ["points"])
+    assert teams == {"A": 201 + 14, "B": 0 + 7, "C": 0}
 
 
 def test_average_position(league):
@@ -135,17 +140,24 @@ def test_gap_sheet(league):
 
 def test_lineup_options(league):
     rows = as_dict(
-        results.race_lineup_options(league), ["race_id", "driver_id"], ["option_team_id", "entered_team_id", "is_picked"]
+        results.race_lineup_options(league).filter("driver_id is not null"),
+        ["race_id", "driver_id"],
+        ["option_team_id", "entered_team_id", "is_picked"],
     )
     assert rows["sprint", "d5"] == (None, "A", True)
     assert rows["feature", "d5"] == (None, None, False)
     assert rows["sprint", "d2"] == ("A", None, False)
     assert ("feature", "d6") not in rows
+    teams = {(r.race_id, r.option_team_id) for r in results.race_lineup_options(league).collect() if r.option_team_id}
+    assert teams == {(race, team) for race in ("feature", "sprint", "future") for team in "ABC"}
+    gamma = results.race_lineup_options(league).filter("option_team_id = 'C' and race_id = 'future'").first()
+    assert (gamma.team_name, gamma.race_name, gamma.driver_id, gamma.is_picked) == ("Gamma", "Italian GP", None, None)
 
 
 def test_proposed_pick_of_an_empty_race(spark, league):
     empty = league.replacing(races_drivers=league.races_drivers.filter("race_id <> 'future'"))
-    rows = as_dict(results.race_lineup_options(empty), ["race_id", "driver_id"], ["is_picked", "is_empty"])
+    options = results.race_lineup_options(empty).filter("driver_id is not null")
+    rows = as_dict(options, ["race_id", "driver_id"], ["is_picked", "is_empty"])
     assert rows["future", "d1"] == (True, True)
     assert rows["future", "d5"] == (False, True)
     assert rows["feature", "d1"] == (True, False)
@@ -167,15 +179,19 @@ def test_incident_reports(league):
     assert [p["driver_id"] for p in rows["p3"].penalties] == ["d1", "d3", "d4"]
     assert [r["content"] for r in rows["p2"].responses] == ["yes", "me too"]
     assert rows["p2"].videos is None and rows["p4"].penalties == []
-    assert [tuple(v) for v in rows["p3"].videos] == [("https://medal.tv/games/x/clip/1", True)]
+    assert [tuple(v) for v in rows["p3"].videos] == [(False, "https://medal.tv/games/x/clip/1", True)]
+    assert [tuple(v) for v in rows["p1"].videos] == [
+        (False, "https://www.youtube.com/embed/abc", True),
+        (True, "reports/p1clip.mp4", False),
+    ]
+    assert {r["id"] for r in rows["p2"].responses} == {"r2", "r3"}
 
 
-def test_incident_reports_in_parts(league):
-    rows = stewarding.incident_reports(league, "league.example", part_rows=1).collect()
-    p3 = sorted((r for r in rows if r.report_id == "p3"), key=lambda r: r.part)
-    assert [r.part for r in p3] == [0, 1, 2]
-    assert [[t["target_id"] for t in r.targets] for r in p3] == [["d1"], ["d3"], []]
-    assert [[p["driver_id"] for p in r.penalties] for r in p3] == [["d1"], ["d3"], ["d4"]]
+def test_addresses_with_media_in_their_path_are_no_uploads(spark, league):
+    path = "https://clips.example/media/7++/media/a.mp4++/mediax/b"
+    reports = league.reports.filter("id = 'p1'").selectExpr("id", "race_id", "from_driver", "content", f"'{path}' as video_path", "verdict", "created_at")
+    rows = stewarding.video_links(league.replacing(reports=reports), "x").orderBy("video_no").collect()
+    assert [(r.is_local, r.url) for r in rows] == [(False, "https://clips.example/media/7"), (True, "a.mp4"), (False, "/mediax/b")]
 
 
 def test_concerned_drivers(league):
@@ -216,6 +232,15 @@ def test_gates(league):
         "p5": "too_early",
         "p6": "too_late",
     }
+    odd = league.reports.selectExpr(
+        "id", "if(id = 'p1', 'nowhere', race_id) as race_id", "from_driver", "content", "video_path", "verdict",
+        "if(id = 'p3', null, created_at) as created_at",
+    )
+    doubled = league.races_drivers.unionAll(league.races_drivers)
+    labels = as_dict(stewarding.report_gate(odd, league.races, doubled), ["id"], ["gate"])
+    assert (labels["p1"], labels["p2"], labels["p3"]) == ("unknown_race", "accepted", "undated")
+    undated = league.races.withColumn("date", F.lit(None).cast("timestamp_ntz"))
+    assert {r.gate for r in stewarding.report_gate(odd, undated, doubled).collect()} <= {"undated", "unknown_race", "not_entered"}
     taken = gated.filter("gate = 'accepted'")
     rows = stewarding.response_gate(
         league.report_responses, taken, league.races, league.races_drivers, league.report_targets
@@ -232,7 +257,7 @@ def test_gates(league):
 
 def test_target_may_answer_for_a_day(spark, league):
     late = spark.createDataFrame(
-        [("p2", "d1", "late", None, golden.datetime(2024, 5, 6, 20, 0))], league.report_responses.schema
+        [("r9", "p2", "d1", "late", None, golden.datetime(2024, 5, 6, 20, 0))], league.report_responses.schema
     )
     taken = league.reports.filter("id = 'p2'")
     targets = spark.createDataFrame([("p2", "d1")], league.report_targets.schema)
@@ -242,8 +267,10 @@ def test_target_may_answer_for_a_day(spark, league):
 
 
 def test_seasons(league):
-    assert [r.driver_id for r in season.unrostered_drivers(league).collect()] == ["d6"]
-    assert {r.driver_id for r in season.available_drivers(league).collect()} == {"d5", "d6"}
+    absent = lambda rows: {r.driver_id for r in rows.collect() if r.absent_from == ["s1"]}
+    assert absent(season.unrostered_drivers(league)) == {"d6"}
+    assert absent(season.available_drivers(league)) == {"d5", "d6"}
+    assert [r.driver_id for r in season.one_per_season(season.unrostered_drivers(league)).collect()] == ["d6"]
     lineup = as_dict(season.season_lineup(league), ["team_id"], ["drivers", "is_empty_line_up"])
     assert [d["driver_id"] for d in lineup["A"][0]] == ["d1", "d2"]
     assert lineup["C"] == ([], False)
@@ -259,7 +286,7 @@ def test_unknown_reserve_flag_leaves_a_driver_available(spark, league):
 
 
 def test_members(league):
-    assert [r.user_id for r in members.steward_candidates(league).collect()] == ["u6"]
+    assert [r.user_id for r in members.steward_candidates(league).collect() if r.absent_from] == ["u6"]
     assert [r.user_id for r in members.current_stewards(league).collect()] == ["u6"]
     users = as_dict(members.users_with_roles(league), ["user_id"], ["driver_name", "roles"])
     assert [r["role_name"] for r in users["u6"][1]] == ["Season 1/A bfia", "admin"]
@@ -271,6 +298,9 @@ def test_one_season(league):
     one = championship.driver_standings_long(tables.of_season(league, "Season 1/A b"), golden.AS_OF)
     every = championship.driver_standings_long(league, golden.AS_OF)
     assert sorted(map(str, one.collect())) == sorted(map(str, every.collect()))
+    none = tables.of_season(league, "nope")
+    assert stewarding.concerned_drivers(none).count() == stewarding.mention_text(none).count() == 0
+    assert quality.dq_orphans(none).count() == 0
 
 
 def test_season_by_encoded_name(spark, league):
@@ -280,7 +310,7 @@ def test_season_by_encoded_name(spark, league):
 
 def test_every_season_lists_every_row(spark, league):
     seasons = spark.createDataFrame([("s1", "x", None), ("s2", "y", None)], league.seasons.schema)
-    rows = in_every_season(league.drivers, seasons, "id").select("season_id", "id").collect()
+    rows = in_every_season(league.drivers, seasons).select("season_id", "id").collect()
     assert len(rows) == len(set(rows)) == 12
 
 

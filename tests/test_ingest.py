@@ -30,24 +30,27 @@ def test_schedule(spark, league):
                     ("t2", "soon", False),
                     ("t1", "2024-09-01T20:00", False),
                     ("t2", "2024-09-01T20:00", False),
+                    ("t7", "2024-10-01T20:00", False),
                 ],
             ),
             ("Season 9", [("t1", "2024-08-01T20:00", False)]),
         ],
         "season_name string, races array<struct<trackID string, timestamp string, hasSprint boolean>>",
     )
-    new, rejected = ingest.ingest_schedule(ingest.schedule_records(payloads), league.seasons, league.races)
+    new, rejected = ingest.ingest_schedule(ingest.schedule_records(payloads), league.seasons, league.races, league.tracks)
     assert rows(new, "date", "is_sprint", "track_id") == [
         (datetime(2024, 12, 1, 19, 0), False, "t2"),
         (datetime(2024, 8, 1, 18, 0), False, "t1"),
         (datetime(2024, 8, 1, 18, 0), True, "t1"),
     ]
+    assert rows(new, "id")[-1] == ("s1-202412011900",)
     assert rows(rejected, "timestamp", "is_sprint", "reason") == [
         ("2024-05-04T18:00", False, "two races at one time"),
         ("2024-05-04T18:00", True, "two races at one time"),
         ("2024-08-01T20:00", False, "unknown season"),
         ("2024-09-01T20:00", False, "two races at one time"),
         ("2024-09-01T20:00", False, "two races at one time"),
+        ("2024-10-01T20:00", False, "unknown track"),
         ("soon", False, "unreadable start"),
     ]
 
@@ -76,6 +79,26 @@ def test_results(spark, league):
     ]
 
 
+RESULTS = "race_id string, driver_id string, time string, plus_laps int, is_leader boolean, fastest_lap_driver string"
+
+
+@pytest.mark.parametrize(
+    ("records", "reason"),
+    [
+        ([("feature", "d5", "80:00.000", None, True, "d1"), ("feature", "d1", "+1", 0, False, "d1")], "no leader time"),
+        ([("feature", "d1", "80:00.000", None, True, "d1"), ("feature", "d2", "80:01.000", None, True, "d1")], "not one leader"),
+        ([("feature", "d1", "+1", 0, False, "d1")], "not one leader"),
+        ([("feature", "d1", "80:00.000", None, True, "d5")], "fastest lap not entered"),
+        ([("feature", "d1", "80:00.000", None, True, "d1")] * 2, "posted twice"),
+    ],
+)
+def test_races_are_refused_whole(spark, league, records, reason):
+    snapshot, rejected = ingest.ingest_results(league.races_drivers, spark.createDataFrame(records, RESULTS))
+    assert rows(snapshot) == rows(league.races_drivers)
+    assert rejected.count() == len(records)
+    assert reason in {r.reason for r in rejected.collect()}
+
+
 def test_replace_entries(spark, league):
     payloads = spark.createDataFrame(
         [
@@ -118,11 +141,15 @@ def test_team_pairs(spark):
 
 def test_reserves(spark, league):
     asked = spark.createDataFrame(
-        [("Season 1/A b", d) for d in ("d1", "d6", "d7", "d7")], "season_name string, driver_id string"
+        [("Season 1/A b", d) for d in ("d1", "d6", "d7", "d7")] + [("Season 9", "d6")], "season_name string, driver_id string"
     )
     new, rejected = ingest.add_reserves(league.seasons_drivers, asked, league.seasons)
     assert rows(new) == [("d6", "s1", None, True)]
-    assert rows(rejected, "driver_id", "reason") == [("d1", "already in season"), ("d7", "posted twice")]
+    assert rows(rejected, "driver_id", "reason", "copies") == [
+        ("d1", "already in season", 1),
+        ("d6", "unknown season", 1),
+        ("d7", "posted twice", 2),
+    ]
 
 
 def test_lineup(spark, league):
@@ -135,6 +162,7 @@ def test_lineup(spark, league):
             (season, "d3", "A", 4),
             (season, "d3", "C", 5),
             (season, "d9", None, 6),
+            ("Season 9", "d1", "B", 7),
         ],
         "season_name string, driver_id string, team_id string, seq int",
     )
@@ -147,79 +175,120 @@ def test_lineup(spark, league):
         ("d5", "A", False),
         ("d6", "C", False),
     ]
-    assert rows(rejected, "driver_id") == [("d9",)]
+    assert rows(rejected, "driver_id", "reason") == [("d1", "unknown season"), ("d9", "not in season")]
 
 
 def test_verdicts(spark, league):
     verdicts = spark.createDataFrame(
         [
-            ("p2", "first", [("d1", 5, 1, True), ("d2", None, 0, False)], 1),
+            ("p2", "first", [("d1", 5, 1, True), ("d2", None, 0, False), ("d1", 9, 9, False)], 1),
             ("p2", "second", [], 2),
+            ("p2", "rival", [("d4", 5, 1, True)], 1),
             ("p1", "again", [("d4", 5, 1, True)], 1),
             ("p4", "nothing", [], 1),
+            ("p9", "nowhere", [], 1),
         ],
         "report_id string, content string,"
         " penalties array<struct<driverID string, time int, penaltyPoints int, isDSQ boolean>>, seq int",
     )
     state = (league.reports, league.penalties, league.races_drivers)
-    reports, penalties, entries, rejected = ingest.apply_verdicts(*state, verdicts)
-    assert dict(rows(reports, "id", "verdict")) == {
+    found = ingest.apply_verdicts(*state, verdicts)
+    assert dict(rows(found.reports, "id", "verdict")) == {
         "p1": "5 s", "p2": "first", "p3": "points", "p4": "nothing", "p5": None, "p6": None,
     }
-    assert rows(penalties.filter("report_id = 'p2'"), "driver_id", "time", "is_dsq") == [("d1", 5, True), ("d2", None, False)]
-    assert rows(entries.filter("is_dsq"), "race_id", "driver_id") == [("feature", "d1"), ("feature", "d3")]
-    assert rows(rejected, "report_id", "seq") == [("p1", 1), ("p2", 2)]
-    # sent again, nothing changes
-    again = ingest.apply_verdicts(reports, penalties, entries, verdicts)
-    assert [rows(a) for a in again[:3]] == [rows(b) for b in (reports, penalties, entries)]
-    assert again[3].count() == 4
+    assert rows(found.penalties.filter("report_id = 'p2'"), "driver_id", "time", "is_dsq") == [("d1", 5, True), ("d2", None, False)]
+    assert rows(found.entries.filter("is_dsq"), "race_id", "driver_id") == [("feature", "d1"), ("feature", "d3")]
+    assert rows(found.rejected, "report_id", "content", "reason", "copies") == [
+        ("p1", "again", "already decided", 1),
+        ("p2", "rival", "not the first", 1),
+        ("p2", "second", "not the first", 1),
+        ("p9", "nowhere", "unknown report", 1),
+    ]
+    assert rows(found.rejected_penalties, "driver_id", "time", "reason") == [("d1", 9, "second penalty")]
+    # sent twice in one feed, or again later, nothing changes
+    twice = ingest.apply_verdicts(*state, verdicts.unionAll(verdicts))
+    again = ingest.apply_verdicts(*found[:3], verdicts)
+    for other in (twice, again):
+        assert [rows(a) for a in other[:3]] == [rows(b) for b in found[:3]]
+    assert sum(r.copies for r in twice.rejected.collect()) == 12 - 2
+    assert sum(r.copies for r in again.rejected.collect()) == 6
 
 
 def test_new_reports_and_responses(spark, league):
     sent = spark.createDataFrame(
-        [("n1", "feature", "u1", "text", ["d2", "hra"], ["x", "y"], golden.START)],
+        [
+            ("n1", "feature", "u1", "text", ["d2", "hra"], ["x", "y"], golden.START),
+            ("n1", "feature", "u1", "text", ["d2", "hra"], ["x", "y"], golden.START),
+            ("n2", "feature", "u7", "text", ["d2"], [], golden.START),
+            ("n3", "feature", "u9", "text", ["d2"], [], golden.START),
+            ("p1", "feature", "u1", "text", ["d2"], [], golden.START),
+        ],
         "id string, race_id string, user_id string, content string, targets array<string>,"
         " videos array<string>, created_at timestamp_ntz",
     )
-    reports, targets = ingest.append_reports(sent, league.users)
+    reports, targets, rejected = ingest.append_reports(sent, league.users, league.reports)
     assert rows(reports, "id", "from_driver", "video_path", "verdict") == [("n1", "d1", "x++y", None)]
     assert rows(targets) == [("n1", "d2"), ("n1", None)]
-    answers = sent.selectExpr("id as report_id", "user_id", "content", "videos", "created_at")
-    assert rows(ingest.append_responses(answers, league.users), "report_id", "from_driver", "video_path") == [
-        ("n1", "d1", "x++y")
+    reasons = [("n1", "sent again", 1), ("n2", "unknown user", 1), ("n3", "no driver", 1), ("p1", "already sent", 1)]
+    assert rows(rejected, "id", "reason", "copies") == reasons
+    answers = sent.selectExpr("if(id = 'p1', 'n9', 'p1') as report_id", "user_id", "content", "videos", "created_at")
+    responses, rejected = ingest.append_responses(answers, league.users, league.reports)
+    assert rows(responses, "report_id", "from_driver", "video_path") == [("p1", "d1", "x++y")]
+    assert rows(rejected, "report_id", "user_id", "reason", "copies") == [
+        ("n9", "u1", "unknown report", 1),
+        ("p1", "u1", "sent again", 1),
+        ("p1", "u7", "unknown user", 1),
+        ("p1", "u9", "no driver", 1),
     ]
 
 
 def test_role_members(spark, league):
-    members = spark.createDataFrame([("Season 1/A b", "u2"), ("Season 1/A b", "u2")], "season_name string, user_id string")
-    found = ingest.replace_role_members(league.users_roles, members, league.seasons)
+    season = "Season 1/A b"
+    members = spark.createDataFrame(
+        [(season, "u2"), (season, "u2"), (season, "u7"), ("Season 9", "u1")], "season_name string, user_id string"
+    )
+    found, rejected = ingest.replace_role_members(league.users_roles, members, league.seasons, league.users)
     assert rows(found, "user_id", "role_id") == [("u1", "r2"), ("u2", "r1"), ("u6", "r2")]
-    nobody = spark.createDataFrame([("Season 1/A b", None)], "season_name string, user_id string")
-    found = ingest.replace_role_members(league.users_roles, nobody, league.seasons)
+    assert rows(rejected, "user_id", "reason", "copies") == [
+        ("u1", "unknown season", 1), ("u2", "sent again", 1), ("u7", "unknown user", 1),
+    ]
+    nobody = spark.createDataFrame([(season, None)], "season_name string, user_id string")
+    found, _ = ingest.replace_role_members(league.users_roles, nobody, league.seasons, league.users)
     assert rows(found, "user_id", "role_id") == [("u1", "r2"), ("u6", "r2")]
 
 
 def test_changes(spark, league):
     changes = spark.createDataFrame(
         [
-            ("d1", "x", "delete", 1),
-            ("d1", "Back", "insert", 2),
-            ("d2", "New name", "update", 1),
-            ("d3", None, "delete", 1),
-            ("d8", "Fresh", "insert", 1),
-            ("d9", "Ghost", "update", 1),
-            ("d4", None, "update", 1),
+            ("d1", "x", "delete", 1, None),
+            ("d1", "Back", "insert", 2, None),
+            ("d2", "New name", "update", 1, None),
+            ("d3", None, "delete", 1, None),
+            ("d8", "Fresh", "insert", 1, None),
+            ("d9", "Ghost", "update", 1, None),
+            ("d4", None, "update", 1, None),
+            ("d5", None, "update", 1, ["name"]),
+            ("d6", "Mallory", "upsert", 1, None),
+            ("d7", None, None, 1, None),
         ],
-        "id string, name string, op string, seq int",
+        "id string, name string, op string, seq int, cleared array<string>",
     )
-    assert rows(ingest.apply_changes(league.drivers, changes, ["id"])) == [
+    found, rejected = ingest.apply_changes(league.drivers, changes, ["id"])
+    assert rows(found) == [
         ("d1", "Back"),
         ("d2", "New name"),
         ("d4", "Driver 4"),
-        ("d5", "Driver 5"),
+        ("d5", None),
         ("d6", "Driver 6"),
         ("d8", "Fresh"),
     ]
+    assert rows(rejected, "id", "op", "reason") == [
+        ("d6", "upsert", "unknown operation"),
+        ("d7", None, "unknown operation"),
+        ("d9", "update", "nothing to update"),
+    ]
+    level = spark.createDataFrame([("d1", n, "update", 1) for n in ("a", "c", "b")], "id string, name string, op string, seq int")
+    assert ("d1", "c") in rows(ingest.apply_changes(league.drivers, level, ["id"])[0])
 
 
 def test_quality(spark, league):
@@ -235,4 +304,6 @@ def test_quality(spark, league):
     long = league.replacing(teams=spark.createDataFrame([("A", "n", "#12345678", "i")], league.teams.schema))
     assert rows(quality.dq_length(long)) == [("teams", "color", "A", 9, 7)]
     assert rows(quality.dq_one_fastest_lap(league.races_drivers)) == []
+    excluded = league.races_drivers.selectExpr("race_id", "driver_id", "time", "false as has_fastest_lap", "true as is_dsq")
+    assert {r.race_id for r in quality.dq_one_fastest_lap(excluded).collect()} == {"feature", "sprint"}
     assert quality.dq_uuid(league.drivers, "id").count() == 6

@@ -7,7 +7,7 @@ from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 from paddock.operators import results
-from paddock.operators.ranking import rank_within
+from paddock.operators.ranking import rank_bounded, season_ids
 from paddock.plans import registry
 from paddock.sources import tables, testdata
 
@@ -23,7 +23,49 @@ def plan(frame) -> str:
 def test_no_products_and_no_python(spark, name):
     shown = plan(registry.queries()[name](spark, TESTDATA))
     assert not [bad for bad in UNWANTED if bad in shown]
-    assert "SinglePartition" not in shown or name == "load_league"
+    assert "_block" not in shown, "a product by blocks is a product"
+    # one row comes of one task: the list of seasons, and each table's count
+    single = shown.count("SinglePartition")
+    assert single <= shown.count("collect_set(id") // 2 or name == "load_league"
+
+
+class Jobs:
+    """Counts the jobs that begin."""
+
+    def __init__(self, spark) -> None:
+        self.tracker = spark.sparkContext.statusTracker()
+        self.spark = spark
+
+    def __call__(self, build) -> int:
+        group = f"group-{id(self)}"
+        self.spark.sparkContext.setJobGroup(group, "")
+        build()
+        return len(self.tracker.getJobIdsForGroup(group))
+
+
+#: Queries of sinks, loads and streams, which write as they are built.
+WRITERS = {*STREAMS, "nested_json_sink", "load_league", "lookup"}
+
+
+@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in WRITERS])
+def test_building_a_query_starts_no_job(spark, name):
+    testdata.league(spark, TESTDATA).tables()  # the fixture is written once
+    assert Jobs(spark)(lambda: registry.queries()[name](spark, TESTDATA)) == 0
+
+
+# Exchanges planned without broadcasts, at most half of what they were before.
+EXCHANGES = {"incident_reports": 14, "driver_standings": 12, "dq_orphans": 12, "penalty_points_table": 13}
+
+
+@pytest.mark.parametrize("name", EXCHANGES)
+def test_exchanges_without_broadcasts(spark, name):
+    testdata.league(spark, TESTDATA).tables()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = plan(registry.queries()[name](spark, TESTDATA))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shown.count("Exchange ") <= EXCHANGES[name]
 
 
 def test_scans_read_only_needed_columns(spark):
@@ -62,5 +104,11 @@ def test_skewed_join_is_split(spark):
 
 def test_top_places_need_no_full_sort(spark):
     rows = testdata.league(spark, TESTDATA).races_drivers
-    first = rank_within(rows, ["race_id"], [F.col("time").asc_nulls_last(), F.col("driver_id").asc()], "rank", at_most=rows)
+    first = rank_bounded(rows, ["race_id"], [F.col("time").asc_nulls_last(), F.col("driver_id").asc()], "rank")
     assert "WindowGroupLimit" in plan(first.filter("rank <= 10"))
+
+
+def test_list_of_seasons(spark):
+    seasons = testdata.league(spark, TESTDATA).seasons
+    rows = spark.range(1).select(season_ids(seasons).alias("ids")).first().ids
+    assert rows == sorted(r.id for r in seasons.collect())

@@ -1,19 +1,18 @@
-"""Positions from one global sort agree with a plain window, whatever the skew."""
+"""Positions by buckets agree with a plain window, whatever the skew; nesting keeps every child."""
 
 from __future__ import annotations
 
 import golden
-import pytest
 from pyspark.sql import functions as F
 
-from paddock.operators import championship, results, stewarding
-from paddock.operators.ranking import Children, nest, rank_by_range, rank_within
+from paddock.operators import results, stewarding
+from paddock.operators.ranking import Children, nest, rank_bounded, rank_spread, seasons_without
 
 # Half of all rows in one race, a third of them without a time, and many equal times.
 HOT = """
   select case when id % 2 = 0 then 0 else id % 11 end as race_id,
          id as driver_id,
-         case when id % 3 <> 0 then cast(id * 7919 % 50 as double) end as time,
+         case when id % 3 <> 0 then cast(id * 7919 % 50 as double) / 4 end as time,
          case when id % 5 = 0 then null else id % 7 = 0 end as is_dsq
   from range(20000)
 """
@@ -23,80 +22,74 @@ def order():
     return [*results.finish_order(), F.col("driver_id").asc()]
 
 
-def test_range_positions_equal_window_positions(spark):
-    rows = spark.sql(HOT)
-    plain = rank_within(rows, ["race_id"], order(), "rank", at_most=rows)
-    ranged = rank_by_range(rows, ["race_id"], order(), "rank")
-    assert ranged.dtypes == plain.dtypes
-    assert ranged.exceptAll(plain).count() == plain.exceptAll(ranged).count() == 0
+def same(one, other):
+    return one.exceptAll(other).count() == other.exceptAll(one).count() == 0
+
+
+def test_spread_positions_equal_window_positions(spark):
+    for driver in ("driver_id", "cast(driver_id as string)"):
+        rows = spark.sql(HOT).withColumn("driver_id", F.expr(driver))
+        plain = rank_bounded(rows, ["race_id"], order(), "rank")
+        spread = results.ranked_by_finish(rows)
+        assert spread.dtypes == plain.dtypes
+        assert same(spread, plain)
 
 
-def test_range_positions_cut_a_hot_group(spark):
-    stored = rank_by_range(spark.sql(HOT), ["race_id"], order(), "rank")
-    plan = stored._jdf.queryExecution().executedPlan().toString()
-    # only the small table of pieces is windowed
-    assert plan.count("Window") == 1 and "sum(_size" in plan.replace(" ", "")
+def test_spread_positions_cut_a_hot_group(spark):
+    rows = spark.sql(HOT)
+    buckets = results.finish_buckets(rows)
+    largest = rows.groupBy("race_id", *[b.alias(f"b{k}") for k, b in enumerate(buckets)]).count().agg(F.max("count"))
+    assert largest.first()[0] < rows.filter("race_id = 0").count() / 10
 
 
 def test_null_and_composite_keys(spark):
     rows = spark.sql("select if(id % 4 = 0, null, id % 2) as a, cast(id % 3 as string) as b, id from range(500)")
-    plain = rank_within(rows, ["a", "b"], [F.col("id").desc()], "n", at_most=rows)
-    ranged = rank_by_range(rows, ["a", "b"], [F.col("id").desc()], "n")
-    assert ranged.exceptAll(plain).count() == 0 and ranged.count() == 500
+    plain = rank_bounded(rows, ["a", "b"], [F.col("id").desc()], "n")
+    spread = rank_spread(rows, ["a", "b"], [F.col("id").desc()], [F.floor(-F.col("id") / 10)], "n")
+    assert same(spread, plain) and spread.count() == 500
 
 
-def test_counts_decide_where_the_table_is_large(spark):
-    rows = spark.sql(HOT)
-    largest = max(r["count"] for r in rows.groupBy("race_id").count().collect())
-    spark.conf.set("spark.paddock.smallTableBytes", "0")
-    try:
-        for limit, stored in ((largest, False), (largest - 1, True)):
-            spark.conf.set("spark.paddock.smallGroupRows", str(limit))
-            ranked = rank_within(rows, ["race_id"], order(), "rank", at_most=rows)
-            assert ("FileScan" in ranked._jdf.queryExecution().executedPlan().toString()) is stored
-    finally:
-        spark.conf.unset("spark.paddock.smallTableBytes")
-        spark.conf.unset("spark.paddock.smallGroupRows")
-
-
-def test_nesting_keeps_every_child_in_order(spark, large):
-    rows = spark.sql("select if(id % 3 = 0, 0, id) as k, id from range(3000)")
+def test_report_numbers_without_times(spark):
+    reports = spark.sql(
+        "select cast(id as string) as id, id % 2 as race_id,"
+        " if(id % 3 = 0, null, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id % 20, id % 7)) as created_at"
+        " from range(3000)"
+    )
+    plain = rank_bounded(reports, ["race_id"], [F.col("created_at").asc_nulls_last(), F.col("id").asc()], "rank")
+    assert same(stewarding.numbered_reports(reports), plain)
+
+
+def test_nesting_keeps_every_child_in_order(spark):
+    rows = spark.sql("select if(id % 3 = 0, 0, id) as k, if(id = 3, null, -id) as v from range(3000)")
     parents = spark.sql("select id as k from range(3001)")
-    items = Children(rows, [F.col("id").desc()], ["id"], at_most=rows)
-    found = nest(["k"], 100, parents=parents, items=items).collect()
-    hot = sorted((r for r in found if r.k == 0), key=lambda r: r.part)
-    assert [r.part for r in hot] == list(range(10))
-    assert [c["id"] for r in hot for c in r["items"]] == list(range(2997, -1, -3))
-    assert len(found) == 3001 + 9
-    assert sum(len(r["items"]) for r in found) == 3000
-
-
-@pytest.mark.parametrize(
-    "build",
-    [
-        lambda lg: championship.driver_standings_long(lg, golden.AS_OF),
-        lambda lg: championship.constructor_standings(lg),
-        lambda lg: results.race_results(lg, golden.AS_OF),
-        lambda lg: stewarding.incident_reports(lg, "x"),
-        lambda lg: stewarding.open_reports(lg),
-    ],
-    ids=["drivers", "constructors", "results", "incidents", "open"],
-)
-def test_operators_agree_on_both_ways(spark, build):
+    found = {r.k: r["items"] for r in nest(["k"], parents=parents, items=Children(rows, [F.col("v")], ["v"])).collect()}
+    assert len(found) == 3001
+    assert [c["v"] for c in found[0]] == [*range(-2997, 1, 3)][: -2] + [0, None]
+    assert sum(map(len, found.values())) == 3000
+
+
+def test_one_message_however_many_targets(spark):
     league = golden.league(spark)
-    plain = sorted(map(str, build(league).collect()))
-    for name in ("spark.paddock.smallTableBytes", "spark.paddock.smallGroupRows"):
-        spark.conf.set(name, "0")
-    try:
-        assert sorted(map(str, build(league).collect())) == plain
-    finally:
-        for name in ("spark.paddock.smallTableBytes", "spark.paddock.smallGroupRows"):
-            spark.conf.unset(name)
+    targets = spark.range(10_001).select(F.lit("p1").alias("report_id"), F.format_string("x%d", "id").alias("driver_id"))
+    many = league.replacing(report_targets=targets)
+    assert {r.report_id: len(r.targets) for r in stewarding.incident_reports(many, "x").collect()}["p1"] == 10_001
+    feed = [r.message for r in stewarding.report_notification_feed(many, "https://x").collect() if r.report_id == "p1"]
+    assert len(feed) == 1
+    assert [r for r in stewarding.report_links(many, "https://x").collect() if r.report_id == "p1"][0].rank == 3
+    assert stewarding.open_reports(many).count() == 4
+
+
+def test_absent_seasons(spark):
+    seasons = spark.createDataFrame([("s1", "x", None), ("s2", "y", None)], "id string, name string, fia_role_id string")
+    people = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    taken = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("b", "s2"), ("b", "s2")], "k string, season_id string")
+    rows = {r.k: r.absent_from for r in seasons_without(people, "k", taken, seasons).collect()}
+    assert rows == {"a": ["s2"], "b": [], "c": ["s1", "s2"]}
 
 
 def test_shared_places_equal_rank(spark):
     rows = spark.sql(HOT)
-    places = results.scoring_places(rows)
+    places = results.scoring_places(rows, 10)
     expected = spark.sql(
         f"""select distinct race_id, is_dsq, time, place from (
               select *, rank() over (partition by race_id order by is_dsq asc nulls last, time asc nulls last) as place
@@ -114,5 +107,5 @@ def test_shared_places_equal_rank(spark):
 
 def test_scoring_places_cut_rows_before_the_shuffle(spark):
     rows = spark.sql(HOT)
-    plan = results.scoring_places(rows)._jdf.queryExecution().executedPlan().toString()
+    plan = results.scoring_places(rows, 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2

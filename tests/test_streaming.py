@@ -1,8 +1,8 @@
-"""Streams give what the batch gates give, in one micro-batch or many."""
+"""Streams give what the batch gates give, in one micro-batch or many, whatever the order of arrival."""
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import timedelta
 
 import golden
 import pytest
@@ -10,68 +10,83 @@ import pytest
 from paddock.operators.stewarding import report_gate, response_gate
 from paddock.streaming import gates, notifications
 
-AHEAD = datetime(2030, 1, 1)
-
 
 @pytest.fixture(scope="module")
 def league(spark):
     return golden.league(spark)
 
 
-def in_files(frame, path, column="created_at"):
-    """One file per moment, written in order of time."""
-    moments = sorted(r[0] for r in frame.select(column).distinct().collect())
+def in_files(frame, path, newest_first, column="created_at"):
+    """One file per moment."""
+    moments = sorted((r[0] for r in frame.select(column).distinct().collect()), reverse=newest_first)
     for moment in moments:
         frame.filter(frame[column] == moment).coalesce(1).write.mode("append").parquet(path)
 
 
-def output(spark, rows, path):
-    gates.run_to_files(rows, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+def pairs(frame, *columns):
+    return sorted(map(tuple, frame.select(*columns).collect()))
 
 
+@pytest.mark.parametrize("newest_first", [False, True])
 @pytest.mark.parametrize("max_files", [None, 1])
-def test_report_gate(spark, league, tmp_path, max_files):
-    inbox = str(tmp_path / "inbox")
-    in_files(league.reports, inbox)
-    league.reports.filter("id = 'p6'").write.mode("append").parquet(inbox)
-    stream = gates.read_files(spark, inbox, league.reports.schema, max_files)
-    found = output(spark, gates.stream_report_gate(stream, league).select("id", "gate"), tmp_path)
-    batch = report_gate(league.reports, league.races, league.races_drivers).select("id", "gate")
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect()))
+def test_report_gate(spark, league, tmp_path, max_files, newest_first):
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    reports = league.reports.unionAll(
+        league.reports.filter("id = 'p1'").selectExpr("'p9'", "'nowhere'", "from_driver", "content", "video_path", "verdict", "created_at")
+    )
+    in_files(reports, inbox, newest_first)
+    reports.filter("id in ('p6', 'p1')").write.mode("append").parquet(inbox)
+    stream = gates.read_files(spark, inbox, reports.schema, max_files)
+    gates.stream_report_gate(stream, league, out, str(tmp_path / "state")).awaitTermination()
+    batch = report_gate(reports, league.races, league.races_drivers)
+    assert pairs(spark.read.parquet(out), "id", "gate") == pairs(batch, "id", "gate")
 
 
+@pytest.mark.parametrize("newest_first", [False, True])
 @pytest.mark.parametrize("max_files", [None, 1])
-def test_response_gate(spark, league, tmp_path, max_files):
-    taken = gates.accepted(report_gate(league.reports, league.races, league.races_drivers)).select(
-        *league.reports.columns
-    )
-    sent = league.report_responses
-    late = spark.createDataFrame([("mark", None, None, None, AHEAD)], sent.schema)
-    mark = spark.createDataFrame([("mark", None, None, None, None, None, AHEAD)], taken.schema)
-    in_files(sent.unionAll(late), str(tmp_path / "sent"))
-    in_files(taken.unionAll(mark), str(tmp_path / "taken"))
-    stream = gates.stream_response_gate(
-        gates.read_files(spark, str(tmp_path / "sent"), sent.schema, max_files),
-        gates.read_files(spark, str(tmp_path / "taken"), taken.schema, max_files),
-        league,
-    ).select("report_id", "from_driver", "gate")
-    found = output(spark, stream, tmp_path).filter("report_id <> 'mark'")
+def test_response_gate(spark, league, tmp_path, max_files, newest_first):
+    taken = gates.accepted(report_gate(league.reports, league.races, league.races_drivers)).select(*league.reports.columns)
+    p1 = [(k, "p1", "d1", k, None, golden.datetime(2024, 5, 4, 20, 0) + timedelta(minutes=m)) for k, m in (("soon", -1), ("days", 4320))]
+    sent = league.report_responses.unionAll(spark.createDataFrame(p1, league.report_responses.schema))
+    inbox, out = str(tmp_path / "sent"), str(tmp_path / "out")
+    in_files(sent, inbox, newest_first)
+    asked = []
+
+    def known():
+        """Reports are accepted one by one, some after their responses came."""
+        asked.append(1)
+        return taken if len(asked) > 1 else taken.filter("id = 'p3'")
+
+    stream = gates.read_files(spark, inbox, sent.schema, max_files)
+    query = gates.stream_response_gate(stream, known, league, out, str(tmp_path / "state"))
+    query.awaitTermination()
+    waiting = gates.unanswered(spark, out, sent.schema, gates.last_batch(query))
+    found = spark.read.parquet(f"{out}/labelled").drop("batch").unionByName(waiting)
+    if max_files is None:
+        taken = taken.filter("id = 'p3'")  # the only batch saw no other
     batch = response_gate(sent, taken, league.races, league.races_drivers, league.report_targets)
-    expected = batch.select("report_id", "from_driver", "gate")
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    assert pairs(found, "id", "gate") == pairs(batch, "id", "gate")
 
 
-def test_notifications(spark, league, tmp_path):
-    news = spark.createDataFrame(
-        [("p1", False), ("p3", True), ("p2", True)], "report_id string, is_decision boolean"
-    )
-    news.write.parquet(str(tmp_path / "news"))
-    stream = gates.read_files(spark, str(tmp_path / "news"), news.schema)
+def test_notifications_wait_for_their_report(spark, league, tmp_path):
+    news = [("p1", False), ("p3", True), ("p2", True), ("p9", False)]
+    for k, row in enumerate(news):
+        spark.createDataFrame([row], "report_id string, is_decision boolean").write.parquet(str(tmp_path / "news" / f"{k}"))
+    schema = spark.createDataFrame([news[0]], "report_id string, is_decision boolean").schema
+    asked = []
+
+    def tables():
+        asked.append(1)
+        return league if len(asked) > 1 else league.replacing(reports=league.reports.limit(0))
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "news" / "*"))
     query = notifications.stream_notifications(
-        stream, league, "https://x.example", str(tmp_path / "out"), str(tmp_path / "state")
+        stream, tables, "https://x.example", str(tmp_path / "out"), str(tmp_path / "state")
     )
     query.awaitTermination()
-    sent = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
-    # p2 has no verdict to report
-    assert {(r.report_id, r.sender) for r in sent.collect()} == {("p1", "Driver 1"), ("p3", "FIA")}
+    sent = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / "sent")).collect()
+    # p2 has no verdict to report, and there is no p9
+    assert sorted((r.report_id, r.sender) for r in sent) == [("p1", "Driver 1"), ("p3", "FIA")]
+    assert {r.rank for r in sent if r.report_id == "p1"} == {3}
+    left = gates.waiting(spark, str(tmp_path / "out"), schema, gates.last_batch(query) + 1)
+    assert pairs(left, "report_id") == [("p2",), ("p9",)]
