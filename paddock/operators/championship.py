@@ -331,25 +331,27 @@ def constructor_standings(
     ).select("season_id", "team_id", "color", "points", "name", "rank", "icon")
 
 
-def penalty_points_by_race(league: League) -> DataFrame:
-    """Penalty points per driver and race, where there are any."""
+def _penalty_points(league: League) -> DataFrame:
     races = league.reports.select(F.col("id").alias("report_id"), "race_id")
-    drivers = league.drivers.select(F.col("id").alias("driver_id"))
     return (
         league.penalties.filter(F.col("penalty_points") > 0)
         .select("report_id", "driver_id", "penalty_points")
         .join(races, "report_id")
         .groupBy("driver_id", "race_id")
         .agg(F.sum("penalty_points").alias("points"))
-        .join(drivers, "driver_id", "left_semi")
     )
 
 
+def penalty_points_by_race(league: League) -> DataFrame:
+    """Penalty points per driver and race, where there are any."""
+    return _penalty_points(league).join(league.drivers.select(F.col("id").alias("driver_id")), "driver_id", "left_semi")
+
+
 def _penalty_seats(league: League) -> DataFrame:
     """Rostered drivers with penalty points of the season in all and by race, and the season's races."""
     races = league.races.select(F.col("id").alias("race_id"), "season_id")
     seasons = (
-        penalty_points_by_race(league)
+        _penalty_points(league)
         .join(races, "race_id")
         .groupBy(*SEAT)
         .agg(
