@@ -27,8 +27,12 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated strings; the documents stay."""
-    kept = substring_dedup.without_repeats(docs, with_text=True)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # so that names don't clash
+    kept = substring_dedup.without_repeats(docs.select("text", row), with_text=True)
+    changed = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        changed = changed.withField("n_chars", F.length("text").cast("long"))
+    return kept.select(changed.alias("row")).select("row.*")
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,11 +55,10 @@ def sketches(benchmark: DataFrame, width: int, similarity: tuple[int, int]) -> D
 def contained(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """text_id, item, n_shingles, n_contained: the items whose shingles a text has to the given part at least."""
     sketch = sketches(benchmark, width, similarity)
-    highest = sketch.agg(F.max("hash").alias("highest"))
+    highest = F.lit(sketch.agg(F.max("hash")).first()[0]).cast("long")  # one number, null without items
     texts = docs.select(_text_id().alias("text_id"), words.normalised(F.col("text")).alias("normal"))
-    probes = texts.crossJoin(F.broadcast(highest))  # one row
     own = _shingles("normal", width, True)
-    probes = probes.select("text_id", F.explode(F.filter(own, lambda h: h <= F.col("highest"))).alias("hash"))
+    probes = texts.select("text_id", F.explode(F.filter(own, lambda h: h <= highest)).alias("hash"))
     candidates = probes.join(sketch, "hash").select("text_id", "item").distinct()
 
     items = benchmark.select(_text_id().alias("item"), words.normalised(F.col("text")).alias("normal")).distinct()
