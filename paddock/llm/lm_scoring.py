@@ -33,7 +33,7 @@ STATES = 4
 CLASSES = 4096
 SEED_DOCUMENTS = 200
 SEED_ITERATIONS = 15
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 12_000_000
 #: Share of a word's probability that is the same in all states.
 MIXED = 0.01
 #: Expected counts are summed as whole numbers of this part, so that their order doesn't matter.
@@ -184,7 +184,7 @@ def emission(n: np.ndarray, shares: np.ndarray, totals: Totals) -> np.ndarray:
     return np.where(n[:, None] > 0, (1 - unknown) * known, unknown)
 
 
-_BLOCK_KINDS = "key binary, block long, number int, sequence binary, ids array<long>, lengths array<long>"
+_BLOCK_KINDS = "key binary, block long, number int, sequence binary, ids binary, lengths binary"
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +203,8 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.full(n + 1, block), pa.int64()),
                 pa.array(np.append(number, n), pa.int32()),
                 pa.array([None] * n + [data.tobytes()], pa.binary()),
-                pa.array([None] * n + [ids], pa.list_(pa.int64())),
-                pa.array([None] * n + [list(map(len, sequences))], pa.list_(pa.int64())),
+                pa.array([None] * n + [postings.pack_ids(ids)], pa.binary()),
+                pa.array([None] * n + [postings.pack_ids(list(map(len, sequences)))], pa.binary()),
             ],
             ["key", "block", "number", "sequence", "ids", "lengths"],
         )
@@ -247,7 +247,8 @@ def _scored(totals: Totals) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 is_word = shared.numbers(part.column("n").is_valid())
                 if not is_word.all():
                     k = int(np.flatnonzero(~is_word)[0])
-                    texts = (part.column("sequence")[k].as_py(), part.column("ids")[k].values, part.column("lengths")[k].values)
+                    sequence, *ids = (part.column(c)[k].as_py() for c in ("sequence", "ids", "lengths"))
+                    texts = (sequence, *map(postings.unpack_ids, ids))
                     part = part.filter(pa.array(is_word))
                 words.append(tuple(shared.numbers(part.column(c)) for c in ("number", "n", "shares")))
         if texts is not None:

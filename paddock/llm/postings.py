@@ -61,6 +61,17 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
+def pack_ids(ids: list) -> bytes:
+    """Whole numbers or nulls as bytes; as a column of arrays they would cost a row more than all else in it."""
+    nulls = np.array([i is None for i in ids], bool)
+    return np.array([0 if i is None else i for i in ids], "<i8").tobytes() + nulls.tobytes()
+
+
+def unpack_ids(data: bytes) -> pa.Array:
+    n = len(data) // 9
+    return pa.array(np.frombuffer(data, "<i8", n), pa.int64(), mask=np.frombuffer(data, bool, n, 8 * n))
+
+
 def posting_lists(words: np.ndarray, docs: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed lists of (step to the next document, occurrences) for words 0..n_words - 1, their cuts, their lengths."""
     width = int(docs.max(initial=0)) + 1
