@@ -62,16 +62,8 @@ def avg_finish_position(league: League) -> DataFrame:
     )
 
 
-# Columns of an entry in the standings, with the types of an empty one.
-CELL = {
-    "race_id": None,
-    "team_name": "string",
-    "time": "double",
-    "has_fastest_lap": "boolean",
-    "rank": "int",
-    "points": "bigint",
-    "is_dsq": "boolean",
-}
+# Columns of an entry in the standings.
+CELL = ["race_id", "team_name", "time", "has_fastest_lap", "rank", "points", "is_dsq"]
 
 
 def _season_totals(scored: DataFrame, *more: Column) -> DataFrame:
@@ -94,22 +86,18 @@ def _driver_seasons(league: League, scored: DataFrame) -> DataFrame:
     return _season_totals(named, F.collect_list(F.struct(*CELL)).alias("entered"))
 
 
-def _all_cells(entered: Column, races: Column) -> Column:
-    """A cell for each race of the season that was entered, and an empty one with 0 points for each other."""
-    known = F.transform(races, lambda r: r["race_id"])
+def _cells(entered: Column, races: Column) -> Column:
+    """(race, cell) for each race of the season, in race order; the cell of a race not entered is null.
+
+    An entry counts once for its race.
+    """
     own = F.coalesce(entered, F.array())
-    in_season = F.filter(own, lambda c: F.array_contains(known, c["race_id"]))
-    absent = F.array_except(known, F.transform(own, lambda c: c["race_id"]))
-    values = {n: F.lit(0).cast(k) if n == "points" else F.lit(None).cast(k or "string") for n, k in CELL.items()}
-    empty = F.transform(
-        absent, lambda r: F.struct(*[(r if n == "race_id" else v).alias(n) for n, v in values.items()])
+    return F.transform(
+        races,
+        lambda r: F.struct(
+            r.alias("race"), F.get(F.filter(own, lambda c: c["race_id"] == r["race_id"]), F.lit(0)).alias("cell")
+        ),
     )
-    return F.concat(in_season, empty)
-
-
-def _race_of(races: Column, race_id: Column) -> Column:
-    """The header of a race, by its place in the season."""
-    return F.element_at(races, F.array_position(F.transform(races, lambda r: r["race_id"]), race_id).cast("int"))
 
 
 def driver_race_points(league: League) -> DataFrame:
@@ -138,13 +126,13 @@ def _cell_rows(seats: DataFrame, season_races: DataFrame) -> DataFrame:
 
     Rows are made where the seat is, so the table of seats times races is never shuffled.
     """
-    rows = seats.join(season_races, "season_id")
-    rows = rows.withColumn("race_count", F.size("races").cast("bigint"))
-    rows = rows.withColumn("cell", F.explode(_all_cells(F.col("entered"), F.col("races")))).drop("entered")
-    rows = rows.withColumn("race", _race_of(F.col("races"), F.col("cell.race_id"))).drop("races")
-    own = [c for c in rows.columns if c not in ("cell", "race")]
-    header = [F.col(f"race.{c}") for c in ("race_no", "track_id", "flag", "date", "is_sprint")]
-    return rows.select(*own, "cell.*", *header)
+    rows = seats.join(season_races, "season_id").withColumn("race_count", F.size("races").cast("bigint"))
+    rows = rows.withColumn("races", _cells(F.col("entered"), F.col("races"))).drop("entered")
+    own = [c for c in rows.columns if c != "races"]
+    rows = rows.select(*own, F.inline("races"))
+    fields = ["team_name", "time", "has_fastest_lap", "rank", "is_dsq"]
+    points = F.coalesce("cell.points", F.lit(0)).alias("points")
+    return rows.select(*own, "race.*", *[F.col(f"cell.{c}").alias(c) for c in fields], points)
 
 
 def _ranked_seats(league: League, scored: DataFrame) -> DataFrame:
@@ -230,7 +218,7 @@ def _cell_text(is_reserve: Column, cell: Column) -> tuple[Column, Column]:
     """Rank and points that a cell shows; an absent reserve has neither."""
     absent_reserve = F.coalesce(is_reserve, F.lit(False)) & cell["team_name"].isNull()
     rank = cell_rank(cell["is_dsq"], is_reserve, cell["team_name"], cell["time"], cell["rank"])
-    return rank, F.when(~absent_reserve, cell["points"])
+    return rank, F.when(~absent_reserve, F.coalesce(cell["points"], F.lit(0)))
 
 
 def rank_display(league: League) -> DataFrame:
@@ -251,12 +239,11 @@ def driver_standings(
     rows = seats.join(_season_races(league), "season_id")
     now = moment(as_of, league.races, "date")
 
-    def shown(cell: Column) -> Column:
-        race = _race_of(F.col("races"), cell["race_id"])
+    def shown(item: Column) -> Column:
+        race, cell = item["race"], item["cell"]
         rank, points = _cell_text(F.col("is_reserve"), cell)
         return F.struct(
-            race["race_no"].alias("race_no"),
-            cell["race_id"].alias("race_id"),
+            race["race_id"].alias("race_id"),
             cell["team_name"].alias("team_name"),
             cell["has_fastest_lap"].alias("has_fastest_lap"),
             rank.alias("rank"),
@@ -264,7 +251,6 @@ def driver_standings(
             has_been_raced(race["date"], now).alias("has_been_raced"),
         )
 
-    cells = F.sort_array(F.transform(_all_cells(F.col("entered"), F.col("races")), shown))
     return rows.select(
         "season_id",
         "position",
@@ -274,7 +260,7 @@ def driver_standings(
         "points_total",
         "color",
         "wins_count",
-        F.transform(cells, lambda c: c.dropFields("race_no")).alias("races"),
+        F.transform(_cells(F.col("entered"), F.col("races")), shown).alias("races"),
     )
 
 

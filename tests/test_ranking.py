@@ -12,7 +12,7 @@ from paddock.operators.ranking import Children, nest, rank_bounded, rank_spread,
 HOT = """
   select case when id % 2 = 0 then 0 else id % 11 end as race_id,
          id as driver_id,
-         case when id % 3 <> 0 then cast(id * 7919 % 50 as double) / 4 end as time,
+         case when id % 3 <> 0 then cast(id * 7919 % 5000 as double) end as time,
          case when id % 5 = 0 then null else id % 7 = 0 end as is_dsq
   from range(20000)
 """
