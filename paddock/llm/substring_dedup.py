@@ -33,7 +33,7 @@ HOT_REGIONS = 4096
 #: Windows of a text that are handled at once, a bound on memory.
 CHUNK = 1 << 19
 #: Bytes of regions that one task gathers before it builds their suffix arrays.
-GATHER_BYTES = 1 << 23
+GATHER_BYTES = 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)

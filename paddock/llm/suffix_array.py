@@ -18,7 +18,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Positions that take their steps together; bounds the memory of a batch to some 60 bytes for each.
-BATCH_POSITIONS = 1 << 21
+BATCH_POSITIONS = 1 << 20
 
 
 class Instances:

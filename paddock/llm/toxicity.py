@@ -35,6 +35,8 @@ LEXICON_ROWS = 2000
 #: Evidence that a learned entry needs: its log odds, and the likelihood ratio (chi-squared, one degree of freedom).
 LEAST_LOG_ODDS = 2.0
 LEAST_RATIO = 30.0
+#: Words whose symbols a task keeps.
+KEPT_WORDS = 200_000
 #: Letters of word beginnings; a word begins so if it goes on behind them.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -131,7 +133,7 @@ def tokens(text: str) -> list[str]:
 
 
 class Symbols(dict):
-    """Symbol codes of words, kept for words seen before; emptied when it holds a million."""
+    """Symbol codes of words, kept for the words seen last."""
 
     def __init__(self, learned: frozenset[str]):
         self.learned = learned
@@ -140,7 +142,7 @@ class Symbols(dict):
         symbol = _FIXED.get(word, OTHER)
         if symbol == OTHER and (word in self.learned or any(word[:k] + "*" in self.learned for k in STEMS if len(word) > k)):
             symbol = INSULT
-        if len(self) >= 1_000_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = code = _CODES[symbol]
         return code
