@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,50 +23,36 @@ from paddock.llm import cutting_stock, pieces, shared
 
 CAPACITY = 4096
 UNIT = 8
+#: Texts that are split into words at once.
+TEXTS = 256
 #: Pieces of one size that one task ranks.
 SHARE_ROWS = 100_000
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of each piece. Ids of a word are looked up once for a batch of texts."""
-    kept: dict[bytes, bytes] = {}
-
-    def learn(encoder: Tokenizer, texts: list[list[bytes]]) -> None:
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        missing = {w for words in texts for w in words}.difference(kept)
-        forms: dict[bytes, list[bytes]] = {}
-        for w in missing:
-            forms.setdefault(pieces.same_pieces(w), []).append(w)
-        ids, counts = pieces.word_ids(encoder, list(forms))
-        data = ids.astype("<u4").tobytes()
-        ends = np.cumsum(counts * 4).tolist()
-        for words, a, b in zip(forms.values(), [0, *ends], ends, strict=False):
-            for w in words:
-                kept[w] = data[a:b]
+    """doc_id, start, length, ids_crc32, doc_tokens of each piece."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Tokenizer.from_file(tokenizer)
+        known = pieces.Vocabulary(Tokenizer.from_file(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
-            texts = [bytes(t).split() for t in shared.slices(batch.column("text"))]
+            keys, texts = batch.column("doc_id").to_pylist(), shared.slices(batch.column("text"))
             out: tuple[list, ...] = ([], [], [], [], [])
-            for first in range(0, len(texts), 512):
-                some = texts[first : first + 512]
-                learn(encoder, some)
-                for key, words in zip(keys[first : first + 512], some, strict=True):
-                    data = b"".join(map(kept.__getitem__, words)) + end
+            for first in range(0, len(keys), TEXTS):
+                some = [bytes(t).split() for t in islice(texts, TEXTS)]
+                known.learn({w for words in some for w in words})
+                for key, words in zip(keys[first : first + TEXTS], some, strict=True):
+                    data = b"".join(map(known.words.__getitem__, words)) + end
                     for at in range(0, len(data), 4 * capacity):
                         piece = data[at : at + 4 * capacity]
                         row = (key, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4)
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_PIECES)
+        del known
+        shared.release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(task, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -1,26 +1,37 @@
-"""Token ids of many words at once."""
+"""Token ids of many words at once, for tokenizers that drop white space and never join pieces across it.
+
+A word here is a run without ASCII white space. Words are cut further into runs of letters and the rest, which such a
+tokenizer keeps apart too, so that "word", "Word" and "word," need one look-up of "word". Where a cut might not be the
+tokenizer's own (apostrophes, special strings, scripts beyond Latin, characters that aren't composed) a word stays whole.
+"""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words that are encoded as one text.
+#: Words that are encoded as one text, and texts that the tokenizer gets at once.
 JOINED = 256
-#: Texts that the tokenizer gets at once.
 TEXTS = 64
+#: Words, and parts of words, whose ids are kept.
+KEPT = 250_000
 
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # all letters before the next block, U+0250
+_PARTS = re.compile(f"[{_LETTER}]+|[^{_LETTER}]+")
+_NEXT_BLOCK = "ɐ"
 
-def word_ids(encoder: Tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+
+def word_ids(encoder: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one behind another, and how many each word has.
 
-    For tokenizers that drop white space and never join pieces across it: words are joined by spaces, and each id goes
-    to the word in which its piece begins. Bytes that aren't UTF-8 become the replacement character.
+    Words are joined by spaces, and each id goes to the word in which its piece begins.
     """
-    texts = [w.decode("utf-8", "replace") for w in words]
     all_ids, counts = [], []
-    for k in range(0, len(texts), JOINED * TEXTS):
-        groups = [texts[j : j + JOINED] for j in range(k, min(k + JOINED * TEXTS, len(texts)), JOINED)]
+    for k in range(0, len(words), JOINED * TEXTS):
+        groups = [words[j : j + JOINED] for j in range(k, min(k + JOINED * TEXTS, len(words)), JOINED)]
         encoded = encoder.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
         for group, found in zip(groups, encoded, strict=True):
             ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
@@ -32,6 +43,35 @@ def word_ids(encoder: Tokenizer, words: list[bytes]) -> tuple[np.ndarray, np.nda
     return np.concatenate(all_ids), np.concatenate(counts)
 
 
-def same_pieces(word: bytes) -> bytes:
-    """A word with the same pieces under a tokenizer that lowers ASCII letters; special strings match only as they are."""
-    return word.lower() if word.isascii() and b"<|" not in word else word
+def parts(word: bytes) -> list[str]:
+    """The pieces of a word that can be looked up on their own; bytes that aren't UTF-8 become the replacement character."""
+    text = word.decode("utf-8", "replace")
+    if "'" in text or "<|" in text:
+        return [text]
+    if not text.isascii() and (max(text) >= _NEXT_BLOCK or "İ" in text or not unicodedata.is_normalized("NFC", text)):
+        return [text]
+    return _PARTS.findall(text.lower())
+
+
+class Vocabulary:
+    """Ids of words as bytes of 32-bit numbers, kept for words seen before."""
+
+    def __init__(self, encoder: Tokenizer):
+        self.encoder = encoder
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Look up what isn't known of ``words``; afterwards ``self.words`` has all of them."""
+        if len(self.words) > KEPT:
+            self.words.clear()
+        if len(self.parts) > KEPT:
+            self.parts.clear()
+        cut = {w: parts(w) for w in words.difference(self.words)}
+        new = list({p for found in cut.values() for p in found}.difference(self.parts))
+        ids, counts = word_ids(self.encoder, new)
+        data, ends = ids.astype("<u4").tobytes(), np.cumsum(counts * 4).tolist()
+        self.parts.update(zip(new, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        known = self.parts
+        for w, found in cut.items():
+            self.words[w] = known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable
 
@@ -34,3 +35,11 @@ def slices(column: pa.Array) -> Iterable[memoryview]:
     ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
     view = memoryview(data) if data is not None else memoryview(b"")
     return (view[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on for other tasks, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paddock.llm import cutting_stock, packing
+from paddock.llm import cutting_stock, packing, pieces
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 FOLDER = "/root/testdata/sf0.01"
@@ -64,6 +64,17 @@ def test_against_the_tokenizer(spark):
     assert sum(r.length for r in got) / (4096 * len(used)) > 0.98
 
 
+def test_words_in_parts_have_the_same_ids():
+    encoder = Tokenizer.from_file(FILE)
+    words = "word Word, (don't) 'S it's x<|endoftext|>y <|ENDOFTEXT|> H̱a é É. e\u0301 İst ¼x² a1b22c №5 ЖЖ, ｆｕｌｌ a_b __ --a--b Ünïcode! ß ǅ ŉ ΑΣ\u0085b a\u00a0b ²".split(" ")
+    known = pieces.Vocabulary(encoder)
+    known.learn({w.encode() for w in words})
+    for w in words:
+        assert np.frombuffer(known.words[w.encode()], "<u4").tolist() == encoder.encode(w, add_special_tokens=False).ids, w
+    text = " ".join(words)
+    assert b"".join(known.words[w.encode()] for w in words) == np.array(encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_empty_table_and_hot_size(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARE_ROWS", 7)
     docs = spark.createDataFrame([(k % 50, "same words") for k in range(300)], "doc_id long, text string")
