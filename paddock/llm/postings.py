@@ -16,24 +16,33 @@ import xxhash
 from paddock.llm import shared
 
 
+#: Numbers that are packed at once, a bound on memory.
+PACK = 1 << 18
+
+
 def pack(values: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative numbers as bytes of 7 bits, the last of a number without the high bit; ``cuts`` become byte places."""
-    values = values.astype(np.uint64)
-    sizes = np.ones(values.size, np.int64)
+    packed = [_packed(values[a : a + PACK].astype(np.uint64)) for a in range(0, values.size, PACK)]
+    ends = np.concatenate([np.zeros(1, np.int64), *(sizes for _, sizes in packed)]).cumsum()
+    return np.concatenate([np.empty(0, np.uint8), *(data for data, _ in packed)]), ends[cuts]
+
+
+def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.ones(values.size, np.uint8)
     for bits in range(7, 64, 7):
         more = values >> np.uint64(bits) > 0
         if not more.any():
             break
         sizes += more
-    ends = np.cumsum(sizes)
-    out = np.empty(int(ends[-1]) if ends.size else 0, np.uint8)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    out = np.empty(int(ends[-1]), np.uint8)
     at, rest, left = ends - sizes, values, sizes
     while at.size:
         last = left == 1
         out[at] = (rest & np.uint64(127)).astype(np.uint8) | np.where(last, 0, 128).astype(np.uint8)
         on = ~last
         at, rest, left = at[on] + 1, rest[on] >> np.uint64(7), left[on] - 1
-    return out, np.concatenate(([0], ends))[cuts]
+    return out, sizes
 
 
 def unpack(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +84,8 @@ def unpack_ids(data: bytes) -> pa.Array:
 def posting_lists(words: np.ndarray, docs: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed lists of (step to the next document, occurrences) for words 0..n_words - 1, their cuts, their lengths."""
     width = int(docs.max(initial=0)) + 1
-    pairs, counts = np.unique(words * width + docs, return_counts=True)
-    word, doc = pairs // width, pairs % width
+    pairs, counts = np.unique(words * np.int64(width) + docs, return_counts=True)
+    word, doc = np.divmod(pairs, width)
     first = np.concatenate(([True], word[1:] != word[:-1])) if word.size else np.empty(0, bool)
     step = np.where(first, doc, np.diff(doc, prepend=0))
     lengths = np.bincount(word, minlength=n_words)

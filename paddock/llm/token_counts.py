@@ -19,15 +19,15 @@ from tokenizers import Tokenizer
 
 from paddock.llm import pieces, postings, shared
 
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 10_000_000
 #: Bytes of posting lists of a word that go to one share; a block's longer lists go to as many shares.
 SHARE_BYTES = 64
 #: Postings that a task sums before it sends them on.
-SUM_POSTINGS = 2_000_000
+SUM_POSTINGS = 300_000
 
-_WORDS = pa.schema([("word", pa.binary()), ("share", pa.int32()), ("block", pa.int64()), ("postings", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
-_SUMS = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
-_KINDS = "word binary, share int, block long, postings binary, ids array<long>, sizes array<long>"
+_WORDS = pa.schema([("word", pa.binary()), ("share", pa.int32()), ("block", pa.int64()), ("postings", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+_SUMS = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+_KINDS = "word binary, share int, block long, postings binary, ids binary, sizes binary"
 
 
 class _Numbers(defaultdict):
@@ -38,16 +38,21 @@ class _Numbers(defaultdict):
         return n
 
 
+def _same_tokens(word: bytes) -> bytes:
+    """ASCII words count as their lower case, as the tokenizer lowers them; special strings only match as they are."""
+    return word.lower() if word.isascii() and b"<|" not in word else word
+
+
 def _word_rows(lower_case: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in postings.blocks(batches, BLOCK_BYTES):
             numbers = _Numbers()
-            found = [np.array([numbers[w] for w in bytes(t).split()], np.int64) for t in texts]
+            found = [np.fromiter(map(numbers.__getitem__, bytes(t).split()), np.int32) for t in texts]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             merged = _Numbers()
-            to = np.array([merged[pieces.same_pieces(w) if lower_case else w] for w in numbers], np.int64)
-            words = to[np.concatenate(found)] if to.size else np.empty(0, np.int64)
-            data, cuts, _ = postings.posting_lists(words, np.repeat(np.arange(len(found)), lengths), len(merged))
+            to = np.array([merged[_same_tokens(w) if lower_case else w] for w in numbers], np.int32)
+            words = to[np.concatenate(found)] if to.size else np.empty(0, np.int32)
+            data, cuts, _ = postings.posting_lists(words, np.repeat(np.arange(len(found), dtype=np.int32), lengths), len(merged))
             share = block % (1 + np.diff(cuts) // SHARE_BYTES)
             n = len(merged)
             yield pa.RecordBatch.from_arrays(
@@ -56,11 +61,13 @@ def _word_rows(lower_case: bool):
                     pa.array(np.append(share, 0), pa.int32()),
                     pa.array(np.full(n + 1, block), pa.int64()),
                     postings.binary(data, np.append(cuts, cuts[-1])),
-                    pa.array([None] * n + [ids], pa.list_(pa.int64())),
-                    pa.array([None] * n + [list(map(len, texts))], pa.list_(pa.int64())),
+                    pa.array([None] * n + [postings.pack_ids(ids)], pa.binary()),
+                    pa.array([None] * n + [postings.pack_ids(list(map(len, texts)))], pa.binary()),
                 ],
                 schema=_WORDS,
             )
+            del numbers, merged, found, words, data
+            shared.release_memory()
 
     return task
 
@@ -89,7 +96,7 @@ class _Sums:
         step = np.where(first, doc, np.diff(doc, prepend=0))
         lengths = np.bincount(block, minlength=names.size)
         data, cuts = postings.pack(np.column_stack((step, sums)).ravel(), 2 * np.concatenate(([0], np.cumsum(lengths))))
-        nothing = pa.nulls(names.size, pa.list_(pa.int64()))
+        nothing = pa.nulls(names.size, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), postings.binary(data, cuts), nothing, nothing], schema=_SUMS)
 
 
@@ -109,7 +116,7 @@ def _piece_sums(tokenizer: str):
             if not words:
                 continue
             new = [w for w, before in zip(words, [last, *words], strict=False) if w != before]
-            _, counts = pieces.word_ids(encoder, new)
+            _, counts = pieces.word_ids(encoder, [w.decode("utf-8", "replace") for w in new])
             changed = np.array([w != before for w, before in zip(words, [last, *words], strict=False)])
             tokens = np.append(tokens_of_last, counts)[np.cumsum(changed)]
             last, tokens_of_last = words[-1], int(tokens[-1])
@@ -118,6 +125,8 @@ def _piece_sums(tokenizer: str):
                 yield sums.rows()
         if sums.held:
             yield sums.rows()
+        del encoder, sums
+        shared.release_memory()
 
     return task
 
@@ -143,7 +152,7 @@ def _document_rows(limit: int):
                 if b != block:
                     block, ids, sizes, parts = b, None, None, []
                 if valid[k]:
-                    ids, sizes = batch.column("ids")[k].values, batch.column("sizes")[k].values
+                    ids, sizes = (postings.unpack_ids(batch.column(c)[k].as_py()) for c in ("ids", "sizes"))
                 else:
                     parts.append(batch.column("sums").slice(k, 1))
         if ids is not None:
@@ -161,6 +170,6 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, lower_case:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     words = rows.mapInArrow(_word_rows(lower_case), _KINDS).repartition("word", "share").sortWithinPartitions("word")
-    sums = words.mapInArrow(_piece_sums(tokenizer), "block long, sums binary, ids array<long>, sizes array<long>")
+    sums = words.mapInArrow(_piece_sums(tokenizer), "block long, sums binary, ids binary, sizes binary")
     sums = sums.repartition("block").sortWithinPartitions("block")
     return sums.mapInArrow(_document_rows(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
