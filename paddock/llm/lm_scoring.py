@@ -259,7 +259,7 @@ def _scored(totals: Totals) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def score(docs: DataFrame, words: DataFrame, totals: Totals) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for each row of ``docs``."""
-    blocks = _texts(docs).mapInArrow(_block_rows, _BLOCK_KINDS)
+    blocks = postings.steady(_texts(docs)).mapInArrow(_block_rows, _BLOCK_KINDS)
     found = blocks.join(words, "key", "left").where("n IS NOT NULL OR sequence IS NOT NULL").drop("key")
     found = found.repartition("block").sortWithinPartitions("block")
     return found.mapInArrow(_scored(totals), "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
 from paddock.llm import shared
 
@@ -106,22 +107,29 @@ def read_postings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row, total - base, counts
 
 
+def steady(rows: DataFrame) -> DataFrame:
+    """``rows`` such that a task that is run again gets the same rows in the same order: what comes out of a shuffle is written."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return shared.written(rows, "rows") if "Exchange" in plan else rows
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[int, list, list[memoryview]]]:
-    """(block, ids, texts) of doc_id and text columns. A block's number follows from its rows, so a rerun gives the same."""
+    """(block, ids, texts) of doc_id and text columns, of ``steady`` rows.
+
+    A block's number is made of its task's partition and a running number: no two tasks have the same, whatever their
+    rows, and a rerun gives the same.
+    """
+    partition = TaskContext.get().partitionId()
     ids: list = []
     texts: list[memoryview] = []
-    held, digest = 0, xxhash.xxh3_64()
+    held, running = 0, 0
     for batch in batches:
         for key, text in zip(batch.column("doc_id").to_pylist(), shared.slices(batch.column("text")), strict=True):
             ids.append(key)
             texts.append(text)
             held += len(text)
-            digest.update(f"{key} {len(text)} ")
-            digest.update(text[:64])
-            digest.update(text[-64:])
             if held >= most_bytes:
-                yield digest.intdigest() >> 1, ids, texts
-                ids, texts, held = [], [], 0
-                digest.update(b"next")
+                yield running << 32 | partition, ids, texts
+                ids, texts, held, running = [], [], 0, running + 1
     if ids:
-        yield digest.intdigest() >> 1, ids, texts
+        yield running << 32 | partition, ids, texts

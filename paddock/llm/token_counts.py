@@ -169,6 +169,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, lower_case:
     special tokens. A null text is empty; null and repeated ids stay as they are.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = postings.steady(rows)
     words = rows.mapInArrow(_word_rows(lower_case), _KINDS).repartition("word", "share").sortWithinPartitions("word")
     sums = words.mapInArrow(_piece_sums(tokenizer), "block long, sums binary, ids binary, sizes binary")
     sums = sums.repartition("block").sortWithinPartitions("block")

@@ -85,3 +85,11 @@ def test_nothing_to_learn_from(spark):
     held = next(k for k in range(50) if zlib.crc32(str(k).encode()) % 7 == 2)
     row = lm_scoring.scores(docs.withColumn("doc_id", F.lit(held))).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
+
+
+def test_equal_tasks(spark):
+    docs = spark.createDataFrame([(k, f"a{k} b c") for k in range(40)], "doc_id long, text string").coalesce(1)
+    words, totals = lm_scoring.train(docs)
+    for twice in (docs.union(docs), docs.union(docs).repartition(2)):
+        got = sorted(map(tuple, lm_scoring.score(twice, words, totals).collect()))
+        assert got == sorted(2 * [*map(tuple, lm_scoring.score(docs, words, totals).collect())])

@@ -49,3 +49,11 @@ def test_against_the_library(spark, monkeypatch, block_bytes):
         want.append((key, len((text or "").encode()), n, n > 2048))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert token_counts.token_counts(docs.limit(0), FILE).count() == 0
+
+
+def test_equal_tasks(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40).toPandas()[["doc_id", "text"]]
+    docs = spark.createDataFrame(docs).coalesce(1)
+    for twice in (docs.union(docs), docs.union(docs).repartition(2)):
+        got = sorted(map(tuple, token_counts.token_counts(twice, FILE).collect()))
+        assert got == sorted(2 * [*map(tuple, token_counts.token_counts(docs, FILE).collect())])
