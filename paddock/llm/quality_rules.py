@@ -27,14 +27,15 @@ STEPS = 3
 #: Rows that a group needs for estimates of its own.
 LEAST_ROWS = 100
 #: Part of usual rows that lies beyond the cut, if they scatter normally.
-BEYOND = 1e-6
-#: Transformed statistics, and spreads below which a group's usual rows aren't told apart.
+BEYOND = 1e-3
+#: Transformed statistics, and small spreads added so that none vanishes. The last three are 0 for most rows of most groups,
+#: so that the nearest rows hardly show how the others scatter: theirs is one line or word in twenty.
 VECTOR = {
-    "log_words": ("ln(cast(n_words AS double))", 1.0),
-    "log_word_length": ("ln(word_chars / n_words)", 0.1),
-    "log_symbols": ("ln(1 + 100 * n_symbols / word_chars)", 0.5),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.1),
-    "repeat_words": ("n_repeat_words / n_words", 0.1),
+    "log_words": ("ln(cast(n_words AS double))", 0.01),
+    "log_word_length": ("ln(word_chars / n_words)", 0.01),
+    "log_symbols": ("ln(1 + 100 * n_symbols / word_chars)", 0.05),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.05),
+    "repeat_words": ("n_repeat_words / n_words", 0.05),
 }
 NAMES = [*VECTOR]
 QUANTILE_ACCURACY = 10_000

@@ -149,6 +149,27 @@ def test_quality_rules(spark):
     assert quality_rules.judged(docs.limit(0)).count() == 0
 
 
+def quality_docs(spark, n: int, odd: list[tuple], sources=("s",)):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 8)))
+    line = lambda: " ".join(word() for _ in range(draw.randint(6, 14)))
+    rows = [(k, "en", sources[k % len(sources)], "\n".join(line() for _ in range(draw.randint(10, 30)))) for k in range(n)]
+    return spark.createDataFrame(rows + odd, "doc_id long, lang string, source string, text string"), line
+
+
+def test_unusual_in_its_group(spark):
+    _, line = quality_docs(spark, 0, [(0, "", "", "")])
+    short = [" ".join(line().split()[:2]) for _ in range(3)]
+    lines = [line() for _ in range(20)]
+    half_lines = "\n".join([*lines, *[short[k % 3] for k in range(30)]])
+    half_words = " ".join(line() for _ in range(12)) + 2 * (" " + " ".join(lines[:2]))
+    docs, _ = quality_docs(spark, 400, [(-1, "en", "s", half_lines), (-2, "en", "s", half_words)])
+    got = {r.doc_id: r for r in quality_rules.judged(docs).collect()}
+    assert not got[-1].base_failed and not got[-1].kept
+    assert not got[-2].base_failed and not got[-2].kept
+    assert sum(r.kept for k, r in got.items() if k >= 0) >= 390
+
+
 def test_chi2():
     assert abs(quality_rules.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
 
