@@ -50,6 +50,11 @@ def log_likelihoods(chain: Chain, emission: np.ndarray, data: Layout) -> np.ndar
 
 def expected_counts(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts: of each token's states, of first states, of steps from state to state."""
+    return expectations(chain, emission, data)[:3]
+
+
+def expectations(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The expected counts, and the natural log of all sequences' probability."""
     alphas, scales = [], []
     for t, m in enumerate(data.alive):
         prior = alphas[-1][:m] @ chain.transition if t else np.broadcast_to(chain.initial, (m, chain.initial.size))
@@ -72,7 +77,8 @@ def expected_counts(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[n
             steps += alphas[t - 1][:m].T @ ahead
             beta = ahead @ chain.transition.T
     counts = np.stack([np.bincount(data.tokens, posterior[:, s], len(emission)) for s in range(states)], axis=1)
-    return counts, posterior[data.starts].sum(axis=0), steps * chain.transition
+    likelihood = float(sum(np.log(scale).sum() for scale in scales))
+    return counts, posterior[data.starts].sum(axis=0), steps * chain.transition, likelihood
 
 
 def normalised(counts: np.ndarray, more: float = 1.0) -> np.ndarray:

@@ -1,12 +1,11 @@
 """Log probabilities of texts under a hidden Markov model whose counts are gathered from a whole corpus.
 
-States emit words. Training has three steps:
+States emit words. Training runs over all training texts in every iteration, from a random model, in two stages:
 
-1. A seed: some iterations over a bounded sample of texts, with words hashed to CLASSES classes. It only starts the rest.
-2. Baum-Welch over all training texts with the same classes: each task runs the forward-backward recursion over its
-   texts, and expected counts are summed across partitions. Done ``passes`` times; the model stays small.
-3. One more, in which the expected counts are summed for each word. That table grows with the corpus and stays
-   distributed; the driver gets its totals only.
+1. Baum-Welch with words hashed to CLASSES classes, until the likelihood settles: each task runs the forward-backward
+   recursion over its texts, and expected counts are summed across partitions. The model stays small.
+2. Baum-Welch with the words themselves, until the likelihood settles: blocks of texts get their words' counts by a join,
+   as in scoring. That table grows with the corpus and stays distributed; the driver gets its totals only.
 
 A word's probability in a state is its share of the state's counts. A state keeps the share of words seen once for the
 unknown word, one more event beside the known ones, and mixes in a little of the words' overall shares.
@@ -31,16 +30,16 @@ from paddock.llm import hmm, postings, shared
 
 STATES = 4
 CLASSES = 4096
-SEED_DOCUMENTS = 200
-SEED_ITERATIONS = 15
 BLOCK_BYTES = 12_000_000
 #: Share of a word's probability that is the same in all states.
 MIXED = 0.01
 #: Expected counts are summed as whole numbers of this part, so that their order doesn't matter.
 PART = 1024
+#: The likelihood has settled when its log gains no more than this part.
+SETTLED = 1e-4
 
 END = b"\n"  # no word has white space
-_STEPS, _FIRST = b" steps", b" first"
+_STEPS, _FIRST, _LIKELIHOOD = b" steps", b" first", b" likelihood"
 
 
 class Seed(NamedTuple):
@@ -84,53 +83,55 @@ def is_held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def _seed(rows: DataFrame, states: int) -> Seed:
-    """Some iterations of Baum-Welch over the sample, in one task."""
-    rng = np.random.default_rng(1)
-    first_chain = hmm.Chain(np.full(states, 1 / states), hmm.normalised(np.eye(states) * 20 * states))
-    first_classes = rng.dirichlet(np.ones(CLASSES), states).T
+def _start(states: int) -> Seed:
+    """A random model, the same for any corpus."""
+    chain = hmm.Chain(np.full(states, 1 / states), hmm.normalised(np.eye(states) * 20 * states))
+    return Seed(chain, np.random.default_rng(1).dirichlet(np.ones(CLASSES), states).T)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[memoryview] = []
-        for batch in batches:
-            texts += list(shared.slices(batch.column("text")))[: 4 * SEED_DOCUMENTS - len(texts)]
-        if not texts:
-            return
-        chain, classes = first_chain, first_classes
-        words, sequences = _numbered(texts)
-        data, class_of = hmm.layout(sequences), _class_of(words)
-        for _ in range(SEED_ITERATIONS):
-            counts, first, steps = hmm.expected_counts(chain, classes[class_of], data)
-            by_class = np.stack([np.bincount(class_of, c, CLASSES) for c in counts.T], axis=1)
-            classes = hmm.normalised(by_class.T, 0.1).T
-            chain = hmm.Chain(hmm.normalised(first), hmm.normalised(steps))
-        values = np.concatenate((chain.initial, chain.transition.ravel(), classes.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array([values.tolist()], pa.list_(pa.float64()))], ["model"])
-
-    found = rows.repartition(1).mapInArrow(task, "model array<double>").first()
-    if found is None:
-        return Seed(first_chain, first_classes)
-    initial, transition, classes = np.split(np.array(found.model), [states, states * (states + 1)])
-    return Seed(hmm.Chain(initial, transition.reshape(states, states)), classes.reshape(CLASSES, states))
+
+def _count_kinds(states: int) -> str:
+    return "key binary, n long, " + ", ".join(f"q{s} long" for s in range(states))
+
+
+def _count_batch(keys: list[bytes], n: np.ndarray, found: tuple) -> pa.RecordBatch:
+    """Rows of expected counts in PARTs, and of what the driver needs."""
+    counts, first, steps, likelihood = found
+    states = first.size
+    extra = [(_FIRST, first), *((_STEPS + b"%d" % s, row) for s, row in enumerate(steps)), (_LIKELIHOOD, np.full(states, likelihood))]
+    values = np.rint(np.concatenate((counts, [v for _, v in extra])) * PART).astype(np.int64)
+    out = [pa.array([*keys, *(k for k, _ in extra)], pa.binary()), pa.array(np.append(n, np.zeros(len(extra), np.int64)))]
+    return pa.RecordBatch.from_arrays(out + [pa.array(c) for c in np.ascontiguousarray(values.T)], ["key", "n", *(f"q{s}" for s in range(states))])
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("key").agg(*(F.sum(c).alias(c) for c in counts.columns[1:]))
 
 
 def _count_rows(rows: DataFrame, seed: Seed, keys: Callable[[list[bytes]], list]) -> DataFrame:
     """key, n, q0, q1, ...: tokens and expected counts (in PARTs) of each key, summed over all partitions."""
-    states = len(seed.chain.initial)
-    names = [f"q{s}" for s in range(states)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, texts in postings.blocks(batches, BLOCK_BYTES):
             words, sequences = _numbered(texts)
-            counts, first, steps = hmm.expected_counts(seed.chain, seed.classes[_class_of(words)], hmm.layout(sequences))
             n = np.bincount(np.concatenate(sequences), minlength=len(words))
-            extra = [(_FIRST, first), *((_STEPS + b"%d" % s, row) for s, row in enumerate(steps))]
-            values = np.rint(np.concatenate((counts, [v for _, v in extra])) * PART).astype(np.int64)
-            out = [pa.array([*keys(words), *(k for k, _ in extra)], pa.binary()), pa.array(np.append(n, np.zeros(len(extra), np.int64)))]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(c) for c in np.ascontiguousarray(values.T)], ["key", "n", *names])
+            yield _count_batch(keys(words), n, hmm.expectations(seed.chain, seed.classes[_class_of(words)], hmm.layout(sequences)))
+
+    return _summed(rows.mapInArrow(task, _count_kinds(len(seed.chain.initial))))
+
+
+def _count_words(rows: DataFrame, words: DataFrame, totals: Totals) -> DataFrame:
+    """The same for words, with the words' own probabilities."""
+
+    def finished(words: list[tuple], texts: tuple) -> pa.RecordBatch:
+        tokens, n, shares, sizes = _read_block(words, texts)
+        keys: list[bytes] = [b""] * n.size
+        for number, *_, names in words:
+            for k, name in zip(number.tolist(), names.to_pylist(), strict=True):
+                keys[k] = name
+        data = hmm.layout(np.split(tokens, np.cumsum(sizes)[:-1]))
+        return _count_batch(keys, np.bincount(tokens, minlength=n.size), hmm.expectations(totals.chain, emission(n, shares, totals), data))
 
-    found = rows.mapInArrow(task, "key binary, n long, " + ", ".join(f"{q} long" for q in names))
-    return found.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", *names)))
+    return _summed(_with_words(rows, words).mapInArrow(_of_blocks(finished), _count_kinds(totals.by_state.size)))
 
 
 def _chain(rows: list, states: int) -> hmm.Chain:
@@ -140,20 +141,36 @@ def _chain(rows: list, states: int) -> hmm.Chain:
     return hmm.Chain(hmm.normalised(found.get(_FIRST, nothing)), hmm.normalised(steps))
 
 
-def train(docs: DataFrame, states: int = STATES, passes: int = 1) -> tuple[DataFrame, Totals]:
+def _likelihood(rows: list) -> float:
+    return sum(r.q0 / PART for r in rows if bytes(r.key) == _LIKELIHOOD)
+
+
+def train(docs: DataFrame, states: int = STATES, settled: float = SETTLED) -> tuple[DataFrame, Totals]:
     """The words' counts (key, n, shares: one byte of the word's posterior for each state) and the model's totals."""
-    rows = _texts(docs)
-    few = max(1, rows.count() // SEED_DOCUMENTS)
-    seed = _seed(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(few)) == 0), states)
-    for _ in range(passes):
+    rows = postings.steady(_texts(docs))
+    seed, before = _start(states), -np.inf
+    while True:
         hashed = _count_rows(rows, seed, lambda words: [b"%d" % c for c in _class_of(words)]).collect()
+        now = _likelihood(hashed)
+        if now - before <= settled * abs(now):
+            break
         by_class = np.zeros((CLASSES, states))  # CLASSES and a few more rows come to the driver
         for r in hashed:
             if not bytes(r.key).startswith(b" "):
                 by_class[int(r.key)] = [r[f"q{s}"] / PART for s in range(states)]
-        seed = Seed(_chain(hashed, states), hmm.normalised(by_class.T, 0.1).T)
+        seed, before = Seed(_chain(hashed, states), hmm.normalised(by_class.T, 0.1).T), now
 
     counts = shared.written(_count_rows(rows, seed, lambda words: words), "word-counts")
+    best, before = _model(counts, states), -np.inf
+    while True:
+        counts = shared.written(_count_words(rows, *best), "word-counts")
+        now = _likelihood(counts.where(F.col("key") == F.lit(_LIKELIHOOD)).collect())
+        if now - before <= settled * abs(now):
+            return best
+        best, before = _model(counts, states), now
+
+
+def _model(counts: DataFrame, states: int) -> tuple[DataFrame, Totals]:
     is_word = ~F.startswith(F.col("key"), F.lit(b" "))
     chain = _chain(counts.where(~is_word).collect(), states)
     total = sum((F.col(f"q{s}") for s in range(states)), F.lit(0))
@@ -210,14 +227,20 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _scored(totals: Totals) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def finished(words: list[tuple[np.ndarray, ...]], texts: tuple) -> pa.RecordBatch:
-        sequence, ids, lengths = texts
-        tokens, _ = postings.unpack(np.frombuffer(sequence, np.uint8))
-        n, shares = np.zeros(int(tokens.max()) + 1, np.int64), np.zeros(int(tokens.max()) + 1, np.int64)
-        for number, count, share in words:
-            n[number], shares[number] = count, share
-        sizes = shared.numbers(lengths)
+def _read_block(words: list[tuple], texts: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a block, counts and shares by token, and the texts' sizes."""
+    sequence, _, lengths = texts
+    tokens, _ = postings.unpack(np.frombuffer(sequence, np.uint8))
+    n, shares = np.zeros(int(tokens.max()) + 1, np.int64), np.zeros(int(tokens.max()) + 1, np.int64)
+    for number, count, share, *_ in words:
+        n[number], shares[number] = count, share
+    return tokens, n, shares, shared.numbers(lengths)
+
+
+def _scored(totals: Totals) -> Callable[[list[tuple], tuple], pa.RecordBatch]:
+    def finished(words: list[tuple], texts: tuple) -> pa.RecordBatch:
+        tokens, n, shares, sizes = _read_block(words, texts)
+        _, ids, lengths = texts
         starts = np.cumsum(sizes) - sizes
         data = hmm.layout(np.split(tokens, starts[1:]))
         natural = hmm.log_likelihoods(totals.chain, emission(n, shares, totals), data)
@@ -233,6 +256,12 @@ def _scored(totals: Totals) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             ["doc_id", "n_tokens", "n_known", "base_score", "score"],
         )
 
+    return finished
+
+
+def _of_blocks(finished: Callable[[list[tuple], tuple], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls ``finished`` with each block's (number, n, shares, key) of words and (sequence, ids, lengths) of texts."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, words, texts = None, [], None
         for batch in batches:
@@ -250,22 +279,28 @@ def _scored(totals: Totals) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     sequence, *ids = (part.column(c)[k].as_py() for c in ("sequence", "ids", "lengths"))
                     texts = (sequence, *map(postings.unpack_ids, ids))
                     part = part.filter(pa.array(is_word))
-                words.append(tuple(shared.numbers(part.column(c)) for c in ("number", "n", "shares")))
+                words.append((*(shared.numbers(part.column(c)) for c in ("number", "n", "shares")), part.column("key")))
         if texts is not None:
             yield finished(words, texts)
 
     return task
 
 
+def _with_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows of the texts' blocks with their words' counts, each block in one partition."""
+    blocks = postings.steady(texts).mapInArrow(_block_rows, _BLOCK_KINDS)
+    found = blocks.join(words, "key", "left").where("n IS NOT NULL OR sequence IS NOT NULL")
+    return found.repartition("block").sortWithinPartitions("block")
+
+
 def score(docs: DataFrame, words: DataFrame, totals: Totals) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for each row of ``docs``."""
-    blocks = postings.steady(_texts(docs)).mapInArrow(_block_rows, _BLOCK_KINDS)
-    found = blocks.join(words, "key", "left").where("n IS NOT NULL OR sequence IS NOT NULL").drop("key")
-    found = found.repartition("block").sortWithinPartitions("block")
-    return found.mapInArrow(_scored(totals), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    found = _with_words(_texts(docs), words)
+    kinds = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    return found.mapInArrow(_of_blocks(_scored(totals)), kinds)
 
 
-def scores(docs: DataFrame, states: int = STATES, passes: int = 1) -> DataFrame:
+def scores(docs: DataFrame, states: int = STATES, settled: float = SETTLED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
     The model learns from the rows that aren't held out; both scores are log10 probabilities of the lower-cased words
@@ -273,7 +308,7 @@ def scores(docs: DataFrame, states: int = STATES, passes: int = 1) -> DataFrame:
     null id counts as an empty text for ``held_out``. Without training rows every token is unknown. Repeated rows count
     as often as they come; other columns aren't read.
     """
-    words, totals = train(docs.where(~is_held_out(F.col("doc_id"))), states, passes)
+    words, totals = train(docs.where(~is_held_out(F.col("doc_id"))), states, settled)
     rows = score(docs, words, totals)
     return rows.select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",

@@ -93,3 +93,14 @@ def test_equal_tasks(spark):
     for twice in (docs.union(docs), docs.union(docs).repartition(2)):
         got = sorted(map(tuple, lm_scoring.score(twice, words, totals).collect()))
         assert got == sorted(2 * [*map(tuple, lm_scoring.score(docs, words, totals).collect())])
+
+
+def test_settled_over_all_texts(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(300)
+    rows, found = lm_scoring._texts(docs), []
+    words, totals = lm_scoring.train(docs)
+    for _ in range(3):  # further iterations with the words' own probabilities
+        counts = lm_scoring.shared.written(lm_scoring._count_words(rows, words, totals), "counts")
+        found.append(lm_scoring._likelihood(counts.collect()))
+        words, totals = lm_scoring._model(counts, lm_scoring.STATES)
+    assert max(found) - found[0] < 1e-3 * abs(found[0])
