@@ -47,6 +47,15 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_within_lines(spark):
+    prose = " ".join(f"word{k} of{k}" for k in range(160)) + " "
+    mit, bsd = licences.TEMPLATES["MIT"][2], licences.TEMPLATES["BSD-3-Clause"][1]
+    texts = ["Copyright (c) 2020 Jane Doe. Released under the MIT License.", prose + mit + " " + prose, prose + bsd + prose + bsd]
+    texts += [f"Released under the MIT License.\n{prose} licensed under the MIT License. {prose}", prose, "under the License of the sea " * 50]
+    rows = licences.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert shown(rows) == shown([(0, "MIT", 1.0, 1), (1, "MIT", 1.0, 1), (2, "BSD-3-Clause", 1.0, 1), (3, "MIT", 1.0, 2)])
+
+
 def contaminated(spark):
     random.seed(6)
     word = lambda: random.choice(["der", "Und", "zoo", "é", "kap", "lim"]) + str(random.randint(0, 400))
