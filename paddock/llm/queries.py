@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from paddock.llm import (
+    conversations,
     decontamination,
     licences,
     lm_scoring,
     packing,
+    periodic_runs,
+    quality_classifier,
     quality_rules,
     simhash,
     substring_dedup,
@@ -73,6 +76,19 @@ def quality_query(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def conversation_query(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.damaged_audits(_table(spark, folder, "conversations"))
+
+
+def periodic_run_query(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.planted(_table(spark, folder, "documents")))
+
+
+def quality_classifier_query(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return quality_classifier.scores(documents, quality_classifier.learn(documents, _table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": substring_dedup_query,
     "op2_license_scan": licence_query,
@@ -84,6 +100,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": simhash_query,
     "op9_toxicity": toxicity_query,
     "op10_quality_rules": quality_query,
+    "op11_conversation_repair": conversation_query,
+    "op12_periodic_runs": periodic_run_query,
+    "op13_quality_classifier": quality_classifier_query,
 }
 
 #: What SQL can express; the other operators are tested against brute force.
