@@ -8,6 +8,7 @@ the rejects, so a record sent again changes nothing and is accounted for.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,12 @@ def _chosen(rows: DataFrame, keys: Sequence[str], last: bool = False) -> DataFra
     return joined.select("d.*", F.struct(*[F.col(f"d.{c}") for c in others]).eqNullSafe(F.col("_best")).alias("chosen"))
 
 
+def _least(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The chosen record of each key alone: one aggregate, which tasks begin before anything is shuffled."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_best")).select(*keys, "_best.*")
+
+
 def _split(checked: DataFrame, columns: Sequence[str], reason: Column) -> tuple[DataFrame, DataFrame]:
     """Accepted records, and rejects with ``reason`` and ``copies``; of an accepted record only further copies are rejects."""
     judged = checked.withColumn("reason", reason)
@@ -48,8 +55,8 @@ def _split(checked: DataFrame, columns: Sequence[str], reason: Column) -> tuple[
 
 
 def schedule_records(payloads: DataFrame) -> DataFrame:
-    """Posted schedules, one record per race weekend."""
-    return payloads.select("season_name", F.explode("races").alias("race")).select(
+    """Posted schedules, one record per race weekend; a posting without any is one empty record, to be rejected."""
+    return payloads.select("season_name", F.explode_outer("races").alias("race")).select(
         "season_name",
         F.col("race.trackID").alias("track_id"),
         F.col("race.timestamp").alias("timestamp"),
@@ -62,7 +69,7 @@ def ingest_schedule(
 ) -> tuple[DataFrame, DataFrame]:
     """Schedule records to races: local start to UTC, and a sprint race at the same instant.
 
-    A race whose (season, date, kind) already exists, or is posted twice, is rejected, as is an
+    A race whose (season, date, kind) already exists, or is posted twice, is rejected, as is an empty record, an
     unknown season or track or an unreadable start. New races have an id made of what makes them unique.
     """
     kinds = F.when(F.col("has_sprint"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
@@ -82,6 +89,7 @@ def ingest_schedule(
     checked = joined.withColumn(
         "reason",
         F.when(F.col("season_id").isNull(), "unknown season")
+        .when(F.col("track_id").isNull() & F.col("timestamp").isNull(), "no race")
         .when(F.col("date").isNull(), "unreadable start")
         .when(F.col("_track").isNull(), "unknown track")
         .when(F.col("_exists") | (F.col("_copies") > 1), "two races at one time"),
@@ -99,7 +107,7 @@ def ingest_schedule(
 
 
 def result_records(payloads: DataFrame) -> DataFrame:
-    """Posted results, one record per driver."""
+    """Posted results, one record per driver; each posting has its leader's, so none vanishes for want of other drivers."""
     leader = payloads.select(
         "race_id",
         F.col("leader.id").alias("driver_id"),
@@ -124,9 +132,13 @@ def ingest_results(entries: DataFrame, records: DataFrame, strict: bool = False)
 
     Races without records keep their entries. The old fastest lap of a posted race is cleared. A race is refused whole
     if it doesn't have one leader who is entered, with a readable time, or if who drove the fastest lap isn't entered.
-    Of the others' records those without a readable gap or an entry are rejected, as is a driver posted twice.
+    Of the others' records those without a readable gap or an entry are rejected, as is a driver posted twice. Records
+    without a race or a driver are rejected by themselves.
     """
     gap = F.col("time")
+    keyless = F.when(F.col("race_id").isNull(), "no race").when(F.col("driver_id").isNull(), "no driver")
+    strays = records.filter(keyless.isNotNull()).select(*ENTRY, "time", keyless.alias("reason"))
+    records = records.filter(keyless.isNull())
     copies = records.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("_copies"))
     entered = entries.select(*ENTRY).distinct().withColumn("_entered", F.lit(True))
     known = records.join(copies, ENTRY).join(entered, ENTRY, "left")
@@ -175,13 +187,14 @@ def ingest_results(entries: DataFrame, records: DataFrame, strict: bool = False)
         )
     )
     rejected = checked.filter(F.col("reason").isNotNull()).select(*ENTRY, "time", "reason")
-    return snapshot, rejected
+    return snapshot, rejected.unionByName(strays)
 
 
-def flatten_teams(payloads: DataFrame, owner: str) -> DataFrame:
-    """Posted team lists, one row per driver."""
-    return payloads.select(owner, F.explode("teams").alias("t")).select(
-        owner, F.col("t.teamID").alias("team_id"), F.explode("t.drivers").alias("driver_id")
+def flatten_teams(payloads: DataFrame, owner: str, outer: bool = False) -> DataFrame:
+    """Posted team lists, one row per driver; with ``outer`` a list without teams, or a team without drivers, is a row too."""
+    explode = F.explode_outer if outer else F.explode
+    return payloads.select(owner, explode("teams").alias("t")).select(
+        owner, F.col("t.teamID").alias("team_id"), explode("t.drivers").alias("driver_id")
     )
 
 
@@ -190,17 +203,40 @@ def flatten_team_pairs(payloads: DataFrame) -> DataFrame:
     return flatten_teams(payloads, "season_id").select("driver_id", "season_id", "team_id")
 
 
-def replace_race_entries(entries: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace the entries of posted races.
+def replace_race_entries(
+    entries: DataFrame,
+    lists: DataFrame,
+    races: DataFrame | None = None,
+    drivers: DataFrame | None = None,
+    teams: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Replace the entries of posted races: a snapshot, and rejects (race, team, driver, reason, copies).
 
-    ``lists`` has a row per race, team and driver. A race that lists a driver twice is rejected
-    whole and keeps its entries.
+    ``lists`` has a row per race, team and driver. Rows without a race or a driver are rejected, and those of a race, driver or team
+    that the given tables don't hold. Of what is left a race that lists a driver twice is refused whole and keeps its entries.
     """
-    twice = lists.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("times_listed")).filter("times_listed > 1")
-    bad_races = twice.select("race_id").distinct()
-    accepted = lists.join(bad_races, "race_id", "left_anti")
-    posted_races = accepted.select("race_id").distinct()
-    fresh = accepted.select(
+    fresh, rejected = checked_entries(lists, races, drivers, teams)
+    kept = entries.join(fresh.select("race_id").distinct(), "race_id", "left_anti")
+    return kept.unionByName(fresh), rejected
+
+
+def checked_entries(
+    lists: DataFrame, races: DataFrame | None, drivers: DataFrame | None, teams: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """New entries of the races that ``replace_race_entries`` accepts, and its rejects."""
+    columns = ["race_id", "team_id", "driver_id"]
+    checked = lists.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    reason = F.when(F.col("race_id").isNull(), "no race").when(F.col("driver_id").isNull(), "no driver")
+    for name, table in (("race", races), ("driver", drivers), ("team", teams)):
+        if table is not None:
+            known = table.select(F.col("id").alias(f"{name}_id"), F.lit(True).alias(f"_{name}"))
+            checked = checked.join(known, f"{name}_id", "left")
+            reason = reason.when(F.col(f"{name}_id").isNotNull() & F.col(f"_{name}").isNull(), f"unknown {name}")
+    checked = checked.select(*columns, "copies", reason.alias("reason"))
+    sound = checked.filter(F.col("reason").isNull())
+    listed = sound.groupBy(*ENTRY).agg(F.sum("copies").alias("times_listed"))
+    refused = listed.filter("times_listed > 1").select("race_id").distinct()
+    fresh = sound.join(refused, "race_id", "left_anti").select(
         *ENTRY,
         "team_id",
         F.lit(None).cast("double").alias("time"),
@@ -208,14 +244,16 @@ def replace_race_entries(entries: DataFrame, lists: DataFrame) -> tuple[DataFram
         F.lit(False).alias("has_fastest_lap"),
         F.lit(False).alias("is_dsq"),
     )
-    kept = entries.join(posted_races, "race_id", "left_anti")
-    return kept.unionByName(fresh), twice
+    of_refused = sound.drop("reason").join(refused, "race_id", "left_semi").join(listed, ENTRY)
+    reason = F.when(F.col("times_listed") > 1, "listed twice").otherwise("race refused")
+    rejected = checked.filter(F.col("reason").isNotNull()).select(*columns, "reason", "copies")
+    return fresh, rejected.unionByName(of_refused.select(*columns, reason.alias("reason"), "copies"))
 
 
 def add_reserves(roster: DataFrame, requests: DataFrame, seasons: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add drivers as reserves of a season.
 
-    Drivers already in it, or posted twice, are rejected, and requests for an unknown season.
+    Drivers already in it, or posted twice, are rejected, and requests without a driver or for an unknown season.
     """
     asked = requests.groupBy("season_name", "driver_id").agg(F.count(F.lit(1)).alias("copies"))
     seated = roster.select(*SEAT).distinct().withColumn("_seated", F.lit(True))
@@ -225,6 +263,7 @@ def add_reserves(roster: DataFrame, requests: DataFrame, seasons: DataFrame) ->
         .withColumn(
             "reason",
             F.when(F.col("season_id").isNull(), "unknown season")
+            .when(F.col("driver_id").isNull(), "no driver")
             .when(F.col("_seated"), "already in season")
             .when(F.col("copies") > 1, "posted twice"),
         )
@@ -244,12 +283,13 @@ def upsert_lineup(roster: DataFrame, changes: DataFrame, seasons: DataFrame) ->
 
     A null team makes a seated driver a reserve; a team seats the driver, adding it if new. The
     last change of a driver wins, of several with one ``seq`` that with the greatest team; those before it are no rejects.
-    Making an unknown driver a reserve is rejected, and any change in an unknown season.
+    Making an unknown driver a reserve is rejected, and any change in an unknown season or without a driver.
     """
     known = changes.join(_season_ids(seasons), "season_name", "left")
-    strangers = known.filter(F.col("season_id").isNull()).select("season_name", "driver_id", F.lit("unknown season").alias("reason"))
+    reason = F.when(F.col("season_id").isNull(), "unknown season").when(F.col("driver_id").isNull(), "no driver")
+    strangers = known.select("season_name", "driver_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
     wanted = (
-        known.filter(F.col("season_id").isNotNull())
+        known.filter(reason.isNull())
         .groupBy(*SEAT)
         .agg(F.max(F.struct("seq", "team_id", "season_name")).alias("_last"))
         .select(*SEAT, F.col("_last.team_id").alias("new_team"), "_last.season_name", F.lit(True).alias("changed"))
@@ -286,8 +326,11 @@ def apply_verdicts(reports: DataFrame, penalties: DataFrame, entries: DataFrame,
     """
     open_reports = reports.select(F.col("id").alias("report_id"), "race_id", F.col("verdict").isNull().alias("is_open"))
     columns = ["report_id", "seq", "content", "penalties"]
-    checked = _chosen(verdicts.select(*columns), ["report_id"]).join(open_reports, "report_id", "left")
-    accepted, rejected = _split(
+    sent = verdicts.select(*columns)
+    # what is accepted needs the least verdict of each report only, what is rejected all of them
+    accepted = _least(sent, ["report_id"]).join(open_reports.filter("is_open"), "report_id")
+    checked = _chosen(sent, ["report_id"]).join(open_reports, "report_id", "left")
+    _, rejected = _split(
         checked,
         ["report_id", "seq", "content"],
         F.when(F.col("is_open").isNull(), "unknown report")
@@ -308,10 +351,12 @@ def apply_verdicts(reports: DataFrame, penalties: DataFrame, entries: DataFrame,
         F.col("p.isDSQ").alias("is_dsq"),
         "race_id",
     )
-    known = penalties.select("report_id", "driver_id").distinct().withColumn("_known", F.lit(True))
-    one_each = _chosen(given, ["report_id", "driver_id"]).join(known, ["report_id", "driver_id"], "left")
-    values = ["report_id", "driver_id", "time", "penalty_points", "is_dsq"]
-    added, refused = _split(
+    pair = ["report_id", "driver_id"]
+    known = penalties.select(*pair)
+    values = [*pair, "time", "penalty_points", "is_dsq"]
+    added = _least(given, pair).join(known, pair, "left_anti")
+    one_each = _chosen(given, pair).join(known.distinct().withColumn("_known", F.lit(True)), pair, "left")
+    _, refused = _split(
         one_each,
         values,
         F.when(F.col("_known"), "already given").when(~F.col("chosen"), "second penalty"),
@@ -330,12 +375,13 @@ def _senders(users: DataFrame) -> DataFrame:
 
 
 def append_reports(
-    submissions: DataFrame, users: DataFrame, existing: DataFrame | None = None
+    submissions: DataFrame, users: DataFrame, existing: DataFrame | None = None, races: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Submitted reports to report and target rows, and rejects.
 
     ``submissions`` holds (id, race_id, user_id, content, targets, videos, created_at); the game
-    as a target becomes a null driver. A submission of an unknown user or of one who doesn't drive is rejected, as is an
+    as a target becomes a null driver. A submission without an id, of an unknown user or of one who doesn't drive is rejected, as
+    is one without a race or of a race that ``races`` doesn't hold, one without targets or with a null among them, and an
     id that ``existing`` reports have; of several with one id the least counts.
     """
     key = users.schema["driver_id"].dataType
@@ -344,11 +390,19 @@ def append_reports(
         checked = checked.join(existing.select("id", F.lit(True).alias("exists")), "id", "left")
     else:
         checked = checked.withColumn("exists", F.lit(None).cast("boolean"))
+    if races is not None:
+        checked = checked.join(races.select(F.col("id").alias("race_id"), F.lit(True).alias("is_race")), "race_id", "left")
+    else:
+        checked = checked.withColumn("is_race", F.col("race_id").isNotNull())
+    aimed = (F.size("targets") > 0) & ~F.exists("targets", lambda t: t.isNull())
     accepted, rejected = _split(
         checked,
         ["id", "race_id", "user_id"],
-        F.when(F.col("is_user").isNull(), "unknown user")
+        F.when(F.col("id").isNull(), "no id")
+        .when(F.col("is_user").isNull(), "unknown user")
         .when(F.col("from_driver").isNull(), "no driver")
+        .when(~F.coalesce("is_race", F.lit(False)), "unknown race")
+        .when(~F.coalesce(aimed, F.lit(False)), "no target")
         .when(F.col("exists"), "already sent")
         .when(~F.col("chosen"), "second report of this id"),
     )
@@ -435,13 +489,15 @@ def apply_changes(
 
     ``changes`` has the table's columns, ``op`` (insert, update or delete) and ``seq``; of several with one ``seq`` the
     greatest by operation and values is the last. An update keeps the old value where the new one is null, unless the
-    column is named in ``cleared``, an array that changes may have. An update of a key that isn't there is rejected.
+    column is named in ``cleared``, an array that changes may have. An update of a key that isn't there is rejected, as is a
+    change with a null in its key.
     """
     values = [c for c in table.columns if c not in keys]
     cleared = F.coalesce("cleared", F.array()) if "cleared" in changes.columns else F.array().cast("array<string>")
-    known = F.coalesce(F.col("op").isin(*OPERATIONS), F.lit(False))
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    bad = F.when(~F.coalesce(F.col("op").isin(*OPERATIONS), F.lit(False)), "unknown operation").when(~keyed, "no key")
     last = F.max(F.struct(seq, "op", *values, cleared.alias("cleared"))).alias("_last")
-    newest = changes.filter(known).groupBy(*keys).agg(last).select(
+    newest = changes.filter(bad.isNull()).groupBy(*keys).agg(last).select(
         *keys, "_last.op", f"_last.{seq}", "_last.cleared", *[F.col(f"_last.{c}").alias(f"_new_{c}") for c in values]
     )
     merged = table.withColumn("_old", F.lit(True)).join(newest, list(keys), "full_outer")
@@ -454,6 +510,6 @@ def apply_changes(
 
     snapshot = merged.filter(~gone & ~absent).select(*[F.col(c) if c in keys else value(c) for c in table.columns])
     reasons = ["op", seq, "reason"]
-    unknown = changes.filter(~known).withColumn("reason", F.lit("unknown operation")).select(*keys, *reasons)
+    unknown = changes.withColumn("reason", bad).filter(F.col("reason").isNotNull()).select(*keys, *reasons)
     lost = merged.filter(absent).withColumn("reason", F.lit("nothing to update")).select(*keys, *reasons)
     return snapshot, unknown.unionByName(lost)

@@ -261,3 +261,77 @@ def time_pairs(league: League) -> DataFrame:
         F.when(k % 19 != 0, first.cast("double")).alias("leader_time"),
         F.when(k % 5 != 0, F.greatest(first, second).cast("double")).alias("time"),
     )
+
+
+# Records that lack what a table's key needs, or name what isn't there. Each feed is sent with its own.
+
+
+def empty_schedules(league: League) -> DataFrame:
+    """A posting without races for each season, half of them with no list at all."""
+    like = schedules(league)
+    empty = F.when(F.col("season_id") % 2 == 0, F.array()).cast(like.schema["races"].dataType)
+    return _seasons(league).select("season_name", empty.alias("races"))
+
+
+def stray_results(league: League) -> DataFrame:
+    """A result without a driver for each race, and one without a race for each season."""
+    no_driver = league.races.select(F.col("id").alias("race_id"), F.lit(None).cast("long").alias("driver_id"))
+    no_race = league.seasons.select(F.lit(None).cast("int").alias("race_id"), F.col("id").cast("long").alias("driver_id"))
+    return no_driver.unionByName(no_race).select(
+        *ENTRY,
+        F.lit("+00:01.000").alias("time"),
+        F.lit(None).cast("int").alias("plus_laps"),
+        F.lit(False).alias("is_leader"),
+        F.lit(None).cast("long").alias("fastest_lap_driver"),
+    )
+
+
+def stray_entry_lists(league: League) -> DataFrame:
+    """For each race a list without teams; for each season one of no race, and one of a race, driver and team that aren't known."""
+    kind = entry_lists(league).schema["teams"].dataType
+    none = league.races.select(F.col("id").alias("race_id"), F.array().cast(kind).alias("teams"))
+    first = league.races.groupBy("season_id").agg(F.min("id").alias("race_id"))
+    one = F.array(F.struct(F.lit(None).alias("teamID"), F.array(F.col("season_id")).alias("drivers"))).cast(kind)
+    teams = F.array(
+        F.struct(F.lit(0).alias("teamID"), F.array(-F.col("season_id")).alias("drivers")),
+        F.struct((-F.col("season_id")).alias("teamID"), F.array(F.lit(1)).alias("drivers")),
+    ).cast(kind)
+    return (
+        none.unionByName(first.select(F.lit(None).cast("int").alias("race_id"), one.alias("teams")))
+        .unionByName(first.select((-F.col("race_id")).alias("race_id"), one.alias("teams")))
+        .unionByName(first.select("race_id", teams.alias("teams")))
+    )
+
+
+def stray_seats(league: League) -> DataFrame:
+    """A request or change without a driver for each season, sent twice."""
+    twice = F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")
+    return _seasons(league).select("season_name", F.lit(None).cast("long").alias("driver_id"), F.lit(None).alias("team_id"), twice)
+
+
+def stray_reports(league: League) -> DataFrame:
+    """Of each undecided report of a driving user one submission without an id, one of no race, one without and one with a null target."""
+    senders = league.users.filter(F.col("driver_id").isNotNull()).select(
+        F.col("id").alias("user_id"), F.col("driver_id").alias("from_driver")
+    )
+    rows = league.reports.filter(F.col("verdict").isNull()).join(senders, "from_driver")
+    rows = rows.withColumn("kind", F.explode(F.array(*(F.lit(k) for k in range(4)))))
+    game, none = F.lit("hra"), F.lit(None).cast("string")
+    targets = F.when(F.col("kind") == 2, F.array().cast("array<string>")).when(F.col("kind") == 3, F.array(game, none))
+    return rows.select(
+        F.when(F.col("kind") != 0, F.concat_ws("/", F.col("id").cast("string"), F.col("kind").cast("string"))).alias("id"),
+        F.when(F.col("kind") == 1, -F.col("race_id")).otherwise(F.col("race_id")).alias("race_id"),
+        "user_id",
+        "content",
+        targets.otherwise(F.array(game)).alias("targets"),
+        F.split("video_path", r"\+\+").alias("videos"),
+        "created_at",
+    )
+
+
+def stray_changes(orders: DataFrame) -> DataFrame:
+    """A change without a key for each order that is partly shipped."""
+    part = orders.filter(F.col("o_orderstatus") == "P")
+    return part.select(
+        F.lit(None).cast("long").alias("id"), F.lit("Nobody").alias("name"), F.lit("insert").alias("op"), F.col("o_orderkey").alias("seq")
+    )

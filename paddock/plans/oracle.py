@@ -493,7 +493,8 @@ _SELECTS: dict[str, str] = {
     "ingest_schedule_rejected": """
       SELECT 'Season ' || season_id AS season_name, 'nowhere' AS track_id, strftime(date, '%Y-%m-%dT%H:%M') AS timestamp,
              is_sprint, 'unknown track' AS reason
-      FROM weekends WHERE month(date) = 6""",
+      FROM weekends WHERE month(date) = 6
+      UNION ALL SELECT name, NULL, NULL, false, 'no race' FROM seasons""",
     "ingest_results": """
       SELECT race_id, driver_id, team_id,
              CASE WHEN ok AND (time > leader_time OR first) THEN time END AS time,
@@ -503,13 +504,22 @@ _SELECTS: dict[str, str] = {
     "ingest_results_rejected": """
       SELECT race_id, CASE WHEN first AND driver_id % 10 = 3 THEN -driver_id ELSE driver_id END AS driver_id, gap AS time,
              CASE WHEN first AND driver_id % 10 = 3 THEN 'not entered' WHEN NOT ok THEN 'no leader time' ELSE 'unreadable gap' END AS reason
-      FROM posted WHERE NOT ok OR (time = leader_time AND NOT first)""",
+      FROM posted WHERE NOT ok OR (time = leader_time AND NOT first)
+      UNION ALL SELECT id, NULL, '+00:01.000', 'no driver' FROM races
+      UNION ALL SELECT NULL, id, '+00:01.000', 'no race' FROM seasons""",
     "replace_race_entries": """
       SELECT race_id, driver_id, team_id, CASE WHEN bad THEN time END AS time, CASE WHEN bad THEN plus_laps END AS plus_laps,
              bad AND has_fastest_lap AS has_fastest_lap, bad AND is_dsq AS is_dsq
       FROM (SELECT *, bool_or(is_dsq AND has_fastest_lap) OVER (PARTITION BY race_id) AS bad FROM races_drivers)""",
     "replace_race_entries_rejected": """
-      SELECT race_id, driver_id, 2 AS times_listed FROM races_drivers WHERE is_dsq AND has_fastest_lap""",
+      SELECT race_id, team_id, driver_id, CASE WHEN is_dsq AND has_fastest_lap THEN 'listed twice' ELSE 'race refused' END AS reason,
+             CASE WHEN is_dsq AND has_fastest_lap THEN 2 ELSE 1 END AS copies
+      FROM (SELECT *, bool_or(is_dsq AND has_fastest_lap) OVER (PARTITION BY race_id) AS bad FROM races_drivers) WHERE bad
+      UNION ALL SELECT id, NULL, NULL, 'no driver', 1 FROM races
+      UNION ALL SELECT NULL, NULL, season_id, 'no race', 1 FROM (SELECT DISTINCT season_id FROM races)
+      UNION ALL SELECT -min(id), NULL, season_id, 'unknown race', 1 FROM races GROUP BY season_id
+      UNION ALL SELECT min(id), 0, -season_id, 'unknown driver', 1 FROM races GROUP BY season_id
+      UNION ALL SELECT min(id), -season_id, 1, 'unknown team', 1 FROM races GROUP BY season_id""",
     "flatten_team_pairs": "SELECT driver_id, season_id, team_id FROM seasons_drivers WHERE team_id IS NOT NULL",
     "roster_to_entries": """
       SELECT r.id AS race_id, driver_id, team_id FROM seasons_drivers sd JOIN races r ON r.season_id = sd.season_id
@@ -522,14 +532,16 @@ _SELECTS: dict[str, str] = {
       FROM entered WHERE driver_id % 11 = 5 GROUP BY driver_id
       UNION ALL SELECT 'Season ' || season_id, driver_id, CASE WHEN unseated THEN 'posted twice' ELSE 'already in season' END,
              CASE WHEN driver_id % 13 = 0 THEN 2 ELSE 1 END
-      FROM entered WHERE driver_id % 11 <> 5 AND (driver_id % 13 = 0 OR NOT unseated)""",
+      FROM entered WHERE driver_id % 11 <> 5 AND (driver_id % 13 = 0 OR NOT unseated)
+      UNION ALL SELECT name, NULL, 'no driver', 2 FROM seasons""",
     "upsert_lineup": """
       SELECT driver_id, season_id, CASE WHEN last_team >= 0 THEN last_team END AS team_id, last_team < 0 AS is_reserve
       FROM entered WHERE driver_id % 11 <> 5 AND NOT (unseated AND last_team < 0)
       UNION ALL SELECT driver_id, season_id, team_id, is_reserve FROM seasons_drivers WHERE driver_id % 11 = 5""",
     "upsert_lineup_rejected": """
       SELECT 'No season' AS season_name, driver_id, 'unknown season' AS reason FROM races_drivers WHERE driver_id % 11 = 5
-      UNION ALL SELECT 'Season ' || season_id, driver_id, 'not in season' FROM entered WHERE driver_id % 11 <> 5 AND unseated AND last_team < 0""",
+      UNION ALL SELECT 'Season ' || season_id, driver_id, 'not in season' FROM entered WHERE driver_id % 11 <> 5 AND unseated AND last_team < 0
+      UNION ALL SELECT name, NULL, 'no driver' FROM seasons CROSS JOIN (VALUES (1), (2))""",
     "apply_verdicts": """
       SELECT id, coalesce(verdict, 'ruling 1 of ' || id) AS verdict FROM reports""",
     "apply_verdicts_penalties": """
@@ -562,7 +574,11 @@ _SELECTS: dict[str, str] = {
       WHERE t.driver_id % 2 = 0 AND r.id % 9 <> 4""",
     "append_reports_rejected": """
       SELECT r.id || '-' || target_id AS id, race_id, -1 - user_id AS user_id, 'unknown user' AS reason, 1 AS copies
-      FROM reports r JOIN senders s ON s.driver_id = r.from_driver JOIN named_targets t ON t.report_id = r.id WHERE r.id % 9 = 4""",
+      FROM reports r JOIN senders s ON s.driver_id = r.from_driver JOIN named_targets t ON t.report_id = r.id WHERE r.id % 9 = 4
+      UNION ALL
+      SELECT CASE WHEN k <> 0 THEN r.id || '/' || k END, CASE WHEN k = 1 THEN -race_id ELSE race_id END, user_id,
+             CASE k WHEN 0 THEN 'no id' WHEN 1 THEN 'unknown race' ELSE 'no target' END, 1
+      FROM reports r JOIN senders s ON s.driver_id = r.from_driver CROSS JOIN (VALUES (0), (1), (2), (3)) x(k) WHERE verdict IS NULL""",
     "append_responses": """
       SELECT report_id || '-' || user_id || '-' || md5(content || '|' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || '|' || video_path) AS id,
              report_id, from_driver, content, video_path, created_at
@@ -584,7 +600,8 @@ _SELECTS: dict[str, str] = {
       UNION ALL SELECT id, 'update', seq, 'nothing to update' FROM (
         SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS op, max(o_orderkey) AS seq
         FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1)
-      WHERE op = 'F' AND id NOT IN (SELECT id FROM drivers)""",
+      WHERE op = 'F' AND id NOT IN (SELECT id FROM drivers)
+      UNION ALL SELECT NULL, 'insert', o_orderkey, 'no key' FROM orders WHERE o_orderstatus = 'P'""",
     "apply_changes": "SELECT id, name FROM changed_drivers",
     "points_for": "SELECT race_id, driver_id, rank, is_sprint, has_fastest_lap, is_dsq, points FROM scored",
     "parse_gap": """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,35 +60,40 @@ def _response_columns(rows: DataFrame) -> DataFrame:
 
 
 def _stream_report_gate(league: League) -> DataFrame:
-    spark = league.races.sparkSession
+    """Three runs: reports by time, then all of them again, most of them late by then, then one without a time by itself."""
+    spark, schema = league.races.sparkSession, league.reports.schema
     inbox, out, state = (new_folder(spark, f"report-{kind}") for kind in ("inbox", "out", "state"))
-    # the last reports come first, and every report comes again
-    league.reports.repartitionByRange(3, F.col("created_at").desc()).write.parquet(inbox)
-    league.reports.write.mode("append").parquet(inbox)
-    stream = gates.read_files(spark, inbox, league.reports.schema, max_files=2)
-    gates.stream_report_gate(stream, league, out, state).awaitTermination()
-    return _report_columns(spark.read.parquet(out))
+    dated = F.col("created_at").isNotNull()
+    for rows in (
+        league.reports.filter(dated).repartitionByRange(4, "created_at"),
+        league.reports.filter(dated),
+        league.reports.filter(~dated),
+    ):
+        rows.write.mode("append").parquet(inbox)
+        stream = gates.read_files(spark, inbox, schema, max_files=2)
+        gates.stream_report_gate(stream, league, out, state).awaitTermination()
+    on_time = gates.labelled_reports(spark, out, schema)
+    return _report_columns(on_time.unionByName(gates.late_reports(spark, league, out, schema)))
 
 
 def _stream_response_gate(league: League) -> DataFrame:
+    """Two runs: the second brings reports whose responses came in the first, and what is left of the responses."""
     spark = league.races.sparkSession
-    sent, out, state = (new_folder(spark, f"response-{kind}") for kind in ("sent", "out", "state"))
+    sent, taken, out, state = (new_folder(spark, f"response-{kind}") for kind in ("sent", "taken", "out", "state"))
     responses = league.report_responses
     accepted = gates.accepted(_gated_reports(league)).select(*league.reports.columns)
-    asked: list[int] = []
-
-    def accepted_so_far() -> DataFrame:
-        """At first only some reports are accepted, so their responses have to wait."""
-        asked.append(len(asked))
-        return accepted if len(asked) > 1 else accepted.filter("id % 2 = 0")
-
-    responses.repartitionByRange(2, F.col("created_at").desc()).write.parquet(sent)
-    stream = gates.read_files(spark, sent, responses.schema, max_files=1)
-    query = gates.stream_response_gate(stream, accepted_so_far, league, out, state)
-    query.awaitTermination()
-    labelled = spark.read.parquet(f"{out}/labelled").drop("batch")
-    waiting = gates.unanswered(spark, out, responses.schema, gates.last_batch(query))
-    return _response_columns(labelled.unionByName(waiting))
+    first = F.col("report_id") % 3 != 0
+    seen = F.col("id") % 2 == 0
+    for last, answered, known in ((False, first, seen), (True, ~first, ~seen)):
+        responses.filter(answered).repartitionByRange(3, F.col("created_at").desc()).write.mode("append").parquet(sent)
+        accepted.filter(known).write.mode("append").parquet(taken)
+        if last:  # the league has ended: all that still waits is due
+            gates.heartbeat(spark, responses.schema, datetime(2100, 1, 1)).write.mode("append").parquet(sent)
+            gates.heartbeat(spark, accepted.schema, datetime(2100, 1, 1)).write.mode("append").parquet(taken)
+        streams = gates.read_files(spark, sent, responses.schema), gates.read_files(spark, taken, accepted.schema)
+        gates.stream_response_gate(*streams, lambda: accepted, league, out, state).awaitTermination()
+    late = gates.late_responses(spark, accepted, league, out, responses.schema)
+    return _response_columns(gates.labelled_responses(spark, out, responses.schema).unionByName(late))
 
 
 def _stream_notifications(league: League) -> DataFrame:
@@ -122,10 +128,15 @@ def _loaded(league: League) -> League:
 
 
 def _schedule(league: League) -> tuple[DataFrame, DataFrame]:
-    records = ingest.schedule_records(feeds.schedules(league))
+    records = ingest.schedule_records(feeds.schedules(league).unionByName(feeds.empty_schedules(league)))
     return ingest.ingest_schedule(records, league.seasons, league.races, league.tracks)
 
 
+def _results(league: League) -> tuple[DataFrame, DataFrame]:
+    records = feeds.results(league).unionByName(feeds.stray_results(league))
+    return ingest.ingest_results(feeds.lined_up(league), records)
+
+
 def _verdicts(league: League) -> ingest.Verdicts:
     return ingest.apply_verdicts(
         league.reports, league.penalties, league.races_drivers, feeds.verdicts(league)
@@ -133,20 +144,24 @@ def _verdicts(league: League) -> ingest.Verdicts:
 
 
 def _reserves(league: League) -> tuple[DataFrame, DataFrame]:
-    return ingest.add_reserves(league.seasons_drivers, feeds.reserve_requests(league), league.seasons)
+    requests = feeds.reserve_requests(league).unionByName(feeds.stray_seats(league).select("season_name", "driver_id"))
+    return ingest.add_reserves(league.seasons_drivers, requests, league.seasons)
 
 
 def _lineup(league: League) -> tuple[DataFrame, DataFrame]:
-    return ingest.upsert_lineup(league.seasons_drivers, feeds.lineup_changes(league), league.seasons)
+    changes = feeds.lineup_changes(league).unionByName(feeds.stray_seats(league))
+    return ingest.upsert_lineup(league.seasons_drivers, changes, league.seasons)
 
 
 def _entry_lists(league: League) -> tuple[DataFrame, DataFrame]:
-    lists = ingest.flatten_teams(feeds.entry_lists(league), "race_id")
-    return ingest.replace_race_entries(league.races_drivers, lists)
+    posted = feeds.entry_lists(league).unionByName(feeds.stray_entry_lists(league))
+    lists = ingest.flatten_teams(posted, "race_id", outer=True)
+    return ingest.replace_race_entries(league.races_drivers, lists, league.races, league.drivers, league.teams)
 
 
 def _new_reports(league: League) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return ingest.append_reports(feeds.report_submissions(league), league.users)
+    submissions = feeds.report_submissions(league).unionByName(feeds.stray_reports(league))
+    return ingest.append_reports(submissions, league.users, races=league.races)
 
 
 def _new_responses(league: League) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +180,9 @@ def _orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def _driver_changes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     drivers = testdata.league(spark, folder).drivers
-    return ingest.apply_changes(drivers, feeds.driver_changes(_orders(spark, folder)), ["id"])
+    orders = _orders(spark, folder)
+    changes = feeds.driver_changes(orders).unionByName(feeds.stray_changes(orders))
+    return ingest.apply_changes(drivers, changes, ["id"])
 
 
 def _changed_drivers(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,8 +261,8 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "nested_json_sink": _json_sink,
     "ingest_schedule": lambda lg: _schedule(lg)[0],
     "ingest_schedule_rejected": lambda lg: _schedule(lg)[1],
-    "ingest_results": lambda lg: ingest.ingest_results(feeds.lined_up(lg), feeds.results(lg))[0],
-    "ingest_results_rejected": lambda lg: ingest.ingest_results(feeds.lined_up(lg), feeds.results(lg))[1],
+    "ingest_results": lambda lg: _results(lg)[0],
+    "ingest_results_rejected": lambda lg: _results(lg)[1],
     "replace_race_entries": lambda lg: _entry_lists(lg)[0],
     "replace_race_entries_rejected": lambda lg: _entry_lists(lg)[1],
     "flatten_team_pairs": lambda lg: ingest.flatten_team_pairs(feeds.team_pairs(lg)),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from paddock.operators.stewarding import report_notification_feed
@@ -24,8 +25,8 @@ def stream_notifications(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         league, columns = tables(), ["report_id", "is_decision"]
-        waiting = gates.waiting(batch.sparkSession, path, batch.select(*columns).schema, batch_id)
-        asked = batch.select(*columns).unionByName(waiting).distinct()
+        left = waiting(batch.sparkSession, path, batch.select(*columns).schema, batch_id)
+        asked = batch.select(*columns).unionByName(left).distinct()
         known = league.reports.select(F.col("id").alias("report_id"), F.col("verdict").isNotNull().alias("decided"))
         ready = asked.join(known, "report_id").filter(~F.col("is_decision") | F.col("decided")).select(*columns)
         asked.join(ready, columns, "left_anti").write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
@@ -37,3 +38,16 @@ def stream_notifications(
             )
 
     return gates.run(news, write, checkpoint)
+
+
+def waiting(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """What the batch before left waiting; every batch takes all of it over."""
+    if not batch_id:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/waiting/batch={batch_id - 1}")
+
+
+def last_batch(query: StreamingQuery) -> int:
+    """Number of the last micro-batch that a finished query wrote, -1 if it found nothing."""
+    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    return max(done, default=-1)

@@ -112,7 +112,12 @@ def test_replace_entries(spark, league):
     assert rows(snapshot.filter("race_id = 'future'"), "driver_id", "team_id") == [("d1", "A"), ("d3", "B"), ("d4", "B")]
     assert snapshot.filter("race_id = 'sprint'").count() == 3
     assert snapshot.filter("race_id = 'feature'").count() == 5
-    assert rows(rejected) == rows(quality.dq_driver_two_teams(lists)) == [("sprint", "d2", 2)]
+    assert rows(quality.dq_driver_two_teams(lists)) == [("sprint", "d2", 2)]
+    assert rows(rejected) == [
+        ("sprint", "A", "d1", "race refused", 1),
+        ("sprint", "A", "d2", "listed twice", 1),
+        ("sprint", "B", "d2", "listed twice", 1),
+    ]
 
 
 def test_replaced_partitions_leave_the_others(spark, league, tmp_path):
@@ -307,3 +312,78 @@ def test_quality(spark, league):
     excluded = league.races_drivers.selectExpr("race_id", "driver_id", "time", "false as has_fastest_lap", "true as is_dsq")
     assert {r.race_id for r in quality.dq_one_fastest_lap(excluded).collect()} == {"feature", "sprint"}
     assert quality.dq_uuid(league.drivers, "id").count() == 6
+
+
+def test_every_record_is_accepted_or_rejected(spark, league):
+    """Null keys, unknown names and empty lists: what was sent is what was accepted and what was rejected."""
+    sent = spark.createDataFrame(
+        [("feature", "d1", "80:00.000", None, True, "d1"), ("feature", "d2", "+1", 0, False, "d1")]
+        + [(race, driver, "+2", 0, False, None) for race in ("feature", None) for driver in (None, "d3", "nobody")],
+        RESULTS,
+    )
+    snapshot, rejected = ingest.ingest_results(league.races_drivers, sent)
+    assert rows(snapshot.filter("race_id = 'feature' AND time > 4800 AND time < 4810"), "driver_id") == [("d2",), ("d3",)]
+    reasons = rows(rejected, "race_id", "driver_id", "reason")
+    assert len(reasons) + 3 == sent.count()
+    assert ("feature", None, "no driver") in reasons and (None, "d3", "no race") in reasons and (None, None, "no race") in reasons
+
+    payloads = spark.createDataFrame(
+        [
+            ("future", [("A", ["d1", None]), ("B", []), ("C", None), ("Z", ["d2"]), (None, ["d3"])]),
+            ("feature", []),
+            ("sprint", None),
+            (None, [("A", ["d1"])]),
+            ("nowhere", [("A", ["d1"]), ("A", ["d1"])]),
+        ],
+        "race_id string, teams array<struct<teamID string, drivers array<string>>>",
+    )
+    lists = ingest.flatten_teams(payloads, "race_id", outer=True)
+    found, rejected = ingest.replace_race_entries(league.races_drivers, lists, league.races, league.drivers, league.teams)
+    assert rows(found.filter("race_id = 'future'"), "team_id", "driver_id") == [("A", "d1"), (None, "d3")]
+    assert found.filter("race_id IN ('feature', 'sprint')").count() == 8 and found.filter("race_id IS NULL").count() == 0
+    counts = {(r.race_id, r.reason): 0 for r in rejected.collect()}
+    for r in rejected.collect():
+        counts[r.race_id, r.reason] += r.copies
+    assert counts == {
+        ("future", "no driver"): 3, ("future", "unknown team"): 1, ("feature", "no driver"): 1, ("sprint", "no driver"): 1,
+        (None, "no race"): 1, ("nowhere", "unknown race"): 2,
+    }
+    assert sum(counts.values()) + 2 == lists.count()
+
+    season = "Season 1/A b"
+    asked = spark.createDataFrame([(season, None), (season, None), (None, "d6"), (season, "d6")], "season_name string, driver_id string")
+    new, rejected = ingest.add_reserves(league.seasons_drivers, asked, league.seasons)
+    assert rows(new, "driver_id") == [("d6",)]
+    assert rows(rejected, "driver_id", "reason", "copies") == [("d6", "unknown season", 1), (None, "no driver", 2)]
+    changes = asked.selectExpr("season_name", "driver_id", "'A' AS team_id", "1 AS seq")
+    found, rejected = ingest.upsert_lineup(league.seasons_drivers, changes, league.seasons)
+    assert found.filter("driver_id IS NULL").count() == 0 and found.filter("driver_id = 'd6'").count() == 1
+    assert rows(rejected, "driver_id", "reason") == [("d6", "unknown season"), (None, "no driver"), (None, "no driver")]
+
+    empty = spark.createDataFrame(
+        [(season, []), (season, None), (None, None)],
+        "season_name string, races array<struct<trackID string, timestamp string, hasSprint boolean>>",
+    )
+    new, rejected = ingest.ingest_schedule(ingest.schedule_records(empty), league.seasons, league.races, league.tracks)
+    assert new.count() == 0 and rows(rejected, "reason") == [("no race",), ("no race",), ("unknown season",)]
+
+    reports = [(i, r, "u1", "text", t, [], golden.START) for i, r, t in (
+        (None, "feature", ["d2"]), (None, "feature", ["d2"]), ("a", None, ["d2"]), ("b", "nowhere", ["d2"]), ("c", "feature", []),
+        ("d", "feature", None), ("e", "feature", ["d2", None]), ("f", "feature", ["hra"]),
+    )]
+    reports = spark.createDataFrame(
+        reports,
+        "id string, race_id string, user_id string, content string, targets array<string>, videos array<string>, created_at timestamp_ntz",
+    )
+    new, targets, rejected = ingest.append_reports(reports, league.users, league.reports, league.races)
+    assert rows(new, "id") == [("f",)] and rows(targets) == [("f", None)]
+    assert rows(rejected, "id", "reason", "copies") == [
+        ("a", "unknown race", 1), ("b", "unknown race", 1), ("c", "no target", 1), ("d", "no target", 1), ("e", "no target", 1),
+        (None, "no id", 2),
+    ]
+
+    changes = spark.createDataFrame(
+        [(None, "x", "insert", 1), (None, "y", "delete", 2), ("d1", "New", "update", 1)], "id string, name string, op string, seq int"
+    )
+    found, rejected = ingest.apply_changes(league.drivers, changes, ["id"])
+    assert found.count() == league.drivers.count() and rows(rejected, "op", "reason") == [("delete", "no key"), ("insert", "no key")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import timedelta
 
 import golden
@@ -16,56 +17,85 @@ def league(spark):
     return golden.league(spark)
 
 
-def in_files(frame, path, newest_first, column="created_at"):
-    """One file per moment."""
-    moments = sorted((r[0] for r in frame.select(column).distinct().collect()), reverse=newest_first)
-    for moment in moments:
-        frame.filter(frame[column] == moment).coalesce(1).write.mode("append").parquet(path)
-
-
 def pairs(frame, *columns):
     return sorted(map(tuple, frame.select(*columns).collect()))
 
 
-@pytest.mark.parametrize("newest_first", [False, True])
-@pytest.mark.parametrize("max_files", [None, 1])
-def test_report_gate(spark, league, tmp_path, max_files, newest_first):
-    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
-    reports = league.reports.unionAll(
-        league.reports.filter("id = 'p1'").selectExpr("'p9'", "'nowhere'", "from_driver", "content", "video_path", "verdict", "created_at")
-    )
-    in_files(reports, inbox, newest_first)
-    reports.filter("id in ('p6', 'p1')").write.mode("append").parquet(inbox)
-    stream = gates.read_files(spark, inbox, reports.schema, max_files)
-    gates.stream_report_gate(stream, league, out, str(tmp_path / "state")).awaitTermination()
-    batch = report_gate(reports, league.races, league.races_drivers)
-    assert pairs(spark.read.parquet(out), "id", "gate") == pairs(batch, "id", "gate")
-
-
-@pytest.mark.parametrize("newest_first", [False, True])
-@pytest.mark.parametrize("max_files", [None, 1])
-def test_response_gate(spark, league, tmp_path, max_files, newest_first):
+def labels(frame):
+    return pairs(frame, "id", "gate")
+
+
+@pytest.mark.parametrize(("runs", "newest_first"), [(1, True), (3, False), (5, True)])
+def test_report_gate(spark, league, tmp_path, runs, newest_first):
+    inbox, out, state = (str(tmp_path / x) for x in ("inbox", "out", "state"))
+    more = ["id", "race_id", "from_driver", "content", "video_path", "verdict", "created_at"]
+    odd = league.reports.filter("id = 'p1'").selectExpr("'p9' AS id", "'nowhere' AS race_id", *more[2:])
+    undated = league.reports.filter("id = 'p2'").selectExpr("'p8' AS id", *more[1:-1], "CAST(NULL AS TIMESTAMP_NTZ) AS created_at")
+    reports = league.reports.unionAll(odd).unionAll(undated).cache()
+    rows = sorted(reports.collect(), key=lambda r: (r.created_at is None, r.created_at), reverse=newest_first)
+    rows += [r for r in rows if r.id in ("p6", "p1", "p8")]
+    schema, read = reports.schema, 0
+    for k in range(runs):
+        part = rows[k * len(rows) // runs : (k + 1) * len(rows) // runs]
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(inbox)
+        query = gates.stream_report_gate(gates.read_files(spark, inbox, schema, 1), league, out, state, delay="1 hour")
+        query.awaitTermination()
+        read += sum(p["numInputRows"] for p in query.recentProgress)
+    # each row is read once, whatever the number of runs
+    assert read == gates.stored(spark, f"{out}/on_time", schema).count()
+    assert read + gates.stored(spark, f"{out}/late", schema).count() == len(rows)
+    found = gates.labelled_reports(spark, out, schema).unionByName(gates.late_reports(spark, league, out, schema))
+    assert labels(found) == labels(report_gate(reports, league.races, league.races_drivers))
+
+    # a restart from the checkpoint changes nothing
+    gates.stream_report_gate(gates.read_files(spark, inbox, schema), league, out, state, delay="1 hour").awaitTermination()
+    again = gates.labelled_reports(spark, out, schema).unionByName(gates.late_reports(spark, league, out, schema))
+    assert labels(again) == labels(found)
+
+
+def test_report_gate_forgets_ids_behind_the_watermark(spark, league, tmp_path):
+    inbox, out, state = (str(tmp_path / x) for x in ("inbox", "out", "state"))
+    one = league.reports.filter("id = 'p1'").first()
+    schema, held = league.reports.schema, []
+    for k in range(4):
+        rows = [(f"r{k}-{i}", *one[1:-1], one.created_at + timedelta(days=30 * k)) for i in range(50)]
+        spark.createDataFrame(rows + rows[:5], schema).write.mode("append").parquet(inbox)
+        query = gates.stream_report_gate(gates.read_files(spark, inbox, schema), league, out, state, delay="1 day")
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(held) <= 100 and held[-1] <= 50
+    assert gates.labelled_reports(spark, out, schema).count() == 200
+
+
+@pytest.mark.parametrize(("order", "delay"), [(1, "30 days"), (2, "1 hour")])
+def test_response_gate(spark, league, tmp_path, order, delay):
     taken = gates.accepted(report_gate(league.reports, league.races, league.races_drivers)).select(*league.reports.columns)
     p1 = [(k, "p1", "d1", k, None, golden.datetime(2024, 5, 4, 20, 0) + timedelta(minutes=m)) for k, m in (("soon", -1), ("days", 4320))]
+    p1 += [("none", "nothing", "d1", "none", None, golden.datetime(2024, 5, 4, 20, 0)), ("undated", "p1", "d1", "u", None, None)]
     sent = league.report_responses.unionAll(spark.createDataFrame(p1, league.report_responses.schema))
-    inbox, out = str(tmp_path / "sent"), str(tmp_path / "out")
-    in_files(sent, inbox, newest_first)
-    asked = []
-
-    def known():
-        """Reports are accepted one by one, some after their responses came."""
-        asked.append(1)
-        return taken if len(asked) > 1 else taken.filter("id = 'p3'")
-
-    stream = gates.read_files(spark, inbox, sent.schema, max_files)
-    query = gates.stream_response_gate(stream, known, league, out, str(tmp_path / "state"))
-    query.awaitTermination()
-    waiting = gates.unanswered(spark, out, sent.schema, gates.last_batch(query))
-    found = spark.read.parquet(f"{out}/labelled").drop("batch").unionByName(waiting)
-    if max_files is None:
-        taken = taken.filter("id = 'p3'")  # the only batch saw no other
+    inbox, accepted, out, state = (str(tmp_path / x) for x in ("sent", "accepted", "out", "state"))
+    random.seed(order)
+    responses, reports = sent.collect(), taken.collect()
+    random.shuffle(responses)
+    random.shuffle(reports)
+    for k in range(4):
+        rows = responses[k * len(responses) // 3 : (k + 1) * len(responses) // 3]
+        known = reports[k * len(reports) // 3 : (k + 1) * len(reports) // 3]
+        spark.createDataFrame(rows, sent.schema).write.mode("append").parquet(inbox)
+        spark.createDataFrame(known, taken.schema).write.mode("append").parquet(accepted)
+        if k == 3:
+            for schema, path in ((sent.schema, inbox), (taken.schema, accepted)):
+                gates.heartbeat(spark, schema, golden.datetime(2100, 1, 1)).write.mode("append").parquet(path)
+        streams = gates.read_files(spark, inbox, sent.schema), gates.read_files(spark, accepted, taken.schema)
+        query = gates.stream_response_gate(*streams, lambda: taken, league, out, state, delay=delay)
+        query.awaitTermination()
+    late = gates.late_responses(spark, taken, league, out, sent.schema)
+    assert late.filter("id = 'undated'").count() == 1
+    found = gates.labelled_responses(spark, out, sent.schema).unionByName(late)
     batch = response_gate(sent, taken, league.races, league.races_drivers, league.report_targets)
-    assert pairs(found, "id", "gate") == pairs(batch, "id", "gate")
+    assert labels(found) == labels(batch)
+    # hardly a row is held but the two that moved the clock; each counts twice
+    assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) <= 6
 
 
 def test_notifications_wait_for_their_report(spark, league, tmp_path):
@@ -88,5 +118,5 @@ def test_notifications_wait_for_their_report(spark, league, tmp_path):
     # p2 has no verdict to report, and there is no p9
     assert sorted((r.report_id, r.sender) for r in sent) == [("p1", "Driver 1"), ("p3", "FIA")]
     assert {r.rank for r in sent if r.report_id == "p1"} == {3}
-    left = gates.waiting(spark, str(tmp_path / "out"), schema, gates.last_batch(query) + 1)
+    left = notifications.waiting(spark, str(tmp_path / "out"), schema, notifications.last_batch(query) + 1)
     assert pairs(left, "report_id") == [("p2",), ("p9",)]
