@@ -173,9 +173,13 @@ def driver_standings_long(
     pg_compat: bool = False,
     feature: Sequence[int] = FEATURE_POINTS,
     sprint: Sequence[int] = SPRINT_POINTS,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
-    """Driver championship, one row per driver and race; read in order of position, race_no."""
-    seats = _ranked_seats(league, scored_entries(league, pg_compat, feature, sprint))
+    """Driver championship, one row per driver and race; read in order of position, race_no.
+
+    ``scored`` are the league's scored entries where they are kept.
+    """
+    seats = _ranked_seats(league, scored_entries(league, pg_compat, feature, sprint) if scored is None else scored)
     raced = has_been_raced(F.col("date"), moment(as_of, league.races, "date"))
     return _cell_rows(seats, _season_races(league)).select(
         *SEAT,
@@ -264,17 +268,10 @@ def driver_standings(
     )
 
 
-def constructor_standings(
-    league: League,
-    pg_compat: bool = False,
-    feature: Sequence[int] = FEATURE_POINTS,
-    sprint: Sequence[int] = SPRINT_POINTS,
+def team_race_points(
+    league: League, feature: Sequence[int] = FEATURE_POINTS, sprint: Sequence[int] = SPRINT_POINTS
 ) -> DataFrame:
-    """Constructor championship: every team in every season.
-
-    Equal times share a position here. Teams without entries have 0 points and come last;
-    ``pg_compat`` puts them first, as a descending sort with nulls first does.
-    """
+    """What each team earned in each race; equal times share a position. Teams outside the points have no row."""
     teams = league.teams.select(F.col("id").alias("team_id"))
     races = league.races.select(F.col("id").alias("race_id"), "season_id", "is_sprint")
     entries = adjusted_entries(league).join(teams, "team_id").join(races, "race_id")
@@ -292,17 +289,33 @@ def constructor_standings(
     earned = F.col("own_cars") * position_points(F.col("rank"), F.col("is_sprint"), feature, sprint) + F.col(
         "fastest"
     ) * fastest_lap_points(F.col("rank"), F.col("is_sprint"))
-    totals = (
-        scored.select("season_id", "is_sprint", "rank", F.inline("teams"))
-        .groupBy("season_id", "team_id")
-        .agg(F.sum(earned).alias("earned"))
-    )
+    cars = scored.select("race_id", "season_id", "is_sprint", "rank", F.inline("teams"))
+    return cars.groupBy("race_id", "season_id", "team_id").agg(F.sum(earned).cast("bigint").alias("earned"))
+
+
+def constructor_standings(
+    league: League,
+    pg_compat: bool = False,
+    feature: Sequence[int] = FEATURE_POINTS,
+    sprint: Sequence[int] = SPRINT_POINTS,
+    team_points: DataFrame | None = None,
+) -> DataFrame:
+    """Constructor championship: every team in every season.
+
+    Equal times share a position here. Teams without entries have 0 points and come last;
+    ``pg_compat`` puts them first, as a descending sort with nulls first does. ``team_points`` are the teams' points by race
+    where they are kept.
+    """
+    points_by_race = team_race_points(league, feature, sprint) if team_points is None else team_points
+    totals = points_by_race.groupBy("season_id", "team_id").agg(F.sum("earned").alias("earned"))
     listed = in_every_season(league.teams.select(F.col("id").alias("team_id"), "name", "color", "icon"), league.seasons)
     table = listed.join(totals, ["season_id", "team_id"], "left")
     points = F.coalesce("earned", F.lit(0))
     if pg_compat:
         # a team that took part has 0, one that did not has null
-        present = entries.select("season_id", "team_id").distinct().withColumn("took_part", F.lit(True))
+        races = league.races.select(F.col("id").alias("race_id"), "season_id")
+        present = league.races_drivers.select("race_id", "team_id").join(races, "race_id")
+        present = present.select("season_id", "team_id").distinct().withColumn("took_part", F.lit(True))
         table = table.join(present, ["season_id", "team_id"], "left").withColumn(
             "earned", F.when(F.col("took_part"), points)
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,8 +244,10 @@ def mention_text(league: League) -> DataFrame:
     return lines.select("report_id", text.alias("mentions"))
 
 
-def report_links(league: League, base_url: str, reports: DataFrame | None = None) -> DataFrame:
-    """Numbered reports with season, race and link."""
+def report_links(
+    league: League, base_url: str, reports: DataFrame | None = None, numbered: DataFrame | None = None
+) -> DataFrame:
+    """Numbered reports with season, race and link; ``numbered`` ones, if given, have their ``rank`` already."""
     tracks = league.tracks.select(F.col("id").alias("track_id"), "race_name", "emoji")
     seasons = league.seasons.select(F.col("id").alias("season_id"), F.col("name").alias("season_name"))
     races = (
@@ -253,27 +257,35 @@ def report_links(league: League, base_url: str, reports: DataFrame | None = None
     )
     rows = league.reports.select("id", "race_id", "created_at") if reports is None else reports
     link = report_link(base_url, F.col("season_name"), F.col("race_id"), F.col("rank"))
-    numbered = numbered_reports(rows).withColumnRenamed("id", "report_id")
+    numbered = (numbered_reports(rows) if numbered is None else numbered).withColumnRenamed("id", "report_id")
     return numbered.join(races, "race_id").withColumn("link", link)
 
 
 def report_notification_feed(
-    league: League, base_url: str, is_decision: bool = False, wanted: DataFrame | None = None
+    league: League,
+    base_url: str,
+    is_decision: bool = False,
+    wanted: DataFrame | None = None,
+    number: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One message for each report, or for each decided report's verdict.
 
     ``wanted`` (report_id) narrows it to some reports: then only their races' reports are numbered, and only their
-    targets named.
+    targets named. ``number`` gives the wanted reports their ``rank`` without the others of the race.
     """
+    numbered = None
     columns = ["id", "race_id", "created_at", "from_driver", F.col("verdict").isNotNull().alias("is_decided")]
     reports = league.reports.select(*columns)
     if wanted is not None:
         asked = wanted.select(F.col("report_id").alias("id")).distinct()
-        races = reports.join(asked, "id", "left_semi").select("race_id").distinct()
-        reports = reports.join(races, "race_id", "left_semi")
+        own = reports.join(asked, "id", "left_semi")
+        if number is not None:
+            numbered = number(own)
+        else:
+            reports = reports.join(own.select("race_id").distinct(), "race_id", "left_semi")
         own = league.report_targets.join(asked.withColumnRenamed("id", "report_id"), "report_id", "left_semi")
         league = league.replacing(report_targets=own)
-    rows = report_links(league, base_url, reports)
+    rows = report_links(league, base_url, reports, numbered)
     if is_decision:
         rows = rows.filter("is_decided")
     if wanted is not None:

@@ -422,6 +422,7 @@ _SELECTS: dict[str, str] = {
                  'penalty_points': penalty_points, 'is_dsq': is_dsq}} ORDER BY driver_id)) AS VARCHAR) AS penalties
         FROM penalties JOIN drivers d ON d.id = driver_id GROUP BY 1) p ON p.report_id = r.id""",
     "report_rank": "SELECT report_id, race_id, created_at, rank FROM numbered",
+    "stream_report_numbers": "SELECT report_id, race_id, created_at, rank FROM numbered",
     "open_reports": f"""
       SELECT r.id AS report_id, r.race_id, tr.race_name, n.rank, r.from_driver, d.name AS from_name,
              coalesce(t.targets, '[]') AS targets
@@ -695,5 +696,16 @@ _SELECTS: dict[str, str] = {
 }
 
 
+#: Tables kept up by change hold what the whole tables give.
+_KEPT = {
+    "driver_standings_kept": "driver_standings_long",
+    "constructor_standings_kept": "constructor_standings",
+    "replace_race_entries_kept": "replace_race_entries",
+    "upsert_lineup_kept": "upsert_lineup",
+    "apply_changes_kept": "apply_changes",
+}
+
+
 def statements() -> dict[str, str]:
-    return {name: f"{TABLES}{select}" for name, select in _SELECTS.items()}
+    selects = _SELECTS | {name: _SELECTS[same] for name, same in _KEPT.items()}
+    return {name: f"{TABLES}{select}" for name, select in selects.items()}

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.functions import text, timing
-from paddock.operators import championship, ingest, members, quality, results, season, stewarding
+from paddock.operators import championship, ingest, members, quality, results, season, stewarding, upkeep
 from paddock.plans import feeds
 from paddock.session import new_folder
 from paddock.sources import tables, testdata
+from paddock.sources.kept import Kept
 from paddock.sources.tables import League
-from paddock.streaming import gates, notifications
+from paddock.streaming import gates, notifications, numbers
 
 BASE_URL = "https://league.example"
 EMBED_PARENT = "league.example"
 AS_OF = testdata.AS_OF
+#: Parts of the small tables that queries keep here.
+KEPT_PARTS = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +122,73 @@ def _stream_notifications(league: League) -> DataFrame:
     )
 
 
+def _stream_report_numbers(league: League) -> DataFrame:
+    """Reports come in three batches, the latest first, and some again; then all are numbered by the index of counts."""
+    spark, schema = league.races.sparkSession, league.reports.schema
+    inbox, path, state = (new_folder(spark, f"numbers-{kind}") for kind in ("inbox", "index", "state"))
+    league.reports.repartitionByRange(2, F.col("created_at").desc()).write.parquet(inbox)
+    league.reports.filter("verdict IS NULL").coalesce(1).write.mode("append").parquet(inbox)
+    index = numbers.Numbers(path, schema, KEPT_PARTS).create(spark)
+    numbers.keep_numbers(gates.read_files(spark, inbox, schema, max_files=1), index, state).awaitTermination()
+    found = index.of(league.reports.select("id", "race_id", "created_at"))
+    return found.withColumnRenamed("id", "report_id")
+
+
+def _kept_standings(league: League) -> upkeep.Standings:
+    """A league with empty sprints and half of its penalties, to which the sprints' entries and the other penalties are posted.
+
+    Each feed comes twice under one name, and once more under another, as after a posting that broke off.
+    """
+    spark = league.races.sparkSession
+    sprints = league.races.filter("is_sprint").select(F.col("id").alias("race_id"))
+    later = F.col("report_id") % 2 == 1
+    before = feeds.lined_up(league).join(sprints, "race_id", "left_semi")
+    raced = league.races_drivers.join(sprints, "race_id", "left_anti")
+    first = league.replacing(races_drivers=raced.unionByName(before), penalties=league.penalties.filter(~later))
+    kept = upkeep.Standings.at(new_folder(spark, "standings"), first, KEPT_PARTS).create(first)
+    posted = league.races_drivers.join(sprints, "race_id", "left_semi")
+    # the feed's disqualifications are in the entries already
+    given = upkeep.penalties_by_race(league).filter(later).withColumn("is_dsq", F.lit(False))
+    for posting in ("sprints", "sprints", "again"):
+        kept.post_entries(posted, league, posting)
+    for posting in ("verdicts", "verdicts", "again"):
+        kept.post_penalties(given, league, posting)
+    return kept
+
+
+def _kept_entries(league: League) -> DataFrame:
+    """Two postings, one of the sprints and one of the other races and the strays, applied in turn to kept entries."""
+    spark = league.races.sparkSession
+    table = Kept(new_folder(spark, "entries"), league.races_drivers.schema, ["race_id"], KEPT_PARTS).create(league.races_drivers)
+    sprints = league.races.filter("is_sprint").select(F.col("id").alias("race_id"))
+    lists = ingest.flatten_teams(feeds.entry_lists(league), "race_id")
+    strays = ingest.flatten_teams(feeds.stray_entry_lists(league), "race_id", outer=True)
+    upkeep.replace_kept_entries(table, lists.join(sprints, "race_id", "left_semi"), league, "sprints")
+    upkeep.replace_kept_entries(table, lists.join(sprints, "race_id", "left_anti").unionByName(strays), league, "features")
+    return table.read(spark)
+
+
+def _kept_lineup(league: League) -> DataFrame:
+    spark = league.races.sparkSession
+    roster = upkeep.Roster.at(new_folder(spark, "roster"), league, KEPT_PARTS)
+    roster.seats.create(league.seasons_drivers)
+    changes = feeds.lineup_changes(league).unionByName(feeds.stray_seats(league))
+    for posting in ("line-ups", "line-ups", "again"):
+        roster.change(changes, league.seasons, posting)
+    return roster.seats.read(spark)
+
+
+def _kept_drivers(spark: SparkSession, folder: str) -> DataFrame:
+    """The change feed applied to kept drivers; it comes again under the same name, and once more under another."""
+    drivers = testdata.league(spark, folder).drivers
+    table = Kept(new_folder(spark, "drivers"), drivers.schema, ["id"], KEPT_PARTS).create(drivers)
+    orders = _orders(spark, folder)
+    changes = feeds.driver_changes(orders).unionByName(feeds.stray_changes(orders))
+    for posting in ("changes", "changes", "again"):
+        upkeep.change_kept(table, changes, posting)
+    return table.read(spark)
+
+
 def _loaded(league: League) -> League:
     """The league written as a live one keeps it, and read back."""
     spark = league.races.sparkSession
@@ -220,6 +290,8 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "standings_race_header": championship.standings_race_header,
     "rank_display": championship.rank_display,
     "constructor_standings": championship.constructor_standings,
+    "driver_standings_kept": lambda lg: _kept_standings(lg).driver_standings_long(lg, AS_OF),
+    "constructor_standings_kept": lambda lg: _kept_standings(lg).constructor_standings(lg),
     "constructor_standings_pg_compat": lambda lg: championship.constructor_standings(lg, pg_compat=True),
     "penalty_points_by_race": championship.penalty_points_by_race,
     "penalty_points_table": championship.penalty_points_table,
@@ -264,12 +336,14 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "ingest_results": lambda lg: _results(lg)[0],
     "ingest_results_rejected": lambda lg: _results(lg)[1],
     "replace_race_entries": lambda lg: _entry_lists(lg)[0],
+    "replace_race_entries_kept": _kept_entries,
     "replace_race_entries_rejected": lambda lg: _entry_lists(lg)[1],
     "flatten_team_pairs": lambda lg: ingest.flatten_team_pairs(feeds.team_pairs(lg)),
     "roster_to_entries": season.roster_to_entries,
     "add_reserves": lambda lg: _reserves(lg)[0],
     "add_reserves_rejected": lambda lg: _reserves(lg)[1],
     "upsert_lineup": lambda lg: _lineup(lg)[0],
+    "upsert_lineup_kept": _kept_lineup,
     "upsert_lineup_rejected": lambda lg: _lineup(lg)[1],
     "apply_verdicts": lambda lg: _verdicts(lg).reports.select("id", "verdict"),
     "apply_verdicts_penalties": lambda lg: _verdicts(lg).penalties,
@@ -343,11 +417,13 @@ LEAGUE_QUERIES: dict[str, Callable[[League], DataFrame]] = {
     "stream_report_gate": _stream_report_gate,
     "stream_response_gate": _stream_response_gate,
     "stream_notifications": _stream_notifications,
+    "stream_report_numbers": _stream_report_numbers,
 }
 
 # Queries over the given tables themselves.
 TABLE_QUERIES: dict[str, Query] = {
     "apply_changes": _changed_drivers,
+    "apply_changes_kept": _kept_drivers,
     "apply_changes_rejected": lambda spark, folder: _driver_changes(spark, folder)[1],
     "dq_orphans": _orphans,
     "dq_length": _long_names,

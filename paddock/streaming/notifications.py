@@ -12,27 +12,34 @@ from pyspark.sql.streaming import StreamingQuery
 from paddock.operators.stewarding import report_notification_feed
 from paddock.sources.tables import League
 from paddock.streaming import gates
+from paddock.streaming.numbers import Numbers
 
 
 def stream_notifications(
-    news: DataFrame, tables: Callable[[], League], base_url: str, path: str, checkpoint: str
+    news: DataFrame, tables: Callable[[], League], base_url: str, path: str, checkpoint: str, index: Numbers | None = None
 ) -> StreamingQuery:
     """Write the message of each (report_id, is_decision) that arrives to ``path/sent``.
 
-    The report's number depends on the race's other reports, so each micro-batch reads the league's ``tables`` anew, cut to the races of the batch. News of a report, or of a verdict, that the tables don't hold yet waits
-    under ``path/waiting`` and is tried again with every later batch.
+    The report's number depends on the race's other reports. An ``index`` of counts, which a stream of reports keeps, gives it
+    without reading them; without one each micro-batch numbers the reports of its races anew. News of a report, or of a
+    verdict, that the ``tables`` (read anew for each batch) or the index don't hold yet waits under ``path/waiting`` and is tried
+    again with every later batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         league, columns = tables(), ["report_id", "is_decision"]
         left = waiting(batch.sparkSession, path, batch.select(*columns).schema, batch_id)
         asked = batch.select(*columns).unionByName(left).distinct()
-        known = league.reports.select(F.col("id").alias("report_id"), F.col("verdict").isNotNull().alias("decided"))
+        reports = league.reports
+        if index is not None:
+            wanted = reports.join(asked.select(F.col("report_id").alias("id")).distinct(), "id", "left_semi")
+            reports = wanted.join(index.of(wanted.select("id", "race_id", "created_at")).select("id"), "id", "left_semi")
+        known = reports.select(F.col("id").alias("report_id"), F.col("verdict").isNotNull().alias("decided"))
         ready = asked.join(known, "report_id").filter(~F.col("is_decision") | F.col("decided")).select(*columns)
         asked.join(ready, columns, "left_anti").write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
         for is_decision in (False, True):
             wanted = ready.filter(F.col("is_decision") == is_decision).select("report_id")
-            feed = report_notification_feed(league, base_url, is_decision, wanted)
+            feed = report_notification_feed(league, base_url, is_decision, wanted, index.of if index else None)
             feed.withColumn("is_decision", F.lit(is_decision)).write.mode("overwrite").parquet(
                 f"{path}/sent/batch={batch_id}/kind={int(is_decision)}"
             )

@@ -12,7 +12,7 @@ from paddock.plans import registry
 from paddock.sources import tables, testdata
 
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonUDF")
-STREAMS = {"stream_report_gate", "stream_response_gate", "stream_notifications"}
+STREAMS = {"stream_report_gate", "stream_response_gate", "stream_notifications", "stream_report_numbers"}
 
 
 def plan(frame) -> str:
@@ -44,7 +44,8 @@ class Jobs:
 
 
 #: Queries of sinks, loads and streams, which write as they are built.
-WRITERS = {*STREAMS, "nested_json_sink", "load_league", "lookup"}
+KEPT = {name for name in registry.queries() if name.endswith("_kept")}
+WRITERS = {*STREAMS, *KEPT, "nested_json_sink", "load_league", "lookup"}
 
 
 @pytest.mark.parametrize("name", [n for n in registry.queries() if n not in WRITERS])
