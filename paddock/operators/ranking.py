@@ -35,18 +35,14 @@ def rank_spread(
     only counts are added up.
     """
     names = [f"_{out}_bucket{k}" for k in range(len(buckets))]
-    cut = rows.withColumns(dict(zip(names, buckets, strict=True))).repartition(*keys, *names)
-    # rows are compared with the greatest hash of their bucket, so that both sides read the same columns and share one shuffle
-    sizes = cut.groupBy(*keys, *names).agg(
-        F.count(F.lit(1)).alias("_size"), F.max(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).alias("_greatest")
-    )
+    cut = rows.withColumns(dict(zip(names, buckets, strict=True)))
+    sizes = cut.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
     own = Window.partitionBy(*keys, *names).orderBy(*order)
     numbered = cut.withColumn("_own", F.row_number().over(own)).alias("n")
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     same += [F.col(f"n.{k}") == F.col(f"b.{k}") for k in names]
-    same.append(F.xxhash64(*[F.col(f"n.`{c}`") for c in rows.columns]) <= F.col("b._greatest"))
     number = (F.col("_own") + F.col("_before")).cast("int")
     joined = numbered.join(before.alias("b"), same)
     return joined.select(*[F.col(f"n.{c}").alias(c) for c in rows.columns], number.alias(out))
