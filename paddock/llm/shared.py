@@ -19,9 +19,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(rows: DataFrame, name: str) -> DataFrame:
     """Write ``rows`` to the shared folder and read them back, so that a lost executor or a second use costs no new run."""
-    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    release_shuffles(spark)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let executors drop the shuffle files of jobs that are done: the driver's cleaner sees them when it collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def dropped(rows: DataFrame) -> None:
+    """Delete the files of a ``written`` table that is needed no more."""
+    spark = rows.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in rows.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbers(column: pa.Array) -> np.ndarray:

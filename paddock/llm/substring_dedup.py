@@ -2,7 +2,7 @@
 
 A suffix array of the whole corpus would need one machine, so equal strings are brought together first:
 
-1. Each window of ``length`` bytes picks as its anchor the 128-byte gram with the least hash in it. Neighbouring windows
+1. Each window of ``length`` bytes picks as its anchor the gram (a third of it, see ``gram_of``) with the least hash in it. Neighbouring windows
    mostly pick the same one, so a text becomes a short list of regions: an anchor with all windows that picked it. Equal
    windows pick equal anchors, so windows need to be compared only within regions of equal anchors.
 2. Regions are counted by (anchor, content). Equal regions are repeats already, and one of each content stands for all.
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from paddock.llm import shared, suffix_array
 
-GRAM = 128
 #: Contents of one anchor that one task compares: at most 2.8 MB.
 HOT_REGIONS = 4096
 #: Windows of a text that are handled at once, a bound on memory.
@@ -42,6 +41,11 @@ ANCHOR_SCHEMA = "anchor long, content long, copies int, text_id binary, at long,
 _PLACE = ["text_id", "at", "size"]
 
 
+def gram_of(length: int) -> int:
+    """Bytes of an anchor: long enough to be rare, short enough that many windows share it; 128 of 400."""
+    return max(1, length * 8 // 25)
+
+
 @functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def powers(base: int) -> np.ndarray:
@@ -88,7 +92,7 @@ def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
 
 def regions(text: memoryview, length: int) -> Iterator[tuple[int, int, int, int]]:
     """(anchor, content, start, size) of all regions of a text; every window is in exactly one."""
-    gram = min(GRAM, length)
+    gram = gram_of(length)
     for begin in range(0, len(text) - length + 1, CHUNK):
         part = text[begin : begin + CHUNK + length - 1]
         hashes = gram_hashes(np.frombuffer(part, np.uint8), gram)
@@ -165,7 +169,7 @@ def _dealt_anew(texts: DataFrame, hot: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for key, text, places in _places(batch):
-                gram = min(GRAM, length)
+                gram = gram_of(length)
                 for anchor, copies, at, size in places:
                     part = text[at : at + size]
                     hashes = gram_hashes(np.frombuffer(part, np.uint8), gram).view(np.int64)
@@ -242,12 +246,16 @@ def _starts(groups: list[list[bytes]], rows: list[tuple[int, bytes, int]], lengt
 
 def repeated_windows(texts: DataFrame, length: int, hot_regions: int = HOT_REGIONS) -> DataFrame:
     """text_id, first, last: runs of starts of strings of ``length`` bytes that also start elsewhere."""
-    places = shared.written(_shared(shared.written(_anchor_rows(texts, length), "anchors")), "shared")
+    anchors = shared.written(_anchor_rows(texts, length), "anchors")
+    places = shared.written(_shared(anchors), "shared")
+    shared.dropped(anchors)
+    compared = places.where((F.col("contents") > 1) & (F.col("contents") <= hot_regions) & F.col("stands"))
+    equal = places.where("copies > 1")
     hot = places.where((F.col("contents") > hot_regions) & F.col("stands"))
-    dealt = shared.written(_shared(shared.written(_dealt_anew(texts, hot, length), "hot")), "hot-shared")
-    few = places.where((F.col("contents") > 1) & (F.col("contents") <= hot_regions) & F.col("stands"))
-    compared = few.unionByName(dealt.where((F.col("contents") > 1) & F.col("stands")))
-    equal = places.unionByName(dealt).where("copies > 1")
+    if not hot.isEmpty():  # else the texts needn't be moved for them
+        dealt = shared.written(_shared(shared.written(_dealt_anew(texts, hot, length), "hot")), "hot-shared")
+        compared = compared.unionByName(dealt.where((F.col("contents") > 1) & F.col("stands")))
+        equal = equal.unionByName(dealt.where("copies > 1"))
     runs = equal.select("text_id", F.col("at").alias("first"), (F.col("at") + F.col("size") - length).alias("last"))
     return runs.unionByName(_suffix_array_starts(_with_regions(texts, compared), length))
 
