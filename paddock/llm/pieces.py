@@ -7,6 +7,7 @@ tokenizer's own (apostrophes, special strings, scripts beyond Latin, characters
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 
@@ -17,7 +18,10 @@ from tokenizers import Tokenizer
 JOINED = 256
 TEXTS = 64
 #: Words, and parts of words, whose ids are kept.
-KEPT = 250_000
+KEPT = 120_000
+
+# A task has one core; the tokenizer's own threads would each keep memory of theirs.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # all letters before the next block, U+0250
 _PARTS = re.compile(f"[{_LETTER}]+|[^{_LETTER}]+")

@@ -139,6 +139,8 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                     for column, value in zip(out, (*row[:2], min(copies[k], 2), ids[k], *row[2:]), strict=True):
                         column.append(value)
             yield _batch(_ANCHORS, *out)
+            del out
+        shared.release_memory()
 
     long_enough = texts.where(F.octet_length("content") >= length)
     return long_enough.select("text_id", "content", "copies").mapInArrow(task, ANCHOR_SCHEMA)
@@ -227,6 +229,8 @@ def _suffix_array_starts(regions_of: DataFrame, length: int) -> DataFrame:
                 held += len(region)
         if groups:
             yield _starts(groups, rows, length)
+        del groups, rows
+        shared.release_memory()
 
     found = regions_of.mapInArrow(cut, "anchor long, copies long, text_id binary, at long, region binary")
     return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "text_id binary, first long, last long")
@@ -293,6 +297,8 @@ def without_repeats(docs: DataFrame, length: int = 400, with_text: bool = False,
                 for column, value in zip(out, (*row, kept.decode("utf-8", "ignore")), strict=False):
                     column.append(value)
             yield _batch(schema, *out)
+            del out
+        shared.release_memory()
 
     kinds = "text_id binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
     joined = texts.join(per_text, "text_id", "left").select("text_id", "content", "copies", "runs")

@@ -19,11 +19,11 @@ from tokenizers import Tokenizer
 
 from paddock.llm import pieces, postings, shared
 
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 6_000_000
 #: Bytes of posting lists of a word that go to one share; a block's longer lists go to as many shares.
 SHARE_BYTES = 64
 #: Postings that a task sums before it sends them on.
-SUM_POSTINGS = 300_000
+SUM_POSTINGS = 200_000
 
 _WORDS = pa.schema([("word", pa.binary()), ("share", pa.int32()), ("block", pa.int64()), ("postings", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 _SUMS = pa.schema([("block", pa.int64()), ("sums", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
@@ -157,6 +157,7 @@ def _document_rows(limit: int):
                     parts.append(batch.column("sums").slice(k, 1))
         if ids is not None:
             yield finished(ids, sizes, parts)
+        shared.release_memory()
 
     return task
 

@@ -36,7 +36,7 @@ LEXICON_ROWS = 2000
 LEAST_LOG_ODDS = 2.0
 LEAST_RATIO = 30.0
 #: Words whose symbols a task keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 #: Letters of word beginnings; a word begins so if it goes on behind them.
 STEMS = (4, 5, 6, 7, 8)
 
