@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.functions import arrow_udf
-from tokenizers import Tokenizer
 
 from paddock.llm import cutting_stock, pieces, shared
 
@@ -35,7 +34,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
     """doc_id, start, length, ids_crc32, doc_tokens of each piece."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces.Vocabulary(Tokenizer.from_file(tokenizer))
+        known = pieces.vocabulary(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), shared.slices(batch.column("text"))
@@ -51,7 +50,6 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_PIECES)
-        del known
         shared.release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))

@@ -7,6 +7,7 @@ tokenizer's own (apostrophes, special strings, scripts beyond Latin, characters
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 JOINED = 256
 TEXTS = 64
 #: Words, and parts of words, whose ids are kept.
-KEPT = 120_000
+KEPT = 200_000
 
 # A task has one core; the tokenizer's own threads would each keep memory of theirs.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,3 +80,9 @@ class Vocabulary:
         known = self.parts
         for w, found in cut.items():
             self.words[w] = known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
+
+
+@functools.lru_cache(maxsize=1)
+def vocabulary(tokenizer: str) -> Vocabulary:
+    """The words that this Python worker knows, for all tasks that it runs one after another; ``KEPT`` bounds them."""
+    return Vocabulary(Tokenizer.from_file(tokenizer))
