@@ -22,7 +22,10 @@ SIMILARITY = (4, 5)
 
 
 def _shingles(normal: str, width: int, hashed: bool) -> Column:
-    """Distinct shingles of a normalised text column, as strings or hashes; a shorter text is one shingle."""
+    """Distinct shingles of a normalised text column, as strings or hashes; a shorter text is one shingle.
+
+    So an item of fewer words than a shingle is found in texts of the same words only, not inside a longer one.
+    """
     some = ", ".join(f"get(w, i + {k})" for k in range(width))
     one = f"xxhash64({some})" if hashed else f"concat_ws(' ', {some})"
     kind = "bigint" if hashed else "string"

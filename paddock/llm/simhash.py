@@ -146,7 +146,8 @@ def near_duplicate_ids(docs: DataFrame, shingle: int = 3, max_bits: int = 2, cel
 def without_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row of ``docs`` for each component: that with the least doc_id (nulls last), then the least MD5 of its text.
 
-    Equal rows in doc_id and text are one. Columns of ``docs`` stay as they are, whatever their names.
+    Of rows equal in doc_id and text the least stays, by its columns in their order; maps have no order, so with a column of
+    maps it is any of them. Columns of ``docs`` stay as they are, whatever their names.
     """
     key = [F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))]
     keys = docs.select("doc_id", key[1].alias("text_md5"), fingerprint_column(F.col("text"), shingle).alias("fingerprint"))
@@ -156,4 +157,5 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(row, key[0].alias("row_id"), key[1].alias("row_md5"))
     kept = rows.join(first, F.col("row_id").eqNullSafe(F.col("first_id")) & (F.col("row_md5") == F.col("first_md5")), "left_semi")
-    return kept.groupBy("row_id", "row_md5").agg(F.first("row").alias("row")).select("row.*")
+    least = F.first("row") if "map<" in rows.schema["row"].dataType.simpleString() else F.min("row")
+    return kept.groupBy("row_id", "row_md5").agg(least.alias("row")).select("row.*")

@@ -91,3 +91,13 @@ def test_documents(spark):
     assert sorted(r.doc_id or 0 for r in kept) == sorted(k or 0 for k in least.values())
     assert kept[0].asDict().keys() == {"doc_id", "text", "fingerprint", "root"}
     assert simhash.near_duplicate_ids(docs.limit(0)).count() == 0
+
+
+def test_the_least_of_rows_equal_in_id_and_text_stays(spark):
+    rows = [(1, "some words of a text", k % 7, f"source {k}") for k in range(40, 2, -1)] + [(2, None, 5, "b"), (2, "", 5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, source string")
+    want = [(1, "some words of a text", 0, "source 14"), (2, None, 5, "b")]
+    for parts in (1, 7):
+        assert sorted(map(tuple, simhash.without_near_duplicates(docs.repartition(parts)).collect())) == want
+    maps = docs.withColumn("extra", F.create_map("source", "n"))
+    assert simhash.without_near_duplicates(maps).count() == 2
