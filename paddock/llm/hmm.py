@@ -33,14 +33,20 @@ def layout(sequences: Sequence[np.ndarray]) -> Layout:
     return Layout(np.concatenate(sequences) if len(sequences) else np.empty(0, np.int64), (ends - lengths)[order], longer.tolist(), order)
 
 
+def _by_step(data: Layout) -> np.ndarray:
+    """All tokens, those of the first step first; within a step the longest sequence first."""
+    at = [data.starts[:m] + t for t, m in enumerate(data.alive)]
+    return data.tokens[np.concatenate(at)] if at else data.tokens[:0]
+
+
 def log_likelihoods(chain: Chain, emission: np.ndarray, data: Layout) -> np.ndarray:
     """Natural log of each sequence's probability, by the forward recursion scaled at every token; ``emission``: (token, state)."""
     total = np.zeros(len(data.starts))
-    alpha = np.empty((0, 0))
+    alpha, ones = np.empty((0, 0)), np.ones(chain.initial.size)
     for t, m in enumerate(data.alive):
-        prior = alpha[:m] @ chain.transition if t else np.broadcast_to(chain.initial, (m, chain.initial.size))
+        prior = alpha[:m] @ chain.transition if t else chain.initial
         alpha = prior * emission[data.tokens[data.starts[:m] + t]]
-        scale = alpha.sum(axis=1)
+        scale = alpha @ ones
         alpha /= scale[:, None]
         total[:m] += np.log(scale)
     out = np.empty_like(total)
@@ -55,30 +61,35 @@ def expected_counts(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[n
 
 def expectations(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """The expected counts, and the natural log of all sequences' probability."""
-    alphas, scales = [], []
-    for t, m in enumerate(data.alive):
-        prior = alphas[-1][:m] @ chain.transition if t else np.broadcast_to(chain.initial, (m, chain.initial.size))
-        alpha = prior * emission[data.tokens[data.starts[:m] + t]]
-        scale = alpha.sum(axis=1)
-        alphas.append(alpha / scale[:, None])
-        scales.append(scale)
     states = chain.initial.size
-    posterior = np.empty((data.tokens.size, states))
-    steps = np.zeros((states, states))
+    tokens, ends, ones = _by_step(data), np.cumsum(data.alive, dtype=np.int64).tolist(), np.ones(states)
+    seen = emission[tokens]  # (token, state), and in place: its forward probability times the backward one
+    alphas, scales = np.empty_like(seen), np.empty(tokens.size)
+    before = alphas[:0]
+    for t, (m, end) in enumerate(zip(data.alive, ends, strict=True)):
+        here, scale = alphas[end - m : end], scales[end - m : end]
+        np.multiply(before[:m] @ chain.transition if t else chain.initial, seen[end - m : end], out=here)
+        np.matmul(here, ones, out=scale)
+        here /= scale[:, None]
+        before = here
+    steps, first = np.zeros((states, states)), np.zeros(states)
     beta = np.ones((0, states))
-    for t in range(len(data.alive) - 1, -1, -1):
-        m = data.alive[t]
+    for t in range(len(ends) - 1, -1, -1):
+        m, end = data.alive[t], ends[t]
         if len(beta) < m:  # sequences that end here
             beta = np.concatenate((beta, np.ones((m - len(beta), states))))
-        at = data.starts[:m] + t
-        posterior[at] = alphas[t] * beta
+        here = seen[end - m : end]
+        ahead = beta * here
+        ahead /= scales[end - m : end, None]
+        np.multiply(alphas[end - m : end], beta, out=here)
         if t:
-            ahead = beta * emission[data.tokens[at]] / scales[t][:, None]
-            steps += alphas[t - 1][:m].T @ ahead
+            start = ends[t - 1] - data.alive[t - 1]
+            steps += alphas[start : start + m].T @ ahead
             beta = ahead @ chain.transition.T
-    counts = np.stack([np.bincount(data.tokens, posterior[:, s], len(emission)) for s in range(states)], axis=1)
-    likelihood = float(sum(np.log(scale).sum() for scale in scales))
-    return counts, posterior[data.starts].sum(axis=0), steps * chain.transition, likelihood
+        else:
+            first = here.sum(axis=0)
+    counts = np.stack([np.bincount(tokens, seen[:, s], len(emission)) for s in range(states)], axis=1)
+    return counts, first, steps * chain.transition, float(np.log(scales).sum())
 
 
 def normalised(counts: np.ndarray, more: float = 1.0) -> np.ndarray:
