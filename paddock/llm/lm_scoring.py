@@ -2,16 +2,18 @@
 
 States emit words. Training runs over all training texts in every iteration, from a random model, in two stages:
 
+The texts are read once: blocks of them are kept as packed numbers of their distinct words, and every iteration reads numbers.
+
 1. Baum-Welch with words hashed to CLASSES classes, until the likelihood settles: each task runs the forward-backward
-   recursion over its texts, and expected counts are summed across partitions. The model stays small.
-2. Baum-Welch with the words themselves, until the likelihood settles: blocks of texts get their words' counts by a join,
-   as in scoring. That table grows with the corpus and stays distributed; the driver gets its totals only.
+   recursion over its blocks, and expected counts are summed across partitions. The model stays small.
+2. Baum-Welch with the words themselves, until the likelihood settles. A block's words are dealt to groups by their hash. A
+   block sends each group its words' expected counts, and the group answers with the words' sums; which word is meant is
+   settled once, by the first answer. That table grows with the corpus and stays distributed; the driver gets totals only.
 
 A word's probability in a state is its share of the state's counts. A state keeps the share of words seen once for the
 unknown word, one more event beside the known ones, and mixes in a little of the words' overall shares.
 
-Texts are scored by the exact forward recursion. Blocks of documents send out their distinct words, get back those words'
-counts by one join, and are scored where they meet again.
+Texts are scored by the exact forward recursion: the training texts from their blocks, others by a join with the words' counts.
 """
 
 from __future__ import annotations
@@ -37,9 +39,10 @@ MIXED = 0.01
 PART = 1024
 #: The likelihood has settled when its log gains no more than this part.
 SETTLED = 1e-4
+#: Words of blocks that a group gets, of all blocks together: a bound on a task's memory.
+GROUP_WORDS = 500_000
 
 END = b"\n"  # no word has white space
-_STEPS, _FIRST, _LIKELIHOOD = b" steps", b" first", b" likelihood"
 
 
 class Seed(NamedTuple):
@@ -57,22 +60,31 @@ class Totals(NamedTuple):
     once_by_state: np.ndarray
 
 
+class Fitted(NamedTuple):
+    """Blocks of the training texts, what their words' groups answered to them, the words' texts, and the totals."""
+
+    blocks: DataFrame
+    answers: DataFrame
+    names: DataFrame
+    totals: Totals
+
+
 class _Numbers(defaultdict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
-def _numbered(texts: list[memoryview]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The distinct words of some texts, and the texts as numbers of them; the end is a word."""
+def _numbered(texts: list[memoryview]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, frequent ones first, the texts as numbers of them, and their lengths; the end is a word."""
     numbers = _Numbers()
     end = numbers[END]
     sequences = [np.array([*map(numbers.__getitem__, bytes(t).lower().split()), end], np.int64) for t in texts]
-    return list(numbers), sequences
-
-
-def _class_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w) % CLASSES for w in words), np.int64, len(words))
+    tokens, words = np.concatenate(sequences), list(numbers)
+    by = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+    number = np.empty(len(words), np.int64)
+    number[by] = np.arange(len(words))
+    return [words[k] for k in by.tolist()], number[tokens], np.fromiter(map(len, sequences), np.int64, len(sequences))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -89,106 +101,290 @@ def _start(states: int) -> Seed:
     return Seed(chain, np.random.default_rng(1).dirichlet(np.ones(CLASSES), states).T)
 
 
-def _count_kinds(states: int) -> str:
-    return "key binary, n long, " + ", ".join(f"q{s} long" for s in range(states))
-
+_NUMBERED_KINDS = "block long, n_words long, words binary, hashes binary, tokens binary, ids binary, lengths binary"
 
-def _count_batch(keys: list[bytes], n: np.ndarray, found: tuple) -> pa.RecordBatch:
-    """Rows of expected counts in PARTs, and of what the driver needs."""
-    counts, first, steps, likelihood = found
-    states = first.size
-    extra = [(_FIRST, first), *((_STEPS + b"%d" % s, row) for s, row in enumerate(steps)), (_LIKELIHOOD, np.full(states, likelihood))]
-    values = np.rint(np.concatenate((counts, [v for _, v in extra])) * PART).astype(np.int64)
-    out = [pa.array([*keys, *(k for k, _ in extra)], pa.binary()), pa.array(np.append(n, np.zeros(len(extra), np.int64)))]
-    return pa.RecordBatch.from_arrays(out + [pa.array(c) for c in np.ascontiguousarray(values.T)], ["key", "n", *(f"q{s}" for s in range(states))])
 
+def _numbered_rows(most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each block: its distinct words, frequent ones first, their hashes, and the texts as packed numbers of them."""
 
-def _summed(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("key").agg(*(F.sum(c).alias(c) for c in counts.columns[1:]))
-
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in postings.blocks(batches, most_bytes):
+            names, tokens, lengths = _numbered(texts)
+            row = {
+                "block": block,
+                "n_words": len(names),
+                "words": b" ".join(names),
+                "hashes": np.fromiter(map(zlib.crc32, names), "<u4", len(names)).tobytes(),
+                "tokens": _packed(tokens),
+                "ids": postings.pack_ids(ids),
+                "lengths": _packed(lengths),
+            }
+            yield pa.RecordBatch.from_pylist([row])
 
-def _count_rows(rows: DataFrame, seed: Seed, keys: Callable[[list[bytes]], list]) -> DataFrame:
-    """key, n, q0, q1, ...: tokens and expected counts (in PARTs) of each key, summed over all partitions."""
+    return task
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in postings.blocks(batches, BLOCK_BYTES):
-            words, sequences = _numbered(texts)
-            n = np.bincount(np.concatenate(sequences), minlength=len(words))
-            yield _count_batch(keys(words), n, hmm.expectations(seed.chain, seed.classes[_class_of(words)], hmm.layout(sequences)))
 
-    return _summed(rows.mapInArrow(task, _count_kinds(len(seed.chain.initial))))
+def _packed(values: np.ndarray) -> bytes:
+    return postings.pack(values, np.zeros(1, np.int64))[0].tobytes()
 
 
-def _count_words(rows: DataFrame, words: DataFrame, totals: Totals) -> DataFrame:
-    """The same for words, with the words' own probabilities."""
+def _unpacked(data: bytes) -> np.ndarray:
+    return postings.unpack(np.frombuffer(data, np.uint8))[0]
 
-    def finished(words: list[tuple], texts: tuple) -> pa.RecordBatch:
-        tokens, n, shares, sizes = _read_block(words, texts)
-        keys: list[bytes] = [b""] * n.size
-        for number, *_, names in words:
-            for k, name in zip(number.tolist(), names.to_pylist(), strict=True):
-                keys[k] = name
-        data = hmm.layout(np.split(tokens, np.cumsum(sizes)[:-1]))
-        return _count_batch(keys, np.bincount(tokens, minlength=n.size), hmm.expectations(totals.chain, emission(n, shares, totals), data))
 
-    return _summed(_with_words(rows, words).mapInArrow(_of_blocks(finished), _count_kinds(totals.by_state.size)))
+def _sequences(row: dict) -> tuple[np.ndarray, hmm.Layout]:
+    """The tokens of a block, and its texts laid out."""
+    tokens = _unpacked(row["tokens"])
+    return tokens, hmm.layout(np.split(tokens, np.cumsum(_unpacked(row["lengths"]))[:-1]))
 
 
-def _chain(rows: list, states: int) -> hmm.Chain:
-    found = {bytes(r.key): np.array([r[f"q{s}"] for s in range(states)]) / PART for r in rows}
-    nothing = np.zeros(states)
-    steps = np.stack([found.get(_STEPS + b"%d" % s, nothing) for s in range(states)])
-    return hmm.Chain(hmm.normalised(found.get(_FIRST, nothing)), hmm.normalised(steps))
+def _in_parts(*found: np.ndarray) -> np.ndarray:
+    return np.rint(np.concatenate([np.ravel(f) for f in found]) * PART).astype(np.int64)
 
 
-def _likelihood(rows: list) -> float:
-    return sum(r.q0 / PART for r in rows if bytes(r.key) == _LIKELIHOOD)
+def _chain(sums: np.ndarray, states: int) -> hmm.Chain:
+    """Of the counts of first states, then of steps."""
+    sums = sums / PART
+    return hmm.Chain(hmm.normalised(sums[:states]), hmm.normalised(sums[states : states + states * states].reshape(states, states)))
 
 
-def train(docs: DataFrame, states: int = STATES, settled: float = SETTLED) -> tuple[DataFrame, Totals]:
-    """The words' counts (key, n, shares: one byte of the word's posterior for each state) and the model's totals."""
-    rows = postings.steady(_texts(docs))
+def _train_classes(blocks: DataFrame, states: int, settled: float) -> Seed:
     seed, before = _start(states), -np.inf
     while True:
-        hashed = _count_rows(rows, seed, lambda words: [b"%d" % c for c in _class_of(words)]).collect()
-        now = _likelihood(hashed)
+        sums = np.zeros(CLASSES * states + states + states * states + 1, np.int64)
+        for k, value in _count_classes(blocks, seed).collect():  # as many rows at most
+            sums[k] = value
+        counts, rest = sums[: CLASSES * states].reshape(CLASSES, states), sums[CLASSES * states :]
+        now = rest[-1] / PART
         if now - before <= settled * abs(now):
-            break
-        by_class = np.zeros((CLASSES, states))  # CLASSES and a few more rows come to the driver
-        for r in hashed:
-            if not bytes(r.key).startswith(b" "):
-                by_class[int(r.key)] = [r[f"q{s}"] / PART for s in range(states)]
-        seed, before = Seed(_chain(hashed, states), hmm.normalised(by_class.T, 0.1).T), now
-
-    counts = shared.written(_count_rows(rows, seed, lambda words: words), "word-counts")
-    best, before = _model(counts, states), -np.inf
+            return seed
+        seed, before = Seed(_chain(rest, states), hmm.normalised(counts.T / PART, 0.1).T), now
+
+
+def _count_classes(blocks: DataFrame, seed: Seed) -> DataFrame:
+    """key, n: expected counts (in PARTs) by class and state, then of first states and steps, then the log likelihood."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: np.ndarray | int = 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                tokens, data = _sequences(row)
+                classes = (np.frombuffer(row["hashes"], "<u4") % CLASSES).astype(np.int64)
+                found = hmm.expectations(seed.chain, seed.classes, data._replace(tokens=classes[tokens]))
+                sums = sums + _in_parts(*found)
+        if isinstance(sums, np.ndarray):
+            keys = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys])], ["key", "n"])
+
+    found = blocks.select("hashes", "tokens", "lengths").mapInArrow(task, "key long, n long")
+    return found.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+_COUNTED_KINDS = "part long, block long, words binary, places binary, n binary, counts binary, sums binary"
+
+
+def _counted(row: dict, places: np.ndarray | None, n: np.ndarray, found: tuple, groups: int) -> pa.RecordBatch:
+    """What a block sends to the groups of its words, and to one group its sums."""
+    counts, *rest = found
+    counts, (by, cuts) = _in_parts(counts).reshape(counts.shape), _dealt(row, groups)
+    names = row["words"].split(b" ") if places is None else []
+    out = []
+    for g in range(groups):
+        at = by[cuts[g] : cuts[g + 1]]
+        if at.size:
+            out.append({
+                "part": g,
+                "block": row["block"],
+                "words": b" ".join([names[k] for k in at.tolist()]) if places is None else None,
+                "places": None if places is None else places[at].astype("<i4").tobytes(),
+                "n": _packed(n[at]),
+                "counts": _packed(counts[at].ravel()),
+                "sums": None,
+            })
+    own = dict.fromkeys(("words", "places", "n", "counts"))
+    # the likelihood is negative, and sums aren't packed
+    out.append({"part": zlib.crc32(b"%d" % row["block"]) % groups, "block": row["block"], **own, "sums": _in_parts(*rest).tobytes()})
+    return pa.RecordBatch.from_pylist(out, _schema(_COUNTED_KINDS))
+
+
+def _dealt(row: dict, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's words by group, and where each group begins and ends."""
+    group = (np.frombuffer(row["hashes"], "<u4") // CLASSES % groups).astype(np.int64)
+    return np.argsort(group, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(group, minlength=groups))))
+
+
+def _schema(kinds: str) -> pa.Schema:
+    of = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, of[kind]) for name, kind in (k.split() for k in kinds.split(", "))])
+
+
+_ANSWER_KINDS = "block long, part long, words binary, places binary, n binary, shares binary, sums binary"
+#: In place of a block: a group's words in their order, and a group's sums.
+_LIST, _SUMS = -1, -2
+
+
+def _answers(states: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums a group's counts by word, and answers each block with its words' places, counts and shares."""
+
+    def answered(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        names, sums = _Numbers(), np.zeros(states + states * states + 1, np.int64)
+        sent = []
+        for row in rows:
+            if row["sums"] is not None:
+                sums += np.frombuffer(row["sums"], np.int64)
+            elif row["words"] is not None:
+                words = row["words"].split(b" ")
+                sent.append((row, np.fromiter(map(names.__getitem__, words), np.int64, len(words))))
+            else:
+                sent.append((row, np.frombuffer(row["places"], "<i4").astype(np.int64)))
+        size = max((int(places.max()) + 1 for _, places in sent), default=0)
+        n, counts = np.zeros(size, np.int64), np.zeros((size, states), np.int64)
+        for row, places in sent:  # a block's places are distinct
+            if row["words"] is not None:
+                n[places] += _unpacked(row["n"])
+            else:
+                n[places] = _unpacked(row["n"])
+            counts[places] += _unpacked(row["counts"]).reshape(-1, states)
+        total = counts.sum(axis=1, keepdims=True)
+        share = np.where(total > 0, np.rint(counts * 255 / np.maximum(total, 1)), 1).astype(np.int64)
+        shares = (share << (8 * np.arange(states))).sum(axis=1)
+        of_state = n[:, None] * share / share.sum(axis=1, keepdims=True)
+        found = [float(n.sum()), float(size), *of_state.sum(axis=0), *of_state[n == 1].sum(axis=0), *sums.astype(float)]
+
+        def answer(block: int, words: bytes | None, places: np.ndarray | None, of: np.ndarray | slice) -> dict:
+            where = None if places is None else places.astype("<i4").tobytes()
+            own = {"words": words, "places": where, "n": _packed(n[of]), "shares": shares[of].astype("<i8").tobytes()}
+            return {"block": block, "part": part, **own, "sums": None}
+
+        for row, places in sent:
+            yield pa.RecordBatch.from_pylist([answer(row["block"], None, places, places)], _schema(_ANSWER_KINDS))
+        own = answer(_LIST, b" ".join(names) if names else None, None, slice(None))
+        nothing = dict.fromkeys(("words", "places", "n", "shares"))
+        out = [own, {"block": _SUMS, "part": part, **nothing, "sums": np.array(found).tobytes()}]
+        yield pa.RecordBatch.from_pylist(out, _schema(_ANSWER_KINDS))
+
+    return _by_key("part", answered)
+
+
+def _by_key(key: str, finished: Callable[[int, list[dict]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls ``finished`` with the rows of each key; they come one after the other."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row[key] != now:
+                    if rows:
+                        yield from finished(now, rows)
+                    now, rows = row[key], []
+                rows.append(row)
+        if rows:
+            yield from finished(now, rows)
+        shared.release_memory()
+
+    return task
+
+
+def _exchanged(counted: DataFrame, states: int, groups: int) -> DataFrame:
+    dealt = counted.repartition("part").sortWithinPartitions("part", "block")
+    return shared.written(dealt.mapInArrow(_answers(states, groups), _ANSWER_KINDS), "answers")
+
+
+def _totals(answers: DataFrame, states: int) -> tuple[Totals, float]:
+    """Sums of all groups: the model's totals, and the log likelihood of the model before."""
+    rows = answers.where(F.col("block") == _SUMS).select("part", "sums").collect()  # a row for each group
+    width = 2 + 2 * states
+    found = sum((np.frombuffer(r.sums) for r in sorted(rows)), np.zeros(width + states + states * states + 1))
+    by_state, once = found[2 : 2 + states], found[2 + states : width]
+    return Totals(_chain(found[width:], states), int(found[0]), int(found[1]), by_state, once), found[-1] / PART
+
+
+def _first_counts(blocks: DataFrame, seed: Seed, groups: int) -> DataFrame:
+    """Expected counts of the words under the model of classes."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                tokens, data = _sequences(row)
+                classes = (np.frombuffer(row["hashes"], "<u4") % CLASSES).astype(np.int64)
+                n = np.bincount(tokens, minlength=classes.size)
+                yield _counted(row, None, n, hmm.expectations(seed.chain, seed.classes[classes], data), groups)
+
+    return blocks.select("block", "words", "hashes", "tokens", "lengths").mapInArrow(task, _COUNTED_KINDS)
+
+
+def _of_answers(blocks: DataFrame, answers: DataFrame, groups: int, finished: Callable[..., pa.RecordBatch], kinds: str) -> DataFrame:
+    """``finished`` of each block's row, its tokens and texts, and its words' places, counts and shares."""
+
+    def of_block(block: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        row = rows[0]
+        by, cuts = _dealt(row, groups)
+        places, n, shares = (np.zeros(by.size, np.int64) for _ in range(3))
+        for answer in rows[1:]:
+            at = by[cuts[answer["part"]] : cuts[answer["part"] + 1]]
+            places[at] = np.frombuffer(answer["places"], "<i4")
+            n[at], shares[at] = _unpacked(answer["n"]), np.frombuffer(answer["shares"], "<i8")
+        yield finished(row, *_sequences(row), places, n, shares)
+
+    own = blocks.select("block", F.lit(-1).cast("long").alias("part"), "hashes", "tokens", "ids", "lengths")
+    sent = answers.where(F.col("block") >= 0).select("block", "part", "places", "n", "shares")
+    both = own.unionByName(sent, allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", "part").mapInArrow(_by_key("block", of_block), kinds)
+
+
+def _next_counts(blocks: DataFrame, answers: DataFrame, totals: Totals, groups: int) -> DataFrame:
+    """Expected counts of the words under their own probabilities."""
+
+    def finished(row: dict, tokens: np.ndarray, data: hmm.Layout, places: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
+        return _counted(row, places, n, hmm.expectations(totals.chain, emission(n, shares, totals), data), groups)
+
+    return _of_answers(blocks, answers, groups, finished, _COUNTED_KINDS)
+
+
+def _groups(blocks: DataFrame) -> int:
+    words = blocks.agg(F.sum("n_words").alias("n")).first().n or 0
+    return words // GROUP_WORDS + 1
+
+
+def fit(docs: DataFrame, states: int = STATES, settled: float = SETTLED) -> Fitted:
+    """The model of the texts of ``docs``: a null text is empty, repeated rows count as often as they come."""
+    blocks = shared.written(postings.steady(_texts(docs)).mapInArrow(_numbered_rows(BLOCK_BYTES), _NUMBERED_KINDS), "blocks")
+    seed, groups = _train_classes(blocks, states, settled), _groups(blocks)
+    answers = first = _exchanged(_first_counts(blocks, seed, groups), states, groups)
+    names = first.where(F.col("block") == _LIST).select("part", "words")
+    totals, before = _totals(answers, states)[0], -np.inf
     while True:
-        counts = shared.written(_count_words(rows, *best), "word-counts")
-        now = _likelihood(counts.where(F.col("key") == F.lit(_LIKELIHOOD)).collect())
+        further = _exchanged(_next_counts(blocks, answers, totals, groups), states, groups)
+        found, now = _totals(further, states)
         if now - before <= settled * abs(now):
-            return best
-        best, before = _model(counts, states), now
-
-
-def _model(counts: DataFrame, states: int) -> tuple[DataFrame, Totals]:
-    is_word = ~F.startswith(F.col("key"), F.lit(b" "))
-    chain = _chain(counts.where(~is_word).collect(), states)
-    total = sum((F.col(f"q{s}") for s in range(states)), F.lit(0))
-    share = [F.coalesce(F.rint(F.col(f"q{s}") * 255 / total), F.lit(1)).cast("long") for s in range(states)]
-    packed = share[0]
-    for s in range(1, states):
-        packed = packed.bitwiseOR(F.shiftleft(share[s], 8 * s))
-    words = counts.where(is_word).select("key", "n", packed.alias("shares"))
-    part = [F.shiftright(F.col("shares"), 8 * s).bitwiseAND(255) for s in range(states)]
-    of_state = [F.col("n") * p / sum(part, F.lit(0)) for p in part]
-    sums = words.agg(
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("words"),
-        *(F.sum(c).alias(f"all{s}") for s, c in enumerate(of_state)),
-        *(F.sum(F.when(F.col("n") == 1, c)).alias(f"once{s}") for s, c in enumerate(of_state)),
-    ).first()
-    by_state, once = (np.array([sums[f"{what}{s}"] or 0.0 for s in range(states)]) for what in ("all", "once"))
-    return words, Totals(chain, sums.n or 0, sums.words, by_state, once)
+            shared.dropped(further)
+            return Fitted(blocks, answers, names, totals)
+        if answers is not first:
+            shared.dropped(answers)
+        answers, totals, before = further, found, now
+
+
+def _word_rows(fitted: Fitted) -> DataFrame:
+    """key, n, shares of each word: one byte of the word's posterior for each state."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = row["words"].split(b" ")
+                shares = np.frombuffer(row["shares"], "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(_unpacked(row["n"])), pa.array(shares)], ["key", "n", "shares"])
+
+    sent = fitted.answers.where(F.col("block") == _LIST).select("part", "n", "shares")
+    return fitted.names.where("words IS NOT NULL").join(sent, "part").mapInArrow(task, "key binary, n long, shares long")
+
+
+def train(docs: DataFrame, states: int = STATES, settled: float = SETTLED) -> tuple[DataFrame, Totals]:
+    """The words' counts (key, n, shares: one byte of the word's posterior for each state) and the model's totals."""
+    fitted = fit(docs, states, settled)
+    return shared.written(_word_rows(fitted), "words"), fitted.totals
 
 
 def emission(n: np.ndarray, shares: np.ndarray, totals: Totals) -> np.ndarray:
@@ -204,27 +400,26 @@ def emission(n: np.ndarray, shares: np.ndarray, totals: Totals) -> np.ndarray:
 _BLOCK_KINDS = "key binary, block long, number int, sequence binary, ids binary, lengths binary"
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_rows(most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each word of a block, and one with the block's texts as packed numbers, frequent words first."""
-    for block, ids, texts in postings.blocks(batches, BLOCK_BYTES):
-        words, sequences = _numbered(texts)
-        tokens = np.concatenate(sequences)
-        by = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
-        number = np.empty(len(words), np.int64)
-        number[by] = np.arange(len(words))
-        data, cuts = postings.pack(number[tokens], np.array([0, tokens.size]))
-        n = len(words)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*words, b" %d" % block], pa.binary()),
-                pa.array(np.full(n + 1, block), pa.int64()),
-                pa.array(np.append(number, n), pa.int32()),
-                pa.array([None] * n + [data.tobytes()], pa.binary()),
-                pa.array([None] * n + [postings.pack_ids(ids)], pa.binary()),
-                pa.array([None] * n + [postings.pack_ids(list(map(len, sequences)))], pa.binary()),
-            ],
-            ["key", "block", "number", "sequence", "ids", "lengths"],
-        )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in postings.blocks(batches, most_bytes):
+            words, tokens, lengths = _numbered(texts)
+            n = len(words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*words, b" %d" % block], pa.binary()),
+                    pa.array(np.full(n + 1, block), pa.int64()),
+                    pa.array(np.arange(n + 1), pa.int32()),
+                    pa.array([None] * n + [_packed(tokens)], pa.binary()),
+                    pa.array([None] * n + [postings.pack_ids(ids)], pa.binary()),
+                    pa.array([None] * n + [_packed(lengths)], pa.binary()),
+                ],
+                ["key", "block", "number", "sequence", "ids", "lengths"],
+            )
+
+    return task
 
 
 def _read_block(words: list[tuple], texts: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,35 +427,44 @@ def _read_block(words: list[tuple], texts: tuple) -> tuple[np.ndarray, np.ndarra
     sequence, _, lengths = texts
     tokens, _ = postings.unpack(np.frombuffer(sequence, np.uint8))
     n, shares = np.zeros(int(tokens.max()) + 1, np.int64), np.zeros(int(tokens.max()) + 1, np.int64)
-    for number, count, share, *_ in words:
+    for number, count, share in words:
         n[number], shares[number] = count, share
-    return tokens, n, shares, shared.numbers(lengths)
+    return tokens, n, shares, _unpacked(lengths)
+
+
+_SCORE_KINDS = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score_batch(totals: Totals, ids: pa.Array, tokens: np.ndarray, data: hmm.Layout, sizes: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
+    starts = np.cumsum(sizes) - sizes
+    natural = hmm.log_likelihoods(totals.chain, emission(n, shares, totals), data)
+    base = np.log10((n + 1) / (totals.tokens + totals.words + 1))
+    known = np.add.reduceat((n > 0)[tokens].astype(np.int64), starts)
+    out = [ids, pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base[tokens], starts)), pa.array(natural / np.log(10))]
+    return pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _scored(totals: Totals) -> Callable[[list[tuple], tuple], pa.RecordBatch]:
     def finished(words: list[tuple], texts: tuple) -> pa.RecordBatch:
         tokens, n, shares, sizes = _read_block(words, texts)
-        _, ids, lengths = texts
-        starts = np.cumsum(sizes) - sizes
-        data = hmm.layout(np.split(tokens, starts[1:]))
-        natural = hmm.log_likelihoods(totals.chain, emission(n, shares, totals), data)
-        base = np.log10((n + 1) / (totals.tokens + totals.words + 1))
-        return pa.RecordBatch.from_arrays(
-            [
-                ids,
-                lengths,
-                pa.array(np.add.reduceat((n > 0)[tokens].astype(np.int64), starts)),
-                pa.array(np.add.reduceat(base[tokens], starts)),
-                pa.array(natural / np.log(10)),
-            ],
-            ["doc_id", "n_tokens", "n_known", "base_score", "score"],
-        )
+        data = hmm.layout(np.split(tokens, np.cumsum(sizes)[:-1]))
+        return _score_batch(totals, texts[1], tokens, data, sizes, n, shares)
 
     return finished
 
 
+def _score_trained(fitted: Fitted) -> DataFrame:
+    """The scores of the texts that the model was fitted to, from their blocks."""
+    totals = fitted.totals
+
+    def finished(row: dict, tokens: np.ndarray, data: hmm.Layout, places: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
+        return _score_batch(totals, postings.unpack_ids(row["ids"]), tokens, data, _unpacked(row["lengths"]), n, shares)
+
+    return _of_answers(fitted.blocks, fitted.answers, _groups(fitted.blocks), finished, _SCORE_KINDS)
+
+
 def _of_blocks(finished: Callable[[list[tuple], tuple], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Calls ``finished`` with each block's (number, n, shares, key) of words and (sequence, ids, lengths) of texts."""
+    """Calls ``finished`` with each block's (number, n, shares) of words and (sequence, ids, lengths) of texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, words, texts = None, [], None
@@ -276,10 +480,10 @@ def _of_blocks(finished: Callable[[list[tuple], tuple], pa.RecordBatch]) -> Call
                 is_word = shared.numbers(part.column("n").is_valid())
                 if not is_word.all():
                     k = int(np.flatnonzero(~is_word)[0])
-                    sequence, *ids = (part.column(c)[k].as_py() for c in ("sequence", "ids", "lengths"))
-                    texts = (sequence, *map(postings.unpack_ids, ids))
+                    sequence, ids, lengths = (part.column(c)[k].as_py() for c in ("sequence", "ids", "lengths"))
+                    texts = (sequence, postings.unpack_ids(ids), lengths)
                     part = part.filter(pa.array(is_word))
-                words.append((*(shared.numbers(part.column(c)) for c in ("number", "n", "shares")), part.column("key")))
+                words.append(tuple(shared.numbers(part.column(c)) for c in ("number", "n", "shares")))
         if texts is not None:
             yield finished(words, texts)
 
@@ -288,16 +492,15 @@ def _of_blocks(finished: Callable[[list[tuple], tuple], pa.RecordBatch]) -> Call
 
 def _with_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     """The rows of the texts' blocks with their words' counts, each block in one partition."""
-    blocks = postings.steady(texts).mapInArrow(_block_rows, _BLOCK_KINDS)
-    found = blocks.join(words, "key", "left").where("n IS NOT NULL OR sequence IS NOT NULL")
+    blocks = postings.steady(texts).mapInArrow(_block_rows(BLOCK_BYTES), _BLOCK_KINDS)
+    found = blocks.join(words, "key", "left").where("n IS NOT NULL OR sequence IS NOT NULL").drop("key")
     return found.repartition("block").sortWithinPartitions("block")
 
 
 def score(docs: DataFrame, words: DataFrame, totals: Totals) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for each row of ``docs``."""
     found = _with_words(_texts(docs), words)
-    kinds = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    return found.mapInArrow(_of_blocks(_scored(totals)), kinds)
+    return found.mapInArrow(_of_blocks(_scored(totals)), _SCORE_KINDS)
 
 
 def scores(docs: DataFrame, states: int = STATES, settled: float = SETTLED) -> DataFrame:
@@ -308,8 +511,10 @@ def scores(docs: DataFrame, states: int = STATES, settled: float = SETTLED) -> D
     null id counts as an empty text for ``held_out``. Without training rows every token is unknown. Repeated rows count
     as often as they come; other columns aren't read.
     """
-    words, totals = train(docs.where(~is_held_out(F.col("doc_id"))), states, settled)
-    rows = score(docs, words, totals)
+    held_out = is_held_out(F.col("doc_id"))
+    fitted = fit(docs.where(~held_out), states, settled)
+    totals = fitted.totals
+    rows = _score_trained(fitted).unionByName(score(docs.where(held_out), _word_rows(fitted), totals))
     return rows.select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score",

@@ -97,10 +97,65 @@ def test_equal_tasks(spark):
 
 def test_settled_over_all_texts(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(300)
-    rows, found = lm_scoring._texts(docs), []
-    words, totals = lm_scoring.train(docs)
+    fitted, found = lm_scoring.fit(docs), []
+    answers, totals = fitted.answers, fitted.totals
     for _ in range(3):  # further iterations with the words' own probabilities
-        counts = lm_scoring.shared.written(lm_scoring._count_words(rows, words, totals), "counts")
-        found.append(lm_scoring._likelihood(counts.collect()))
-        words, totals = lm_scoring._model(counts, lm_scoring.STATES)
+        counted = lm_scoring._next_counts(fitted.blocks, answers, totals, 1)
+        answers = lm_scoring._exchanged(counted, lm_scoring.STATES, 1)
+        totals, now = lm_scoring._totals(answers, lm_scoring.STATES)
+        found.append(now)
     assert max(found) - found[0] < 1e-3 * abs(found[0])
+
+
+def test_each_iteration_against_one_dense_model(spark, monkeypatch):
+    """Classes, first words, next words: each from the model before it, with all texts in one matrix, no blocks and no groups."""
+    rows = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(200).collect()] + [None, "", "a A a"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    texts = [(t or "").encode().lower().split() + [b"\n"] for t in rows]
+    names = sorted({w for t in texts for w in t})
+    number = {w: k for k, w in enumerate(names)}
+    data = hmm.layout([np.array([number[w] for w in t]) for t in texts])
+    n = np.bincount(data.tokens, minlength=len(names))
+    classes = np.array([zlib.crc32(w) % lm_scoring.CLASSES for w in names])
+
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm_scoring, "GROUP_WORDS", 1_000)
+    states, start = lm_scoring.STATES, lm_scoring._start(lm_scoring.STATES)
+    blocks = lm_scoring.shared.written(lm_scoring._texts(docs).mapInArrow(lm_scoring._numbered_rows(20_000), lm_scoring._NUMBERED_KINDS), "blocks")
+    groups = lm_scoring._groups(blocks)
+    assert groups > 5 and blocks.count() > 5
+
+    seed = lm_scoring._train_classes(blocks, states, 1.0)  # one iteration
+    counts, first, steps, _ = hmm.expectations(start.chain, start.classes[classes], data)
+    by_class = np.stack([np.bincount(classes, c, lm_scoring.CLASSES) for c in counts.T])
+    assert np.allclose(seed.classes, hmm.normalised(by_class, 0.1).T, rtol=0.02)
+    assert np.allclose(seed.chain.transition, hmm.normalised(steps), rtol=0.01)
+
+    answers = begun = lm_scoring._exchanged(lm_scoring._first_counts(blocks, seed, groups), states, groups)
+    chain, emission = seed.chain, seed.classes[classes]
+    for _ in range(3):
+        totals, likelihood = lm_scoring._totals(answers, states)
+        counts, first, steps, want = hmm.expectations(chain, emission, data)
+        assert np.isclose(likelihood, want)
+        assert np.allclose(totals.chain.initial, hmm.normalised(first), atol=0.01) and np.allclose(totals.chain.transition, hmm.normalised(steps), rtol=0.01)
+        fitted = lm_scoring.Fitted(blocks, answers, begun.where(F.col("block") == lm_scoring._LIST).select("part", "words"), totals)
+        got = {bytes(r.key): (r.n, r.shares) for r in lm_scoring._word_rows(fitted).collect()}
+        assert {w: c for w, (c, _) in got.items()} == dict(zip(names, n.tolist(), strict=True))
+        shares = np.array([got[w][1] for w in names])
+        share = shares[:, None] >> 8 * np.arange(states) & 255
+        assert np.abs(share - counts * 255 / counts.sum(axis=1, keepdims=True)).max() < 1.5
+        of_state = n[:, None] * share / share.sum(axis=1, keepdims=True)
+        assert (totals.tokens, totals.words) == (n.sum(), len(names))
+        assert np.allclose(totals.by_state, of_state.sum(axis=0)) and np.allclose(totals.once_by_state, of_state[n == 1].sum(axis=0))
+        chain, emission = totals.chain, lm_scoring.emission(n, shares, totals)
+        answers = lm_scoring._exchanged(lm_scoring._next_counts(blocks, answers, totals, groups), states, groups)
+
+
+def test_training_texts_score_the_same_by_either_way(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(lm_scoring, "GROUP_WORDS", 5_000)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(200).repartition(2)
+    fitted = lm_scoring.fit(docs, settled=1e-2)
+    got = lm_scoring._score_trained(fitted).collect()
+    want = lm_scoring.score(docs, lm_scoring._word_rows(fitted), fitted.totals).collect()
+    assert np.allclose(sorted(map(tuple, got)), sorted(map(tuple, want)))
