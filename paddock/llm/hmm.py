@@ -16,42 +16,82 @@ class Chain(NamedTuple):
 
 
 class Layout(NamedTuple):
-    """Sequences of tokens laid out longest first, and how many are longer than 0, 1, ..."""
+    """Sequences longest first: the tokens of all first steps, then of all second ones; how many sequences have each step."""
 
     tokens: np.ndarray
-    starts: np.ndarray
     alive: list[int]
     order: np.ndarray
 
 
+def _order(lengths: np.ndarray) -> tuple[list[int], np.ndarray]:
+    order = np.argsort(-lengths, kind="stable")
+    alive = lengths.size - np.searchsorted(np.sort(lengths), np.arange(lengths.max(initial=0)), "right")
+    return alive.tolist(), order
+
+
+def by_step(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The tokens of sequences that come one behind another, as a layout has them."""
+    alive, order = _order(lengths)
+    starts = (np.cumsum(lengths) - lengths)[order]
+    return tokens[np.concatenate([starts[:m] + t for t, m in enumerate(alive)])] if alive else tokens[:0]
+
+
+def laid_out(tokens: np.ndarray, lengths: np.ndarray) -> Layout:
+    """Of tokens that are in the order of ``by_step``."""
+    return Layout(tokens, *_order(lengths))
+
+
 def layout(sequences: Sequence[np.ndarray]) -> Layout:
     """Sequences must not be empty."""
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
-    order = np.argsort(-lengths, kind="stable")
-    ends = np.cumsum(lengths)
-    longer = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(lengths.max(initial=0)), "right")
-    return Layout(np.concatenate(sequences) if len(sequences) else np.empty(0, np.int64), (ends - lengths)[order], longer.tolist(), order)
+    return laid_out(by_step(np.concatenate(sequences), lengths) if len(sequences) else np.empty(0, np.int64), lengths)
+
 
+def sums(values: np.ndarray, data: Layout) -> np.ndarray:
+    """The sum of each sequence's values; ``values`` are in the order of the layout's tokens."""
+    total = np.zeros(data.order.size)
+    end = 0
+    for m in data.alive:
+        total[:m] += values[end : end + m]
+        end += m
+    return _in_place(total, data)
 
-def _by_step(data: Layout) -> np.ndarray:
-    """All tokens, those of the first step first; within a step the longest sequence first."""
-    at = [data.starts[:m] + t for t, m in enumerate(data.alive)]
-    return data.tokens[np.concatenate(at)] if at else data.tokens[:0]
+
+def _in_place(found: np.ndarray, data: Layout) -> np.ndarray:
+    out = np.empty_like(found)
+    out[data.order] = found
+    return out
+
+
+def _emitted(emission: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """(state, token) probabilities: rows of one state lie together, so that a step's work on them is one run over memory."""
+    out = np.empty((emission.shape[1], tokens.size))
+    for row, of_state in zip(out, emission.T, strict=True):
+        np.take(np.ascontiguousarray(of_state), tokens, out=row, mode="clip")
+    return out
+
+
+def _forward(chain: Chain, seen: np.ndarray, data: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Forward probabilities, scaled at every token, by state and token, and the scales."""
+    alphas, scales = np.empty_like(seen), np.empty(data.tokens.size)
+    step, before, start = np.ascontiguousarray(chain.transition.T), alphas[:, :0], 0
+    for t, m in enumerate(data.alive):
+        end = start + m
+        here, scale = alphas[:, start:end], scales[start:end]
+        if t:
+            np.matmul(step, before[:, :m], out=here)
+            here *= seen[:, start:end]
+        else:
+            np.multiply(seen[:, :end], chain.initial[:, None], out=here)
+        np.add.reduce(here, axis=0, out=scale)
+        here /= scale
+        before, start = here, end
+    return alphas, scales
 
 
 def log_likelihoods(chain: Chain, emission: np.ndarray, data: Layout) -> np.ndarray:
     """Natural log of each sequence's probability, by the forward recursion scaled at every token; ``emission``: (token, state)."""
-    total = np.zeros(len(data.starts))
-    alpha, ones = np.empty((0, 0)), np.ones(chain.initial.size)
-    for t, m in enumerate(data.alive):
-        prior = alpha[:m] @ chain.transition if t else chain.initial
-        alpha = prior * emission[data.tokens[data.starts[:m] + t]]
-        scale = alpha @ ones
-        alpha /= scale[:, None]
-        total[:m] += np.log(scale)
-    out = np.empty_like(total)
-    out[data.order] = total
-    return out
+    return sums(np.log(_forward(chain, _emitted(emission, data.tokens), data)[1]), data)
 
 
 def expected_counts(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,34 +101,27 @@ def expected_counts(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[n
 
 def expectations(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """The expected counts, and the natural log of all sequences' probability."""
-    states = chain.initial.size
-    tokens, ends, ones = _by_step(data), np.cumsum(data.alive, dtype=np.int64).tolist(), np.ones(states)
-    seen = emission[tokens]  # (token, state), and in place: its forward probability times the backward one
-    alphas, scales = np.empty_like(seen), np.empty(tokens.size)
-    before = alphas[:0]
-    for t, (m, end) in enumerate(zip(data.alive, ends, strict=True)):
-        here, scale = alphas[end - m : end], scales[end - m : end]
-        np.multiply(before[:m] @ chain.transition if t else chain.initial, seen[end - m : end], out=here)
-        np.matmul(here, ones, out=scale)
-        here /= scale[:, None]
-        before = here
+    states, n = chain.initial.size, data.order.size
+    seen = _emitted(emission, data.tokens)  # in place: the forward probability times the backward one
+    alphas, scales = _forward(chain, seen, data)
     steps, first = np.zeros((states, states)), np.zeros(states)
-    beta = np.ones((0, states))
-    for t in range(len(ends) - 1, -1, -1):
-        m, end = data.alive[t], ends[t]
-        if len(beta) < m:  # sequences that end here
-            beta = np.concatenate((beta, np.ones((m - len(beta), states))))
-        here = seen[end - m : end]
-        ahead = beta * here
-        ahead /= scales[end - m : end, None]
-        np.multiply(alphas[end - m : end], beta, out=here)
+    betas, products = np.ones((states, n)), np.empty((states, n))  # a sequence that has yet to end has ones
+    end = data.tokens.size
+    for t in range(len(data.alive) - 1, -1, -1):
+        m = data.alive[t]
+        start = end - m
+        here, beta, ahead = seen[:, start:end], betas[:, :m], products[:, :m]
+        np.multiply(beta, here, out=ahead)
+        ahead /= scales[start:end]
+        np.multiply(alphas[:, start:end], beta, out=here)
         if t:
-            start = ends[t - 1] - data.alive[t - 1]
-            steps += alphas[start : start + m].T @ ahead
-            beta = ahead @ chain.transition.T
+            last = start - data.alive[t - 1]
+            steps += alphas[:, last : last + m] @ ahead.T
+            np.matmul(chain.transition, ahead, out=beta)
         else:
-            first = here.sum(axis=0)
-    counts = np.stack([np.bincount(tokens, seen[:, s], len(emission)) for s in range(states)], axis=1)
+            first = here.sum(axis=1)
+        end = start
+    counts = np.stack([np.bincount(data.tokens, of_state, len(emission)) for of_state in seen], axis=1)
     return counts, first, steps * chain.transition, float(np.log(scales).sum())
 
 

@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,15 +77,29 @@ class _Numbers(defaultdict):
 
 
 def _numbered(texts: list[memoryview]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of some texts, frequent ones first, the texts as numbers of them, and their lengths; the end is a word."""
-    numbers = _Numbers()
-    end = numbers[END]
-    sequences = [np.array([*map(numbers.__getitem__, bytes(t).lower().split()), end], np.int64) for t in texts]
-    tokens, words = np.concatenate(sequences), list(numbers)
-    by = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
-    number = np.empty(len(words), np.int64)
-    number[by] = np.arange(len(words))
-    return [words[k] for k in by.tolist()], number[tokens], np.fromiter(map(len, sequences), np.int64, len(sequences))
+    """The distinct words of some texts, frequent ones first, the texts as numbers of them, and their lengths; the end is a word.
+
+    Arrow's ASCII kernels split and lower-case as the contract's words say; what they make of other bytes isn't looked at.
+    """
+    ends = np.cumsum([0, *map(len, texts)])
+    column = pa.Array.from_buffers(pa.large_utf8(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(texts))])
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    encoded = pc.dictionary_encode(split.values.cast(pa.large_binary()))
+    names, found = encoded.dictionary.to_pylist(), shared.numbers(encoded.indices)
+    is_word = np.fromiter(map(len, names), np.int64, len(names)) > 0  # white space at either end leaves an empty string
+    kept = is_word[found]
+    before = np.concatenate(([0], np.cumsum(kept)))
+    cuts = shared.numbers(split.offsets)
+    lengths = before[cuts[1:]] - before[cuts[:-1]] + 1
+    tokens = np.full(int(lengths.sum()), len(names))  # the end
+    is_end = np.zeros(tokens.size, bool)
+    is_end[np.cumsum(lengths) - 1] = True
+    tokens[~is_end] = found[kept]
+    by = np.argsort(-np.bincount(tokens, minlength=len(names) + 1), kind="stable")
+    number = np.empty(by.size, np.int64)
+    number[by] = np.arange(by.size)
+    names.append(END)
+    return [names[k] for k in by.tolist() if names[k]], number[tokens], lengths
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -115,9 +130,9 @@ def _numbered_rows(most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 "n_words": len(names),
                 "words": b" ".join(names),
                 "hashes": np.fromiter(map(zlib.crc32, names), "<u4", len(names)).tobytes(),
-                "tokens": _packed(tokens),
+                "tokens": _planes(hmm.by_step(tokens, lengths)),
                 "ids": postings.pack_ids(ids),
-                "lengths": _packed(lengths),
+                "lengths": _planes(lengths),
             }
             yield pa.RecordBatch.from_pylist([row])
 
@@ -132,10 +147,22 @@ def _unpacked(data: bytes) -> np.ndarray:
     return postings.unpack(np.frombuffer(data, np.uint8))[0]
 
 
-def _sequences(row: dict) -> tuple[np.ndarray, hmm.Layout]:
-    """The tokens of a block, and its texts laid out."""
-    tokens = _unpacked(row["tokens"])
-    return tokens, hmm.layout(np.split(tokens, np.cumsum(_unpacked(row["lengths"]))[:-1]))
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers from 0 to 2**32 - 1: all lowest bytes, then all next ones, as many planes as the greatest needs."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + b"".join((values >> (8 * k)).astype(np.uint8).tobytes() for k in range(width))
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = planes[0].astype(np.int64)
+    for k in range(1, data[0]):
+        out |= planes[k].astype(np.int64) << (8 * k)
+    return out
+
+
+def _sequences(row: dict) -> hmm.Layout:
+    return hmm.laid_out(_from_planes(row["tokens"]), _from_planes(row["lengths"]))
 
 
 def _in_parts(*found: np.ndarray) -> np.ndarray:
@@ -169,9 +196,9 @@ def _count_classes(blocks: DataFrame, seed: Seed) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                tokens, data = _sequences(row)
+                data = _sequences(row)
                 classes = (np.frombuffer(row["hashes"], "<u4") % CLASSES).astype(np.int64)
-                found = hmm.expectations(seed.chain, seed.classes, data._replace(tokens=classes[tokens]))
+                found = hmm.expectations(seed.chain, seed.classes, data._replace(tokens=classes[data.tokens]))
                 sums = sums + _in_parts(*found)
         if isinstance(sums, np.ndarray):
             keys = np.flatnonzero(sums)
@@ -308,16 +335,16 @@ def _first_counts(blocks: DataFrame, seed: Seed, groups: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                tokens, data = _sequences(row)
+                data = _sequences(row)
                 classes = (np.frombuffer(row["hashes"], "<u4") % CLASSES).astype(np.int64)
-                n = np.bincount(tokens, minlength=classes.size)
+                n = np.bincount(data.tokens, minlength=classes.size)
                 yield _counted(row, None, n, hmm.expectations(seed.chain, seed.classes[classes], data), groups)
 
     return blocks.select("block", "words", "hashes", "tokens", "lengths").mapInArrow(task, _COUNTED_KINDS)
 
 
 def _of_answers(blocks: DataFrame, answers: DataFrame, groups: int, finished: Callable[..., pa.RecordBatch], kinds: str) -> DataFrame:
-    """``finished`` of each block's row, its tokens and texts, and its words' places, counts and shares."""
+    """``finished`` of each block's row, its texts, and its words' places, counts and shares."""
 
     def of_block(block: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         row = rows[0]
@@ -327,7 +354,7 @@ def _of_answers(blocks: DataFrame, answers: DataFrame, groups: int, finished: Ca
             at = by[cuts[answer["part"]] : cuts[answer["part"] + 1]]
             places[at] = np.frombuffer(answer["places"], "<i4")
             n[at], shares[at] = _unpacked(answer["n"]), np.frombuffer(answer["shares"], "<i8")
-        yield finished(row, *_sequences(row), places, n, shares)
+        yield finished(row, _sequences(row), places, n, shares)
 
     own = blocks.select("block", F.lit(-1).cast("long").alias("part"), "hashes", "tokens", "ids", "lengths")
     sent = answers.where(F.col("block") >= 0).select("block", "part", "places", "n", "shares")
@@ -338,7 +365,7 @@ def _of_answers(blocks: DataFrame, answers: DataFrame, groups: int, finished: Ca
 def _next_counts(blocks: DataFrame, answers: DataFrame, totals: Totals, groups: int) -> DataFrame:
     """Expected counts of the words under their own probabilities."""
 
-    def finished(row: dict, tokens: np.ndarray, data: hmm.Layout, places: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
+    def finished(row: dict, data: hmm.Layout, places: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
         return _counted(row, places, n, hmm.expectations(totals.chain, emission(n, shares, totals), data), groups)
 
     return _of_answers(blocks, answers, groups, finished, _COUNTED_KINDS)
@@ -412,9 +439,9 @@ def _block_rows(most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     pa.array([*words, b" %d" % block], pa.binary()),
                     pa.array(np.full(n + 1, block), pa.int64()),
                     pa.array(np.arange(n + 1), pa.int32()),
-                    pa.array([None] * n + [_packed(tokens)], pa.binary()),
+                    pa.array([None] * n + [_planes(hmm.by_step(tokens, lengths))], pa.binary()),
                     pa.array([None] * n + [postings.pack_ids(ids)], pa.binary()),
-                    pa.array([None] * n + [_packed(lengths)], pa.binary()),
+                    pa.array([None] * n + [_planes(lengths)], pa.binary()),
                 ],
                 ["key", "block", "number", "sequence", "ids", "lengths"],
             )
@@ -422,33 +449,31 @@ def _block_rows(most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return task
 
 
-def _read_block(words: list[tuple], texts: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a block, counts and shares by token, and the texts' sizes."""
+def _read_block(words: list[tuple], texts: tuple) -> tuple[hmm.Layout, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's texts, counts and shares by token, and the texts' sizes."""
     sequence, _, lengths = texts
-    tokens, _ = postings.unpack(np.frombuffer(sequence, np.uint8))
+    tokens, sizes = _from_planes(sequence), _from_planes(lengths)
     n, shares = np.zeros(int(tokens.max()) + 1, np.int64), np.zeros(int(tokens.max()) + 1, np.int64)
     for number, count, share in words:
         n[number], shares[number] = count, share
-    return tokens, n, shares, _unpacked(lengths)
+    return hmm.laid_out(tokens, sizes), n, shares, sizes
 
 
 _SCORE_KINDS = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_batch(totals: Totals, ids: pa.Array, tokens: np.ndarray, data: hmm.Layout, sizes: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
-    starts = np.cumsum(sizes) - sizes
+def _score_batch(totals: Totals, ids: pa.Array, data: hmm.Layout, sizes: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
     natural = hmm.log_likelihoods(totals.chain, emission(n, shares, totals), data)
     base = np.log10((n + 1) / (totals.tokens + totals.words + 1))
-    known = np.add.reduceat((n > 0)[tokens].astype(np.int64), starts)
-    out = [ids, pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base[tokens], starts)), pa.array(natural / np.log(10))]
+    known = hmm.sums((n > 0)[data.tokens].astype(float), data).astype(np.int64)
+    out = [ids, pa.array(sizes), pa.array(known), pa.array(hmm.sums(base[data.tokens], data)), pa.array(natural / np.log(10))]
     return pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _scored(totals: Totals) -> Callable[[list[tuple], tuple], pa.RecordBatch]:
     def finished(words: list[tuple], texts: tuple) -> pa.RecordBatch:
-        tokens, n, shares, sizes = _read_block(words, texts)
-        data = hmm.layout(np.split(tokens, np.cumsum(sizes)[:-1]))
-        return _score_batch(totals, texts[1], tokens, data, sizes, n, shares)
+        data, n, shares, sizes = _read_block(words, texts)
+        return _score_batch(totals, texts[1], data, sizes, n, shares)
 
     return finished
 
@@ -457,8 +482,8 @@ def _score_trained(fitted: Fitted) -> DataFrame:
     """The scores of the texts that the model was fitted to, from their blocks."""
     totals = fitted.totals
 
-    def finished(row: dict, tokens: np.ndarray, data: hmm.Layout, places: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
-        return _score_batch(totals, postings.unpack_ids(row["ids"]), tokens, data, _unpacked(row["lengths"]), n, shares)
+    def finished(row: dict, data: hmm.Layout, places: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
+        return _score_batch(totals, postings.unpack_ids(row["ids"]), data, _from_planes(row["lengths"]), n, shares)
 
     return _of_answers(fitted.blocks, fitted.answers, _groups(fitted.blocks), finished, _SCORE_KINDS)
 
