@@ -12,22 +12,38 @@ import numpy as np
 
 #: The program ends when no solution can be better by more than this part.
 GAP = 1e-4
+#: Rooms of the knapsack that are filled at once with the sizes of at least as many units; smaller sizes go room by room.
+ROOMS = 32
 
 
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable pattern, its value first: dynamic programming over the room that is left."""
-    value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
     useful = np.flatnonzero(prices > 1e-12)
-    by_size, price = sizes[useful], prices[useful]
-    for room in range(1, capacity + 1):
-        value[room] = value[room - 1]
-        fits = np.searchsorted(by_size, room, "right")
+    cut = int(np.searchsorted(sizes[useful], ROOMS))
+    small = list(zip(sizes[useful[:cut]].tolist(), prices[useful[:cut]].tolist(), useful[:cut].tolist(), strict=True))
+    large, price = sizes[useful[cut:]], prices[useful[cut:]]
+    filled = np.full(2 * capacity + 1, -np.inf)  # the values, from room -capacity on: nothing fits into less than no room
+    filled[capacity] = 0
+    value, choice = [0.0], [-1]
+    for first in range(1, capacity + 1, ROOMS):
+        rooms = np.arange(first, min(first + ROOMS, capacity + 1))
+        fits = int(np.searchsorted(large, rooms[-1], "right"))
         if fits:
-            gained = value[room - by_size[:fits]] + price[:fits]
-            k = int(gained.argmax())
-            if gained[k] > value[room]:
-                value[room], choice[room] = gained[k], useful[k]
+            gained = filled[capacity + rooms[:, None] - large[:fits]] + price[:fits]
+            best = gained.argmax(axis=1)
+            most, taken = gained[np.arange(rooms.size), best].tolist(), useful[cut + best].tolist()
+        for j, room in enumerate(rooms.tolist()):
+            now, chosen = value[room - 1], -1
+            for size, worth, k in small:
+                if size > room:
+                    break
+                if value[room - size] + worth > now:
+                    now, chosen = value[room - size] + worth, k
+            if fits and most[j] > now:
+                now, chosen = most[j], taken[j]
+            value.append(now)
+            choice.append(chosen)
+        filled[capacity + rooms] = value[first:]
     pattern = np.zeros(sizes.size, np.int64)
     room = capacity
     while room > 0:
@@ -36,7 +52,7 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
         else:
             pattern[choice[room]] += 1
             room -= sizes[choice[room]]
-    return float(value[capacity]), pattern
+    return value[capacity], pattern
 
 
 def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import functools
 import os
 import re
-import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -19,14 +18,16 @@ from tokenizers import Tokenizer
 JOINED = 256
 TEXTS = 64
 #: Words, and parts of words, whose ids are kept.
-KEPT = 200_000
+KEPT = 400_000
 
 # A task has one core; the tokenizer's own threads would each keep memory of theirs.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # all letters before the next block, U+0250
 _PARTS = re.compile(f"[{_LETTER}]+|[^{_LETTER}]+")
-_NEXT_BLOCK = "ɐ"
+#: Apostrophes, special strings, the letter that lower case makes two characters of, and all from the next block on, where
+#: there are scripts and characters that aren't composed.
+_WHOLE = re.compile("['İɐ-\U0010ffff]|<\\|")
 
 
 def word_ids(encoder: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +51,10 @@ def word_ids(encoder: Tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarr
 
 def parts(word: bytes) -> list[str]:
     """The pieces of a word that can be looked up on their own; bytes that aren't UTF-8 become the replacement character."""
+    if word.isalpha():  # ASCII letters only
+        return [word.lower().decode()]
     text = word.decode("utf-8", "replace")
-    if "'" in text or "<|" in text:
-        return [text]
-    if not text.isascii() and (max(text) >= _NEXT_BLOCK or "İ" in text or not unicodedata.is_normalized("NFC", text)):
-        return [text]
-    return _PARTS.findall(text.lower())
+    return [text] if _WHOLE.search(text) else _PARTS.findall(text.lower())
 
 
 class Vocabulary:
