@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 JOINED = 256
 TEXTS = 64
 #: Words, and parts of words, whose ids are kept.
-KEPT = 400_000
+KEPT = 200_000
 
 # A task has one core; the tokenizer's own threads would each keep memory of theirs.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
