@@ -79,7 +79,7 @@ def _entries(src: _Folder) -> DataFrame:
         F.col("s_suppkey").alias("driver_id"), F.col("s_nationkey").alias("team_id")
     )
     return (
-        grouped.join(fastest, "race_id")
+        grouped.join(F.broadcast(fastest), "race_id")
         .join(suppliers, "driver_id")
         .select(
             "race_id",
@@ -153,26 +153,34 @@ def _reports(src: _Folder) -> DataFrame:
 
 
 def _targets(src: _Folder, reports: DataFrame) -> DataFrame:
-    """The order's other suppliers; an order with one supplier is about the game."""
+    """The order's other suppliers; an order with one supplier is about the game.
+
+    With what penalties and responses need of the report, ``is_decided`` and ``sent_at``. The line items are dealt by
+    order once, for their pairs, the last of an order and the join.
+    """
     suppliers = src.raw("lineitem").select(
         F.col("l_orderkey").alias("report_id"), F.col("l_suppkey").alias("driver_id")
-    )
+    ).repartition("report_id")
     last = suppliers.groupBy("report_id").agg(F.max("driver_id").alias("last_driver"))
-    sender = reports.select(F.col("id").alias("report_id"), "from_driver").join(last, "report_id")
+    sender = reports.select(
+        F.col("id").alias("report_id"),
+        "from_driver",
+        F.col("verdict").isNotNull().alias("is_decided"),
+        F.col("created_at").alias("sent_at"),
+    ).join(last, "report_id")
     alone = F.col("from_driver") == F.col("last_driver")
     return (
         suppliers.distinct()
         .join(sender, "report_id")
         .filter(alone | (F.col("driver_id") != F.col("from_driver")))
-        .select("report_id", F.when(~alone, F.col("driver_id")).alias("driver_id"))
+        .select("report_id", F.when(~alone, F.col("driver_id")).alias("driver_id"), "is_decided", "sent_at")
     )
 
 
-def _penalties(reports: DataFrame, targets: DataFrame) -> DataFrame:
+def _penalties(targets: DataFrame) -> DataFrame:
     """One penalty per target of a decided report."""
-    decided = reports.filter(F.col("verdict").isNotNull()).select(F.col("id").alias("report_id"))
     s = F.col("driver_id") + F.col("report_id")
-    return targets.filter(F.col("driver_id").isNotNull()).join(decided, "report_id").select(
+    return targets.filter(F.col("driver_id").isNotNull() & F.col("is_decided")).select(
         "report_id",
         "driver_id",
         F.when(s % 7 != 0, s % 4 * 5).cast("int").alias("time"),
@@ -181,11 +189,10 @@ def _penalties(reports: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _responses(reports: DataFrame, targets: DataFrame) -> DataFrame:
+def _responses(targets: DataFrame) -> DataFrame:
     """Every named target answers up to two days later."""
-    sent = reports.select(F.col("id").alias("report_id"), F.col("created_at").alias("sent_at"))
     hours = (F.col("driver_id") * 7 + F.col("report_id")) % 48
-    return targets.filter(F.col("driver_id").isNotNull()).join(sent, "report_id").select(
+    return targets.filter(F.col("driver_id").isNotNull()).select(
         F.concat_ws("-", "report_id", "driver_id").alias("id"),
         "report_id",
         F.col("driver_id").alias("from_driver"),
@@ -270,6 +277,13 @@ def league(spark: SparkSession, path: str) -> League:
     key = (spark.sparkContext.applicationId, path)
     if key not in _leagues:
         src = _Folder(spark, path)
+        aimed: list[DataFrame] = []  # targets with their report's state: written once, read by three tables
+
+        def targets(lg: League) -> DataFrame:
+            if not aimed:
+                aimed.append(store(_targets(src, lg.reports), "report_targets"))
+            return aimed[0]
+
         _leagues[key] = League(
             {
                 "drivers": lambda lg: _drivers(src),
@@ -280,11 +294,9 @@ def league(spark: SparkSession, path: str) -> League:
                 "races": lambda lg: store(_races(src), "races"),
                 "races_drivers": lambda lg: store(_entries(src), "races_drivers"),
                 "reports": lambda lg: store(_reports(src), "reports"),
-                "report_targets": lambda lg: store(_targets(src, lg.reports), "report_targets"),
-                "report_responses": lambda lg: store(
-                    _responses(lg.reports, lg.report_targets), "report_responses"
-                ),
-                "penalties": lambda lg: store(_penalties(lg.reports, lg.report_targets), "penalties"),
+                "report_targets": lambda lg: targets(lg).select("report_id", "driver_id"),
+                "report_responses": lambda lg: _responses(targets(lg)),
+                "penalties": lambda lg: _penalties(targets(lg)),
                 "users": lambda lg: _users(src),
                 "roles": lambda lg: _roles(src, lg.seasons),
                 "users_roles": lambda lg: _users_roles(src),
