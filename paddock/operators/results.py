@@ -45,14 +45,12 @@ def moment(as_of: object, column: DataFrame, name: str) -> Column:
 
 
 def penalty_time_totals(league: League) -> DataFrame:
-    """Penalty seconds per driver and race."""
-    races = league.reports.select(F.col("id").alias("report_id"), "race_id")
-    return (
-        league.penalties.select("report_id", "driver_id", "time")
-        .join(races, "report_id")
-        .groupBy("driver_id", "race_id")
-        .agg(F.sum("time").alias("penalty_time"))
-    )
+    """Penalty seconds per driver and race; of penalties that know their race no report is looked up."""
+    penalties = league.penalties
+    if "race_id" not in penalties.columns:
+        races = league.reports.select(F.col("id").alias("report_id"), "race_id")
+        penalties = penalties.select("report_id", "driver_id", "time").join(races, "report_id")
+    return penalties.groupBy("driver_id", "race_id").agg(F.sum("time").alias("penalty_time"))
 
 
 def adjusted_entries(league: League) -> DataFrame:

@@ -4,7 +4,8 @@ Entries, penalties and what a race scored are kept in parts by race (``sources.k
 replaces the entries or adds penalties of the races it names, and those races alone are ranked and scored anew. Standings add
 up scores that stand, so they never rank a race.
 
-All changes may be applied twice: entries are replaced, penalties have a key, and scores follow from both.
+All changes may be applied twice: entries are replaced, penalties have a key, and scores follow from both. The races that a feed
+names are sent to the tasks that read the tables, so rows that stay aren't shuffled.
 """
 
 from __future__ import annotations
@@ -58,11 +59,7 @@ class Standings:
     def post_entries(self, entries: DataFrame, league: League, posting: str | None = None) -> bool:
         """Replace the entries of the races that ``entries`` holds, and score these races anew."""
         races = entries.select("race_id").distinct()
-
-        def change(old: DataFrame) -> DataFrame:
-            return old.join(races, "race_id", "left_anti").unionByName(entries.select(*old.columns))
-
-        done = self.entries.merge(races, change, posting)
+        done = replace_races(self.entries, races, entries, posting)
         if done:
             self.refresh(races, league)
         return done
@@ -75,9 +72,9 @@ class Standings:
         races = given.select("race_id").distinct()
 
         def add(old: DataFrame) -> DataFrame:
-            return old.unionByName(given.select(*old.columns).join(old.select(*GIVEN), GIVEN, "left_anti"))
+            return given.select(*old.columns).join(old.select(*GIVEN), GIVEN, "left_anti")
 
-        done = self.penalties.merge(races, add, posting)
+        done = self.penalties.merge(races, add, posting, stays=lambda old: old)
         if done:
             excluded = given.filter("is_dsq").select(*ENTRY).distinct().withColumn("excluded", F.lit(True))
 
@@ -91,20 +88,17 @@ class Standings:
     def refresh(self, races: DataFrame, league: League) -> None:
         """Rank and score the given races from the parts that hold them."""
         some = self.of_races(races, league)
-        for table, scored in ((self.scores, results.scored_entries(some)), (self.team_scores, championship.team_race_points(some))):
-
-            def change(old: DataFrame, scored: DataFrame = scored) -> DataFrame:
-                return old.join(races, "race_id", "left_anti").unionByName(scored.select(*old.columns))
-
-            table.merge(races, change)
+        replace_races(self.scores, races, results.scored_entries(some))
+        replace_races(self.team_scores, races, championship.team_race_points(some))
 
     def of_races(self, races: DataFrame, league: League) -> League:
         """The league of some races, from their parts."""
         spark = races.sparkSession
         parts = self.entries.touched(races)
-        entries, penalties = (t.read(spark, parts).join(races, "race_id", "left_semi") for t in (self.entries, self.penalties))
-        reports = penalties.select(F.col("report_id").alias("id"), "race_id").distinct()
-        return league.replacing(races_drivers=entries, penalties=penalties.drop("race_id"), reports=reports)
+        named = F.broadcast(races)
+        entries, penalties = (t.read(spark, parts).join(named, "race_id", "left_semi") for t in (self.entries, self.penalties))
+        # these penalties know their race, so no report is looked up
+        return league.replacing(races_drivers=entries, penalties=penalties)
 
     def driver_standings_long(self, league: League, as_of: object) -> DataFrame:
         return championship.driver_standings_long(league, as_of, scored=self.scores.read(_session(league)))
@@ -113,6 +107,17 @@ class Standings:
         return championship.constructor_standings(league, team_points=self.team_scores.read(_session(league)))
 
 
+def replace_races(table: Kept, races: DataFrame, rows: DataFrame, posting: str | None = None) -> bool:
+    """Replace what a table kept by race holds of ``races`` (race_id, each once) by ``rows``."""
+    named = F.broadcast(races)
+    return table.merge(
+        races,
+        lambda old: rows.select(*old.columns),
+        posting,
+        stays=lambda old: old.join(named, "race_id", "left_anti"),
+    )
+
+
 def _session(league: League) -> SparkSession:
     return league.races.sparkSession
 
@@ -151,4 +156,4 @@ def replace_kept_entries(table: Kept, lists: DataFrame, league: League, posting:
     """``ingest.replace_race_entries`` over the parts of the posted races."""
     fresh, _ = ingest.checked_entries(lists, league.races, league.drivers, league.teams)
     races = fresh.select("race_id").distinct()
-    return table.merge(races, lambda old: old.join(races, "race_id", "left_anti").unionByName(fresh), posting)
+    return replace_races(table, races, fresh, posting)

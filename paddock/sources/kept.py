@@ -1,8 +1,8 @@
 """Tables kept in parts, of which a change reads and replaces only those that it touches.
 
-A row's part is a hash of its key, so the keys that a feed names say which parts to read. The changed parts are written aside
-first and then put in place of the old ones by dynamic partition overwrite, which stages its files too: until then the old
-parts stand, and parts that the feed doesn't name keep their files. A journal of applied postings makes a replay do nothing; a
+A row's part is a hash of its key, so the keys that a feed names say which parts to read. The changed parts are put in place of
+the old ones by dynamic partition overwrite, which writes them aside until all of them are there: until then the old
+parts stand, and parts that the feed doesn't name keep their files. Rows that stay are written from the tasks that read them. A journal of applied postings makes a replay do nothing; a
 posting that broke off is applied again, so a merge must give the same rows if some parts already have them.
 
 Each part holds one row that isn't live besides its own, so that a part which loses its last row is replaced too.
@@ -10,7 +10,6 @@ Each part holds one row that isn't live besides its own, so that a part which lo
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -40,7 +39,8 @@ class Kept:
 
     def create(self, rows: DataFrame) -> Kept:
         """Write the whole table."""
-        self._placed(rows.select(*self.schema.names), range(self.parts)).write.partitionBy("part").parquet(f"{self.path}/rows")
+        new = self._placed(rows.select(*self.schema.names), range(self.parts))
+        new.write.option("compression", "zstd").partitionBy("part").parquet(f"{self.path}/rows")
         return self
 
     def read(self, spark: SparkSession, parts: Sequence[int] | None = None) -> DataFrame:
@@ -55,20 +55,23 @@ class Kept:
         """Parts of the given keys: ``parts`` numbers at most."""
         return sorted(r.part for r in keys.select(self.part().alias("part")).distinct().collect())
 
-    def merge(self, keys: DataFrame, change: Merge, posting: str | None = None) -> bool:
+    def merge(self, keys: DataFrame, change: Merge, posting: str | None = None, stays: Merge | None = None) -> bool:
         """Replace the parts of ``keys`` by what ``change`` makes of their rows; whether it was done.
 
-        ``posting`` names the change in the journal; one that is there already changes nothing.
+        Where ``stays`` is given, ``change`` gives the new rows only, and ``stays`` the old ones that stay as they are: those
+        are in their parts already and aren't dealt anew. ``posting`` names the change in the journal; one that is there already
+        changes nothing.
         """
         spark = keys.sparkSession
         if posting is not None and posting in self.applied(spark):
             return False
         parts = self.touched(keys)
         if parts:
-            staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-            new = self._placed(change(self.read(spark, parts)).select(*self.schema.names), parts)
-            new.write.partitionBy("part").parquet(staged)
-            replace_partitions(spark.read.schema(new.schema).parquet(staged), f"{self.path}/rows", "part")
+            old = self.read(spark, parts)
+            new = self._placed(change(old).select(*self.schema.names), parts)
+            if stays is not None:
+                new = new.unionByName(self._live(stays(old).select(*self.schema.names)))
+            replace_partitions(new, f"{self.path}/rows", "part")
         if posting is not None:
             entry = spark.range(1).select(F.lit(posting).alias("posting"), F.lit(len(parts)).alias("parts"))
             entry.coalesce(1).write.mode("append").parquet(f"{self.path}/journal")
@@ -87,5 +90,7 @@ class Kept:
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
         marks = rows.sparkSession.range(0, self.parts, 1, 1).filter(F.col("id").isin([*parts]))
         marks = marks.select(*none, F.lit(False).alias("live"), F.col("id").cast("int").alias("part"))
-        live = rows.select("*", F.lit(True).alias("live"), self.part().alias("part"))
-        return live.unionByName(marks).hint("rebalance", "part")
+        return self._live(rows).unionByName(marks).hint("rebalance", "part")
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.lit(True).alias("live"), self.part().alias("part"))

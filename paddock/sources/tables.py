@@ -135,5 +135,6 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def replace_partitions(rows: DataFrame, path: str, *columns: str) -> None:
-    """Overwrite only the partitions ``rows`` holds; ``rows`` must not read from ``path``."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    """Overwrite only the partitions ``rows`` holds; ``rows`` may read from ``path``, as new files lie aside until all are written."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    writer.partitionBy(*columns).parquet(path)
