@@ -50,7 +50,7 @@ def users_with_roles(league: League) -> DataFrame:
     """Users with driver and roles; users without either are kept."""
     drivers = league.drivers.select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name"))
     users = league.users.select(F.col("id").alias("user_id"), "username", "driver_id")
-    roles = Children(_named_roles(league), [F.col("role_id")], ["role_id", "role_name"])
+    roles = Children(_named_roles(league), ["role_id"], ["role_id", "role_name"])
     lists = nest(["user_id"], parents=users, roles=roles)
     return (
         users.join(drivers, "driver_id", "left")

@@ -7,7 +7,7 @@ season); ``rank_spread`` is for facts (entries and reports of a race), of which
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -63,26 +63,39 @@ class Children:
     """Rows to nest under a parent, in rising ``order`` with nulls last, and the fields kept."""
 
     rows: DataFrame
-    order: Sequence[Column]
-    fields: Sequence[str | Column]
+    order: Sequence[str | Column]
+    fields: Sequence[str]
+
+    def names(self) -> list[str | None]:
+        """Of each place of the order the column, if it is one by name."""
+        return [c if isinstance(c, str) else None for c in self.order]
 
 
 def nest(keys: Sequence[str], parents: DataFrame | None = None, **children: Children) -> DataFrame:
     """Children as ordered arrays, one row per group whatever their number, several kinds in one pass.
 
     ``parents`` adds groups without children. The arrays are the result's own size; where a group may have more children
-    than a row should hold, read the children's own rows instead.
+    than a row should hold, read the children's own rows instead. A field that the order names is shuffled once.
     """
     pieces = []
     for out, child in children.items():
-        places = [F.struct(c.isNull().alias("none"), c.alias("value")).alias(f"o{k}") for k, c in enumerate(child.order)]
-        item = F.struct(*places, F.struct(*child.fields).alias("_child"))
-        pieces.append(child.rows.select(*keys, item.alias(out)))
+        order = [F.col(c) if isinstance(c, str) else c for c in child.order]
+        places = [F.struct(c.isNull().alias("none"), c.alias("value")).alias(f"o{k}") for k, c in enumerate(order)]
+        rest = [F.col(c).alias(c) for c in child.fields if c not in child.names()]
+        pieces.append(child.rows.select(*keys, F.struct(*places, *rest).alias(out)))
     if parents is not None:
         pieces.append(parents.select(*keys))
     together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
     # collect_list leaves out the nulls of the other kinds
-    return together.groupBy(*keys).agg(*[in_order(F.col(out)).alias(out) for out in children])
+    lists = together.groupBy(*keys).agg(*[F.sort_array(F.collect_list(out)).alias(out) for out in children])
+
+    def kept(child: Children) -> Callable[[Column], Column]:
+        def field(item: Column, name: str) -> Column:
+            return item[f"o{child.names().index(name)}"]["value"] if name in child.names() else item[name]
+
+        return lambda item: F.struct(*[field(item, name).alias(name) for name in child.fields])
+
+    return lists.select(*keys, *[F.transform(out, kept(child)).alias(out) for out, child in children.items()])
 
 
 def in_order(item: Column) -> Column:

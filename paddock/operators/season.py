@@ -59,7 +59,7 @@ def season_lineup(league: League) -> DataFrame:
         ["season_id", "team_id"],
         drivers=Children(
             seats.select("season_id", "team_id", "driver_id", "driver_name"),
-            [F.col("driver_id")],
+            ["driver_id"],
             ["driver_id", "driver_name"],
         ),
     )

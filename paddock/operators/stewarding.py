@@ -67,17 +67,18 @@ def report_rank(league: League) -> DataFrame:
 def report_targets(league: League) -> DataFrame:
     """Targets with names; a target without a driver is the game."""
     named = league.report_targets.join(_drivers(league, "driver_id", "driver_name"), "driver_id", "left")
-    is_game = F.col("driver_id").isNull()
-    return named.select(
-        "report_id",
-        "driver_id",
-        F.when(is_game, GAME_ID).otherwise(F.col("driver_id").cast("string")).alias("target_id"),
-        F.when(is_game, GAME_NAME).otherwise(F.col("driver_name")).alias("target_name"),
-    )
+    return named.select("report_id", "driver_id", *_target(F.col("driver_id"), F.col("driver_name")))
+
+
+def _target(driver_id: Column, driver_name: Column) -> tuple[Column, Column]:
+    """target_id and target_name; a target without a driver is the game."""
+    is_game = driver_id.isNull()
+    target_id = F.when(is_game, GAME_ID).otherwise(driver_id.cast("string"))
+    return target_id.alias("target_id"), F.when(is_game, GAME_NAME).otherwise(driver_name).alias("target_name")
 
 
 def _targets_of(league: League) -> Children:
-    return Children(report_targets(league), [F.col("driver_id")], ["target_id", "target_name"])
+    return Children(report_targets(league), ["driver_id"], ["target_id", "target_name"])
 
 
 def report_responses(league: League, embed_parent: str) -> DataFrame:
@@ -106,20 +107,22 @@ def report_penalties(league: League) -> DataFrame:
 def incident_reports(league: League, embed_parent: str) -> DataFrame:
     """Reports with their videos, targets, responses and penalties, one row per report.
 
-    The children's own rows are ``report_targets``, ``report_responses`` and ``report_penalties``.
+    The children's own rows are ``report_targets``, ``report_responses`` and ``report_penalties``. A target's
+    text is worked out in the list, so that it isn't shuffled.
     """
+    named = league.report_targets.join(_drivers(league, "driver_id", "driver_name"), "driver_id", "left")
     lists = nest(
         ["report_id"],
         parents=league.reports.select(F.col("id").alias("report_id")),
-        targets=_targets_of(league),
+        targets=Children(named, ["driver_id"], ["driver_id", "driver_name"]),
         responses=Children(
             report_responses(league, embed_parent),
-            [F.col("created_at"), F.col("from_driver"), F.col("content")],
+            ["created_at", "from_driver", "content"],
             ["id", "from_driver", "driver_name", "content", "videos", "created_at"],
         ),
         penalties=Children(
             report_penalties(league),
-            [F.col("driver_id")],
+            ["driver_id"],
             ["driver_id", "driver_name", "time", "penalty_points", "is_dsq"],
         ),
     )
@@ -138,7 +141,7 @@ def incident_reports(league: League, embed_parent: str) -> DataFrame:
         videos(F.col("video_path"), embed_parent).alias("videos"),
         "created_at",
         "verdict",
-        "targets",
+        F.transform("targets", lambda t: F.struct(*_target(t["driver_id"], t["driver_name"]))).alias("targets"),
         "responses",
         "penalties",
     )
@@ -239,7 +242,7 @@ def _mentions(league: League) -> DataFrame:
 
 def mention_text(league: League) -> DataFrame:
     """Targets of a report as lines of one text."""
-    lines = nest(["report_id"], lines=Children(_mentions(league), [F.col("driver_id")], ["line"]))
+    lines = nest(["report_id"], lines=Children(_mentions(league), ["driver_id"], ["line"]))
     text = F.array_join(F.transform("lines", lambda c: c["line"]), "\n")
     return lines.select("report_id", text.alias("mentions"))
 
