@@ -129,9 +129,9 @@ def write_league(league: League, path: str) -> None:
         rows.write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    """One JSON object per line, nulls written out."""
-    rows.write.option("ignoreNullFields", "false").json(path)
+def write_json(rows: DataFrame, path: str, compression: str = "gzip") -> None:
+    """One JSON object per line, nulls written out; ``compression`` may be ``none`` for readers of plain text."""
+    rows.write.options(ignoreNullFields="false", compression=compression).json(path)
 
 
 def replace_partitions(rows: DataFrame, path: str, *columns: str) -> None:
