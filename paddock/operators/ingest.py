@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.text import GAME_ID, join_videos
@@ -28,16 +28,23 @@ def _season_ids(seasons: DataFrame) -> DataFrame:
 def _chosen(rows: DataFrame, keys: Sequence[str], last: bool = False) -> DataFrame:
     """Distinct records with ``copies``, and whether each is ``chosen``: the least (or last) of its key.
 
-    The other columns, in their order, decide, so the choice leaves no ties. Tasks reduce a key's records before any
-    are shuffled.
+    The other columns, in their order, decide, so the choice leaves no ties. Records are dealt by key once, for their
+    copies and the choice; those with a null in their key, which may be many, are counted before they are shuffled.
     """
     others = [c for c in rows.columns if c not in keys]
-    distinct = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    copies = F.count(F.lit(1)).alias("copies")
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    order = F.struct(*others)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc() if last else order.asc()))
+    own = rows.filter(keyed).repartition(*keys).groupBy(*rows.columns).agg(copies).withColumn("chosen", place == 1)
+    # a null equals a null here
+    keyless = rows.filter(~keyed)
     pick = F.max if last else F.min
-    best = rows.groupBy(*keys).agg(pick(F.struct(*others)).alias("_best"))
+    best = keyless.groupBy(*keys).agg(pick(order).alias("_best"))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    joined = distinct.alias("d").join(best.alias("b"), same)
-    return joined.select("d.*", F.struct(*[F.col(f"d.{c}") for c in others]).eqNullSafe(F.col("_best")).alias("chosen"))
+    joined = keyless.groupBy(*rows.columns).agg(copies).alias("d").join(best.alias("b"), same)
+    chosen = F.struct(*[F.col(f"d.{c}") for c in others]).eqNullSafe(F.col("_best"))
+    return own.unionByName(joined.select("d.*", chosen.alias("chosen")))
 
 
 def _least(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -158,7 +165,8 @@ def ingest_results(entries: DataFrame, records: DataFrame, strict: bool = False)
         .when(F.col("fastest_lap_driver").isNotNull() & F.col("fastest_entered").isNull(), "fastest lap not entered")
         .alias("refused"),
     )
-    checked = known.drop("fastest_lap_driver").join(races, "race_id").withColumns(
+    # what a race says goes to its records, which stay dealt by race and driver
+    checked = known.drop("fastest_lap_driver").join(F.broadcast(races), "race_id").withColumns(
         {
             "new_time": F.when(leads, F.col("leader_time")).otherwise(parse_gap(F.col("leader_time"), gap)),
             "reason": F.when(F.col("_entered").isNull(), "not entered")
@@ -174,7 +182,7 @@ def ingest_results(entries: DataFrame, records: DataFrame, strict: bool = False)
     taken = races.filter(F.col("refused").isNull()).select("race_id", "fastest_lap_driver", F.lit(True).alias("taken"))
     snapshot = (
         entries.join(good, ENTRY, "left")
-        .join(taken, "race_id", "left")
+        .join(F.broadcast(taken), "race_id", "left")
         .select(
             *ENTRY,
             "team_id",

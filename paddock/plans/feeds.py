@@ -48,7 +48,7 @@ def results(league: League) -> DataFrame:
     leads = F.col("driver_id") == F.col("best.driver_id")
     text = F.when(leads, format_time(F.col("time"))).otherwise(format_gap(F.col("best.time"), F.col("time")))
     stranger = leads & (F.col("driver_id") % 10 == 3)
-    return entries.join(best, "race_id").select(
+    return entries.join(F.broadcast(best), "race_id").select(
         "race_id",
         F.when(stranger, -F.col("driver_id")).otherwise(F.col("driver_id")).alias("driver_id"),
         text.alias("time"),
