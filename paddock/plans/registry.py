@@ -22,6 +22,8 @@ EMBED_PARENT = "league.example"
 AS_OF = testdata.AS_OF
 #: Parts of the small tables that queries keep here.
 KEPT_PARTS = 8
+#: Files of a micro-batch, so that the number of batches doesn't grow with the tables and many tasks write and read one.
+BATCH_FILES = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,12 +70,12 @@ def _stream_report_gate(league: League) -> DataFrame:
     inbox, out, state = (new_folder(spark, f"report-{kind}") for kind in ("inbox", "out", "state"))
     dated = F.col("created_at").isNotNull()
     for rows in (
-        league.reports.filter(dated).repartitionByRange(4, "created_at"),
-        league.reports.filter(dated),
-        league.reports.filter(~dated),
+        league.reports.filter(dated).repartitionByRange(2 * BATCH_FILES, "created_at"),
+        league.reports.filter(dated).coalesce(2 * BATCH_FILES),
+        league.reports.filter(~dated).coalesce(BATCH_FILES),
     ):
         rows.write.mode("append").parquet(inbox)
-        stream = gates.read_files(spark, inbox, schema, max_files=2)
+        stream = gates.read_files(spark, inbox, schema, max_files=BATCH_FILES)
         gates.stream_report_gate(stream, league, out, state).awaitTermination()
     on_time = gates.labelled_reports(spark, out, schema)
     return _report_columns(on_time.unionByName(gates.late_reports(spark, league, out, schema)))
@@ -88,7 +90,7 @@ def _stream_response_gate(league: League) -> DataFrame:
     first = F.col("report_id") % 3 != 0
     seen = F.col("id") % 2 == 0
     for last, answered, known in ((False, first, seen), (True, ~first, ~seen)):
-        responses.filter(answered).repartitionByRange(3, F.col("created_at").desc()).write.mode("append").parquet(sent)
+        responses.filter(answered).repartitionByRange(2 * BATCH_FILES, F.col("created_at").desc()).write.mode("append").parquet(sent)
         accepted.filter(known).write.mode("append").parquet(taken)
         if last:  # the league has ended: all that still waits is due
             gates.heartbeat(spark, responses.schema, datetime(2100, 1, 1)).write.mode("append").parquet(sent)
@@ -107,8 +109,8 @@ def _stream_notifications(league: League) -> DataFrame:
         F.col("id").alias("report_id"), F.lit(True).alias("is_decision")
     )
     news = arrived.unionByName(decided)
-    news.repartition(2).write.parquet(inbox)
-    stream = gates.read_files(spark, inbox, news.schema, max_files=1)
+    news.repartition(2 * BATCH_FILES).write.parquet(inbox)
+    stream = gates.read_files(spark, inbox, news.schema, max_files=BATCH_FILES)
     asked: list[int] = []
 
     def tables_so_far() -> League:
@@ -126,10 +128,10 @@ def _stream_report_numbers(league: League) -> DataFrame:
     """Reports come in three batches, the latest first, and some again; then all are numbered by the index of counts."""
     spark, schema = league.races.sparkSession, league.reports.schema
     inbox, path, state = (new_folder(spark, f"numbers-{kind}") for kind in ("inbox", "index", "state"))
-    league.reports.repartitionByRange(2, F.col("created_at").desc()).write.parquet(inbox)
-    league.reports.filter("verdict IS NULL").coalesce(1).write.mode("append").parquet(inbox)
+    league.reports.repartitionByRange(2 * BATCH_FILES, F.col("created_at").desc()).write.parquet(inbox)
+    league.reports.filter("verdict IS NULL").coalesce(BATCH_FILES).write.mode("append").parquet(inbox)
     index = numbers.Numbers(path, schema, KEPT_PARTS).create(spark)
-    numbers.keep_numbers(gates.read_files(spark, inbox, schema, max_files=1), index, state).awaitTermination()
+    numbers.keep_numbers(gates.read_files(spark, inbox, schema, max_files=BATCH_FILES), index, state).awaitTermination()
     found = index.of(league.reports.select("id", "race_id", "created_at"))
     return found.withColumnRenamed("id", "report_id")
 

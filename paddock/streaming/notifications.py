@@ -35,14 +35,21 @@ def stream_notifications(
             wanted = reports.join(asked.select(F.col("report_id").alias("id")).distinct(), "id", "left_semi")
             reports = wanted.join(index.of(wanted.select("id", "race_id", "created_at")).select("id"), "id", "left_semi")
         known = reports.select(F.col("id").alias("report_id"), F.col("verdict").isNotNull().alias("decided"))
-        ready = asked.join(known, "report_id").filter(~F.col("is_decision") | F.col("decided")).select(*columns)
-        asked.join(ready, columns, "left_anti").write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
-        for is_decision in (False, True):
-            wanted = ready.filter(F.col("is_decision") == is_decision).select("report_id")
-            feed = report_notification_feed(league, base_url, is_decision, wanted, index.of if index else None)
-            feed.withColumn("is_decision", F.lit(is_decision)).write.mode("overwrite").parquet(
-                f"{path}/sent/batch={batch_id}/kind={int(is_decision)}"
-            )
+        found = asked.join(known, "report_id", "left").withColumn(
+            "is_ready", F.coalesce(F.when(F.col("is_decision"), F.col("decided")).otherwise(F.col("decided").isNotNull()), F.lit(False))
+        )
+        found = found.select(*columns, "is_ready").persist()  # who is ready is found once, and read by three writes
+        try:
+            left = found.filter(~F.col("is_ready")).select(*columns)
+            left.write.mode("overwrite").parquet(f"{path}/waiting/batch={batch_id}")
+            for is_decision in (False, True):
+                wanted = found.filter(F.col("is_ready") & (F.col("is_decision") == is_decision)).select("report_id")
+                feed = report_notification_feed(league, base_url, is_decision, wanted, index.of if index else None)
+                feed.withColumn("is_decision", F.lit(is_decision)).write.mode("overwrite").parquet(
+                    f"{path}/sent/batch={batch_id}/kind={int(is_decision)}"
+                )
+        finally:
+            found.unpersist()
 
     return gates.run(news, write, checkpoint)
 

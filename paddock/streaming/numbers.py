@@ -62,7 +62,9 @@ class Numbers:
         spark, minutes = reports.sparkSession, rows.select(*MINUTE).distinct()
         now = self.members.read(spark, self.members.touched(minutes)).join(minutes, MINUTE, "left_semi").groupBy(*MINUTE)
         now = now.agg(F.count(F.lit(1)).alias("n"))
-        self.counts.merge(rows, lambda old: old.join(minutes, MINUTE, "left_anti").unionByName(now.select(*old.columns)))
+        self.counts.merge(
+            rows, lambda old: now.select(*old.columns), stays=lambda old: old.join(minutes, MINUTE, "left_anti")
+        )
 
     def of(self, asked: DataFrame) -> DataFrame:
         """``asked`` (id, race_id, created_at) with ``rank``, for reports that the index holds."""
