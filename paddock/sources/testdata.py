@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.functions.text import steward_role_name
-from paddock.session import store
+from paddock.session import dealt, store
 from paddock.sources.tables import League
 
 AS_OF = "2000-06-15 00:00:00"
@@ -65,15 +65,17 @@ def _entries(src: _Folder) -> DataFrame:
             _race_id(F.col("o_orderdate"), F.col("o_orderpriority")).alias("race_id"),
         ),
         "l_orderkey",
+    ).select("race_id", F.col("l_suppkey").alias("driver_id"), "l_partkey", "l_extendedprice", "l_quantity")
+    grouped = dealt(shipped.drop("l_quantity"), "race_id", "driver_id").groupBy("race_id", "driver_id").agg(
+        F.sum("l_partkey").alias("k"), F.min("l_extendedprice").alias("price")
     )
-    grouped = shipped.groupBy("race_id", F.col("l_suppkey").alias("driver_id")).agg(
-        F.sum("l_partkey").alias("k"),
-        F.min("l_extendedprice").alias("price"),
-        F.max("l_quantity").alias("quantity"),
-    )
-    # the fastest lap goes to the largest quantity, found without sorting a race
-    fastest = grouped.groupBy("race_id").agg(
-        F.min(F.struct((-F.col("quantity")).alias("q"), F.col("driver_id").alias("d"))).alias("best")
+    # the fastest lap goes to the largest quantity, then the lowest driver, found without sorting or grouping a race's entries
+    most = shipped.groupBy("race_id").agg(F.max("l_quantity").alias("most"))
+    fastest = (
+        shipped.join(F.broadcast(most), "race_id")
+        .filter(F.col("l_quantity").eqNullSafe(F.col("most")))
+        .groupBy("race_id")
+        .agg(F.min("driver_id").alias("best"))
     )
     suppliers = src.raw("supplier").select(
         F.col("s_suppkey").alias("driver_id"), F.col("s_nationkey").alias("team_id")
@@ -87,7 +89,7 @@ def _entries(src: _Folder) -> DataFrame:
             "team_id",
             F.when(F.col("k") % 10 != 0, 4800 + F.floor(F.col("price") / 25) / 4).cast("double").alias("time"),
             (F.col("k") % 3).cast("int").alias("plus_laps"),
-            (F.col("driver_id") == F.col("best.d")).alias("has_fastest_lap"),
+            (F.col("driver_id") == F.col("best")).alias("has_fastest_lap"),
             (F.col("k") % 37 == 1).alias("is_dsq"),
         )
     )

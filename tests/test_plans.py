@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from conftest import TESTDATA
 from pyspark.sql import functions as F
@@ -138,3 +140,11 @@ def test_json_sink_is_compressed(spark, tmp_path):
     assert list((tmp_path / "a").glob("*.json.gz")) and list((tmp_path / "b").glob("*.json"))
     for path in ("a", "b"):
         assert spark.read.schema(rows.schema).json(str(tmp_path / path)).count() == 3
+
+
+def test_entries_are_summed_where_they_are_dealt(spark):
+    shown = plan(testdata._entries(testdata._Folder(spark, TESTDATA)))
+    summed = shown[shown.index("partial_sum(l_partkey") :]
+    assert summed.index("REPARTITION_BY_NUM") < summed.index("Scan parquet")
+    # the fastest lap takes no second grouping by race and driver: the sums' two steps are all
+    assert len(re.findall(r"HashAggregate\(keys=\[race_id#\d+, driver_id#", shown)) == 2
