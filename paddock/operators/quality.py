@@ -10,27 +10,40 @@ from pyspark.sql import functions as F
 
 from paddock.functions.text import is_canonical_uuid
 from paddock.schema import FOREIGN_KEYS, MAX_LENGTHS, UNIQUE_KEYS
+from paddock.session import dealt
 from paddock.sources.tables import League
 
 
-def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key values that occur more than once; a key with a null is never a duplicate."""
-    present = rows.dropna(subset=list(keys))
-    return present.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+def duplicates(rows: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Key values that occur more than once ``within`` equal values of other columns; a key with a null is never a duplicate.
+
+    Most keys occur once, so rows are dealt by key before they are counted.
+    """
+    present = rows.select(*within, *keys).dropna(subset=list(keys))
+    return dealt(present, *keys).groupBy(*within, *keys).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
 def dq_duplicate_keys(league: League) -> DataFrame:
-    """Duplicated keys of all tables."""
-    found = [
-        duplicates(getattr(league, table), key).select(
-            F.lit(table).alias("table_name"),
-            F.lit(",".join(key)).alias("key_columns"),
-            F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("key_value"),
-            "copies",
+    """Duplicated keys of all tables; keys of the same types are counted in one pass, under the number of their check."""
+    checks = [(table, key) for table, keys in UNIQUE_KEYS.items() for key in keys]
+    alike: dict[tuple[str, ...], list[DataFrame]] = {}
+    for number, (table, key) in enumerate(checks):
+        rows = getattr(league, table)
+        kinds = tuple(rows.schema[c].dataType.simpleString() for c in key)
+        values = [F.col(c).alias(f"key{k}") for k, c in enumerate(key)]
+        alike.setdefault(kinds, []).append(rows.select(F.lit(number).alias("check"), *values))
+    names = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(",".join(k)).alias("key_columns")) for t, k in checks])
+    found = []
+    for kinds, rows in alike.items():
+        keys = [f"key{k}" for k in range(len(kinds))]
+        found.append(
+            duplicates(reduce(DataFrame.unionByName, rows), keys, ["check"]).select(
+                names[F.col("check")]["table_name"].alias("table_name"),
+                names[F.col("check")]["key_columns"].alias("key_columns"),
+                F.concat_ws("|", *[F.col(c).cast("string") for c in keys]).alias("key_value"),
+                "copies",
+            )
         )
-        for table, keys in UNIQUE_KEYS.items()
-        for key in keys
-    ]
     return reduce(DataFrame.unionByName, found)
 
 

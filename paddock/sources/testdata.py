@@ -160,9 +160,10 @@ def _targets(src: _Folder, reports: DataFrame) -> DataFrame:
     With what penalties and responses need of the report, ``is_decided`` and ``sent_at``. The line items are dealt by
     order once, for their pairs, the last of an order and the join.
     """
-    suppliers = src.raw("lineitem").select(
-        F.col("l_orderkey").alias("report_id"), F.col("l_suppkey").alias("driver_id")
-    ).repartition("report_id")
+    suppliers = dealt(
+        src.raw("lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_suppkey").alias("driver_id")),
+        "report_id",
+    )
     last = suppliers.groupBy("report_id").agg(F.max("driver_id").alias("last_driver"))
     sender = reports.select(
         F.col("id").alias("report_id"),

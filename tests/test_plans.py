@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paddock.operators import results
 from paddock.operators.ranking import rank_bounded, season_ids
 from paddock.plans import registry
+from paddock.schema import UNIQUE_KEYS
 from paddock.sources import tables, testdata
 
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonUDF")
@@ -142,6 +143,14 @@ def test_json_sink_is_compressed(spark, tmp_path):
         assert spark.read.schema(rows.schema).json(str(tmp_path / path)).count() == 3
 
 
+def test_keys_are_counted_where_they_are_dealt(spark):
+    league = testdata.league(spark, TESTDATA)
+    shown = plan(registry.queries()["dq_duplicate_keys"](spark, TESTDATA))
+    assert "REPARTITION_BY_NUM" in shown and "ENSURE_REQUIREMENTS" not in shown
+    kinds = {tuple(getattr(league, t).schema[c].dataType.simpleString() for c in k) for t, ks in UNIQUE_KEYS.items() for k in ks}
+    assert shown.count("REPARTITION_BY_NUM") == len(kinds)
+
+
 def test_entries_are_summed_where_they_are_dealt(spark):
     shown = plan(testdata._entries(testdata._Folder(spark, TESTDATA)))
     summed = shown[shown.index("partial_sum(l_partkey") :]
