@@ -148,7 +148,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Numbers from 0 to 2**32 - 1: all lowest bytes, then all next ones, as many planes as the greatest needs."""
+    """Numbers that aren't negative: all lowest bytes, then all next ones, as many planes as the greatest needs."""
     width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
     return bytes([width]) + b"".join((values >> (8 * k)).astype(np.uint8).tobytes() for k in range(width))
 
@@ -224,7 +224,7 @@ def _counted(row: dict, places: np.ndarray | None, n: np.ndarray, found: tuple,
                 "part": g,
                 "block": row["block"],
                 "words": b" ".join([names[k] for k in at.tolist()]) if places is None else None,
-                "places": None if places is None else places[at].astype("<i4").tobytes(),
+                "places": None if places is None else _planes(places[at]),
                 "n": _packed(n[at]),
                 "counts": _packed(counts[at].ravel()),
                 "sums": None,
@@ -264,7 +264,7 @@ def _answers(states: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 words = row["words"].split(b" ")
                 sent.append((row, np.fromiter(map(names.__getitem__, words), np.int64, len(words))))
             else:
-                sent.append((row, np.frombuffer(row["places"], "<i4").astype(np.int64)))
+                sent.append((row, _from_planes(row["places"])))
         size = max((int(places.max()) + 1 for _, places in sent), default=0)
         n, counts = np.zeros(size, np.int64), np.zeros((size, states), np.int64)
         for row, places in sent:  # a block's places are distinct
@@ -280,8 +280,8 @@ def _answers(states: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], I
         found = [float(n.sum()), float(size), *of_state.sum(axis=0), *of_state[n == 1].sum(axis=0), *sums.astype(float)]
 
         def answer(block: int, words: bytes | None, places: np.ndarray | None, of: np.ndarray | slice) -> dict:
-            where = None if places is None else places.astype("<i4").tobytes()
-            own = {"words": words, "places": where, "n": _packed(n[of]), "shares": shares[of].astype("<i8").tobytes()}
+            where = None if places is None else _planes(places)
+            own = {"words": words, "places": where, "n": _packed(n[of]), "shares": _planes(shares[of])}
             return {"block": block, "part": part, **own, "sums": None}
 
         for row, places in sent:
@@ -352,8 +352,8 @@ def _of_answers(blocks: DataFrame, answers: DataFrame, groups: int, finished: Ca
         places, n, shares = (np.zeros(by.size, np.int64) for _ in range(3))
         for answer in rows[1:]:
             at = by[cuts[answer["part"]] : cuts[answer["part"] + 1]]
-            places[at] = np.frombuffer(answer["places"], "<i4")
-            n[at], shares[at] = _unpacked(answer["n"]), np.frombuffer(answer["shares"], "<i8")
+            places[at] = _from_planes(answer["places"])
+            n[at], shares[at] = _unpacked(answer["n"]), _from_planes(answer["shares"])
         yield finished(row, _sequences(row), places, n, shares)
 
     own = blocks.select("block", F.lit(-1).cast("long").alias("part"), "hashes", "tokens", "ids", "lengths")
@@ -380,8 +380,8 @@ def fit(docs: DataFrame, states: int = STATES, settled: float = SETTLED) -> Fitt
     """The model of the texts of ``docs``: a null text is empty, repeated rows count as often as they come."""
     blocks = shared.written(postings.steady(_texts(docs)).mapInArrow(_numbered_rows(BLOCK_BYTES), _NUMBERED_KINDS), "blocks")
     seed, groups = _train_classes(blocks, states, settled), _groups(blocks)
-    answers = first = _exchanged(_first_counts(blocks, seed, groups), states, groups)
-    names = first.where(F.col("block") == _LIST).select("part", "words")
+    answers = _exchanged(_first_counts(blocks, seed, groups), states, groups)
+    names = shared.written(answers.where(F.col("block") == _LIST).select("part", "words"), "names")
     totals, before = _totals(answers, states)[0], -np.inf
     while True:
         further = _exchanged(_next_counts(blocks, answers, totals, groups), states, groups)
@@ -389,8 +389,7 @@ def fit(docs: DataFrame, states: int = STATES, settled: float = SETTLED) -> Fitt
         if now - before <= settled * abs(now):
             shared.dropped(further)
             return Fitted(blocks, answers, names, totals)
-        if answers is not first:
-            shared.dropped(answers)
+        shared.dropped(answers)
         answers, totals, before = further, found, now
 
 
@@ -401,7 +400,7 @@ def _word_rows(fitted: Fitted) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words = row["words"].split(b" ")
-                shares = np.frombuffer(row["shares"], "<i8")
+                shares = _from_planes(row["shares"])
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(_unpacked(row["n"])), pa.array(shares)], ["key", "n", "shares"])
 
     sent = fitted.answers.where(F.col("block") == _LIST).select("part", "n", "shares")

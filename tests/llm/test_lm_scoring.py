@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -159,3 +160,12 @@ def test_training_texts_score_the_same_by_either_way(spark, monkeypatch):
     got = lm_scoring._score_trained(fitted).collect()
     want = lm_scoring.score(docs, lm_scoring._word_rows(fitted), fitted.totals).collect()
     assert np.allclose(sorted(map(tuple, got)), sorted(map(tuple, want)))
+
+
+def test_only_the_last_answers_are_kept(spark):
+    docs = spark.createDataFrame([(k, f"a b c {k % 7} b a") for k in range(40)], "doc_id long, text string")
+    folder = Path(lm_scoring.shared.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("answers-*"))
+    fitted = lm_scoring.fit(docs)
+    assert len(set(folder.glob("answers-*")) - before) == 1
+    assert lm_scoring._word_rows(fitted).count() == 3 + 7 + 1
