@@ -22,7 +22,7 @@ from paddock.llm import cutting_stock, pieces, shared
 
 CAPACITY = 4096
 UNIT = 8
-#: Texts that are split into words at once.
+#: Texts that are cut into chunks of words at once.
 TEXTS = 256
 #: Pieces of one size that one task ranks.
 SHARE_ROWS = 100_000
@@ -40,8 +40,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
             keys, texts = batch.column("doc_id").to_pylist(), shared.slices(batch.column("text"))
             out: tuple[list, ...] = ([], [], [], [], [])
             for first in range(0, len(keys), TEXTS):
-                some = [bytes(t).split() for t in islice(texts, TEXTS)]
-                known.learn({w for words in some for w in words})
+                some = [pieces.chunks(bytes(t)) for t in islice(texts, TEXTS)]
+                known.learn(set().union(*some))
                 for key, words in zip(keys[first : first + TEXTS], some, strict=True):
                     data = b"".join(map(known.words.__getitem__, words)) + end
                     for at in range(0, len(data), 4 * capacity):

@@ -75,6 +75,22 @@ def test_words_in_parts_have_the_same_ids():
     assert b"".join(known.words[w.encode()] for w in words) == np.array(encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_chunks_have_the_same_ids_and_few_are_looked_up():
+    assert pieces.chunks(b"Word, word. (WORD)\x0bword-word") == [b"word", b",", b"word", b".", b"(", b"word", b")", b"word", b"-", b"word"]
+    assert pieces.chunks(b"a,B'c d<|x") == [b"a", b",", b"B'c", b"d<|x"]
+    rng = np.random.default_rng(4)
+    alphabet = ["a", "B", "H", "s", "'", "'S", ",", "-", "!!", "1", "22", " ", " ", "\n", "<", "<|endoftext|>", "|>", "É", "ß", "\u0331", "\u0301", "İ", "ж", "Σ"]
+    alphabet += ["\u00a0", "\u0085", "\x00", "\x1c", "\x7f", "’", "ｆ", "_", "²"]
+    encoder = Tokenizer.from_file(FILE)
+    known = pieces.Vocabulary(encoder)
+    for _ in range(3000):
+        some = alphabet if rng.random() < 0.5 else alphabet[: rng.integers(8, 22)]
+        text = "".join(rng.choice(some, rng.integers(0, 14)))
+        found = pieces.chunks(text.encode())
+        known.learn(set(found))
+        assert b"".join(known.words[c] for c in found) == np.array(encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_empty_table_and_hot_size(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARE_ROWS", 7)
     docs = spark.createDataFrame([(k % 50, "same words") for k in range(300)], "doc_id long, text string")
