@@ -8,6 +8,10 @@ from typing import NamedTuple
 import numpy as np
 
 
+#: Steps from one scaling to the next: few enough that what isn't scaled stays far above the least number.
+SCALED = 8
+
+
 class Chain(NamedTuple):
     """Probabilities of the first state and of the next one."""
 
@@ -71,27 +75,43 @@ def _emitted(emission: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forward(chain: Chain, seen: np.ndarray, data: Layout) -> tuple[np.ndarray, np.ndarray]:
-    """Forward probabilities, scaled at every token, by state and token, and the scales."""
-    alphas, scales = np.empty_like(seen), np.empty(data.tokens.size)
+def _last(data: Layout) -> np.ndarray:
+    """Where each sequence's last token is, the longest sequence first."""
+    alive = np.array(data.alive, np.int64)
+    steps = np.searchsorted(-alive, -np.arange(data.order.size))  # that have the sequence
+    return (np.cumsum(alive) - alive)[steps - 1] + np.arange(data.order.size)
+
+
+def _forward(chain: Chain, seen: np.ndarray, data: Layout) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Forward probabilities by state and token, scaled at every SCALED steps; the scales of each of these, and the last sums."""
+    alphas, scales = np.empty_like(seen), []
     step, before, start = np.ascontiguousarray(chain.transition.T), alphas[:, :0], 0
     for t, m in enumerate(data.alive):
         end = start + m
-        here, scale = alphas[:, start:end], scales[start:end]
+        here = alphas[:, start:end]
         if t:
             np.matmul(step, before[:, :m], out=here)
             here *= seen[:, start:end]
+            if t % SCALED == 0:
+                scales.append(here.sum(axis=0))
+                here /= scales[-1]
         else:
             np.multiply(seen[:, :end], chain.initial[:, None], out=here)
-        np.add.reduce(here, axis=0, out=scale)
-        here /= scale
         before, start = here, end
-    return alphas, scales
+    return alphas, scales, alphas[:, _last(data)].sum(axis=0)
+
+
+def _logs(scales: list[np.ndarray], last: np.ndarray) -> np.ndarray:
+    """Natural log of each sequence's probability, the longest sequence first."""
+    total = np.log(last)
+    for scale in scales:
+        total[: scale.size] += np.log(scale)
+    return total
 
 
 def log_likelihoods(chain: Chain, emission: np.ndarray, data: Layout) -> np.ndarray:
-    """Natural log of each sequence's probability, by the forward recursion scaled at every token; ``emission``: (token, state)."""
-    return sums(np.log(_forward(chain, _emitted(emission, data.tokens), data)[1]), data)
+    """Natural log of each sequence's probability, by the scaled forward recursion; ``emission``: (token, state)."""
+    return _in_place(_logs(*_forward(chain, _emitted(emission, data.tokens), data)[1:]), data)
 
 
 def expected_counts(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,26 +123,30 @@ def expectations(chain: Chain, emission: np.ndarray, data: Layout) -> tuple[np.n
     """The expected counts, and the natural log of all sequences' probability."""
     states, n = chain.initial.size, data.order.size
     seen = _emitted(emission, data.tokens)  # in place: the forward probability times the backward one
-    alphas, scales = _forward(chain, seen, data)
+    alphas, scales, last = _forward(chain, seen, data)
     steps, first = np.zeros((states, states)), np.zeros(states)
-    betas, products = np.ones((states, n)), np.empty((states, n))  # a sequence that has yet to end has ones
+    # a sequence that has yet to end has what makes its last states' probabilities one
+    betas, products = np.tile(1 / last, (states, 1)), np.empty((states, n))
     end = data.tokens.size
     for t in range(len(data.alive) - 1, -1, -1):
         m = data.alive[t]
         start = end - m
-        here, beta, ahead = seen[:, start:end], betas[:, :m], products[:, :m]
-        np.multiply(beta, here, out=ahead)
-        ahead /= scales[start:end]
-        np.multiply(alphas[:, start:end], beta, out=here)
+        here, beta, alpha = seen[:, start:end], betas[:, :m], alphas[:, start:end]
         if t:
-            last = start - data.alive[t - 1]
-            steps += alphas[:, last : last + m] @ ahead.T
+            ahead = products[:, :m]
+            np.multiply(beta, here, out=ahead)
+            if t % SCALED == 0:
+                ahead /= scales[t // SCALED - 1]
+            np.multiply(alpha, beta, out=here)
+            before = start - data.alive[t - 1]
+            steps += alphas[:, before : before + m] @ ahead.T
             np.matmul(chain.transition, ahead, out=beta)
         else:
+            np.multiply(alpha, beta, out=here)
             first = here.sum(axis=1)
         end = start
     counts = np.stack([np.bincount(data.tokens, of_state, len(emission)) for of_state in seen], axis=1)
-    return counts, first, steps * chain.transition, float(np.log(scales).sum())
+    return counts, first, steps * chain.transition, float(_logs(scales, last).sum())
 
 
 def normalised(counts: np.ndarray, more: float = 1.0) -> np.ndarray:

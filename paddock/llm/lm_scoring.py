@@ -85,7 +85,7 @@ def _numbered(texts: list[memoryview]) -> tuple[list[bytes], np.ndarray, np.ndar
     column = pa.Array.from_buffers(pa.large_utf8(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(texts))])
     split = pc.ascii_split_whitespace(pc.ascii_lower(column))
     encoded = pc.dictionary_encode(split.values.cast(pa.large_binary()))
-    names, found = encoded.dictionary.to_pylist(), shared.numbers(encoded.indices)
+    names, found = list(map(bytes, shared.slices(encoded.dictionary))), shared.numbers(encoded.indices)
     is_word = np.fromiter(map(len, names), np.int64, len(names)) > 0  # white space at either end leaves an empty string
     kept = is_word[found]
     before = np.concatenate(([0], np.cumsum(kept)))
@@ -135,6 +135,8 @@ def _numbered_rows(most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 "lengths": _planes(lengths),
             }
             yield pa.RecordBatch.from_pylist([row])
+            del names, tokens, lengths, row
+            shared.release_memory()
 
     return task
 
@@ -191,18 +193,20 @@ def _train_classes(blocks: DataFrame, states: int, settled: float) -> Seed:
 def _count_classes(blocks: DataFrame, seed: Seed) -> DataFrame:
     """key, n: expected counts (in PARTs) by class and state, then of first states and steps, then the log likelihood."""
 
+    def of_block(row: dict) -> np.ndarray:
+        data = _sequences(row)
+        classes = (np.frombuffer(row["hashes"], "<u4") % CLASSES).astype(np.int64)
+        return _in_parts(*hmm.expectations(seed.chain, seed.classes, data._replace(tokens=classes[data.tokens])))
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: np.ndarray | int = 0
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                data = _sequences(row)
-                classes = (np.frombuffer(row["hashes"], "<u4") % CLASSES).astype(np.int64)
-                found = hmm.expectations(seed.chain, seed.classes, data._replace(tokens=classes[data.tokens]))
-                sums = sums + _in_parts(*found)
+                sums = sums + of_block(batch.slice(k, 1).to_pylist()[0])
         if isinstance(sums, np.ndarray):
             keys = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys])], ["key", "n"])
+        shared.release_memory()
 
     found = blocks.select("hashes", "tokens", "lengths").mapInArrow(task, "key long, n long")
     return found.groupBy("key").agg(F.sum("n").alias("n"))
@@ -331,14 +335,17 @@ def _totals(answers: DataFrame, states: int) -> tuple[Totals, float]:
 def _first_counts(blocks: DataFrame, seed: Seed, groups: int) -> DataFrame:
     """Expected counts of the words under the model of classes."""
 
+    def of_block(row: dict) -> pa.RecordBatch:
+        data = _sequences(row)
+        classes = (np.frombuffer(row["hashes"], "<u4") % CLASSES).astype(np.int64)
+        n = np.bincount(data.tokens, minlength=classes.size)
+        return _counted(row, None, n, hmm.expectations(seed.chain, seed.classes[classes], data), groups)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                data = _sequences(row)
-                classes = (np.frombuffer(row["hashes"], "<u4") % CLASSES).astype(np.int64)
-                n = np.bincount(data.tokens, minlength=classes.size)
-                yield _counted(row, None, n, hmm.expectations(seed.chain, seed.classes[classes], data), groups)
+                yield of_block(batch.slice(k, 1).to_pylist()[0])
+        shared.release_memory()
 
     return blocks.select("block", "words", "hashes", "tokens", "lengths").mapInArrow(task, _COUNTED_KINDS)
 
@@ -444,6 +451,8 @@ def _block_rows(most_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 ],
                 ["key", "block", "number", "sequence", "ids", "lengths"],
             )
+            del words, tokens, lengths
+            shared.release_memory()
 
     return task
 
@@ -510,6 +519,8 @@ def _of_blocks(finished: Callable[[list[tuple], tuple], pa.RecordBatch]) -> Call
                 words.append(tuple(shared.numbers(part.column(c)) for c in ("number", "n", "shares")))
         if texts is not None:
             yield finished(words, texts)
+        del words, texts
+        shared.release_memory()
 
     return task
 

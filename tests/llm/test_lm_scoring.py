@@ -48,6 +48,21 @@ def test_recursions_against_all_paths():
     assert np.allclose(counts, want_counts) and np.allclose(first, want_first) and np.allclose(steps, want_steps)
 
 
+def test_scaling_at_some_steps_gives_what_scaling_at_all_gives(monkeypatch):
+    rng = np.random.default_rng(6)
+    chain, emission = model(tokens=50)
+    emission = emission * 10.0 ** rng.integers(-13, 0, (50, 1))  # as rare as a word of a large corpus
+    data = hmm.layout([rng.integers(0, 50, n) for n in (1, 7, 8, 9, 16, 17, 40, 700, 8, 1)])
+    assert hmm.SCALED > 1
+    found = hmm.expectations(chain, emission, data)
+    logs = hmm.log_likelihoods(chain, emission, data)
+    monkeypatch.setattr(hmm, "SCALED", 1)
+    for got, want in zip(found, hmm.expectations(chain, emission, data), strict=True):
+        assert np.allclose(got, want, rtol=1e-9)
+    assert np.allclose(logs, hmm.log_likelihoods(chain, emission, data), rtol=1e-12)
+    assert np.isclose(logs.sum(), found[3]) and np.isclose(found[0].sum(), data.tokens.size)
+
+
 def plain(rows):
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]
     held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
