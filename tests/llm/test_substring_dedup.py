@@ -67,6 +67,13 @@ def test_kept_text_and_empty_table(spark):
     assert without_repeats(docs.limit(0), 400).count() == 0
 
 
+def test_texts_are_shuffled_once_for_regions_and_results(spark):
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    rows = without_repeats(docs, 400)
+    rows.collect()
+    assert "ReusedExchange" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_suffix_order_of_small_alphabets():
     random.seed(8)
     for _ in range(60):
