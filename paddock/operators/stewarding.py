@@ -347,30 +347,43 @@ def report_gate(reports: DataFrame, races: DataFrame, entries: DataFrame, zone:
 def response_label(
     responses: DataFrame, races: DataFrame, entries: DataFrame, targets: DataFrame, zone: str
 ) -> DataFrame:
-    """Label responses already joined to their report's ``race_id`` and ``reported_at``."""
-    targeted = (
-        targets.filter(F.col("driver_id").isNotNull())
-        .select("report_id", F.col("driver_id").alias("from_driver"), F.lit(True).alias("targeted"))
-        .distinct()
-    )
-    sent = F.col("created_at")
-    in_time = sent < report_deadline(F.col("race_date"), zone)
-    as_target = F.col("targeted") & (sent < F.col("reported_at") + F.expr("INTERVAL 1 DAY"))
+    """Label responses already joined to their report's ``race_id`` and ``reported_at``.
+
+    Responses without a report are dealt for no join, and of the others only those between the race's deadline and a day
+    after the report, for which it matters, are looked up among the targets.
+    """
+    sent, start = F.col("created_at"), F.col("race_date")
+    in_time = sent < report_deadline(start, zone)
+    as_target = F.coalesce((sent > start) & ~in_time & (sent < F.col("reported_at") + F.expr("INTERVAL 1 DAY")), F.lit(False))
+    judged = responses.filter(F.col("race_id").isNotNull()).join(_race_dates(races), "race_id", "left")
+    targeted = targets.filter(F.col("driver_id").isNotNull())
+    targeted = targeted.select("report_id", F.col("driver_id").alias("from_driver")).distinct().withColumn("targeted", F.lit(True))
+    entrants, by_entry = _entrants(entries), ["race_id", "from_driver"]
+    rest = judged.filter(~as_target).join(entrants, by_entry, "left").withColumn("targeted", F.lit(False))
+    asked = judged.filter(as_target).join(entrants, by_entry, "left").join(targeted, ["report_id", "from_driver"], "left")
     label = (
-        F.when(F.col("race_id").isNull(), NO_REPORT)
-        .when(F.col("entered").isNull(), NOT_ENTERED)
-        .when(sent.isNull() | F.col("race_date").isNull(), UNDATED)
-        .when(sent <= F.col("race_date"), TOO_EARLY)
-        .when(in_time | F.coalesce(as_target, F.lit(False)), ACCEPTED)
+        F.when(F.col("entered").isNull(), NOT_ENTERED)
+        .when(sent.isNull() | start.isNull(), UNDATED)
+        .when(sent <= start, TOO_EARLY)
+        .when(in_time | F.coalesce("targeted", F.lit(False)), ACCEPTED)
         .otherwise(TOO_LATE)
     )
-    return (
-        responses.join(_race_dates(races), "race_id", "left")
-        .join(_entrants(entries), ["race_id", "from_driver"], "left")
-        .join(targeted, ["report_id", "from_driver"], "left")
-        .withColumn("gate", label)
-        .drop("entered", "targeted", "race_date", "is_race")
+    keys = ["report_id", "from_driver", "race_id"]
+    columns = [*keys, *(c for c in responses.columns if c not in keys)]
+    alone = responses.filter(F.col("race_id").isNull()).select(*columns, F.lit(NO_REPORT).alias("gate"))
+    known = rest.unionByName(asked).select(*columns, label.alias("gate"))
+    return known.unionByName(alone)
+
+
+def with_reports(responses: DataFrame, accepted_reports: DataFrame) -> DataFrame:
+    """Responses with their accepted report's ``race_id`` and ``reported_at``, nulls where there is none."""
+    known = accepted_reports.filter(F.col("race_id").isNotNull()).select(
+        F.col("id").alias("report_id"), "race_id", F.col("created_at").alias("reported_at")
     )
+    # only responses that name a report are dealt, so that the join is dealt alike whatever is asked of its result
+    named = responses.filter(F.col("report_id").isNotNull()).join(known, "report_id", "left")
+    blank = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("race_id", "reported_at")]
+    return named.unionByName(responses.filter(F.col("report_id").isNull()).select("*", *blank))
 
 
 def response_gate(
@@ -382,7 +395,4 @@ def response_gate(
     zone: str = "UTC",
 ) -> DataFrame:
     """Label responses: entrants until the race's deadline, targets also a day after the report."""
-    known = accepted_reports.select(
-        F.col("id").alias("report_id"), "race_id", F.col("created_at").alias("reported_at")
-    )
-    return response_label(responses.join(known, "report_id", "left"), races, entries, targets, zone)
+    return response_label(with_reports(responses, accepted_reports), races, entries, targets, zone)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paddock.functions import text, timing
 from paddock.operators import championship, ingest, members, quality, results, season, stewarding, upkeep
 from paddock.plans import feeds
-from paddock.session import new_folder
+from paddock.session import new_folder, store
 from paddock.sources import tables, testdata
 from paddock.sources.kept import Kept
 from paddock.sources.tables import League
@@ -86,12 +86,12 @@ def _stream_response_gate(league: League) -> DataFrame:
     spark = league.races.sparkSession
     sent, taken, out, state = (new_folder(spark, f"response-{kind}") for kind in ("sent", "taken", "out", "state"))
     responses = league.report_responses
-    accepted = gates.accepted(_gated_reports(league)).select(*league.reports.columns)
+    accepted = store(gates.accepted(_gated_reports(league)).select(*league.reports.columns), "accepted_reports")
     first = F.col("report_id") % 3 != 0
     seen = F.col("id") % 2 == 0
     for last, answered, known in ((False, first, seen), (True, ~first, ~seen)):
-        responses.filter(answered).repartitionByRange(2 * BATCH_FILES, F.col("created_at").desc()).write.mode("append").parquet(sent)
-        accepted.filter(known).write.mode("append").parquet(taken)
+        responses.filter(answered).write.mode("append").option("compression", "zstd").parquet(sent)
+        accepted.filter(known).write.mode("append").option("compression", "zstd").parquet(taken)
         if last:  # the league has ended: all that still waits is due
             gates.heartbeat(spark, responses.schema, datetime(2100, 1, 1)).write.mode("append").parquet(sent)
             gates.heartbeat(spark, accepted.schema, datetime(2100, 1, 1)).write.mode("append").parquet(taken)
